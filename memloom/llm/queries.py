@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ftrl, secrets, simhash
+from . import bpe, ftrl, media, secrets, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +34,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ftrl, html, media, secrets, simhash
+from . import bpe, decontaminate, ftrl, html, linededup, media, secrets, simhash
 from .common import table
 
 
@@ -34,9 +34,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op10_main_text": op10_main_text}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_main_text": op10_main_text}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of one Arrow batch, where the session doesn't say; keeps a Python worker's memory bounded with long texts.
 BATCH_ROWS = 2000
 
@@ -18,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in local tests, one of its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-    A folder of its own is set only where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memloom-checkpoint-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -35,9 +44,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, objec
     ``setup``, if given, runs once per task, and its result is ``work``'s second argument.
     Neither keeps state between tasks, so a lost executor's tasks can run again anywhere.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -56,6 +63,44 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, objec
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Gets the session ready for this package's Python workers."""
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[list, object], object], setup: Callable[[], object]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, where ``keep`` (of the texts of a batch, and of what ``setup`` made for the task) is true."""
+    small_batches(docs.sparkSession)
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = setup()
+        for batch in batches:
+            yield batch.filter(pa.array([bool(x) for x in keep(batch.column(column).to_pylist(), tools)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_column(docs: DataFrame, name: str, kind: str, make: Callable[[list], object]) -> tuple[DataFrame, str]:
+    """``docs`` with a column made from each batch's texts, and the column's name: ``name``, with underscores until no other has it."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    small_batches(docs.sparkSession)
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    column, spark_type = docs.columns.index("text"), _parse_datatype_string(kind)
+    arrow_type = to_arrow_type(spark_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(name, pa.array(make(batch.column(column).to_pylist()), type=arrow_type))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, spark_type)])), name
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text is a multiple of 5: rows that no label may be learned from. A null id counts as text ''."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import filter_rows, map_batches
 
 SIMILARITY, RUN = 0.8, 3
 SAMPLED, REPEATS, DIFFER = 3, 30, 0.5
@@ -263,13 +262,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """The rows of ``docs``, with all their columns, that hold no item."""
     for items in item_blocks(benchmark, similarity, block_items):
         handle = docs.sparkSession.sparkContext.broadcast(items)
-        schema, column = docs.schema, docs.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], handle=handle, column=column) -> Iterator[pa.RecordBatch]:
-            known = Hashes()
-            for batch in batches:
-                clean = [not hits for hits in handle.value.search(batch.column(column).to_pylist(), known)]
-                yield batch.filter(pa.array(clean, type=pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
+        docs = filter_rows(docs, lambda texts, tools: [not hits for hits in tools[0].search(texts, tools[1])], lambda handle=handle: (handle.value, Hashes()))
     return docs

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches
+from .common import filter_rows, held_out, map_batches, small_batches
 
 #: Labelled rows that a model is learned from, at most.
 SAMPLE_ROWS = 8_000
@@ -177,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, grams: Grams, rates: Rat
     )
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
+    small_batches(docs.sparkSession)
+
     def train(parts):
         import pandas as pd
 
@@ -218,3 +220,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels, "quality", QUALITY_GRAMS, QUALITY_RATES), QUALITY_FROM)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose quality score is ``QUALITY_FROM`` or more."""
+    handle = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, "quality", QUALITY_GRAMS, QUALITY_RATES))
+    return filter_rows(docs, lambda texts, tools: handle.value.scores(texts, *tools) >= QUALITY_FROM, lambda: (Words(), handle.value.dense()))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches
+from .common import checkpointed, map_batches, small_batches, with_column
 from .components import components
 
 WORDS, BUDGET, BITS = 3, 3, 64
@@ -183,18 +183,35 @@ def near_links(prints: DataFrame, most: int = MOST, levels: int = 3) -> DataFram
             break
         cold.append(rows.join(hot, "key", "left_anti"))
         rows = rows.join(hot, "key", "left_semi")
+    small_batches(prints.sparkSession)
     every = cold[0]
     for x in cold[1:]:
         every = every.unionByName(x)
     return every.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_join, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = checkpointed(fingerprints(docs, words))
+def _components(rows: DataFrame) -> DataFrame:
+    """fp, root, component_id of each distinct value of ``rows.fp``."""
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(prints))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    rows = checkpointed(fingerprints(docs, words))
+    return rows.join(_components(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the smallest of their component.
+
+    Of several such rows, and of a component without ids, one row stays.
+    """
+    of = _components(checkpointed(fingerprints(docs, words)))
+    marked, fp = with_column(docs, "fp", "bigint", lambda texts: np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+    rows = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{fp}`").alias("fp"))
+    stay = rows.join(of, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    return stay.dropDuplicates(["root"]).select("row.*")

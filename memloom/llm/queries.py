@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ftrl, html, linededup, media, secrets, simhash
+from . import bpe, decontaminate, ftrl, html, linededup, media, secrets, simhash, suffixdedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,5 +50,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_main_text": op10_main_text}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_main_text": op10_main_text}
 ORACLE_SQL: dict[str, str] = {}

@@ -80,15 +80,17 @@ class MinimalPerfectHash:
         self.shifts = self.shift.tolist()
 
     def _place(self, h: int, d: int) -> int:
-        if d < 0:
-            return ~d
         x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
         x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         return (x >> 32) % self.n
 
     def slot(self, key: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(key)
-        return self._place(h, self.shifts[(h >> 32) % self.buckets])
+        d = self.shifts[(h >> 32) % self.buckets]
+        if d < 0:
+            return ~d
+        x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+        return ((((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF) >> 32) % self.n
 
 
 class Codec:
@@ -109,6 +111,7 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.two = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.texts = [str(i) for i in range(len(self.tokens))]
 
     def __getstate__(self):
@@ -127,17 +130,23 @@ class Codec:
             return (self.ids[slot],)
         return self.merge(piece)
 
+    def encode_unit(self, unit: str) -> tuple[int, ...]:
+        if unit.isascii() and (unit[1:] if unit[:1] == " " else unit).isalpha():
+            return self.encode_piece(unit.encode())  # one match of the pattern: the letters with the space before them
+        return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in self.split(unit)))
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Lowest rank first, then leftmost: O(n log n) in the bytes, so a very long pre-token is no trap."""
-        rank_of, n = self.ranks.get, len(piece)
+        rank_of, n, push, pop = self.ranks.get, len(piece), heapq.heappush, heapq.heappop
         after = list(range(1, n + 1))  # where the part that begins here ends
         before = list(range(-1, n))  # where the part before begins
-        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of a part with the next one
+        two = self.two
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of a part with the next one
         pair.append(-1)
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            x = heapq.heappop(heap)
+            x = pop(heap)
             i = x & 0xFFFFFFFF
             if pair[i] != x >> 32:
                 continue  # one of the two has been merged since
@@ -147,12 +156,12 @@ class Codec:
             pair[mid] = -1
             r = pair[i] = rank_of(piece[i : after[stop]], -1) if stop < n else -1
             if r >= 0:
-                heapq.heappush(heap, r << 32 | i)
+                push(heap, r << 32 | i)
             p = before[i]
             if p >= 0:
                 r = pair[p] = rank_of(piece[p:stop], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << 32 | p)
+                    push(heap, r << 32 | p)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
@@ -183,15 +192,14 @@ def units(text: str) -> list[str]:
 class Known(dict):
     """Ids of the units met so far, in two generations of ``MOST`` each, so that a worker's memory stays bounded."""
 
-    MOST = 300_000
+    MOST = 500_000
 
     def __init__(self, codec: Codec):
         self.codec, self.old = codec, {}
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
         if (ids := self.old.get(unit)) is None:
-            pieces = self.codec.split(unit)
-            ids = self.codec.encode_piece(unit.encode()) if len(pieces) == 1 else tuple(chain.from_iterable(self.codec.encode_piece(p.encode()) for p in pieces))
+            ids = self.codec.encode_unit(unit)
         if len(unit) <= 64:
             if len(self) >= self.MOST:
                 self.old = dict(self)

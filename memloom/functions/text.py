@@ -236,7 +236,7 @@ def token_f1(predicted: Column, gold: Column) -> Column:
 
 
 def keyword_recall(predicted: Column, keywords: Column) -> Column:
-    found = F.filter(keywords, lambda k: F.lower(_t(predicted)).rlike(F.concat(F.lit(r"(?U)\b\Q"), F.lower(k), F.lit(r"\E\b"))))
+    found = F.filter(keywords, lambda k: F.rlike(F.lower(_t(predicted)), F.concat(F.lit(r"(?U)\b\Q"), F.lower(k), F.lit(r"\E\b"))))
     return F.when(F.size(keywords) == 0, 1.0).otherwise(F.size(found) / F.size(keywords))
 
 

@@ -69,9 +69,9 @@ def read_text(rows: DataFrame) -> DataFrame:
     """rows: n (line number), value (a JSON line). The ops; a broken last line (a torn write) is dropped, any other is an error."""
     last = rows.agg(F.max("n").alias("last_n"))
     parsed = rows.join(F.broadcast(last)).withColumn("whole", F.json_object_keys("value").isNotNull())  # one row
-    bad = ~F.col("whole") & (F.col("n") < F.col("last_n"))
-    checked = parsed.where(F.when(bad, F.raise_error(F.format_string("journal line %d is broken", "n")).cast("boolean")).otherwise(F.lit(True)))
-    return checked.where("whole").select("n", "value")
+    torn = F.col("n") == F.col("last_n")
+    broken = F.raise_error(F.format_string("journal line %d is broken", "n")).cast("boolean")
+    return parsed.where(F.when(F.col("whole"), True).when(torn, False).otherwise(broken)).select("n", "value")
 
 
 def chain_breaks(lines: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def question_rows(rows: DataFrame) -> DataFrame:
     category = question_category(number, F.try_variant_get(v, "$.category", "string"))
     answer = F.try_variant_get(v, "$.answer", "string")
     hopeless = (category == "adversarial") | (answer.isNull() & F.array_contains(F.json_object_keys("qa"), "adversarial_answer"))
-    evidence = F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$.evidence", "array<string>"), F.array().cast("array<string>")), F.trim), lambda e: e != "")
+    evidence = F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$.evidence", "array<string>"), F.array().cast("array<string>")), lambda e: F.trim(e)), lambda e: e != "")
     return rows.select(
         F.format_string("%s_q%03d", "conv_id", "idx").alias("question_id"), F.trim(F.coalesce(F.try_variant_get(v, "$.question", "string"), F.lit(""))).alias("question"),
         F.when(hopeless, "adversarial").otherwise(category).alias("category"), F.when(hopeless, UNANSWERABLE).otherwise(F.trim(F.coalesce(answer, F.lit("")))).alias("answer"), evidence.alias("evidence"),
@@ -77,7 +77,7 @@ def capped_sessions(sessions: DataFrame, distractors: int) -> DataFrame:
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     """n, value of a journal file: line numbers as the file has them."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.posexplode(F.split("value", "\n")).alias("i", "value")).where("value <> ''").select((F.col("i") + 1).alias("n"), "value")
 
 

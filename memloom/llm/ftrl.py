@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import filter_rows, held_out, map_batches, small_batches
 
 #: Labelled rows that a model is learned from, at most.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 16_000
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,8 @@ held AS (SELECT id, entity_id, fact_type, value, valid_from, believed_by, source
  UNION ALL SELECT id, entity_id, fact_type, value, valid_from, believed_by, source_memory_id, seq, high FROM b WHERE valid_from<high)"""
 MID = "(SELECT (min(valid_from)+max(valid_from))/2 FROM facts)"
 EDGES = """edges AS (SELECT doc_id AS id, doc_id AS from_id, doc_id+1 AS to_id, ['next','supports','contradicts','refines','related'][CAST(doc_id%5+1 AS INT)] AS relation, (doc_id%10)/10.0 AS weight FROM documents)"""
-SPAN = r"(?:^|[^\pL\pN_])([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)"
+MENTIONS = r"""spans AS (SELECT doc_id AS memory_id, source AS user_id, unnest(x) AS entity, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, source, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]', '0', 'g'), '\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\b') AS x FROM documents WHERE lang='en')),
+mentions AS (SELECT memory_id, user_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY memory_id, lower(entity) ORDER BY pos) AS n FROM spans WHERE lower(entity) NOT IN ('i','the','a','an','he','she','they','we')) WHERE n=1)"""
 JUDGED = "judged AS (SELECT l.doc_id AS question_id, lang AS category, CAST(quality=1 AS INT) AS a_correct, CAST(toxic=0 AS INT) AS b_correct FROM labels l JOIN documents d ON l.doc_id=d.doc_id)"
 TOKENS = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> '')"
 JOURNAL = """journal AS (
@@ -238,7 +239,15 @@ def mmr_choice(s, d):
     return retrieval.mmr(pool.select("query_id", "id", "rank", "embedding"), 10)
 
 
-@query()
+@query(f"""WITH {MEM}, {QRY}, {SCORED.format(rows='memories')}, {MENTIONS}, base AS (SELECT * FROM (SELECT *, {RANK} FROM scored) WHERE rank<=12),
+names AS (SELECT DISTINCT lower(entity) AS name FROM mentions WHERE length(entity)>=3), named AS (SELECT query_id, name FROM queries JOIN names ON contains(lower(text), name)),
+few AS (SELECT DISTINCT lower(entity) AS name, memory_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY lower(entity) ORDER BY memory_id) AS n FROM mentions) WHERE n<=12),
+cand AS (SELECT query_id, id, count(*) AS n FROM named JOIN few USING (name) WHERE query_id IN (SELECT query_id FROM named GROUP BY query_id HAVING count(*)>=2) GROUP BY ALL),
+sc AS (SELECT c.query_id, c.id, c.n, s.score AS cos FROM cand c JOIN scored s ON s.query_id=c.query_id AND s.id=c.id JOIN (SELECT query_id, min(score) AS low FROM base GROUP BY query_id) l ON l.query_id=c.query_id
+ WHERE s.score>=low-0.05 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.query_id=c.query_id AND b.id=c.id)),
+tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cos DESC, id) AS place FROM sc) WHERE place<=2),
+al AS (SELECT query_id, id, score, 'base' AS origin FROM base b WHERE rank<=12-(SELECT count(*) FROM tk WHERE tk.query_id=b.query_id) UNION ALL SELECT query_id, id, round(cos+0.02*n, 6), 'graph' FROM tk)
+SELECT *, {RANK} FROM al""")
 def graph_search(s, d):
     names = views.mentions(s, d)
     return retrieval.graph_search(views.memories(s, d), views.queries(s, d), names.select("entity", "memory_id"), 12)
@@ -468,12 +477,12 @@ def belief_context(s, d):
 # ---------------------------------------------------------------- graph
 
 
-@query()
+@query(f"WITH {MENTIONS} SELECT entity, count(DISTINCT memory_id) AS n FROM mentions GROUP BY entity")
 def regex_entities(s, d):
     return views.mentions(s, d).groupBy("entity").agg(F.count_distinct("memory_id").alias("n"))
 
 
-@query()
+@query(f"WITH {MENTIONS} SELECT memory_id, count(DISTINCT entity) AS n_shared FROM mentions WHERE entity IN (SELECT entity FROM mentions GROUP BY entity HAVING count(DISTINCT memory_id)>1) GROUP BY memory_id")
 def co_mentions(s, d):
     return graph.co_mentions(views.mentions(s, d))
 
@@ -493,7 +502,7 @@ def provenance(s, d):
     return graph.ancestors(views.notes(s, d), 3)
 
 
-@query()
+@query(f"WITH {MENTIONS} SELECT user_id AS scope, count(DISTINCT (memory_id, lower(entity))) AS edges, count(DISTINCT lower(entity)) AS entities FROM mentions GROUP BY user_id")
 def persist_entities(s, d):
     m = views.mentions(s, d).select("memory_id", F.col("user_id").alias("scope"), F.lit("OTHER").alias("type"), F.col("entity").alias("name"))
     known = m.limit(0).select("scope", "type", "name", F.lit("x").alias("entity_id"))
@@ -526,7 +535,8 @@ _vector_query("vec_frequency", V.frequency, SHOW.format(z="a, b", e="CASE WHEN a
 _vector_query("vec_attention", V.attention, SHOW.format(z="a, b", e="(exp(abs(z[1])-greatest(abs(z[1]),abs(z[2])))*z[1]+exp(abs(z[2])-greatest(abs(z[1]),abs(z[2])))*z[2])/(exp(abs(z[1])-greatest(abs(z[1]),abs(z[2])))+exp(abs(z[2])-greatest(abs(z[1]),abs(z[2]))))"))
 _vector_query("vec_single_point", lambda a, b: V.single_point(a, b, 20), "array_to_string(list_transform(list_concat(a[1:20], b[21:64]), lambda z: printf('%.6f', round(z,6)+0.0)), ',')")
 _vector_query("vec_multi_point", lambda a, b: V.multi_point(a, b, [10, 40]), "array_to_string(list_transform(list_concat(a[1:10], b[11:40], a[41:64]), lambda z: printf('%.6f', round(z,6)+0.0)), ',')")
-_vector_query("vec_uniform", lambda a, b: V.uniform(a, b, V.uniform_mask(64)), None)
+MASK = "[" + ", ".join(str(m).lower() for m in V.uniform_mask(64)) + "]"
+_vector_query("vec_uniform", lambda a, b: V.uniform(a, b, V.uniform_mask(64)), SHOW.format(z=f"a, b, {MASK}", e="CASE WHEN z[3] THEN z[1] ELSE z[2] END"))
 _vector_query("vec_concat_project", lambda a, b: V.concat_project(a, b, 64), None)
 _vector_query("vec_mutation", lambda a, b: V.PAIRS["uniform_crossover_with_mutation"](a, b, 64), None)
 
@@ -585,6 +595,54 @@ def summary_tree(s, d):
     return nodes.join(edges.groupBy("node_id").agg(F.count("*").alias("members"), F.round(F.sum("weight"), 6).alias("weight")), "node_id").select("node_id", "level", "size", "members", "weight")
 
 
+# ---------------------------------------------------------------- reports and event time
+
+
+@query("WITH d AS (SELECT n_chars AS size, doc_id%7 AS delta FROM documents), p AS (SELECT *, percent_rank() OVER (ORDER BY size, delta) AS h FROM d) SELECT round(corr(size, delta),6) AS pearson, round(avg(delta) FILTER (h<0.5),6) AS small_half, round(avg(delta) FILTER (h>=0.5),6) AS large_half FROM p")
+def scaling(s, d):
+    return evals.scaling(views.table(s, d, "documents").select(F.col("n_chars").alias("size"), (F.col("doc_id") % 7).alias("delta")))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL")
+def event_windows(s, d):
+    from ..streaming.facts import windowed_counts
+
+    return windowed_counts(views.table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(s, d):
+    from ..streaming.facts import sessions
+
+    return sessions(views.table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT doc_id, CASE WHEN n='CORRECT' THEN 1.0 WHEN n='PARTIAL' THEN 0.5 ELSE 0.0 END AS score FROM (SELECT doc_id, ['CORRECT','PARTIAL','INCORRECT'][CAST(doc_id%3+1 AS INT)] AS n FROM documents)")
+def judge_scores(s, d):
+    said = F.element_at(F.array(F.lit("CORRECT\nsure"), F.lit("so: partial"), F.lit("no idea")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return views.table(s, d, "documents").select("doc_id", T.judge_score(T.judge_label_lines(said)).alias("score"))
+
+
+@query("SELECT doc_id, 'UPDATE' AS kind, 'mem_' || CAST(doc_id AS VARCHAR) AS target_id FROM documents WHERE doc_id%3=0 UNION ALL SELECT doc_id, 'ADD', NULL FROM documents WHERE doc_id%3<>0")
+def parse_decisions(s, d):
+    i = F.col("doc_id")
+    said = F.when(i % 3 == 0, F.concat(F.lit("Thinking.\nDECISION: UPDATE id=mem_"), i.cast("string"))).when(i % 3 == 1, "DECISION: maybe").otherwise("DECISION: ADD")
+    return views.table(s, d, "documents").select("doc_id", T.parse_decision(said).alias("p")).select("doc_id", "p.kind", "p.target_id")
+
+
+@query("SELECT doc_id, 'likes ' || source AS fact, n FROM (SELECT doc_id, source, unnest([0, 1]) AS n FROM documents) WHERE n=0 UNION ALL SELECT doc_id, 'speaks ' || lang, 1 FROM documents")
+def parse_fact_lists(s, d):
+    said = F.concat(F.lit("- likes "), "source", F.lit("\n* LIKES "), F.upper("source"), F.lit("\nnoise\n2. speaks "), "lang")
+    return views.table(s, d, "documents").select("doc_id", F.posexplode(T.parse_facts(said)).alias("n", "fact"))
+
+
+@query("SELECT doc_id, 'user' AS subject, 'home_town' AS attribute, source AS value, 'FIRM' AS certainty FROM documents")
+def parse_statements(s, d):
+    said = F.concat(F.lit("FACT | user | Home Town | "), "source", F.lit(" | 2024 | firm\nFACT | too | short"))
+    return views.table(s, d, "documents").select("doc_id", F.explode(T.parse_statements(said)).alias("x")).select("doc_id", "x.subject", "x.attribute", "x.value", "x.certainty")
+
+
 # ---------------------------------------------------------------- op log and changes
 
 REPLAY = """x AS (SELECT *, max(seq) FILTER (op='add') OVER (PARTITION BY id) AS added, max(seq) FILTER (op='delete') OVER (PARTITION BY id) AS gone FROM journal WHERE op IN ('add','update','delete') {cut})

@@ -63,6 +63,16 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, objec
     return df.mapInArrow(run, schema)
 
 
+def loose(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, dealt out anew by a join on the (long) ``keys``.
+
+    The result of an aggregate lies by its keys already, and a join would take it as it lies; then both sides of a hot key
+    are stuck in one task. Keys that come from an expression make the join deal both sides, and adaptive execution
+    can split a hot key's rows.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
+
+
 def small_batches(spark: SparkSession) -> None:
     """Gets the session ready for this package's Python workers."""
     ship(spark)

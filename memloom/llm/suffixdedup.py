@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, small_batches
+from .common import checkpointed, loose, map_batches, small_batches
 from .suffixes import repeated_windows, run_hashes
 
 LENGTH, GRAM = 400, 64
@@ -128,8 +129,9 @@ PIECES = "k1 bigint, k2 bigint, n bigint, start int, core1 bigint, core2 bigint,
 def _cut(batch: dict) -> dict:
     """The bytes of the chosen regions of each text."""
     out: dict[str, list] = {k: [] for k in ("k1", "k2", "anchor", "n", "start", "windows", "body")}
-    for k1, k2, text, chosen in zip(batch["k1"], batch["k2"], batch["text"], batch["chosen"]):
-        raw = (text or "").encode()
+    unpack = zstandard.ZstdDecompressor().decompress
+    for k1, k2, packed, chosen in zip(batch["k1"], batch["k2"], batch["packed"], batch["chosen"]):
+        raw = unpack(packed)
         for c in chosen:
             out["k1"].append(k1)
             out["k2"].append(k2)
@@ -200,8 +202,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(batch: dict) -> dict:
     out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-    for text, spans in zip(batch["text"], batch["spans"]):
-        raw = (text or "").encode()
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed, spans in zip(batch["packed"], batch["spans"]):
+        raw = unpack(packed)
         gone = joined([(s["first"], s["stop"]) for s in spans or ()])
         kept, at = hashlib.sha256(), 0
         for a, b in gone:
@@ -221,34 +224,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text", size).alias("k1"), F.xxhash64(size, F.lit("second"), "text", "doc_id").alias("k2"))
 
 
+def _pack(batch: dict) -> dict:
+    press = zstandard.ZstdCompressor(level=1).compress
+    return {k: batch[k] for k in ("doc_id", "k1", "k2")} | {"packed": [press((t or "").encode()) for t in batch["text"]]}
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, and the text's bytes compressed for the way: texts are most of what is shuffled."""
+    return map_batches(_keyed(docs), _pack, "doc_id bigint, k1 bigint, k2 bigint, packed binary")
+
+
 def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """k1, k2 (of ``_keyed``), first, stop: bytes to remove; spans may overlap."""
     keyed = _keyed(docs)
     small_batches(docs.sparkSession)
-    regions = checkpointed(map_batches(keyed.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text"), _regions, REGIONS))
-    kinds = checkpointed(
-        regions.groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    )
+    every = map_batches(keyed.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text"), _regions, REGIONS)
+    # most anchors occur once: only the others' regions are kept
+    again = every.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    regions = checkpointed(every.join(loose(again, "anchor"), "anchor", "left_semi"))
+    kinds = regions.groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("windows").alias("windows"))
     twice = kinds.where("n > 1").select("anchor", "region")
     own = F.coalesce("more", F.array("start", F.col("start") + F.col("windows") - 1 + LENGTH))
-    whole = regions.join(twice, ["anchor", "region"], "left_semi").select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(0), F.size(own) - 2, F.lit(2)), lambda i: F.struct(F.get(own, i).alias("first"), F.get(own, i + 1).alias("stop")))).alias("s")).select("k1", "k2", "s.first", "s.stop")
+    spans = F.transform(F.sequence(F.lit(0), F.size(own) - 2, F.lit(2)), lambda i: F.struct(F.get(own, i).alias("first"), F.get(own, i + 1).alias("stop")))
+    whole = regions.join(loose(twice, "anchor", "region"), ["anchor", "region"], "left_semi").select("k1", "k2", F.explode(spans).alias("s")).select("k1", "k2", "s.first", "s.stop")
     shared = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    chosen = kinds.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "n", "start", "windows", "kinds")).alias("chosen"))
-    met = keyed.join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "chosen")
+    chosen = checkpointed(kinds.join(loose(shared, "anchor"), "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "n", "start", "windows", "kinds")).alias("chosen")))
+    packed = _packed(docs)
     few, many = (F.filter("chosen", lambda c: (c["kinds"] > most) == common) for common in (False, True))
-    cold = map_batches(met.select("k1", "k2", "text", few.alias("chosen")), _cut, CUT)
+    met = lambda part: packed.join(chosen.select("k1", "k2", part.alias("chosen")).where(F.size("chosen") > 0), ["k1", "k2"]).select("doc_id", "k1", "k2", "packed", "chosen")
+    cold = map_batches(met(few), _cut, CUT)
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_align, "k1 bigint, k2 bigint, first int, stop int")
-    hot = map_batches(met.select("k1", "k2", "text", many.alias("chosen")).where(F.size("chosen") > 0), _cut, CUT)
-    pieces = checkpointed(map_batches(hot, _pieces, PIECES))
+    pieces = checkpointed(map_batches(map_batches(met(many), _cut, CUT), _pieces, PIECES))
     alike = pieces.groupBy("core1", "core2").agg(F.count("*").alias("c")).where("c > 1").select("core1", "core2")
-    windows = pieces.join(alike, ["core1", "core2"], "left_semi").select("k1", "k2", "n", "start", "core1", F.posexplode("hashes").alias("pos", "hash"))
-    again = windows.groupBy("core1", "hash").agg(F.count("*").alias("c")).where("c > 1").select("core1", "hash")
-    common = windows.where("n = 1").join(again, ["core1", "hash"], "left_semi").select("k1", "k2", (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + LENGTH).alias("stop"))
+    windows = pieces.join(loose(alike, "core1", "core2"), ["core1", "core2"], "left_semi").select("k1", "k2", "n", "start", "core1", F.posexplode("hashes").alias("pos", "hash"))
+    twin = windows.groupBy("core1", "hash").agg(F.count("*").alias("c")).where("c > 1").select("core1", "hash")
+    common = windows.where("n = 1").join(loose(twin, "core1", "hash"), ["core1", "hash"], "left_semi").select("k1", "k2", (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + LENGTH).alias("stop"))
     return whole.unionByName(found).unionByName(common)
 
 
 def suffix_dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spans = repeated_spans(docs, most).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
-    rows = _keyed(docs).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    rows = _packed(docs).join(spans, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "packed", "spans")
     return map_batches(rows, _finish, SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, ftrl, html, linededup, media, secrets, simhash, suffixdedup
 from .common import table
@@ -43,7 +44,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

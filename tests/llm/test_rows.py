@@ -271,6 +271,10 @@ def test_main_text_of_a_page():
     assert html.main_texts([[], html.blocks_of("<p>x")]) == ["", "x"]
 
 
+def test_misnested_inline_tags_leave_blocks_open():
+    assert html.blocks_of("<b><article><p>x</b> y</p><p>z</article></b>w") == [("x y", 2), ("z", 2), ("w", 1)]
+
+
 def test_repeated_runs_go_where_no_article_vouches():
     footer = "<div>All rights reserved by the makers of this fine site of ours</div>"
     pages = [html.blocks_of(f"<div>Text number {n} says {' '.join(str(n * k) for k in range(9))}</div>{footer}") for n in range(1, 30)]
@@ -303,3 +307,12 @@ def test_page_edges(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract_main_text(pages).collect())
     assert got == [(0, "", 0), (1, "", 0), (2, "k", 1), (2, "k", 1)]
     assert html.extract_main_text(pages.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("broken", ["<", "<a ", "<a '", '<a "', "<script ", "<!", "</", "<!--", "<p title=", "&amp", "<li>", "<p><div>", "<div></p>", "<b><div></b>"])
+def test_broken_markup_stays_cheap(broken):
+    import time
+
+    began = time.process_time()
+    html.blocks_of(broken * 30_000)
+    assert time.process_time() - began < 20

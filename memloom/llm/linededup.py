@@ -22,7 +22,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches
+from .common import checkpointed, loose, map_batches
 
 LEAST_CHARS = 40
 LAST_ID = (1 << 63) - 1
@@ -122,9 +122,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     telling = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= least), lambda x: x["lines"]))
     each = lines.select("id", "version", F.explode(telling).alias("line"))
     firsts = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line", "first")
-    links = each.join(firsts, "line").where("first < id").select("id", "version", "first").distinct()
+    links = each.join(loose(firsts, "line"), "line").where("first < id").select("id", "version", "first").distinct()
     heads = lines.where(F.col("id") < LAST_ID).groupBy("id").agg(F.min("version").alias("version")).join(lines.select("id", "version", "lines"), ["id", "version"]).select(F.col("id").alias("first"), F.col("lines").alias("others"))
-    pairs = links.join(heads, "first").join(lines, ["id", "version"]).select("id", "version", "others", "lines", "sizes")
+    pairs = links.join(loose(heads, "first"), "first").join(lines, ["id", "version"]).select("id", "version", "others", "lines", "sizes")
 
     def align(batch: dict) -> dict:
         return {"id": batch["id"], "version": batch["version"], "gone": [common_lines(a, b, s, least) for a, b, s in zip(batch["others"], batch["lines"], batch["sizes"])]}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, small_batches, with_column
+from .common import checkpointed, loose, map_batches, small_batches, with_column
 from .components import components
 
 WORDS, BUDGET, BITS = 3, 3, 64
@@ -181,6 +181,7 @@ def near_links(prints: DataFrame, most: int = MOST, levels: int = 3) -> DataFram
         if hot.isEmpty():
             cold.append(rows)
             break
+        hot = loose(hot, "key")
         cold.append(rows.join(hot, "key", "left_anti"))
         rows = rows.join(hot, "key", "left_semi")
     small_batches(prints.sparkSession)
@@ -195,8 +196,8 @@ def _components(rows: DataFrame) -> DataFrame:
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(prints))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    least = loose(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return loose(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:

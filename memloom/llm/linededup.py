@@ -3,9 +3,10 @@
 Telling lines have at least ``LEAST_CHARS`` characters; by such a line's hash a later document finds the first document
 that has it. Links go to that first document only, so a line in a third of all rows gives as many links as it has rows,
 and no pairs among them. For each link the two line sequences are aligned: equal ends, then the lines that are rarest
-(once in each) in their longest increasing order, then the gaps between; what is left of the later document is aligned
-again, so that moved blocks are found too. Runs of aligned lines with at least ``LEAST_CHARS`` characters go from the
-later document; short and empty lines between two such lines go with them.
+(once in each) in their longest increasing order, then the gaps between; a gap without such lines is aligned by the n-th
+time of each line in both. What is left of the later document is aligned again, so that moved blocks are found too, and
+runs that still stand somewhere in the first document (repeats, crossed blocks) go as well. Runs of aligned lines with at
+least ``LEAST_CHARS`` characters go from the later document; empty lines between two such lines go with them.
 
 Later means a larger doc_id. Defined results: rows without an id come after all others and are no one's first document;
 of several rows with one id, the one with the smallest text hash stands for the id, and rows of one id aren't compared
@@ -19,12 +20,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, loose, map_batches
 
 LEAST_CHARS = 40
+#: Alignments of one link after which all common runs go at once, so that a text in reverse stays cheap.
+ROUNDS = 8
 LAST_ID = (1 << 63) - 1
 
 
@@ -48,6 +53,20 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def in_order(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Pairs of the n-th time of a line in a[a0:a1] and its n-th time in b[b0:b1], in order of a."""
+    places: dict[int, list[int]] = {}
+    for i in range(a0, a1):
+        places.setdefault(a[i], []).append(i)
+    seen: dict[int, int] = {}
+    out = []
+    for j in range(b0, b1):
+        n = seen[b[j]] = seen.get(b[j], -1) + 1
+        if n < len(at := places.get(b[j], ())):
+            out.append((at[n], j))
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (in a, in b), rising in both."""
     out: list[tuple[int, int]] = []
@@ -70,7 +89,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             times[b[j]] = times.get(b[j], 0) + 1
         once = sorted((where[b[j]], j) for j in range(b0, b1) if times[b[j]] == 1 and where.get(b[j], -1) >= 0)
         i0, j0 = a0, b0
-        chain = longest_increasing(once)
+        chain = longest_increasing(once or in_order(a, b, a0, a1, b0, b1))
         for i, j in chain:
             out.append((i, j))
             todo.append((i0, i, j0, j))
@@ -80,10 +99,32 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs_of(lines: list[int], sizes: list[int], least: int = LEAST_CHARS) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the shortest runs of at least ``least`` characters from each line on and up to each line; lines of no weight start and end none.
+
+    Every line of a longer run is in one of these that lies within it.
+    """
+    raw, sums = np.array(lines, dtype=np.int64).tobytes(), np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64))))
+    weighty = np.flatnonzero(np.diff(sums))
+    ends = np.searchsorted(sums, sums[weighty] + least)
+    starts = np.searchsorted(sums, sums[weighty + 1] - least, side="right") - 1
+    found = {(s, e) for s, e in zip(weighty.tolist(), ends.tolist()) if e <= len(lines)} | {(s, e) for s, e in zip(starts.tolist(), (weighty + 1).tolist()) if s >= 0}
+    return [(s, e, lines[s] if e - s == 1 else xxhash.xxh64_intdigest(raw[8 * s : 8 * e]) - (1 << 63)) for s, e in sorted(found)]
+
+
+def common_runs(first: list[int], later: list[int], sizes: list[int], least: int = LEAST_CHARS) -> set[int]:
+    """Places of the later document's lines in runs of at least ``least`` characters that the first document has anywhere."""
+    size_of = dict(zip(later, sizes))
+    held = {h for *_, h in runs_of(first, [size_of.get(x, least) for x in first], least)}
+    return {k for s, e, h in runs_of(later, sizes, least) if h in held for k in range(s, e)}
+
+
 def common_lines(first: list[int], later: list[int], sizes: list[int], least: int = LEAST_CHARS) -> list[int]:
     """Places of the later document's lines that go: aligned blocks of at least ``least`` characters."""
     gone: set[int] = set()
+    known = {x for x, size in zip(later, sizes) if size}.intersection(first)
     left = list(range(len(later)))
+    rounds = 0
     while left:
         aligned = patience(first, [later[j] for j in left])
         fresh: set[int] = set()
@@ -94,6 +135,10 @@ def common_lines(first: list[int], later: list[int], sizes: list[int], least: in
                     fresh.update(left[x] for _, x in block)
                 block = []
             block.append((i, k))
+        rounds += 1
+        if (not fresh or rounds == ROUNDS) and not known.isdisjoint(later[j] for j in left):  # what crosses an alignment, or is there more often than in the first document
+            more = common_runs(first, later, sizes, least) - gone
+            fresh |= more or {left[k] for k in common_runs(first, [later[j] for j in left], [sizes[j] for j in left], least)}
         if not fresh:
             break
         gone |= fresh

@@ -250,3 +250,32 @@ def test_pipeline_stages_keep_clean_documents_and_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf).checkpoint()
     assert empty.count() == 0
+
+
+def slow_runs(first, later, sizes, least=linededup.LEAST_CHARS):
+    spans = [(s, e) for s in range(len(later)) for e in range(s + 1, len(later) + 1) if sum(sizes[s:e]) >= least]
+    return {k for s, e in spans if any(first[i : i + e - s] == later[s:e] for i in range(len(first))) for k in range(s, e) if sizes[k]}
+
+
+def test_repeated_lines_align():
+    assert linededup.common_lines([1, 2, 1], [3, 1, 4], [50] * 3) == [1]
+    assert linededup.common_lines([8, 1, 9], [3, 1, 4, 1, 5], [50] * 5) == [1, 3]
+    assert linededup.common_lines([7, 1], [1, 7], [50, 3]) == [0]
+    assert linededup.common_lines(list(range(3000)), list(range(3000))[::-1], [50] * 3000) == list(range(3000))
+    rng = random.Random(11)
+    for _ in range(1000):
+        kinds = rng.choice([2, 3, 6])
+        size = [rng.choice([0, 10, 15, 25, 45]) for _ in range(kinds)]
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        assert slow_runs(a, b, [size[x] for x in b]) <= set(linededup.common_lines(a, b, [size[x] for x in b])) <= {k for k, x in enumerate(b) if x in a or not size[x]}
+
+
+def test_every_telling_line_goes_over_the_whole_table(spark, sf):
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: set(map(int, r.removed.split(","))) if r.removed else set() for r in queries.op9_line_dedup(spark, sf).collect()}
+    seen = set()
+    for r in rows:
+        lines = [x.strip(" ") for x in r.text.split("\n")]
+        telling = {n for n, x in enumerate(lines) if len(x) >= linededup.LEAST_CHARS}
+        assert got[r.doc_id] & telling == {n for n in telling if lines[n] in seen}
+        seen |= set(lines)

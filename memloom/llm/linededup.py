@@ -1,7 +1,7 @@
 """Operator 9, line dedup: documents that share telling lines are aligned by patience diff, and the later one loses the aligned blocks.
 
-Telling lines have at least ``LEAST_CHARS`` characters; by such a line's hash a later document finds the first document
-that has it. Links go to that first document only, so a line in a third of all rows gives as many links as it has rows,
+Telling runs are the shortest runs of consecutive lines that have at least ``LEAST_CHARS`` characters together, often a
+single line; by such a run's hash a later document finds the first document that has it. Links go to that first document only, so a line in a third of all rows gives as many links as it has rows,
 and no pairs among them. For each link the two line sequences are aligned: equal ends, then the lines that are rarest
 (once in each) in their longest increasing order, then the gaps between; a gap without such lines is aligned by the n-th
 time of each line in both. What is left of the later document is aligned again, so that moved blocks are found too, and
@@ -10,7 +10,7 @@ least ``LEAST_CHARS`` characters go from the later document; empty lines between
 
 Later means a larger doc_id. Defined results: rows without an id come after all others and are no one's first document;
 of several rows with one id, the one with the smallest text hash stands for the id, and rows of one id aren't compared
-with one another. Null and empty texts have no telling lines and stay as they are. Repeated rows give repeated results.
+with one another. Null and empty texts have no telling runs and stay as they are. Repeated rows give repeated results.
 Input columns may have any names: rows travel as one struct. An empty table gives no rows.
 
 Line sequences travel as 64-bit hashes, an eighth of the text or less; the text itself is shuffled once, at the end.
@@ -164,8 +164,11 @@ def removed_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
         .select("id", "version", F.transform("parts", lambda x: F.xxhash64(F.trim(x))).alias("lines"), F.transform("parts", lambda x: F.length(F.trim(x))).alias("sizes"))
         .dropDuplicates(["id", "version"])
     )
-    telling = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= least), lambda x: x["lines"]))
-    each = lines.select("id", "version", F.explode(telling).alias("line"))
+
+    def runs(batch: dict) -> dict:
+        return {"id": batch["id"], "version": batch["version"], "keys": [list({h for *_, h in runs_of(x, z, least)}) for x, z in zip(batch["lines"], batch["sizes"])]}
+
+    each = map_batches(lines, runs, "id bigint, version bigint, keys array<bigint>").select("id", "version", F.explode("keys").alias("line"))
     firsts = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line", "first")
     links = each.join(loose(firsts, "line"), "line").where("first < id").select("id", "version", "first").distinct()
     heads = lines.where(F.col("id") < LAST_ID).groupBy("id").agg(F.min("version").alias("version")).join(lines.select("id", "version", "lines"), ["id", "version"]).select(F.col("id").alias("first"), F.col("lines").alias("others"))

@@ -279,3 +279,21 @@ def test_every_telling_line_goes_over_the_whole_table(spark, sf):
         telling = {n for n, x in enumerate(lines) if len(x) >= linededup.LEAST_CHARS}
         assert got[r.doc_id] & telling == {n for n in telling if lines[n] in seen}
         seen |= set(lines)
+
+
+def test_blocks_of_short_lines_go(spark, sf):
+    verse = "roses are red\nviolets are blue\nsugar is sweet"
+    docs = spark.createDataFrame([(1, verse), (2, verse), (3, "own\n" + verse + "\nend"), (4, "roses are red\nviolets are blue"), (5, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.removed for r in linededup.line_dedup(docs).collect()} == {1: [], 2: [0, 1, 2], 3: [1, 2, 3], 4: [], 5: []}
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: set(map(int, r.removed.split(","))) if r.removed else set() for r in queries.op9_line_dedup(spark, sf).collect()}
+    seen, found = set(), 0
+    for r in rows:
+        lines = [x.strip(" ") for x in r.text.split("\n")]
+        runs = [(s, e) for s in range(len(lines)) for e in range(s + 1, min(len(lines), s + 12) + 1) if sum(map(len, lines[s:e])) >= linededup.LEAST_CHARS]
+        for s, e in runs:
+            if tuple(lines[s:e]) in seen:
+                found += 1
+                assert {k for k in range(s, e) if lines[k]} <= got[r.doc_id]
+        seen |= {tuple(lines[s:e]) for s, e in runs}
+    assert found

@@ -316,3 +316,13 @@ def test_broken_markup_stays_cheap(broken):
     began = time.process_time()
     html.blocks_of(broken * 30_000)
     assert time.process_time() - began < 20
+
+
+def test_copies_of_a_page_count_once(spark):
+    article = "<div>This text is told by one page only and by its many copies</div>"
+    other = "<div>Another page has other things to say and says them but once</div>"
+    assert html.main_texts([html.blocks_of(article)] * 6 + [html.blocks_of(other)]) == [html.blocks_of(article)[0][0]] * 6 + [html.blocks_of(other)[0][0]]
+    assert html.main_texts([html.blocks_of(f"{article}<p>{n}") for n in range(6)]) == [str(n) for n in range(6)]
+    rows = [(n // 2, f"http://h/{n // 2}", article) for n in range(12)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and {r.text for r in got} == {html.blocks_of(article)[0][0]}

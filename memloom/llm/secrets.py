@@ -51,7 +51,7 @@ ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[A-Za-z]?[a-z]+",
     r"[A-Z]+",
-    r"[A-Za-z]?[a-z]*(?:[_/-]+[A-Za-z]?[a-z]*)+",
+    r"[A-Za-z]?[a-z]*+(?:[_/-]++[A-Za-z]?[a-z]*+)++",  # possessive: what ends a part can't begin it again, so no other way of cutting can match
     r"[0-9_+=/-]+",
     r".*(?:EXAMPLE|example|changeme|placeholder).*",
 )

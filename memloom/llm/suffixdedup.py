@@ -5,7 +5,7 @@ windows with one anchor: equal windows have equal anchors at equal places, so on
 window. Regions are told by (anchor, hash of their bytes): those that occur twice are repeated whole, and only anchors
 with two different regions go on. Their bytes meet by anchor, one region for each kind, and a suffix array over them
 (``suffixes``: linear grouping by Lyndon prefixes, over phrases cut by content, exact to the byte) finds the windows that
-they share.
+they share. Regions are equal where 64 bits of their hash and 64 of their anchor's are.
 
 An anchor with more than ``MOST`` different regions (a short passage in very many texts) isn't gathered anywhere: its
 windows are told by 128 bits of the piece of region that all of them share, and, where a piece occurs twice, by their own
@@ -13,7 +13,7 @@ hashes, counted by partial sums. A low-entropy stretch, whose windows all repeat
 
 Defined results: null and empty texts have no bytes (hash of the empty string); texts under 400 bytes lose none. Rows
 with equal texts repeat one another, and so lose every window; that goes for repeated rows too, and for rows without an
-id. Texts are told apart by (id, two 64-bit hashes, size). Other input columns are ignored. An empty table gives no rows.
+id (their spans are found once for each, and kept once). Texts are told apart by (id, two 64-bit hashes, size). Other input columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +38,12 @@ MOST = 100
 CHUNK = 2 << 20
 #: Windows of a piece of a very common anchor's region.
 PIECE = 48
+#: Bits of a place, of any text that a row can hold: what is least must depend on the window alone.
+PLACE_BITS = 31
+#: Texts that a task remembers, to cut each of several equal rows once.
+SEEN = 100_000
 REGIONS = "k1 bigint, k2 bigint, anchor bigint, region bigint, n bigint, start int, windows int, more array<int>"
-SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, has_repeat int"
 
 
 def least_in_runs(key: np.ndarray, width: int) -> np.ndarray:
@@ -60,7 +64,7 @@ def regions_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
         return none, none, none, none.astype(np.uint64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     h = run_hashes(data, gram)
-    place_bits = np.uint64(max(28, int(base[-1]).bit_length()))  # the same for all texts: what is least must depend on the window alone
+    place_bits = np.uint64(PLACE_BITS)
     key = (h >> place_bits << place_bits) | np.arange(len(h), dtype=np.uint64)
     anchor = (least_in_runs(key, length - gram + 1) & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
@@ -126,11 +130,16 @@ CUT = "k1 bigint, k2 bigint, anchor bigint, n bigint, start int, windows int, bo
 PIECES = "k1 bigint, k2 bigint, n bigint, start int, core1 bigint, core2 bigint, hashes array<bigint>"
 
 
-def _cut(batch: dict) -> dict:
-    """The bytes of the chosen regions of each text."""
+def _cut(batch: dict, seen: set[tuple[int, int]]) -> dict:
+    """The bytes of the chosen regions of each text; rows of one id and text (``seen`` by the task) give them once."""
     out: dict[str, list] = {k: [] for k in ("k1", "k2", "anchor", "n", "start", "windows", "body")}
     unpack = zstandard.ZstdDecompressor().decompress
     for k1, k2, packed, chosen in zip(batch["k1"], batch["k2"], batch["packed"], batch["chosen"]):
+        if (k1, k2) in seen:
+            continue
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add((k1, k2))
         raw = unpack(packed)
         for c in chosen:
             out["k1"].append(k1)
@@ -201,7 +210,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batch: dict) -> dict:
-    out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+    out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeat")}
     unpack = zstandard.ZstdDecompressor().decompress
     for packed, spans in zip(batch["packed"], batch["spans"]):
         raw = unpack(packed)
@@ -215,6 +224,7 @@ def _finish(batch: dict) -> dict:
         out["n_removed"].append(sum(b - a for a, b in gone))
         out["n_spans"].append(len(gone))
         out["kept_sha256"].append(kept.hexdigest())
+        out["has_repeat"].append(int(bool(gone)))
     return out | {"doc_id": batch["doc_id"]}
 
 
@@ -252,9 +262,9 @@ def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     packed = _packed(docs)
     few, many = (F.filter("chosen", lambda c: (c["kinds"] > most) == common) for common in (False, True))
     met = lambda part: packed.join(chosen.select("k1", "k2", part.alias("chosen")).where(F.size("chosen") > 0), ["k1", "k2"]).select("doc_id", "k1", "k2", "packed", "chosen")
-    cold = map_batches(met(few), _cut, CUT)
+    cold = map_batches(met(few), _cut, CUT, set)
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_align, "k1 bigint, k2 bigint, first int, stop int")
-    pieces = checkpointed(map_batches(map_batches(met(many), _cut, CUT), _pieces, PIECES))
+    pieces = checkpointed(map_batches(map_batches(met(many), _cut, CUT, set), _pieces, PIECES))
     alike = pieces.groupBy("core1", "core2").agg(F.count("*").alias("c")).where("c > 1").select("core1", "core2")
     windows = pieces.join(loose(alike, "core1", "core2"), ["core1", "core2"], "left_semi").select("k1", "k2", "n", "start", "core1", F.posexplode("hashes").alias("pos", "hash"))
     twin = windows.groupBy("core1", "hash").agg(F.count("*").alias("c")).where("c > 1").select("core1", "hash")
@@ -263,7 +273,8 @@ def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = repeated_spans(docs, most).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat (1 if bytes go, else 0)."""
+    # a set: rows of one id and text find the same spans, each of them once more
+    spans = repeated_spans(docs, most).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     rows = _packed(docs).join(spans, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "packed", "spans")
     return map_batches(rows, _finish, SCHEMA)

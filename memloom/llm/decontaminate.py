@@ -12,12 +12,12 @@ At a share ``DIFFER`` of differing places, a window at the edge of the budget is
 1 - (1 - (1 - DIFFER)**SAMPLED)**REPEATS, over 0.98 with the defaults; fewer edits are found more often, and each shared
 run gives another try.
 
-The items go to the executors in blocks of at most ``BLOCK_ITEMS``, one pass each, so a broadcast is bounded whatever the
-benchmark's size. Documents are read row by row: no shuffle, no pairs of documents.
+The items go to the executors in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters at most, dealt by a
+hash, one pass each, so a broadcast is bounded whatever the benchmark's size. Documents are read row by row: no shuffle, no pairs of documents.
 
 Defined results: null or empty texts and items (or without words) match nothing. Repeated document rows give repeated
 results; repeated items with one id count once for each text. Null ids pass. Other input columns are ignored by ``leaks``
-and kept by ``without_leaks``, whatever their names.
+and kept by ``without_leaks``, whatever their names. Places are code points of the text as it is, before lower case.
 """
 
 from __future__ import annotations
@@ -35,10 +35,13 @@ from .common import filter_rows, map_batches
 
 SIMILARITY, RUN = 0.8, 3
 SAMPLED, REPEATS, DIFFER = 3, 30, 0.5
-BLOCK_ITEMS = 20_000
-#: Texts that are searched together.
-TEXTS = 1000
+#: Items, and characters of items, of a block.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20
+#: Texts that are searched together, and window words that are walked together.
+TEXTS, CELLS = 1000, 1 << 21
 WORD = re.compile(r"\w+")
+#: Bits of a window's size.
+SIZE_BITS = 28
 HIT = "array<struct<item_id:bigint,start:int,stop:int,distance:int,words:int>>"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -52,6 +55,13 @@ def run_length(words: int, similarity: float = SIMILARITY) -> int:
     return min(RUN, -(-(words - k) // (k + 1)))
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, each in lower case; they stand where ``WORD`` finds them in the text itself."""
+    text = text or ""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 class Hashes(dict):
     """64-bit hashes of the words met so far; emptied when it holds ``MOST``."""
 
@@ -167,8 +177,8 @@ class Items:
             k = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             starts.append(at - offset[k])
             sizes.append(self.sizes[item[k]])
-        pair = np.unique(np.concatenate(starts) * (1 << 20) + np.concatenate(sizes)) if starts else np.empty(0, np.int64)
-        return pair >> 20, pair & ((1 << 20) - 1)
+        pair = np.unique((np.concatenate(starts) << SIZE_BITS) + np.concatenate(sizes)) if starts else np.empty(0, np.int64)
+        return pair >> SIZE_BITS, pair & ((1 << SIZE_BITS) - 1)
 
     def candidates(self, h: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
         """(place of the window, item) where a repeat of the walk agrees."""
@@ -180,8 +190,9 @@ class Items:
                 continue
             # beyond the text's ends a window reads nothing
             text = of[np.clip(s + m // 2, 0, len(of) - 1)]
-            for lo in range(0, len(s), 4096):
-                part, owner = s[lo : lo + 4096], text[lo : lo + 4096]
+            step = max(1, min(4096, CELLS // m))
+            for lo in range(0, len(s), step):
+                part, owner = s[lo : lo + step], text[lo : lo + step]
                 place = part[:, None] + np.arange(m)[None, :]
                 inside = (place >= 0) & (place < len(h))
                 place = np.clip(place, 0, len(h) - 1)
@@ -201,7 +212,7 @@ class Items:
         """The items in each text: where (code points), at how many word edits."""
         out: list[list[dict]] = [[] for _ in texts]
         for lo in range(0, len(texts), TEXTS):
-            words = [WORD.findall((t or "").lower()) for t in texts[lo : lo + TEXTS]]
+            words = [words_of(t) for t in texts[lo : lo + TEXTS]]
             counts = np.array([len(w) for w in words])
             if not counts.sum() or not self.words:
                 continue
@@ -228,17 +239,18 @@ class Items:
                     end = best[1]
                     back = align(item[::-1], words[d][max(0, end - len(item) - most) : end][::-1], most)
                     first = end - (back[1] if back else len(item))
-                    spans = [m.span() for m in WORD.finditer((texts[lo + d] or "").lower())]
+                    spans = [m.span() for m in WORD.finditer(texts[lo + d] or "")]
                     out[lo + d].append({"item_id": self.ids[k], "start": spans[max(0, first)][0], "stop": spans[end - 1][1], "distance": best[0], "words": len(item)})
         return out
 
 
 def item_blocks(benchmark: DataFrame, similarity: float, block_items: int) -> Iterator[Items]:
     items = benchmark.select("item_id", "text").where("text is not null").dropDuplicates()
-    blocks = max(1, -(-items.count() // block_items))
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // block_items), -(-chars // BLOCK_CHARS))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        words = [(r[0], w) for r in rows if (w := WORD.findall(r[1].lower()))]
+        words = [(r[0], w) for r in rows if (w := words_of(r[1]))]
         words.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         yield Items([i for i, _ in words], [w for _, w in words], similarity)
 

@@ -1,19 +1,21 @@
 """Operator 9, line dedup: documents that share telling lines are aligned by patience diff, and the later one loses the aligned blocks.
 
 Telling runs are the shortest runs of consecutive lines that have at least ``LEAST_CHARS`` characters together, often a
-single line; by such a run's hash a later document finds the first document that has it. Links go to that first document only, so a line in a third of all rows gives as many links as it has rows,
-and no pairs among them. For each link the two line sequences are aligned: equal ends, then the lines that are rarest
-(once in each) in their longest increasing order, then the gaps between; a gap without such lines is aligned by the n-th
-time of each line in both. What is left of the later document is aligned again, so that moved blocks are found too, and
-runs that still stand somewhere in the first document (repeats, crossed blocks) go as well. Runs of aligned lines with at
-least ``LEAST_CHARS`` characters go from the later document; empty lines between two such lines go with them.
+single line. By such a run's hash a later document finds the first document that has it, whether the run is rare or in a
+third of all rows: links go to that first document only, so a run gives as many links as it has rows, and no pairs among
+them. What goes to a later document is, for each of its runs that an earlier one has, where that document has it first
+and how often; a first document's lines are never copied. The runs of one link are aligned: those that stand once in
+both are anchors, their longest increasing order is the patience alignment, and what lies between two anchors is aligned
+by the runs there in the same way. Aligned runs go; runs that the alignment crosses (moved blocks) or that either side
+repeats go as well, so that a later document keeps no run that an earlier one has. Empty lines between two that go, at
+most two, go with them.
 
 Later means a larger doc_id. Defined results: rows without an id come after all others and are no one's first document;
-of several rows with one id, the one with the smallest text hash stands for the id, and rows of one id aren't compared
-with one another. Null and empty texts have no telling runs and stay as they are. Repeated rows give repeated results.
-Input columns may have any names: rows travel as one struct. An empty table gives no rows.
+rows of one id aren't compared with one another. Null and empty texts have no telling runs and stay as they are.
+Repeated rows give repeated results. Input columns may have any names: rows travel as one struct. An empty table gives
+no rows.
 
-Line sequences travel as 64-bit hashes, an eighth of the text or less; the text itself is shuffled once, at the end.
+Only hashes and places of runs are shuffled to find what goes; the text itself is shuffled once, at the end.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from bisect import bisect_left
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, loose, map_batches
+from .common import loose, map_batches
 
 LEAST_CHARS = 40
-#: Alignments of one link after which all common runs go at once, so that a text in reverse stays cheap.
-ROUNDS = 8
+#: Empty lines between two lines that go, at most, to go with them.
+MOST_EMPTY = 2
 LAST_ID = (1 << 63) - 1
 
 
@@ -53,50 +55,25 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def in_order(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """Pairs of the n-th time of a line in a[a0:a1] and its n-th time in b[b0:b1], in order of a."""
-    places: dict[int, list[int]] = {}
-    for i in range(a0, a1):
-        places.setdefault(a[i], []).append(i)
-    seen: dict[int, int] = {}
-    out = []
-    for j in range(b0, b1):
-        n = seen[b[j]] = seen.get(b[j], -1) + 1
-        if n < len(at := places.get(b[j], ())):
-            out.append((at[n], j))
-    return sorted(out)
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (in a, in b), rising in both."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        where: dict[int, int] = {}
-        for i in range(a0, a1):
-            where[a[i]] = -1 if a[i] in where else i
-        times: dict[int, int] = {}
-        for j in range(b0, b1):
-            times[b[j]] = times.get(b[j], 0) + 1
-        once = sorted((where[b[j]], j) for j in range(b0, b1) if times[b[j]] == 1 and where.get(b[j], -1) >= 0)
-        i0, j0 = a0, b0
-        chain = longest_increasing(once or in_order(a, b, a0, a1, b0, b1))
-        for i, j in chain:
-            out.append((i, j))
-            todo.append((i0, i, j0, j))
-            i0, j0 = i + 1, j + 1
-        if chain:
-            todo.append((i0, a1, j0, b1))
-    return sorted(out)
+def patience(runs: list[tuple[int, int, bool]]) -> set[int]:
+    """runs: place in the later document, first place in the first document, and whether both have the run once; by place. The later places that align.
+
+    The anchors are the longest rising chain of runs that are in both once; between two of them, the longest rising
+    chain of the other runs.
+    """
+    chain = longest_increasing([(b, a) for b, a, once in runs if once])
+    held = {b for b, _ in chain}
+    edges = [(-1, -1), *chain, (1 << 62, 1 << 62)]
+    n = 0
+    gap: list[tuple[int, int]] = []
+    for b, a, _ in [*runs, (1 << 62, 1 << 62, True)]:
+        while n + 1 < len(edges) and b >= edges[n + 1][0]:
+            held.update(x for x, _ in longest_increasing(gap))
+            gap = []
+            n += 1
+        if b not in held and n + 1 < len(edges) and edges[n][1] < a < edges[n + 1][1]:
+            gap.append((b, a))
+    return held
 
 
 def runs_of(lines: list[int], sizes: list[int], least: int = LEAST_CHARS) -> list[tuple[int, int, int]]:
@@ -112,89 +89,94 @@ def runs_of(lines: list[int], sizes: list[int], least: int = LEAST_CHARS) -> lis
     return [(s, e, lines[s] if e - s == 1 else xxhash.xxh64_intdigest(raw[8 * s : 8 * e]) - (1 << 63)) for s, e in sorted(found)]
 
 
-def common_runs(first: list[int], later: list[int], sizes: list[int], least: int = LEAST_CHARS) -> set[int]:
-    """Places of the later document's lines in runs of at least ``least`` characters that the first document has anywhere."""
-    size_of = dict(zip(later, sizes))
-    held = {h for *_, h in runs_of(first, [size_of.get(x, least) for x in first], least)}
-    return {k for s, e, h in runs_of(later, sizes, least) if h in held for k in range(s, e)}
-
-
-def common_lines(first: list[int], later: list[int], sizes: list[int], least: int = LEAST_CHARS) -> list[int]:
-    """Places of the later document's lines that go: aligned blocks of at least ``least`` characters."""
-    gone: set[int] = set()
-    known = {x for x, size in zip(later, sizes) if size}.intersection(first)
-    left = list(range(len(later)))
-    rounds = 0
-    while left:
-        aligned = patience(first, [later[j] for j in left])
-        fresh: set[int] = set()
-        block: list[tuple[int, int]] = []
-        for i, k in [*aligned, (-2, -2)]:
-            if block and (i != block[-1][0] + 1 or k != block[-1][1] + 1):
-                if sum(sizes[left[x]] for _, x in block) >= least:
-                    fresh.update(left[x] for _, x in block)
-                block = []
-            block.append((i, k))
-        rounds += 1
-        if (not fresh or rounds == ROUNDS) and not known.isdisjoint(later[j] for j in left):  # what crosses an alignment, or is there more often than in the first document
-            more = common_runs(first, later, sizes, least) - gone
-            fresh |= more or {left[k] for k in common_runs(first, [later[j] for j in left], [sizes[j] for j in left], least)}
-        if not fresh:
-            break
-        gone |= fresh
-        left = [j for j in left if j not in fresh]
-    # lines of no weight between two that go
-    ordered = sorted(gone)
-    for x, y in zip(ordered, ordered[1:]):
-        if 1 < y - x <= 3 and not any(sizes[j] for j in range(x + 1, y)):
-            gone.update(range(x + 1, y))
-    return sorted(gone)
-
-
-def _with_lines(docs: DataFrame) -> DataFrame:
-    """row (struct of all columns), id, version, lines (hashes), sizes (characters of each)."""
+def placed_runs(lines: list[int], sizes: list[int], least: int = LEAST_CHARS) -> dict[int, list[int]]:
+    """The hash of each telling run, with its places: start, size and the number of empty lines after it (up to MOST_EMPTY + 1) in one number, 32, 30 and 2 bits."""
+    empty = [0] * (len(lines) + 1)
+    for k in range(len(lines) - 1, -1, -1):
+        empty[k] = 0 if sizes[k] else min(MOST_EMPTY, empty[k + 1]) + 1
+    out: dict[int, list[int]] = {}
+    for s, e, h in runs_of(lines, sizes, least):
+        out.setdefault(h, []).append(s << 32 | (e - s) << 2 | empty[e])
+    return out
+
+
+def gone_spans(matches: list[tuple[int, int, int, list[int]]]) -> tuple[list[int], int]:
+    """matches: of each run that an earlier document has, that document, the run's first line and number there, and its places here (``placed_runs``).
+
+    Starts and ends of the spans of lines that go, in order, and the number of runs' places that the alignments hold.
+    """
+    links: dict[int, list[tuple[int, int, bool]]] = {}
+    spans = []
+    for first, at, times, places in matches:
+        link = links.setdefault(first, [])
+        for p in places:
+            link.append((p >> 32, at, times == 1 and len(places) == 1))
+            spans.append((p >> 32, (p >> 32) + ((p & 0xFFFFFFFF) >> 2), p & 3))
+    aligned = sum(len(patience(sorted(runs))) for runs in links.values())
+    out: list[int] = []
+    reach = -1
+    for s, e, empty in sorted(spans):
+        if out and s <= reach:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+        reach = max(reach, e + (empty if empty <= MOST_EMPTY else 0))
+    return out, aligned
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (struct of all columns), id, version, body."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.col("text").alias("body"))
-    return rows.select("row", "id", F.xxhash64("body").alias("version"), F.split(F.coalesce("body", F.lit("")), "\n").alias("parts"))
+    return rows.select("row", "id", F.xxhash64("body").alias("version"), "body")
+
+
+def lines_of(body: Column) -> Column:
+    return F.split(F.coalesce(body, F.lit("")), "\n")
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """id, version, gone: for each document that loses lines, their places."""
-    lines = checkpointed(
-        _with_lines(docs)
-        .select("id", "version", F.transform("parts", lambda x: F.xxhash64(F.trim(x))).alias("lines"), F.transform("parts", lambda x: F.length(F.trim(x))).alias("sizes"))
-        .dropDuplicates(["id", "version"])
-    )
+    """id, version, gone, aligned: for each document that loses lines, the starts and ends of the spans that go (see ``gone_spans``)."""
+    parts = _rows(docs).select("id", "version", lines_of(F.col("body")).alias("parts"))
+    lines = parts.select("id", "version", F.transform("parts", lambda x: F.xxhash64(F.trim(x))).alias("lines"), F.transform("parts", lambda x: F.length(F.trim(x))).alias("sizes"))
 
     def runs(batch: dict) -> dict:
-        return {"id": batch["id"], "version": batch["version"], "keys": [list({h for *_, h in runs_of(x, z, least)}) for x, z in zip(batch["lines"], batch["sizes"])]}
-
-    each = map_batches(lines, runs, "id bigint, version bigint, keys array<bigint>").select("id", "version", F.explode("keys").alias("line"))
-    firsts = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line", "first")
-    links = each.join(loose(firsts, "line"), "line").where("first < id").select("id", "version", "first").distinct()
-    heads = lines.where(F.col("id") < LAST_ID).groupBy("id").agg(F.min("version").alias("version")).join(lines.select("id", "version", "lines"), ["id", "version"]).select(F.col("id").alias("first"), F.col("lines").alias("others"))
-    pairs = links.join(loose(heads, "first"), "first").join(lines, ["id", "version"]).select("id", "version", "others", "lines", "sizes")
+        made = [placed_runs(x, z, least) for x, z in zip(batch["lines"], batch["sizes"])]
+        return {"id": batch["id"], "version": batch["version"], "runs": [[{"run": h, "place": p[0], "more": p[1:] or None} for h, p in x.items()] for x in made]}
+
+    each = map_batches(lines, runs, "id bigint, version bigint, runs array<struct<run:bigint,place:bigint,more:array<bigint>>>").select("id", "version", F.explode("runs").alias("x")).select("id", "version", "x.*")
+    # of several texts with one id, the least hash stands for the id
+    holder = F.min(F.struct("id", "version", "place", F.coalesce(F.size("more"), F.lit(0)).alias("more")))
+    firsts = each.groupBy("run").agg(holder.alias("h"), F.max("id").alias("last")).where("h.id < last")
+    firsts = firsts.select("run", F.col("h.id").alias("first"), F.shiftright("h.place", 32).alias("at"), (F.col("h.more") + 1).alias("times"))
+    links = each.join(loose(firsts, "run"), "run").where("first < id")
+    # rows of one id and text have the same runs: a set keeps each once
+    found = links.groupBy("id", "version").agg(F.collect_set(F.struct("first", "at", "times", "place", "more")).alias("matches"))
 
     def align(batch: dict) -> dict:
-        return {"id": batch["id"], "version": batch["version"], "gone": [common_lines(a, b, s, least) for a, b, s in zip(batch["others"], batch["lines"], batch["sizes"])]}
+        made = [gone_spans([(m["first"], m["at"], m["times"], [m["place"], *(m["more"] or ())]) for m in x]) for x in batch["matches"]]
+        return {"id": batch["id"], "version": batch["version"], "gone": [g for g, _ in made], "aligned": [n for _, n in made]}
 
-    found = map_batches(pairs, align, "id bigint, version bigint, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("id", "version").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return map_batches(found, align, "id bigint, version bigint, gone array<int>, aligned bigint")
 
 
 def _kept(docs: DataFrame, least: int) -> DataFrame:
-    """row, gone (null where nothing goes), parts, kept (the lines that stay, joined)."""
+    """row, gone (null where nothing goes), aligned, parts (lines), kept (the lines that stay, joined)."""
     gone = removed_lines(docs, least)
-    rows = _with_lines(docs).join(gone, ["id", "version"], "left")
-    stay = F.filter("parts", lambda x, k: ~F.array_contains("gone", k))
-    return rows.select("row", "gone", "parts", F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(stay, "\n")).alias("kept"))
+    # the text goes through the shuffle once, in its row, and is split behind it
+    rows = _rows(docs).select("row", "id", "version").join(gone, ["id", "version"], "left").withColumn("parts", lines_of(F.col("row.text")))
+    # what stays lies between the spans: one slice for each, whatever the number of lines
+    edges = F.concat(F.array(F.lit(0)), "gone", F.array(F.size("parts")))
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone"), F.lit(2)), lambda k: F.slice("parts", F.get(edges, k) + 1, F.get(edges, k + 1) - F.get(edges, k))))
+    return rows.select("row", "gone", "aligned", "parts", F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(stay, "\n")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_chars, kept_sha256, removed (places of the lines that go)."""
-    size = F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0))
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_chars, kept_sha256, removed (places of the lines that go), n_aligned (runs in the alignments)."""
+    of = F.transform(F.sequence(F.lit(0), F.size("gone") - 2, F.lit(2)), lambda k: F.sequence(F.get("gone", k), F.get("gone", k + 1) - 1))
+    removed = F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(F.flatten(of))
     return _kept(docs, least).select(
-        F.col("row.doc_id").alias("doc_id"), F.size("parts").cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(size).cast("bigint").alias("n_removed"),
-        F.length("kept").cast("bigint").alias("kept_chars"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"),
+        F.col("row.doc_id").alias("doc_id"), F.size("parts").cast("bigint").alias("n_lines"), F.size(removed).cast("bigint").alias("n_removed"),
+        F.length("kept").cast("bigint").alias("kept_chars"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), removed.alias("removed"), F.coalesce("aligned", F.lit(0)).alias("n_aligned"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -191,15 +192,22 @@ def long_line(n):
 
 
 def test_patience_by_hand():
-    assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
-    assert linededup.patience([1, 2, 3], [3, 1, 2]) in ([(0, 1), (1, 2)], [(2, 0)])
-    assert linededup.patience([5, 5, 5], [5, 5]) == [(0, 0), (1, 1)]
-    assert linededup.patience([], [1]) == []
+    once = lambda *pairs: [(b, a, True) for b, a in pairs]
+    assert linededup.patience(once((1, 1), (2, 2))) == {1, 2}
+    assert linededup.patience(once((0, 2), (1, 0), (2, 1))) == {1, 2}
+    assert linededup.patience([(0, 0, True), (1, 5, False), (2, 9, True), (3, 5, False)]) == {0, 1, 2}
+    assert linededup.patience([]) == set()
     rng = random.Random(5)
     for _ in range(300):
-        a, b = [rng.randint(0, 6) for _ in range(rng.randint(0, 12))], [rng.randint(0, 6) for _ in range(rng.randint(0, 12))]
-        pairs = linededup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        runs = sorted((b, rng.randint(0, 9), rng.random() < 0.6) for b in rng.sample(range(20), rng.randint(0, 12)))
+        held = linededup.patience(runs)
+        at = [a for b, a, _ in runs if b in held]
+        assert at == sorted(at) and len(set(at)) == len(at)
+        chain = [a for _, a, once in runs if once]
+        best = []  # the longest rising chain up to each
+        for k, c in enumerate(chain):
+            best.append(1 + max((n for n, x in zip(best, chain) if x < c), default=0))
+        assert len(held) >= max(best, default=0)
 
 
 def test_line_dedup_takes_blocks_from_the_later_document(spark):
@@ -257,17 +265,34 @@ def slow_runs(first, later, sizes, least=linededup.LEAST_CHARS):
     return {k for s, e in spans if any(first[i : i + e - s] == later[s:e] for i in range(len(first))) for k in range(s, e) if sizes[k]}
 
 
-def test_repeated_lines_align():
-    assert linededup.common_lines([1, 2, 1], [3, 1, 4], [50] * 3) == [1]
-    assert linededup.common_lines([8, 1, 9], [3, 1, 4, 1, 5], [50] * 5) == [1, 3]
-    assert linededup.common_lines([7, 1], [1, 7], [50, 3]) == [0]
-    assert linededup.common_lines(list(range(3000)), list(range(3000))[::-1], [50] * 3000) == list(range(3000))
+def gone_places(first, later, sizes):
+    """The places that a later document loses to one earlier document."""
+    size_of = dict(zip(later, sizes))
+    held = linededup.placed_runs(first, [size_of.get(x, linededup.LEAST_CHARS) for x in first])
+    spans, aligned = linededup.gone_spans([(1, held[h][0] >> 32, len(held[h]), places) for h, places in linededup.placed_runs(later, sizes).items() if h in held])
+    return [k for s, e in zip(spans[::2], spans[1::2]) for k in range(s, e)], aligned
+
+
+def test_repeated_and_moved_lines_go():
+    assert gone_places([1, 2, 1], [3, 1, 4], [50] * 3) == ([1], 1)
+    assert gone_places([8, 1, 9], [3, 1, 4, 1, 5], [50] * 5) == ([1, 3], 1)
+    assert gone_places([7, 1], [1, 7], [50, 3]) == ([0], 1)
     rng = random.Random(11)
     for _ in range(1000):
         kinds = rng.choice([2, 3, 6])
         size = [rng.choice([0, 10, 15, 25, 45]) for _ in range(kinds)]
         a, b = ([rng.randrange(kinds) for _ in range(rng.randint(0, 9))] for _ in range(2))
-        assert slow_runs(a, b, [size[x] for x in b]) <= set(linededup.common_lines(a, b, [size[x] for x in b])) <= {k for k, x in enumerate(b) if x in a or not size[x]}
+        sizes = [size[x] for x in b]
+        got = set(gone_places(a, b, sizes)[0])
+        assert slow_runs(a, b, sizes) == {k for k in got if sizes[k]}
+
+
+def test_reversed_lines_stay_cheap():
+    began = time.perf_counter()
+    n = 20_000
+    assert gone_places(list(range(n)), list(range(n))[::-1], [50] * n) == (list(range(n)), 1)
+    assert gone_places([1] * n, [1] * n, [50] * n)[0] == list(range(n))
+    assert time.perf_counter() - began < 20
 
 
 def test_every_telling_line_goes_over_the_whole_table(spark, sf):

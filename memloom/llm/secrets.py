@@ -72,7 +72,7 @@ class EntropyScanner:
 
         H = log2(w) - sum(c log2 c) / w over the counts c; a step changes two counts only.
         """
-        term = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+        term = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # one more: a character enters before another leaves
         most = window * (math.log2(window) - bits)
         counts: dict[str, int] = {}
         total = 0.0

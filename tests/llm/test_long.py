@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -46,3 +47,13 @@ def test_table_operators(docs, spark):
 def test_a_long_page(spark):
     pages = spark.createDataFrame([(1, "http://h/1", "<article>" + "<p>some words here</p>" * 40_000 + "</article>")], "page_id bigint, url string, html string")
     assert html.extract_main_text(pages).first().n_chars == 40_000 * 16 - 1
+
+
+def test_long_runs_of_every_character():
+    scanner, began = secrets.EntropyScanner(), time.perf_counter()
+    classes = sorted({x for c in secrets.CLASSES for x in c.characters})
+    for x in classes:
+        for text in (x * 20_000, x * 20_000 + "1", x * 20_000 + "A1", f"{x}_" * 10_000 + "1z", f"_{x}" * 10_000 + "Zz9", "password=" + x * 20_000):
+            assert scanner.scan(text) == []
+            secrets.base_spans(text)
+    assert time.perf_counter() - began < 60

@@ -21,11 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in local tests, one of its own."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in local tests, one of its own.
+
+    Executors of a cluster don't share the driver's folders, so an unset folder is an error there.
+    """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -93,24 +98,6 @@ def filter_rows(docs: DataFrame, keep: Callable[[list, object], object], setup:
     return docs.mapInArrow(run, docs.schema)
 
 
-def with_column(docs: DataFrame, name: str, kind: str, make: Callable[[list], object]) -> tuple[DataFrame, str]:
-    """``docs`` with a column made from each batch's texts, and the column's name: ``name``, with underscores until no other has it."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    small_batches(docs.sparkSession)
-    while name.lower() in [c.lower() for c in docs.columns]:
-        name = f"_{name}"
-    column, spark_type = docs.columns.index("text"), _parse_datatype_string(kind)
-    arrow_type = to_arrow_type(spark_type)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column(name, pa.array(make(batch.column(column).to_pylist()), type=arrow_type))
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, spark_type)])), name
-
-
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text is a multiple of 5: rows that no label may be learned from. A null id counts as text ''."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0

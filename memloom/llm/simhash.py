@@ -3,6 +3,9 @@
 A document's fingerprint has a bit where over half of its word shingles' XXH64 hashes (seed 42) have it. Fingerprints
 that differ in at most ``BUDGET`` bits link; components are the transitive closure.
 
+``near_duplicates`` is the query's form; ``one_of_each``, the pipeline's, joins fingerprints of five-word shingles under a
+wider budget and lets the shingle sets decide.
+
 The distinct fingerprints are dealt out by one of BUDGET+1 blocks of bits: two that differ in at most BUDGET bits agree
 in one block at least. A key that more than ``MOST`` fingerprints share (near copies of one text) is dealt again by the
 blocks of the bits that it leaves, so that no task ever holds an unbounded group. Within a key, a trie over the sorted
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, loose, map_batches, small_batches, with_column
+from .common import checkpointed, loose, map_batches, small_batches
 from .components import components
 
 WORDS, BUDGET, BITS = 3, 3, 64
@@ -32,6 +35,8 @@ WORDS, BUDGET, BITS = 3, 3, 64
 MOST = 2048
 #: Rows that a task joins at a time, at least one whole key.
 CHUNK = 16_384
+#: In place of a null id, after all others.
+LAST_ID = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -46,11 +51,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         hash_of = xxhash.xxh64_intdigest
         hashes = [hash_of(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for lo in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -206,13 +207,184 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.join(_components(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their component.
+# ---------------------------------------------------------------- near copies of texts, for the pipeline
+
+#: Words of a shingle, least Jaccard similarity of the shingle sets, and bits that two fingerprints of such texts differ in at most.
+TEXT_WORDS, SIMILARITY, TEXT_BUDGET = 5, 0.8, 24
+#: Keys of a text, each of so many least hashes: at a similarity of 0.8 two texts share one key of 16 in 0.9998 of all cases, two in 0.997, three in 0.98.
+KEYS, ROWS = 16, 4
+#: Texts of one key that meet, and all that a task compares at a time.
+MEET, MEET_GRAMS = 1024, 16 << 20
+#: Classes whose ids are broadcast to fetch their texts; beyond that they are joined by a shuffle.
+MOST_WANTED = 1_000_000
+_SALT = np.random.default_rng(7).integers(1, 1 << 63, (2, KEYS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def grams_of(text: str | None, words: int = TEXT_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a shorter text is one shingle, and one without words has none."""
+    parts = (text or "").encode().lower().split()
+    hash_of = xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([hash_of(b" ".join(parts), 42)] if parts else [], dtype=np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([hash_of(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for lo in range(0, len(h), 65_536):
+        ones += np.unpackbits(np.ascontiguousarray(h[lo : lo + 65_536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """KEYS hashes, each of ROWS of the least hashes of the set under as many orders."""
+    least = np.full(KEYS * ROWS, ~np.uint64(0))
+    for lo in range(0, len(h), 8192):
+        x = h[lo : lo + 8192, None] * _SALT[0]
+        np.minimum(least, ((x ^ (x >> np.uint64(31))) * _SALT[1]).min(axis=0), out=least)
+    rows = least.reshape(KEYS, ROWS)
+    out = np.arange(1, KEYS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _class(h: np.ndarray) -> int:
+    """Tells a shingle set."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def _signatures(batch: dict) -> dict:
+    sets = [grams_of(t) for t in batch["text"]]
+    return {"id": batch["id"], "version": batch["version"], "rid": [_class(h) for h in sets], "keys": [least_hashes(h) for h in sets]}
+
+
+def _grams(batch: dict) -> dict:
+    sets = [grams_of(t) for t in batch["text"]]
+    fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
+    return {"rid": [_class(h) for h in sets], "fp": fps, "grams": [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in sets]}
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sets (sorted, distinct) is ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(key: np.ndarray, fp: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs of similar texts of one key that connect all that can be connected; the rows are sorted by (key, fp).
+
+    Pairs come from the trie join, nearest fingerprints first; those that are connected already aren't compared again.
+    """
+    i, j = trie_pairs(key, fp, TEXT_BUDGET)
+    root = list(range(len(fp)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+    found = []
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = top(a), top(b)
+        if x != y and similar(grams[a], grams[b]):
+            root[max(x, y)] = min(x, y)
+            found.append((a, b))
+    return found
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, rid, grams) come sorted by key and fp; they are compared in parts of whole keys, or of MEET rows of a larger key, each tied to the part before by its first row."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        key, fp = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64)
+        order = np.lexsort((fp, key))
+        grams = [np.frombuffer(rows[k][3], dtype=np.uint32) for k in order.tolist()]
+        pairs = verified(key[order], fp[order], grams)
+        u, v = ([rows[order[p[side]]][2] for p in pairs] for side in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    rows: list[tuple] = []
+    size = of_key = 0
+    leader = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            fresh = not rows or row[0] != rows[-1][0]
+            of_key = 1 if fresh else of_key + 1
+            if fresh:
+                leader = row
+            if rows and (fresh and (len(rows) >= MEET or size >= MEET_GRAMS) or of_key > MEET or size >= 4 * MEET_GRAMS):
+                yield links(rows)
+                rows, size, of_key = ([], 0, 1) if fresh else ([leader], len(leader[3]) // 4, 2)
+            rows.append(row)
+            size += len(row[3]) // 4
+    if rows:
+        yield links(rows)
+
+
+def text_links(classes: DataFrame, meet: int = MEET, levels: int = 3) -> DataFrame:
+    """classes: rid, keys. key, rid: texts that meet by a key that others have too.
+
+    A key of more than ``meet`` texts is dealt again by each of the texts' later keys.
+    """
+    rows = classes.select(F.lit(0).cast("bigint").alias("key"), F.lit(-1).alias("last"), "rid", "keys")
+    met = []
+    for level in range(levels):
+        dealt = rows.select("key", "last", "rid", F.posexplode("keys").alias("pos", "own")).where("pos > last").select(F.xxhash64("key", "own").alias("key"), F.col("pos").alias("last"), "rid")
+        size = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        now = checkpointed(dealt.join(loose(size, "key"), "key"))
+        most = F.lit(True) if level == levels - 1 else F.col("size") <= meet
+        met.append(now.where(most).select("key", "rid"))
+        hot = now.where(~most)
+        if level == levels - 1 or hot.isEmpty():
+            break
+        rows = hot.select("key", "last", "rid").join(loose(classes, "rid"), "rid").select("key", "last", "rid", "keys")
+    out = met[0]
+    for x in met[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def text_components(rows: DataFrame, signed: DataFrame, meet: int = MEET) -> DataFrame:
+    """rid, root of each class of equal shingle sets; classes whose texts are similar have one root. rows: id, version, text; signed: id, version, rid, keys."""
+    classes = checkpointed(signed.groupBy("rid").agg(F.min(F.struct("id", "version")).alias("one"), F.first("keys").alias("keys")))
+    met = checkpointed(text_links(classes.select("rid", "keys"), meet))
+    # one text of each class that meets another is fetched
+    wanted = checkpointed(met.select("rid").distinct().join(classes, "rid").select("one.id", "one.version"))
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_WANTED else loose(wanted, "id", "version"), ["id", "version"], "left_semi")
+    grams = map_batches(texts.select("text"), _grams, "rid bigint, fp bigint, grams binary").dropDuplicates(["rid"])
+    links = met.join(loose(grams, "rid"), "rid").select("key", "fp", "rid", "grams").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "u bigint, v bigint")
+    roots = components(links)
+    return loose(classes.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root")), "rid")
+
+
+def one_of_each(docs: DataFrame, meet: int = MEET) -> DataFrame:
+    """The rows of ``docs``, with all their columns: of each group of near copies the one with the smallest id.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
+    connect. Candidates share a key of least hashes and are joined by the trie over the fingerprints of their sets; the
+    sets themselves decide, by 32 bits of each hash. A key of more than ``meet`` texts is dealt again by their other
+    keys; beyond the third such level a key's texts are compared in parts of MEET, in order of fingerprint, each with the
+    key's first text.
 
-    Of several such rows, and of a component without ids, one row stays.
+    Of several rows of the smallest id, one of the least text hash stays; a group without ids leaves one row; texts
+    without words are one group. Rows travel once; an empty table gives no rows.
     """
-    of = _components(checkpointed(fingerprints(docs, words)))
-    marked, fp = with_column(docs, "fp", "bigint", lambda texts: np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
-    rows = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{fp}`").alias("fp"))
-    stay = rows.join(of, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return stay.dropDuplicates(["root"]).select("row.*")
+    version = F.xxhash64("text")
+    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
+    rows = docs.select(id_.alias("id"), version.alias("version"), "text")
+    signed = checkpointed(map_batches(rows, _signatures, "id bigint, version bigint, rid bigint, keys array<bigint>"))
+    of = text_components(rows, signed, meet)
+    least = signed.select("id", "version", "rid").join(of, "rid").groupBy("root").agg(F.min(F.struct("id", "version")).alias("x")).select("x.id", "x.version")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), version.alias("version"))
+    return marked.join(loose(least, "id", "version"), ["id", "version"], "left_semi").dropDuplicates(["id", "version"]).select("row.*")

@@ -43,6 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, wherever the path's file system is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, object]], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """Applies ``work`` to the columns of each Arrow batch; it returns the columns of ``schema`` (lists, numpy or Arrow arrays).
 

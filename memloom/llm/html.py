@@ -1,38 +1,50 @@
-"""Operator 10, main text of web pages: a host's suffix array finds what its pages repeat, and tags say what the rest is.
+"""Operator 10, main text of web pages: a host's suffix arrays find what its pages repeat, and tags say what the rest is.
 
-Each page is cut into blocks of visible text in page order. The blocks' words of all pages of a host are one token
-stream; a suffix array over it, ordered by prefix doubling to ``DEPTH`` tokens, brings equal runs together, and runs of
-at least DEPTH tokens that stand on enough distinct pages are boilerplate. A block goes if its tags say that it is a
-menu, header, footer, sidebar, notice, advert, form or reader comment, or if such runs cover it and no ``article`` or
-``main`` element vouches for it. Where a page has such an element, the text outside it goes as well.
+Each page is cut into blocks of visible text in page order. The words of the blocks that aren't noise by their tags are
+the page's token stream. A host's pages are dealt into groups of about ``GROUP`` by the hash of their stream; the streams
+of a group lie one after another under a suffix array, ordered by prefix doubling to ``DEPTH`` tokens, which brings
+equal runs together (a token lies in a repeated substring of DEPTH tokens or more exactly if it lies in one of DEPTH).
+Each run that two or more pages of a group have is counted over the whole host by partial sums of (host, run, pages);
+equal streams lie in one group and count as one page, whatever their number. A run is boilerplate if it is on a share
+``LEAST_SHARE`` of the host's distinct pages, and common to the host if it is on ``MAIN_SHARE`` of them.
 
-A host may hold a third of all pages: its pages are dealt by a hash of their id into groups of about ``GROUP`` pages, and
-boilerplate, which stands on a good share of a host's pages, shows in each group. A group's size is bounded, its
-partition is not tied to the host, unless rows of one page_id and url are repeated.
+A block goes if its tags say that it is a menu, header, footer, sidebar, notice, advert, form or reader comment; where a
+page has an ``article`` or ``main`` element, if it is outside; and if runs cover it: boilerplate where no such element
+vouches for it, what is common to the host inside one. So a notice that half of a host's pages have goes from their
+articles, and a passage that some articles share stays.
 
-Defined results: a null or empty html gives an empty text. Pages without a host in the url (null too) form groups of
-their own kind. Copies of a page in a group count as one page and get the same text; rows of one page_id and url lie in
-one group, however many there are. Other input columns are ignored. An empty table gives no rows.
+By the pigeonhole a run on the share of the pages is on two pages of one group at least, so none is missed; its count may
+lack the pages that are the only ones of their group to have it, one in GROUP pages at most. A host's runs that are on the
+share of its pages are no more than its mean page has tokens, ten times; they go to the executors by broadcast if all
+hosts together have at most ``MOST_RUNS``, else by a shuffle, once for each GROUP pages.
+
+Defined results: a null or empty html gives an empty text. Pages without a host in the url (null too) count as one host.
+Copies of a page get the same text, however many there are; repeated rows give repeated results. Hosts with fewer than
+LEAST_PAGES distinct pages have no runs, and tags decide. Other input columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
+import struct
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches
+from .common import checkpointed, loose, map_batches, small_batches
 
-#: Tokens that a repeated run has at least, pages of a group that it is on at least, as a number and as a share.
-DEPTH, LEAST_PAGES, LEAST_SHARE, COVERED = 8, 4, 0.1, 0.8
+#: Tokens of a run; the pages and the share of a host's pages that boilerplate is on at least, and what is common to the host; the share of a block that runs must cover.
+DEPTH, LEAST_PAGES, LEAST_SHARE, MAIN_PAGES, MAIN_SHARE, COVERED = 8, 4, 0.1, 8, 0.5, 0.8
 GROUP = 128
-#: Hosts of more than one group that are broadcast; beyond that their numbers are joined by a shuffle.
-MOST_HOSTS = 200_000
+#: Hosts of more than one group that are broadcast, and runs of all hosts; beyond that they are joined by a shuffle.
+MOST_HOSTS, MOST_RUNS = 200_000, 4_000_000
+#: Streams that a task remembers, to send each of several copies once.
+SEEN = 100_000
 
 # Fixed names of HTML. No part of the pattern but a quoted value, a comment or a script's body runs over another "<", so broken markup stays cheap.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*+>|[^<]++|<", re.S | re.I)
@@ -138,75 +150,163 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(streams: list[np.ndarray], depth: int = DEPTH, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> list[np.ndarray]:
-    """For each page's tokens, whether a run repeated on enough distinct pages covers them."""
+class Words(dict):
+    """Hashes of the words met so far; emptied when it holds ``MOST``."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def stream(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all blocks, and the number of words of each."""
+    words = [t.split() for t in texts]
+    return np.array([known[w] for x in words for w in x], dtype=np.uint64), np.array([len(x) for x in words], dtype=np.int64)
+
+
+def run_hashes(tokens: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The hash of each run of ``depth`` tokens."""
+    n = len(tokens) - depth + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    h = np.full(n, depth, dtype=np.uint64)
+    for k in range(depth):
+        h = (h ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def repeated(streams: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (their hashes) that two or more of the streams have, and the number of streams that have each."""
     sizes = np.array([len(s) for s in streams], dtype=np.int64)
+    none = np.empty(0, dtype=np.int64)
     if not sizes.sum():
-        return [np.zeros(0, dtype=bool) for _ in streams]
+        return none, none
     ends = np.cumsum(sizes + 1) - 1
     tokens = np.empty(sizes.sum() + len(streams), dtype=np.int64)
     page = np.repeat(np.arange(len(streams)), sizes + 1)
     text = np.ones(len(tokens), dtype=bool)
     text[ends] = False
-    tokens[text] = np.concatenate(streams)
+    numbers = np.unique(np.concatenate(streams), return_inverse=True)[1]
+    tokens[text] = numbers
     tokens[ends] = -1 - np.arange(len(streams))  # no run crosses a page's end
     rank = suffix_ranks(tokens, depth)
     pairs = np.unique(rank * len(streams) + page)
     pages = np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1)
-    shared = np.flatnonzero(pages[rank] >= max(least_pages, least_share * len(streams)))
-    cover = np.zeros(len(tokens) + depth + 1, dtype=np.int64)
-    np.add.at(cover, shared, 1)
-    np.add.at(cover, shared + depth, -1)
-    covered = np.cumsum(cover)[: len(tokens)] > 0
-    return np.split(covered[text], np.cumsum(sizes)[:-1])
-
-
-def main_texts(pages: list[list[tuple[str, int]]]) -> list[str]:
-    """The texts of a group of pages of one host, from their blocks. Pages of equal words count as one."""
-    known: dict[str, int] = {}
-
-    def words(text: str) -> list[int]:
-        out = []
-        for w in text.split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = zlib.crc32(w.encode()) << 20 | len(w) & 0xFFFFF
-            out.append(h)
-        return out
-
-    counts, streams = [], []
-    for blocks in pages:
-        each = [words(t) for t, _ in blocks]
-        counts.append([len(x) for x in each])
-        streams.append(np.array([h for x in each for h in x], dtype=np.int64))
-    numbers: dict[bytes, int] = {}
-    which = [numbers.setdefault(s.tobytes(), len(numbers)) for s in streams]
-    once = repeated([np.frombuffer(s, dtype=np.int64) for s in numbers])
-    texts = []
-    for blocks, sizes, covered in zip(pages, counts, (once[n] for n in which)):
-        sums = np.concatenate(([0], np.cumsum(covered)))
-        at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        share = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.array(sizes, dtype=np.int64))
-        best = max((role for _, role in blocks), default=0)
-        texts.append("\n".join(t for (t, role), s in zip(blocks, share) if role and role == best and (role == 2 or s < COVERED)))
-    return texts
-
-
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
-
-    def parse(batch: dict) -> dict:
-        found = [blocks_of(p) for p in batch["html"]]
-        return {"page_id": batch["page_id"], "url": batch["url"], "key": batch["key"], "texts": [[t for t, _ in x] for x in found], "roles": [[r for _, r in x] for x in found]}
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([list(zip(t, r)) for t, r in zip(rows["texts"], rows["roles"])])
-        return pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    rows = pages.select("page_id", "url", F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1).alias("host"), "html")
-    many = checkpointed(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1"))
-    many = F.broadcast(many) if many.count() <= MOST_HOSTS else many
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))
-    keyed = rows.join(many, "host", "left").select("page_id", "url", "html", F.xxhash64("host", part).alias("key"))
-    dealt = map_batches(keyed, parse, "page_id bigint, url string, key bigint, texts array<string>, roles array<int>")
-    return dealt.groupBy("key").applyInPandas(lambda rows: group(rows), "page_id bigint, url string, text string, n_chars bigint")
+    first = np.unique(rank, return_index=True)[1]  # a place of each rank
+    first = first[pages >= 2]
+    hashed = np.concatenate([np.append(run_hashes(s, depth), np.zeros(min(depth, len(s) + 1), dtype=np.int64)) for s in streams])
+    return hashed[first], pages[pages >= 2]
+
+
+def covered_share(tokens: np.ndarray, sizes: np.ndarray, runs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The share of each block's tokens that the (sorted) runs cover."""
+    h = run_hashes(tokens, depth)
+    cover = np.zeros(len(tokens) + 1, dtype=np.int64)
+    if len(runs) and len(h):
+        hit = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, h), len(runs) - 1)] == h)
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, hit + depth, -1)
+    sums = np.concatenate(([0], np.cumsum(np.cumsum(cover[: len(tokens)]) > 0)))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    return (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, sizes)
+
+
+def main_text(blocks: list[tuple[str, int]], boilerplate: np.ndarray, common: np.ndarray, known: Words) -> tuple[str, int]:
+    """The text of a page from its blocks and its host's runs (sorted hashes), and the number of blocks that runs took."""
+    best = max((role for _, role in blocks), default=0)
+    if not best:
+        return "", 0
+    own = [(t, role) for t, role in blocks if role]
+    runs = common if best == 2 else boilerplate
+    if not len(runs):
+        return "\n".join(t for t, role in own if role == best), 0
+    share = covered_share(*stream([t for t, _ in own], known), runs)
+    rest = [(t, s < COVERED) for (t, role), s in zip(own, share) if role == best]
+    return "\n".join(t for t, stays in rest if stays), sum(not stays for _, stays in rest)
+
+
+RUNS = "host bigint, run bigint, pages bigint"
+TEXTS = "page_id bigint, url string, text string, n_chars bigint, n_repeated int"
+
+
+def _streams(batch: dict, seen: set[tuple[int, int]]) -> dict:
+    """The words of each page that aren't noise, packed; copies that the task has ``seen`` are left out."""
+    out: dict[str, list] = {k: [] for k in ("host", "key", "stream", "packed")}
+    press = zstandard.ZstdCompressor(level=3).compress
+    for host, groups, page in zip(batch["host"], batch["groups"], batch["html"]):
+        line = " ".join(t for t, role in blocks_of(page) if role).encode()
+        number = xxhash.xxh3_64_intdigest(line)
+        if (host, number) in seen:
+            continue
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add((host, number))
+        out["host"].append(host)
+        out["key"].append(xxhash.xxh3_64_intdigest(struct.pack("<qq", host, number % groups)) - (1 << 63))
+        out["stream"].append(number - (1 << 63))
+        out["packed"].append(press(line))
+    return out
+
+
+def _group_runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """The repeated runs of a group of a host's pages; run 0 stands for the pages themselves."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    known = Words()
+    lines = rows.drop_duplicates(["host", "stream"])  # a hash of host and group may, once in a long while, be that of another
+    made = []
+    for host, packed in lines.groupby("host")["packed"]:
+        runs, pages = repeated([stream([unpack(p).decode()], known)[0] for p in packed])
+        live = runs != 0
+        made.append(pd.DataFrame({"host": host, "run": np.append(runs[live], 0), "pages": np.append(pages[live], len(packed))}))
+    return pd.concat(made)
+
+
+def host_runs(rows: DataFrame) -> DataFrame:
+    """rows: host (a hash), groups, html. host, boilerplate, common: the runs of each host that has any, sorted."""
+    dealt = map_batches(rows.select("host", "groups", "html"), _streams, "host bigint, key bigint, stream bigint, packed binary", set)
+    counted = dealt.groupBy("key").applyInPandas(lambda group: _group_runs(group), RUNS).groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    counted = checkpointed(counted)
+    sizes = counted.where("run = 0").select("host", F.col("pages").alias("all"))
+    share = lambda least, part: F.col("pages") >= F.greatest(F.lit(float(least)), F.lit(part) * F.col("all"))
+    kept = counted.where("run <> 0").join(loose(sizes, "host"), "host").where(share(LEAST_PAGES, LEAST_SHARE))
+    main = F.when(share(MAIN_PAGES, MAIN_SHARE), F.col("run"))
+    return checkpointed(kept.groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("boilerplate"), F.sort_array(F.collect_list(main)).alias("common")))
+
+
+def _page_texts(columns: dict, runs_of) -> dict:
+    known = Words()
+    made = [main_text(blocks_of(page), *runs_of(host), known) for host, page in zip(columns["host"], columns["html"])]
+    return {"page_id": columns["page_id"], "url": columns["url"], "text": [t for t, _ in made], "n_chars": [len(t) for t, _ in made], "n_repeated": [n for _, n in made]}
+
+
+def extract_main_text(pages: DataFrame, group: int = GROUP, most_runs: int = MOST_RUNS) -> DataFrame:
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_repeated (blocks that runs took)."""
+    host = F.xxhash64(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
+    rows = pages.select("page_id", "url", host.alias("host"), "html")
+    many = checkpointed(rows.groupBy("host").agg(F.ceil(F.count("*") / group).alias("groups")).where("groups > 1"))
+    many = F.broadcast(many) if many.count() <= MOST_HOSTS else loose(many, "host")
+    rows = rows.join(many, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    runs = host_runs(rows)
+    none = np.empty(0, dtype=np.int64)
+    if (runs.agg(F.sum(F.size("boilerplate"))).first()[0] or 0) <= most_runs:
+        small = {r["host"]: (np.array(r["boilerplate"], dtype=np.int64), np.array(r["common"], dtype=np.int64)) for r in runs.collect()}  # at most most_runs numbers, checked
+        handle = pages.sparkSession.sparkContext.broadcast(small)
+        return map_batches(rows.select("page_id", "url", "host", "html"), lambda batch, held: _page_texts(batch, lambda h: held.get(h, (none, none))), TEXTS, lambda: handle.value)
+    # a host's runs go to each part of its pages; the parts don't matter to the result, so pages are dealt by their place
+    part = F.pmod(F.monotonically_increasing_id(), F.col("groups"))
+    placed = rows.select("page_id", "url", "host", "html", part.alias("part"))
+    parts = runs.join(rows.select("host", "groups").distinct(), "host").select("host", "boilerplate", "common", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("part"))
+    small_batches(pages.sparkSession)
+
+    def texts(found: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own = (held["boilerplate"].iloc[0], held["common"].iloc[0]) if len(held) else (none, none)
+        own = tuple(np.asarray(x, dtype=np.int64) for x in own)
+        out = pd.DataFrame(_page_texts({k: found[k].tolist() for k in ("host", "html", "url")} | {"page_id": found["page_id"].astype("Int64")}, lambda h: own))
+        return out[["page_id", "url", "text", "n_chars", "n_repeated"]]
+
+    return placed.groupBy("host", "part").cogroup(parts.groupBy("host", "part")).applyInPandas(lambda a, b: texts(a, b), TEXTS)

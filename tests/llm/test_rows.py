@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,20 +266,91 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 <script>if (a < b) "</p>"</script></article><aside>Side</aside><div id="comments">Nice!</div><footer>End</footer></body>"""
 
 
+NO_RUNS = np.empty(0, dtype=np.int64)
+
+
 def test_main_text_of_a_page():
-    blocks = html.blocks_of(PAGE)
-    assert html.main_texts([blocks]) == ["Head & tail\nOne two three four\nFive <six>"]
-    assert html.main_texts([[], html.blocks_of("<p>x")]) == ["", "x"]
+    text = lambda blocks: html.main_text(blocks, NO_RUNS, NO_RUNS, html.Words())
+    assert text(html.blocks_of(PAGE)) == ("Head & tail\nOne two three four\nFive <six>", 0)
+    assert text([]) == ("", 0) and text(html.blocks_of("<p>x")) == ("x", 0)
 
 
 def test_misnested_inline_tags_leave_blocks_open():
     assert html.blocks_of("<b><article><p>x</b> y</p><p>z</article></b>w") == [("x y", 2), ("z", 2), ("w", 1)]
 
 
-def test_repeated_runs_go_where_no_article_vouches():
-    footer = "<div>All rights reserved by the makers of this fine site of ours</div>"
-    pages = [html.blocks_of(f"<div>Text number {n} says {' '.join(str(n * k) for k in range(9))}</div>{footer}") for n in range(1, 30)]
-    assert all(t.startswith("Text number") and "rights" not in t for t in html.main_texts(pages))
+def slow_main_texts(pages):
+    """(page_id, text) of rows (page_id, url, html): runs of eight words counted over each host's distinct pages."""
+    blocks = {r[0]: [x for x in html.blocks_of(r[2]) if x[1]] for r in pages}
+    host = {r[0]: (re.match(r"\w+://([^/:]*)", r[1] or "") or [None, ""])[1] for r in pages}
+    words = {i: [w for text, _ in b for w in text.split()] for i, b in blocks.items()}
+    runs = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    distinct = {(h, tuple(words[i])) for i, h in host.items()}
+    size, held = Counter(h for h, _ in distinct), Counter((h, x) for h, w in distinct for x in runs(w))
+    out = {}
+    for i, own in blocks.items():
+        best = max((role for _, role in own), default=0)
+        least = max(8, 0.5 * size[host[i]]) if best == 2 else max(4, 0.1 * size[host[i]])
+        w, covered = words[i], set()
+        for k in range(len(w) - 7):
+            if held[host[i], tuple(w[k : k + 8])] >= least:
+                covered |= set(range(k, k + 8))
+        at, kept = 0, []
+        for text, role in own:
+            n = len(text.split())
+            if role == best and sum(k in covered for k in range(at, at + n)) < 0.8 * n:
+                kept.append(text)
+            at += n
+        out[i] = "\n".join(kept)
+    return out
+
+
+def page_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def found_texts(frame, **how):
+    return {r.page_id: r.text for r in html.extract_main_text(frame, **how).collect()}
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_runs_by_brute_force_over_the_whole_table(spark, tag):
+    """Without the elements that vouch for a text, the runs decide; with them, what half of a host has goes."""
+    rows = [(r.page_id, r.url, re.sub("(</?)article", rf"\\1{tag}", r.html)) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want, frame = slow_main_texts(rows), page_frame(spark, rows)
+    assert found_texts(frame) == want and found_texts(frame, most_runs=0) == want
+
+
+def notice_host(n=1000):
+    """Pages of one host: an own text each; a menu on a tenth and more, a notice on a twentieth, a promise on most, inside ``main`` where the page has one."""
+    rows = []
+    for k in range(n):
+        own = f"Page {k} tells of " + " ".join(f"w{k * j % 977}x{j}" for j in range(30))
+        menu = "<div>one of the sections has a list that leads on to nine other pages</div>" if k % 8 == 0 else ""
+        notice = "<div>this notice is only shown on a few of the pages of this host</div>" if k % 20 == 1 else ""
+        promise = "<p>we promise to all of our readers that we never share what they tell us</p>" if k % 3 else ""
+        body = f"<p>{own}</p>{promise}"
+        rows.append((k, f"https://h.example/{k}", menu + notice + (f"<main>{body}</main>" if k % 7 == 0 else body)))
+    return rows
+
+
+@pytest.mark.parametrize("how", [{}, {"group": 50}, {"group": 5000}, {"group": 50, "most_runs": 0}])
+def test_a_large_host_is_one_host(spark, how):
+    rows = notice_host()
+    got = found_texts(page_frame(spark, rows), **how)
+    assert got == slow_main_texts(rows)
+    assert all("promise" not in t and "sections" not in t for t in got.values()) and sum("notice" in t for t in got.values()) > 40
+    # tags alone leave all of it
+    assert "promise" in html.main_text(html.blocks_of(rows[7][2]), NO_RUNS, NO_RUNS, html.Words())[0]
+
+
+def test_repeated_runs_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        streams = [rng.integers(0, 4, rng.integers(0, 30)).astype(np.uint64) for _ in range(6)]
+        runs, pages = html.repeated(streams, 3)
+        want = Counter(h for s in streams for h in set(html.run_hashes(s, 3).tolist()))
+        assert dict(zip(runs.tolist(), pages.tolist())) == {h: n for h, n in want.items() if n > 1}
 
 
 def test_suffix_ranks_by_brute_force():
@@ -321,8 +393,7 @@ def test_broken_markup_stays_cheap(broken):
 def test_copies_of_a_page_count_once(spark):
     article = "<div>This text is told by one page only and by its many copies</div>"
     other = "<div>Another page has other things to say and says them but once</div>"
-    assert html.main_texts([html.blocks_of(article)] * 6 + [html.blocks_of(other)]) == [html.blocks_of(article)[0][0]] * 6 + [html.blocks_of(other)[0][0]]
-    assert html.main_texts([html.blocks_of(f"{article}<p>{n}") for n in range(6)]) == [str(n) for n in range(6)]
-    rows = [(n // 2, f"http://h/{n // 2}", article) for n in range(12)]
-    got = html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and {r.text for r in got} == {html.blocks_of(article)[0][0]}
+    rows = [(n, f"http://h/{n}", article) for n in range(300)] + [(1000, "http://h/other", other)] + [(n // 2, f"http://h/{n // 2}", article) for n in range(300)]
+    got = html.extract_main_text(page_frame(spark, rows), group=20).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.text for r in got if r.page_id < 1000} == {html.blocks_of(article)[0][0]} and {r.text for r in got if r.page_id == 1000} == {html.blocks_of(other)[0][0]}

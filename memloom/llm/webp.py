@@ -5,8 +5,9 @@ cross-colour, subtract-green and palette transforms. Images advance together, on
 position; so a step's cost is a few array operations, whatever the number of images. Headers (transforms and code
 lengths) are parsed once for each distinct header in the batch.
 
-The encoder writes runs as back-references, repeated pixels as colour-cache symbols, and everything else as literals,
-with prefix codes built once from given byte weights; transforms can be asked for.
+The encoder writes stretches that the image had before as back-references of any distance, repeated pixels as
+colour-cache symbols, and everything else as literals, with prefix codes built once from given weights. A plan of
+transforms can be asked for, or be part of an encoder (a ``Plan``): then every image has the same header.
 """
 
 from __future__ import annotations
@@ -413,6 +414,36 @@ def _predict(pixels: np.ndarray, width: int, bits: int, modes: np.ndarray, undo:
     return np.array(out, dtype=np.uint32)
 
 
+#: Predictors that are inverted by sums along rows or columns where the whole image has them.
+EVEN = (0, 1, 2)
+
+
+def _predict_even(pixels: np.ndarray, starts: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What is left of images of one width, one after another from ``starts`` on, by one predictor of EVEN."""
+    n = np.arange(len(pixels)) - np.repeat(starts, np.diff(np.append(starts, len(pixels))))
+    x, y = n % width, n // width
+    left = (x > 0) & ((y == 0) | (mode == 1))
+    top = (y > 0) & ((x == 0) | (mode == 2))
+    at = np.arange(len(pixels))
+    known = np.where(left, pixels[np.maximum(at - 1, 0)], np.where(top, pixels[np.maximum(at - width, 0)], np.uint32(OPAQUE)))
+    return packed(*(a.astype(np.int32) - b.astype(np.int32) for a, b in zip(channels(pixels), channels(known))))
+
+
+def _unpredict_even(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    c = np.stack(channels(pixels)).reshape(4, -1, width).astype(np.uint8)
+    c[0, :1, :1] += np.uint8(255)
+    c[:, 0] = np.cumsum(c[:, 0], axis=1, dtype=np.uint8)
+    if mode == 2:
+        c = np.cumsum(c, axis=1, dtype=np.uint8)
+    else:
+        c[:, :, 0] = np.cumsum(c[:, :, 0], axis=1, dtype=np.uint8)
+        if mode == 1:
+            c[:, 1:] = np.cumsum(c[:, 1:], axis=2, dtype=np.uint8)
+        else:
+            c[0, 1:, 1:] += np.uint8(255)
+    return packed(*c.reshape(4, -1).astype(np.uint32))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).astype(np.int8).astype(np.int32)
 
@@ -466,9 +497,16 @@ class Header:
     coding: Coding
     bits: int
     value: int
-    width: int  # of the coded image
+    width: int
     height: int
-    undo: list = field(default_factory=list)  # (transform, arguments), in the order to undo them
+    undo: list = field(default_factory=list)  # (transform, width before it, block bits, values), in the order to undo them
+
+    def fits(self, width: int, height: int) -> bool:
+        """Whether an image of this size whose header has the same bits has the same header."""
+        if (width, height) == (self.width, self.height) or not self.undo and self.coding.meta is None:
+            return True
+        rows = lambda bits: -(-height // (1 << bits)) == -(-self.height // (1 << bits))
+        return width == self.width and self.coding.meta is None and all(rows(bits) for kind, _, bits, _ in self.undo if kind in (PREDICTOR, CROSS_COLOUR))
 
 
 class Decoder:
@@ -482,11 +520,10 @@ class Decoder:
     def header(self, data: bytes, width: int, height: int) -> Header:
         # the header ends well within this, unless it holds images of its own
         top = int.from_bytes(data[:4096], "little") >> 40
-        for bits, value, h in self.headers:
-            if top & ((1 << bits) - 1) == value:
-                if h.undo or h.coding.meta is not None:
-                    if (h.width, h.height) != (width, height):
-                        continue
+        for k, (bits, value, h) in enumerate(self.headers):
+            if top & ((1 << bits) - 1) == value and h.fits(width, height):
+                if k:
+                    self.headers.insert(0, self.headers.pop(k))
                 return h
         r = BitReader(data, 40)
         undo, coded = [], width
@@ -510,6 +547,10 @@ class Decoder:
 
     def decode(self, files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
         """Width, height and pixels (ARGB, row by row) of each file."""
+        return [x[:3] for x in self.decode_told(files)]
+
+    def decode_told(self, files: list[bytes]) -> list[tuple[int, int, np.ndarray, tuple[int, ...]]]:
+        """As ``decode``, and the transforms that each file has."""
         found: dict[int, tuple[Header, list]] = {}
         out: list = [None] * len(files)
         for k, f in enumerate(files):
@@ -526,14 +567,15 @@ class Decoder:
             for (k, _, width, height), p in zip(images, pixels):
                 for kind, own, bits, values in h.undo:
                     if kind == PREDICTOR:
-                        p = _predict(p, own, bits, (values >> np.uint32(8)) & np.uint32(255), True)
+                        modes = (values >> np.uint32(8)) & np.uint32(255)
+                        p = _unpredict_even(p, own, int(modes[0])) if modes[0] in EVEN and (modes == modes[0]).all() else _predict(p, own, bits, modes, True)
                     elif kind == CROSS_COLOUR:
                         p = _cross(p, own, bits, values, True)
                     elif kind == SUBTRACT_GREEN:
                         p = _green(p, 1)
                     else:
                         p = _unpalette(p, own, values)
-                out[k] = (width, height, p)
+                out[k] = (width, height, p, tuple(kind for kind, *_ in h.undo))
         return out
 
 
@@ -544,22 +586,89 @@ def _coded_width(h: Header, width: int) -> int:
     return width
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Transforms that every image of an encoder has, each the same all over the image: ``predictor`` (a mode of EVEN), ``cross`` (colour multipliers as a pixel), ``green``."""
+
+    predictor: int | None = None
+    cross: int | None = None
+    green: bool = False
+
+    BLOCK_BITS = 9  # images of up to 512 pixels a side are one block
+
+    def apply(self, pixels: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """Images of one width, one after another from ``starts`` on."""
+        if self.predictor is not None:
+            pixels = _predict_even(pixels, starts, width, self.predictor)
+        if self.cross is not None:
+            pixels = _cross(pixels, len(pixels), 31, np.array([self.cross], dtype=np.uint32), False)
+        return _green(pixels, -1) if self.green else pixels
+
+    def write(self, w: BitWriter) -> None:
+        for kind, value in ((PREDICTOR, None if self.predictor is None else OPAQUE | self.predictor << 8), (CROSS_COLOUR, self.cross)):
+            if value is not None:
+                w.put(1 | kind << 1, 3)
+                w.put(self.BLOCK_BITS - 2, 3)
+                small_image(w, np.array([value], dtype=np.uint32), False)
+        if self.green:
+            w.put(1 | SUBTRACT_GREEN << 1, 3)
+
+
+def small_image(w: BitWriter, pixels: np.ndarray, main: bool) -> None:
+    """Writes an image by its own prefix codes, all literals."""
+    w.put(0, 1)
+    if main:
+        w.put(0, 1)
+    a, r, g, b = (c.astype(np.int64) for c in channels(pixels))
+    lengths = [code_lengths(np.bincount(c, minlength=size).tolist()) for c, size in ((g, 256 + LENGTH_CODES), (r, 256), (b, 256), (a, 256))]
+    for x in (*lengths, [1] + [0] * (DISTANCE_CODES - 1)):
+        write_lengths(w, x)
+    codes = [canonical(x) for x in lengths]
+    lone = [sum(map(bool, x)) < 2 for x in lengths]
+    for values in zip(g.tolist(), r.tolist(), b.tolist(), a.tolist()):
+        for v, code, length, one in zip(values, codes, lengths, lone):
+            if not one:
+                w.put(code[v], length[v])
+
+
+def palette_file(width: int, height: int, pixels: np.ndarray, colours: np.ndarray) -> bytes:
+    """An image of few colours by a palette, with prefix codes of its own."""
+    w = BitWriter()
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(colours) - 1, 8)
+    small_image(w, _summed(colours, -1), False)
+    w.put(0, 1)
+    small_image(w, _to_palette(pixels, width, colours), True)
+    return riff(width, height, w.value.to_bytes(-(-w.n // 8), "little"))
+
+
+def riff(width: int, height: int, body: bytes) -> bytes:
+    top = SIGNATURE | (width - 1) << 8 | (height - 1) << 22 | 1 << 36
+    data = top.to_bytes(5, "little") + body
+    data += b"\0" * (len(data) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
 class Encoder:
-    """Writes images with prefix codes from ``weights`` (of the 256 sample values), the same for every image."""
+    """Writes images with prefix codes from ``weights`` (of the 256 sample values, or four lists for green, red, blue and alpha), the same for every image."""
 
-    SHORTEST = 4  # pixels of a run
+    SHORTEST = 4  # pixels of a back-reference
+    LONGEST = 4096
 
-    def __init__(self, weights: list[int], cache_bits: int = 7, cache_share: float = 0.3, run_share: float = 0.002):
-        total = sum(weights)
-        self.cache_bits = cache_bits
-        green = [max(1, round(w * 1000)) for w in weights]
+    def __init__(self, weights: list, cache_bits: int = 7, cache_share: float = 0.3, run_share: float = 0.002, plan: Plan = Plan()):
+        channel = [weights] * 4 if isinstance(weights[0], int) else weights
+        total = sum(channel[0])
+        self.cache_bits, self.plan = cache_bits, plan
+        green = [max(1, round(w * 1000)) for w in channel[0]]
         green += [max(1, round(total * 1000 * run_share / LENGTH_CODES))] * LENGTH_CODES
         green += [max(1, round(total * 1000 * cache_share / (1 << cache_bits)))] * ((1 << cache_bits) if cache_bits else 0)
-        byte = [max(1, w) for w in weights]
-        self.lengths = [code_lengths(green, 14), *[code_lengths(byte, 14)] * 3, [0, 1] + [0] * (DISTANCE_CODES - 2)]
+        far = [8 if s < 8 else 4 if 12 < s < 24 else 1 for s in range(DISTANCE_CODES)]  # the pixel before, and distances within an image
+        self.lengths = [code_lengths(green, 14), *[code_lengths([max(1, w) for w in x], 14) for x in channel[1:]], code_lengths(far, 14)]
         self.codes = [np.array(canonical(x), dtype=np.uint64) for x in self.lengths]
         self.sizes = [np.array(x, dtype=np.int64) for x in self.lengths]
-        self.sizes[4][:] = 0  # the lone distance, one pixel back
+        w = BitWriter()
+        self.coding(w, True)
+        self.header_bits = w.n
 
     def coding(self, w: BitWriter, main: bool) -> None:
         w.put(int(self.cache_bits > 0), 1)
@@ -570,18 +679,50 @@ class Encoder:
         for x in self.lengths:
             write_lengths(w, x)
 
+    def costs(self, pixels: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """Bits of each image's header and of its pixels as literals."""
+        a, r, g, b = channels(self.plan.apply(pixels, starts, width))
+        return self.header_bits + np.add.reduceat(sum(size[c] for size, c in zip(self.sizes, (g, r, b, a))), starts)
+
+    def references(self, lane: np.ndarray, pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and distance of stretches that the same image had before: the last earlier place of four equal pixels, as long as the distance holds."""
+        n = len(pixels)
+        none = np.empty(0, dtype=np.int64)
+        if n <= self.SHORTEST:
+            return none, none, none
+        key = lane[: n - 3].astype(np.uint64)
+        for k in range(4):
+            key = (key ^ pixels[k : n - 3 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(31)
+        order = np.argsort(key, kind="stable")
+        a, b = order[:-1], order[1:]
+        same = (key[a] == key[b]) & (lane[a] == lane[b + 3]) & (lane[a + 3] == lane[a])
+        for k in range(4):
+            same &= pixels[a + k] == pixels[b + k]
+        back = np.zeros(n + 1, dtype=np.int64)
+        back[b[same]] = (b - a)[same]
+        edge = np.flatnonzero(np.diff(back, prepend=0))
+        starts, stops = edge[:-1], edge[1:]
+        live = back[starts] > 0
+        starts, stops, far = starts[live], stops[live] + 3, back[starts[live]]
+        out, reach = [], 0
+        for s, e, d in zip(starts.tolist(), stops.tolist(), far.tolist()):
+            s = max(s, reach)
+            while e - s >= self.SHORTEST:
+                k = min(e - s, self.LONGEST)
+                out.append((s, k, d))
+                s += k
+                reach = s
+        found = np.array(out, dtype=np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1], found[:, 2]
+
     def tokens(self, lane: np.ndarray, pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits, their number, and the lane of each symbol of the concatenated images."""
         n = len(pixels)
-        same = np.zeros(n, dtype=bool)
-        same[1:] = (pixels[1:] == pixels[:-1]) & (lane[1:] == lane[:-1])
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        long = ends - starts >= self.SHORTEST
-        starts, ends = starts[long], np.minimum(ends[long], starts[long] + 4096)
+        starts, lengths, far = self.references(lane, pixels)
         inside = np.zeros(n + 1, dtype=np.int32)
         np.add.at(inside, starts, 1)
-        np.add.at(inside, ends, -1)
+        np.add.at(inside, starts + lengths, -1)
         copied = np.cumsum(inside[:-1]) > 0
         _, red, green, blue = channels(pixels)
         alpha = pixels >> np.uint32(24)
@@ -598,11 +739,12 @@ class Encoder:
             hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
             at = 256 + LENGTH_CODES + slot[hit]
             bits[hit], length[hit] = code[0][at], size[0][at]
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            prefix, extra, k = prefix_of(b - a)
-            s = 256 + prefix
-            bits[a] = int(code[0][s]) | extra << int(size[0][s])
-            length[a] = int(size[0][s]) + k
+        for a, k, d in zip(starts.tolist(), lengths.tolist(), far.tolist()):
+            word = used = 0
+            for table, base, (prefix, extra, more) in ((0, 256, prefix_of(k)), (4, 0, prefix_of(2 if d == 1 else d + 120))):
+                word |= (int(code[table][base + prefix]) | extra << int(size[table][base + prefix])) << used
+                used += int(size[table][base + prefix]) + more
+            bits[a], length[a] = word, used
         first = np.zeros(n, dtype=bool)
         first[starts] = True
         keep = ~copied | first
@@ -628,12 +770,6 @@ class Encoder:
         out = out.astype(np.uint8)
         return [out[a : a + -(-u // 8)] for a, u in zip(base.tolist(), used.tolist())]
 
-    def sub_image(self, w: BitWriter, pixels: np.ndarray) -> None:
-        self.coding(w, False)
-        bits, length, _ = self.tokens(np.zeros(len(pixels), dtype=np.int64), pixels)
-        for b, n in zip(bits.tolist(), length.tolist()):
-            w.put(b, n)
-
     def encode(self, images: list[tuple[int, int, np.ndarray]], transforms: tuple = ()) -> list[bytes]:
         """``images``: width, height, ARGB pixels. ``transforms``: (kind, block bits, values) in the order to apply them; values are a block image, or a palette."""
         heads, coded = [], []
@@ -643,17 +779,19 @@ class Encoder:
                 raise ValueError(f"an image of {width} x {height} with {len(pixels)} pixels")
             if plain is None or transforms:
                 w, across = BitWriter(), width
+                if not transforms:
+                    self.plan.write(w)
                 for kind, bits, values in transforms:
                     w.put(1 | kind << 1, 3)
                     if kind in (PREDICTOR, CROSS_COLOUR):
                         w.put(bits - 2, 3)
-                        self.sub_image(w, np.asarray(values, dtype=np.uint32))
+                        small_image(w, np.asarray(values, dtype=np.uint32), False)
                         pixels = _predict(pixels, across, bits, (values >> np.uint32(8)) & np.uint32(255), False) if kind == PREDICTOR else _cross(pixels, across, bits, values, False)
                     elif kind == SUBTRACT_GREEN:
                         pixels = _green(pixels, -1)
                     else:
                         w.put(len(values) - 1, 8)
-                        self.sub_image(w, _summed(values, -1))
+                        small_image(w, _summed(values, -1), False)
                         pixels = _to_palette(pixels, across, values)
                         across = -(-across // (1 << bundle_bits(len(values))))
                 w.put(0, 1)
@@ -661,6 +799,10 @@ class Encoder:
                 plain = w
             heads.append(plain)
             coded.append(pixels)
+        if coded and not transforms and self.plan != Plan():
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in coded])[:-1]))
+            (width,) = {w for w, _, _ in images}
+            coded = np.split(self.plan.apply(np.concatenate(coded), starts, width), starts[1:])
         bodies = self.pixel_bits(coded, [40 + w.n for w in heads]) if coded else []
         out = []
         for (width, height, _), w, body in zip(images, heads, bodies):

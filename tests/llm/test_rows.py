@@ -190,6 +190,153 @@ def test_a_far_back_reference_and_meta_codes():
     assert ((p >> 8) & 255).tolist() == [10, 20, 10, 20, 10, 20]
 
 
+class PlainDecoder:
+    """A second, plain reader of lossless WebP, symbol by symbol; block images must be a single pixel."""
+
+    def __init__(self, data):
+        self.bits, self.at = int.from_bytes(data, "little"), 0
+
+    def take(self, n):
+        out = self.bits >> self.at & (1 << n) - 1
+        self.at += n
+        return out
+
+    def prefix_code(self, lengths):
+        used = [k for k, n in enumerate(lengths) if n]
+        if len(used) < 2:
+            return {(0, 0): used[0] if used else 0}
+        out, code = {}, 0
+        for n in range(1, 16):
+            for k in used:
+                if lengths[k] == n:
+                    out[n, code] = k
+                    code += 1
+            code <<= 1
+        return out
+
+    def symbol(self, code):
+        n = value = 0
+        while (n, value) not in code:
+            value, n = value << 1 | self.take(1), n + 1
+            assert n < 16
+        return code[n, value]
+
+    def read_code(self, size):
+        if self.take(1):
+            two, wide = self.take(1), self.take(1)
+            used = [self.take(8 if wide else 1)] + [self.take(8) for _ in range(two)]
+            return self.prefix_code([int(k in used) for k in range(size)])
+        own = [0] * 19
+        for k in range(4 + self.take(4)):
+            own[[17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15][k]] = self.take(3)
+        assert not self.take(1)
+        code, out, last = self.prefix_code(own), [], 8
+        while len(out) < size:
+            s = self.symbol(code)
+            if s < 16:
+                out.append(s)
+                last = s or last
+            else:
+                out += [last] * (3 + self.take(2)) if s == 16 else [0] * ((3 + self.take(3)) if s == 17 else (11 + self.take(7)))
+        return self.prefix_code(out)
+
+    def value(self, s):
+        return s + 1 if s < 4 else (2 + s % 2 << s // 2 - 1) + self.take(s // 2 - 1) + 1
+
+    def image(self, width, height, main):
+        cache = [0] * (1 << self.take(4)) if self.take(1) else []
+        assert not main or not self.take(1)
+        green, red, blue, alpha, far = (self.read_code(n) for n in (280 + len(cache), 256, 256, 256, 40))
+        out = []
+        slot = lambda p: (p * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - (len(cache).bit_length() - 1)
+        while len(out) < width * height:
+            s = self.symbol(green)
+            if s < 256:
+                r, b, a = self.symbol(red), self.symbol(blue), self.symbol(alpha)
+                new = [a << 24 | r << 16 | s << 8 | b]
+            elif s < 280:
+                n, d = self.value(s - 256), self.value(self.symbol(far))
+                assert d > 120 or d == 2  # the pixel before
+                d = d - 120 if d > 120 else 1
+                period = out[-d:]
+                new = [period[k % d] for k in range(n)]
+            else:
+                new = [cache[s - 280]]
+            out += new
+            for p in new if cache else ():
+                cache[slot(p)] = p
+        return out
+
+    def decode(self):
+        assert self.take(8) == 0x2F
+        width, height = self.take(14) + 1, self.take(14) + 1
+        self.take(4)
+        undo, across = [], width
+        while self.take(1):
+            kind = self.take(2)
+            if kind < 2:
+                assert max(width, height) <= 1 << self.take(3) + 2
+                undo.append((kind, self.image(1, 1, False)[0]))
+            elif kind == 2:
+                undo.append((kind, None))
+            else:
+                n = self.take(8) + 1
+                steps = self.image(n, 1, False)
+                colours = [tuple(sum(c >> s & 255 for c in steps[: k + 1]) & 255 for s in (24, 16, 8, 0)) for k in range(n)]
+                undo.append((kind, colours))
+                each = 8 if n <= 2 else 4 if n <= 4 else 2 if n <= 16 else 1
+                across = -(-width // each)
+        pixels = [tuple(p >> s & 255 for s in (24, 16, 8, 0)) for p in self.image(across, height, True)]
+        signed = lambda x: x - 256 if x > 127 else x
+        for kind, value in reversed(undo):
+            if kind == 2:
+                pixels = [(a, r + g & 255, g, b + g & 255) for a, r, g, b in pixels]
+            elif kind == 1:
+                rb, gb, gr = (signed(value >> s & 255) for s in (16, 8, 0))
+                pixels = [(a, x := r + (gr * signed(g) >> 5) & 255, g, b + (gb * signed(g) >> 5) + (rb * signed(x) >> 5) & 255) for a, r, g, b in pixels]
+            elif kind == 0:
+                mode, out = value >> 8 & 255, []
+                for k, p in enumerate(pixels):
+                    known = (255, 0, 0, 0) if not k else out[-1] if k < width or k % width and mode == 1 else out[-width]
+                    out.append(tuple(x + y & 255 for x, y in zip(p, known)))
+                pixels = out
+            else:
+                wide, each = 8 // (8 if len(value) <= 2 else 4 if len(value) <= 4 else 2 if len(value) <= 16 else 1), width and -(-width // across)
+                pixels = [value[pixels[y * across + x // each][2] >> wide * (x % each) & (1 << wide) - 1] for y in range(height) for x in range(width)]
+        return width, height, pixels
+
+
+def test_stored_files_by_a_second_decoder():
+    rng = random.Random(6)
+    texts = [None, "a", "short one", "x" * 5000, "01AF" * 300, "".join(rng.choices("0123456789ABCDEF", k=900)), "словарь и книга " * 40, "".join(rng.choices("бвгджзклмнпрст", k=500)), "plain words of a text, " * 90, "漢字とかな" * 60]
+    texts += [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(n)) for n in (5, 60, 400)]
+    codec = media.MediaCodec()
+    kinds = set()
+    for t, m, (pixels, told) in zip(texts, codec.store([media.payload_of(t)[1] for t in texts]), codec.read(codec.store([media.payload_of(t)[1] for t in texts]))):
+        got = b""
+        for f in media.split_files(m):
+            width, height, plain = PlainDecoder(f[20:]).decode()
+            assert len(plain) == width * height
+            got += b"".join(bytes((b, g, r, a)) for a, r, g, b in plain)
+        assert got == media.payload_of(t)[1] == pixels.astype("<u4").tobytes()
+        kinds.update(k for x in told for k in x)
+    assert kinds == {webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.PALETTE} or kinds == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("plan", [webp.Plan(0), webp.Plan(1), webp.Plan(2), webp.Plan(green=True), webp.Plan(2, 0x12345678, True), webp.Plan(1, webp.OPAQUE | 0xE0F0)])
+def test_plans_round_trip(plan):
+    rng = np.random.default_rng(5)
+    many = [image(rng, 48, int(rng.integers(1, 32)), int(rng.integers(1, 90))) for _ in range(40)]
+    files = webp.Encoder([1] * 256, plan=plan).encode(many)
+    decoder = webp.Decoder()
+    assert all((a[2] == b[2]).all() for a, b in zip(decoder.decode(files), many)) and len(decoder.headers) == 1
+
+
+def test_every_transform_is_on_the_querys_path(spark):
+    counts = queries.op4_media(spark, "/root/testdata/sf0.01").agg(*[F.sum(c).alias(c) for c in ("n_predictor", "n_cross", "n_green", "n_palette")]).first()
+    assert min(counts) > 0
+
+
 def test_media_reads_back_what_it_stores(docs, spark, sf):
     for rows, texts in ((media.media_round_trip(docs).collect(), TEXTS), (lambda r: (r, [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]))(queries.op4_media(spark, sf).collect())):
         assert len(rows) == len(texts)

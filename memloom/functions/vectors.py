@@ -31,6 +31,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (unit(a) * unit(b))
 
 
+def unit(a: Column) -> Column:
+    """Of length 1; a zero vector stays."""
+    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) == 0, F.lit(1.0)).otherwise(norm(a)))
+
+
 def is_finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 

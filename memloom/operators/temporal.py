@@ -18,9 +18,10 @@ def intervals(facts: DataFrame, slot: tuple[str, ...] = SLOT) -> DataFrame:
     """Adds valid_until (null: open). ``seq``, then ``id``, is the order of arrival."""
     arrival = Window.partitionBy(*slot).orderBy("seq", "id")
     before = F.max("valid_from").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
-    marked = facts.withColumn("_before", before).withColumn("_high", F.col("_before").isNull() | (F.col("valid_from") >= F.col("_before")))
-    # the next record high in order of arrival: the first one after this row
-    following = F.first(F.when(F.col("_high"), F.col("valid_from")), ignorenulls=True).over(arrival.rowsBetween(1, Window.unboundedFollowing))
+    high = F.coalesce(F.col("_before").isNull() | (F.col("valid_from") >= F.col("_before")), F.lit(False))
+    marked = facts.withColumn("_before", before).withColumn("_high", high)
+    # the next record high in order of arrival, among those alone: one row on, whatever lies between
+    following = F.lead("valid_from").over(Window.partitionBy(*slot, "_high").orderBy("seq", "id"))
     return marked.withColumn("valid_until", F.when(F.col("_high"), following).otherwise(F.col("_before"))).drop("_before", "_high")
 
 

@@ -1,6 +1,7 @@
 """The engine's operators on small tables, and at random against plain Python."""
 
 import json
+import os
 import math
 import random
 from collections import Counter
@@ -357,6 +358,7 @@ def test_fact_stream_equals_the_batch(spark, tmp_path):
     rows = [(n, rng.randint(0, 3), "t", None, float(rng.randint(0, 20)), n) for n in range(200)]
     for part in range(4):
         (tmp_path / f"{part}.json").write_text("\n".join(json.dumps(dict(zip("id entity_id fact_type believed_by valid_from seq".split(), r))) for r in rows[part * 50 : part * 50 + 50]))
+        os.utime(tmp_path / f"{part}.json", (1_700_000_000 + part,) * 2)  # the stream takes files by their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
     run = streams.fact_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -242,8 +242,8 @@ def keyword_recall(predicted: Column, keywords: Column) -> Column:
 
 
 def importance(s: Column) -> Column:
-    names = F.size(F.array_distinct(F.regexp_extract_all(_t(s), F.lit(r"\b[A-Z][a-z]{2,}\b"), 0)))
-    numbers = F.size(F.regexp_extract_all(_t(s), F.lit(r"\b\d{2,}\b"), 0))
+    alone = lambda pattern: F.regexp_extract_all(_t(s), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"), 0)
+    names, numbers = F.size(F.array_distinct(alone(r"[A-Z][a-z]{2,}"))), F.size(alone(r"\p{Nd}{2,}"))
     return 1.0 + 0.15 * F.least(names, F.lit(4)) + 0.1 * F.least(numbers, F.lit(3)) + 0.2 * F.least(F.length(_t(s)) / 200.0, F.lit(1.0))
 
 

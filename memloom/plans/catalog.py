@@ -35,14 +35,14 @@ held AS (SELECT id, entity_id, fact_type, value, valid_from, believed_by, source
  UNION ALL SELECT id, entity_id, fact_type, value, valid_from, believed_by, source_memory_id, seq, high FROM b WHERE valid_from<high)"""
 MID = "(SELECT (min(valid_from)+max(valid_from))/2 FROM facts)"
 EDGES = """edges AS (SELECT doc_id AS id, doc_id AS from_id, doc_id+1 AS to_id, ['next','supports','contradicts','refines','related'][CAST(doc_id%5+1 AS INT)] AS relation, (doc_id%10)/10.0 AS weight FROM documents)"""
-MENTIONS = r"""spans AS (SELECT doc_id AS memory_id, source AS user_id, unnest(x) AS entity, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, source, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]', '0', 'g'), '\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\b') AS x FROM documents WHERE lang='en')),
+MENTIONS = r"""spans AS (SELECT doc_id AS memory_id, source AS user_id, unnest(x) AS entity, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, source, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]', '0', 'g'), '\b[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\b') AS x FROM documents)),
 mentions AS (SELECT memory_id, user_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY memory_id, lower(entity) ORDER BY pos) AS n FROM spans WHERE lower(entity) NOT IN ('i','the','a','an','he','she','they','we')) WHERE n=1)"""
 JUDGED = "judged AS (SELECT l.doc_id AS question_id, lang AS category, CAST(quality=1 AS INT) AS a_correct, CAST(toxic=0 AS INT) AS b_correct FROM labels l JOIN documents d ON l.doc_id=d.doc_id)"
 TOKENS = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> '')"
 JOURNAL = """journal AS (
- SELECT 'add' AS op, doc_id AS id, substr(text,1,40) AS content, source AS user_id, NULL::BIGINT AS from_id, NULL::BIGINT AS to_id, NULL AS relation, doc_id*10+1 AS seq FROM documents
+ SELECT 'add' AS op, doc_id AS id, text AS content, source AS user_id, NULL::BIGINT AS from_id, NULL::BIGINT AS to_id, NULL AS relation, doc_id*10+1 AS seq FROM documents
  UNION ALL SELECT 'update', doc_id, NULL, lang, NULL, NULL, NULL, doc_id*10+23 FROM documents WHERE doc_id%4=1
- UNION ALL SELECT 'update', doc_id, lower(substr(text,1,20)), NULL, NULL, NULL, NULL, doc_id*10+45 FROM documents WHERE doc_id%6=1
+ UNION ALL SELECT 'update', doc_id, lower(text), NULL, NULL, NULL, NULL, doc_id*10+45 FROM documents WHERE doc_id%6=1
  UNION ALL SELECT 'delete', doc_id, NULL, NULL, NULL, NULL, NULL, doc_id*10+67 FROM documents WHERE doc_id%9=0
  UNION ALL SELECT 'add_edge', doc_id+1000000000, NULL, NULL, doc_id, doc_id+1, 'next', doc_id*10+34 FROM documents
  UNION ALL SELECT 'delete_edge', doc_id+1000000000, NULL, NULL, NULL, NULL, NULL, doc_id*10+56 FROM documents WHERE doc_id%7=0)"""
@@ -219,9 +219,9 @@ def recency_rerank(s, d):
     return retrieval.recency_rerank(retrieval.dense_topk(m, views.queries(s, d), 20), order, 5)
 
 
-@query(f"WITH {NOTES} SELECT id, round(1.0+0.15*least(len(list_distinct(regexp_extract_all(content, '\\b[A-Z][a-z]{{2,}}\\b'))),4)+0.1*least(len(regexp_extract_all(content, '\\b[0-9]{{2,}}\\b')),3)+0.2*least(length(content)/200.0,1.0), 6) AS importance FROM notes WHERE agent_id='en'")
+@query(f"WITH {NOTES} SELECT id, round(1.0+0.15*least(len(list_distinct(regexp_extract_all(regexp_replace(content, '[^\\x00-\\x7F\\P{{L}}]', '0', 'g'), '\\b[A-Z][a-z]{{2,}}\\b'))),4)+0.1*least(len(regexp_extract_all(regexp_replace(content, '[^\\x00-\\x7F\\P{{L}}]', 'a', 'g'), '\\b[0-9]{{2,}}\\b')),3)+0.2*least(length(content)/200.0,1.0), 6) AS importance FROM notes")
 def importance(s, d):
-    return scan.scope(views.notes(s, d), agent_id="en").select("id", F.round(T.importance(F.col("content")), 6).alias("importance"))
+    return views.notes(s, d).select("id", F.round(T.importance(F.col("content")), 6).alias("importance"))
 
 
 @query(f"""WITH {MEM}, {QRY}, {SCORED.format(rows='memories')}, {BM25.format(rows='memories')}, a AS (SELECT query_id, 0 AS pool, id, rank FROM (SELECT *, {RANK} FROM scored) WHERE rank<=10 UNION ALL SELECT query_id, 1, id, rank FROM (SELECT *, {RANK} FROM bm) WHERE rank<=10),
@@ -748,6 +748,6 @@ def tokenize(s, d):
     return views.table(s, d, "documents").select("doc_id", T.n_tokens(F.col("text")).alias("n"), F.array_join(F.slice(T.tokenize(F.col("text")), 1, 5), " ").alias("first"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text,1,30) || ' </ User_Input > x', '(?i)</?\\s*user_input\\s*>', '[redacted-tag]', 'g') AS clean FROM documents")
+@query("SELECT doc_id, regexp_replace(text || ' </ User_Input > x' || text, '(?i)</?\\s*user_input\\s*>', '[redacted-tag]', 'g') AS clean FROM documents")
 def sanitize(s, d):
-    return views.table(s, d, "documents").select("doc_id", T.sanitized(F.concat(F.substring("text", 1, 30), F.lit(" </ User_Input > x")), "user_input").alias("clean"))
+    return views.table(s, d, "documents").select("doc_id", T.sanitized(F.concat("text", F.lit(" </ User_Input > x"), "text"), "user_input").alias("clean"))

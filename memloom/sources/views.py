@@ -61,8 +61,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """memory_id, user_id, entity: capitalised names in English documents."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """memory_id, user_id, entity: capitalised names in the documents."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("memory_id"), F.col("source").alias("user_id"), F.explode(T.capital_spans(F.col("text"))).alias("entity"))
 
 
@@ -89,9 +89,9 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select(*[c.alias(k) for k, c in (base | own).items()])
 
     parts = [
-        ops(d, op=F.lit("add"), content=F.substring("text", 1, 40), user_id=F.col("source"), seq=i * 10 + 1),
+        ops(d, op=F.lit("add"), content=F.col("text"), user_id=F.col("source"), seq=i * 10 + 1),
         ops(d.where("doc_id % 4 = 1"), op=F.lit("update"), user_id=F.col("lang"), seq=i * 10 + 23),
-        ops(d.where("doc_id % 6 = 1"), op=F.lit("update"), content=F.lower(F.substring("text", 1, 20)), seq=i * 10 + 45),
+        ops(d.where("doc_id % 6 = 1"), op=F.lit("update"), content=F.lower("text"), seq=i * 10 + 45),
         ops(d.where("doc_id % 9 = 0"), op=F.lit("delete"), seq=i * 10 + 67),
         ops(d, op=F.lit("add_edge"), id=i + 1000000000, from_id=i, to_id=i + 1, relation=F.lit("next"), seq=i * 10 + 34),
         ops(d.where("doc_id % 7 = 0"), op=F.lit("delete_edge"), id=i + 1000000000, seq=i * 10 + 56),

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, loose, map_batches, small_batches
+from .common import checkpointed, loose, map_batches, remove, small_batches, written
 from .suffixes import repeated_windows, run_hashes
 
 LENGTH, GRAM = 400, 64
@@ -248,10 +248,12 @@ def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """k1, k2 (of ``_keyed``), first, stop: bytes to remove; spans may overlap."""
     keyed = _keyed(docs)
     small_batches(docs.sparkSession)
-    every = map_batches(keyed.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text"), _regions, REGIONS)
+    # the texts are read once for their regions, which are read twice
+    every, path = written(map_batches(keyed.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text"), _regions, REGIONS))
     # most anchors occur once: only the others' regions are kept
     again = every.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     regions = checkpointed(every.join(loose(again, "anchor"), "anchor", "left_semi"))
+    remove(docs.sparkSession, path)
     kinds = regions.groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("windows").alias("windows"))
     twice = kinds.where("n > 1").select("anchor", "region")
     own = F.coalesce("more", F.array("start", F.col("start") + F.col("windows") - 1 + LENGTH))

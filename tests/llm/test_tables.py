@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memloom.llm import components, ftrl, linededup, queries, simhash, suffixdedup, suffixes
@@ -60,7 +61,9 @@ def test_suffix_dedup_of_odd_texts(spark, most):
     texts += [copy, copy, copy[:700] + "!" + copy[701:], shared[0] * 3]
     ids = [None if n % 7 == 0 else n // 2 for n in range(len(texts))]  # ids repeat
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in zip(ids, texts)], "doc_id bigint, text string, anchor int, k1 string")
-    got = Counter(tuple(r) for r in suffixdedup.suffix_dedup(docs, most).collect())
+    rows = suffixdedup.suffix_dedup(docs, most).collect()
+    assert all(r.has_repeat == (r.n_removed > 0) for r in rows)
+    got = Counter(tuple(r)[:-1] for r in rows)
     assert got == Counter((i, *x) for i, x in zip(ids, slow_dedup(texts)))
     assert suffixdedup.suffix_dedup(docs.limit(0), most).count() == 0
 
@@ -68,7 +71,7 @@ def test_suffix_dedup_of_odd_texts(spark, most):
 def test_suffix_dedup_over_the_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = dict(zip((r.doc_id for r in rows), slow_dedup([r.text for r in rows])))
-    assert {r[0]: tuple(r)[1:] for r in queries.op2_suffix_dedup(spark, sf).collect()} == want
+    assert {r[0]: tuple(r)[1:-1] for r in queries.op2_suffix_dedup(spark, sf).collect()} == want
 
 
 def test_ftrl_learns_words_and_forgets_noise():
@@ -392,3 +395,15 @@ def test_blocks_of_short_lines_go(spark, sf):
                 assert {k for k in range(s, e) if lines[k]} <= got[r.doc_id]
         seen |= {tuple(lines[s:e]) for s, e in runs}
     assert found
+
+
+def test_many_rows_of_one_text_and_no_id(spark):
+    """Rows of one id and text give their regions and spans once, however many they are."""
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400))
+    other = text[:900] + "".join(rng.choices("ijklmnop", k=900))
+    docs = spark.createDataFrame([(None, text)] * 1000 + [(7, other)], "doc_id bigint, text string")
+    spans = suffixdedup.repeated_spans(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    assert max(len(r.spans) for r in spans.collect()) < 100
+    got = suffixdedup.suffix_dedup(docs).groupBy("doc_id", "n_removed", "has_repeat").count().collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.has_repeat, r["count"]) for r in got) == [(0, len(text), 1, 1000), (7, 900, 1, 1)]

@@ -132,9 +132,13 @@ def concat_project(a: Column, b: Column, dim: int, seed: int = 42) -> Column:
     return F.transform(columns, lambda c: dot(both, c))
 
 
+def noise(dim: int, sigma: float = 0.01, seed: int = 42) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, sigma, dim)
+
+
 def mutated(v: Column, dim: int, sigma: float = 0.01, seed: int = 42) -> Column:
-    noise = F.array(*[F.lit(float(x)) for x in np.random.default_rng(seed).normal(0, sigma, dim)])
-    return F.zip_with(v, noise, lambda x, n: x.cast("double") + n)
+    drawn = F.array(*[F.lit(float(x)) for x in noise(dim, sigma, seed)])
+    return F.zip_with(v, drawn, lambda x, n: x.cast("double") + n)
 
 
 def rounded(v: Column, places: int = 6) -> Column:

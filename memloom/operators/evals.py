@@ -58,8 +58,13 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), b.alias("b"), c.alias("c"), F.round(chi, 6).alias("chi2"))
 
 
-def mcnemar_p(chi2: float) -> float:
-    return math.erfc(math.sqrt(max(chi2, 0.0) / 2))
+def mcnemar_p(chi2: Column, places: int = 6) -> Column:
+    """The chance of a chi-square as large with one degree of freedom: erfc of the root of its half, by the power series of erf (exact to ``places`` up to the root 4; beyond, the chance is under 2e-8)."""
+    x = F.sqrt(F.greatest(chi2, F.lit(0.0)) / 2)
+    # each term is the one before times -x^2 / n, over 2n + 1
+    term = lambda acc, n: F.struct((acc["t"] * -x * x / n).alias("t"), (acc["s"] + acc["t"] * -x * x / n / (2 * n + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(x.alias("t"), x.alias("s")), term, lambda acc: acc["s"])
+    return F.when(x >= 4, 0.0).otherwise(F.round(1 - 2 / F.sqrt(F.lit(math.pi)) * series, places) + 0.0)
 
 
 def paired(results: DataFrame) -> DataFrame:
@@ -86,20 +91,26 @@ def macro(results: DataFrame, places: int = 6) -> DataFrame:
     return each.groupBy("config").agg(F.round(F.avg("m"), places).alias("macro"))
 
 
-def bootstrap(values: DataFrame, by: str = "config", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """mean and the 2.5 and 97.5 percentiles of the resampled means of each group's (bounded) metric values."""
+def bootstrap(values: DataFrame, by: str = "config", resamples: int = 1000, seed: int = 42, places: int = 6) -> DataFrame:
+    """mean and the 2.5 and 97.5 percentiles of the resampled means of each group's values, rounded to ``places``.
+
+    Values are counted first, so a task holds a group's distinct values only; a resample is a multinomial draw of their
+    counts, which has the same distribution as drawing row by row.
+    """
     import pandas as pd
 
     ship(values.sparkSession)
 
     def one(rows):
-        v = rows["value"].to_numpy(dtype=float)
-        v.sort()
+        rows = rows.sort_values("value")
+        v, c = rows["value"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=np.int64)
+        n = int(c.sum())
         rng = np.random.default_rng(seed)
-        means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(resamples)])
-        return pd.DataFrame({by: [rows[by].iloc[0]], "mean": [v.mean()], "low": [np.percentile(means, 2.5)], "high": [np.percentile(means, 97.5)], "n": [len(v)]})
+        means = np.array([rng.multinomial(n, c / n) @ v / n for _ in range(resamples)])
+        return pd.DataFrame({by: [rows[by].iloc[0]], "mean": [float(c @ v / n)], "low": [np.percentile(means, 2.5)], "high": [np.percentile(means, 97.5)], "n": [n]})
 
-    return values.select(F.col(by).cast("string").alias(by), F.col("value").cast("double").alias("value")).groupBy(by).applyInPandas(lambda rows: one(rows), f"{by} string, mean double, low double, high double, n bigint")
+    counted = values.select(F.col(by).cast("string").alias(by), F.round(F.col("value").cast("double"), places).alias("value")).groupBy(by, "value").agg(F.count("*").alias("n"))
+    return counted.groupBy(by).applyInPandas(lambda rows: one(rows), f"{by} string, mean double, low double, high double, n bigint")
 
 
 def diversity(sets: DataFrame, places: int = 6) -> DataFrame:
@@ -126,10 +137,28 @@ def extraction_audit(recorded: DataFrame, gold: DataFrame, days: float = 45.0) -
 
 
 def scaling(rows: DataFrame, places: int = 6) -> DataFrame:
-    """rows: size, delta. Their correlation, and the mean delta of the smaller and the larger half."""
-    half = F.percent_rank().over(Window.orderBy("size", "delta"))
-    both = rows.withColumn("_h", half)
-    return both.agg(F.round(F.corr("size", "delta"), places).alias("pearson"), F.round(F.avg(F.when(F.col("_h") < 0.5, F.col("delta"))), places).alias("small_half"), F.round(F.avg(F.when(F.col("_h") >= 0.5, F.col("delta"))), places).alias("large_half"))
+    """rows: size, delta. Their correlation, and the mean delta of the smaller and the larger half, by (size, delta); equal rows are in one half.
+
+    The last row of the smaller half is found in two passes: a bracket of sizes around the middle by an approximate
+    quantile, a ten-thousandth of the rows or so, and the exact place among the bracket's rows; no task orders the table.
+    """
+    n = rows.count()
+    if not n:
+        return rows.agg(*[F.lit(None).cast("double").alias(c) for c in ("pearson", "small_half", "large_half")])
+    last = -(-(n - 1) // 2) - 1 if n > 1 else 0  # place, from 0, of the last row with fewer than half of the others before it
+    near = [min(1.0, max(0.0, last / n + d)) for d in (-0.0002, 0.0002)]
+    low, high = rows.agg(F.percentile_approx("size", near, 100_000)).first()[0]
+    below, upto = rows.agg(F.count_if(F.col("size") < low), F.count_if(F.col("size") <= high)).first()
+    inside = (F.col("size") >= low) & (F.col("size") <= high)
+    if not below <= last < upto:  # the approximation missed: the whole is the bracket
+        inside, below = F.lit(True), 0
+    held = rows.where(inside).groupBy("size", "delta").agg(F.count("*").alias("c"))
+    upto = held.withColumn("upto", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("size", "delta")) + below)
+    cut = upto.where(F.col("upto") > last).orderBy("size", "delta").first()
+    small = (F.col("size") < cut["size"]) | (F.col("size") == cut["size"]) & (F.col("delta") <= cut["delta"])
+    if n == 1:
+        small = F.lit(True)
+    return rows.agg(F.round(F.corr("size", "delta"), places).alias("pearson"), F.round(F.avg(F.when(small, F.col("delta"))), places).alias("small_half"), F.round(F.avg(F.when(~small, F.col("delta"))), places).alias("large_half"))
 
 
 def store_audit(notes: DataFrame, slots: DataFrame) -> DataFrame:
@@ -146,6 +175,50 @@ def histogram(observations: DataFrame, recent: int = 1024, places: int = 6) -> D
     return last.groupBy("name").agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.round(F.avg("value"), places).alias("mean"), F.round(F.avg(new), places).alias("recent_mean"), F.round(F.max(new), places).alias("recent_max"))
 
 
+def newest(errors: DataFrame, n: int = 50) -> DataFrame:
+    """The last ``n`` errors, newest first: a report of so many rows."""
+    return errors.orderBy(F.desc("ts"), F.desc("message")).limit(max(0, n))
+
+
+def error_fingerprint(kind: Column, frames: Column, most: int = 5) -> Column:
+    """Tells errors of one kind from one place, whatever they say: a hash of the kind and the last ``most`` frames (file:line)."""
+    last = F.slice(frames, F.greatest(F.size(frames) - most + 1, F.lit(1)), most)
+    return F.substring(F.sha2(F.concat_ws("|", kind, F.array_join(last, "|")), 256), 1, 16)
+
+
+def operator_scores(scores: DataFrame, places: int = 6) -> DataFrame:
+    """scores: operator, pair_id, and a column for each metric. The mean of each metric by operator, over its pairs."""
+    metrics = [c for c in scores.columns if c not in ("operator", "pair_id")]
+    return scores.groupBy("operator").agg(*[F.round(F.avg(c), places).alias(c) for c in metrics], F.count("*").alias("n"))
+
+
+def operator_intervals(scores: DataFrame, metric: str, **how) -> DataFrame:
+    """scores as for ``operator_scores``. The bootstrap interval of a metric by operator, or by encoder and operator where there are encoders."""
+    by = F.concat_ws("/", "encoder", "operator") if "encoder" in scores.columns else F.col("operator")
+    return bootstrap(scores.select(by.alias("operator"), F.col(metric).alias("value")), "operator", **how)
+
+
+def differing(overlaps: DataFrame, threshold: float = 0.5, places: int = 6) -> DataFrame:
+    """overlaps: operator, jaccard (``diversity`` of each pair). The mean overlap, and the share of pairs below the threshold."""
+    return overlaps.groupBy("operator").agg(F.round(F.avg("jaccard"), places).alias("mean_overlap"), F.round(F.avg((F.col("jaccard") < threshold).cast("double")), places).alias("differing"), F.count("*").alias("n_pairs"))
+
+
+def system_summary(metrics: DataFrame, places: int = 6) -> DataFrame:
+    """metrics: system, ms, and ``retrieval_metrics`` of each query. One row for each system: the mean of each metric, queries, mean milliseconds."""
+    own = [c for c in metrics.columns if c.startswith(("precision_", "hit_")) or c == "mrr"]
+    return metrics.groupBy("system").agg(*[F.round(F.avg(c), places).alias(c) for c in own], F.count("*").alias("total_queries"), F.round(F.avg("ms"), places).alias("mean_ms"))
+
+
+def only_in(found: DataFrame, others: DataFrame) -> DataFrame:
+    """query_id, id of what a search found and another didn't."""
+    return found.select("query_id", "id").join(others.select("query_id", "id"), ["query_id", "id"], "left_anti")
+
+
+def tallies(turns: DataFrame) -> DataFrame:
+    """turns: scope, session, is_gold, text. Of each scope: sessions, turns, turns that hold an answer, tokens."""
+    return turns.groupBy("scope").agg(F.count_distinct("session").alias("n_sessions"), F.count("*").alias("n_turns"), F.count_if("is_gold").alias("n_gold"), F.sum(T.n_tokens(F.col("text"))).alias("n_tokens"))
+
+
 def error_groups(errors: DataFrame) -> DataFrame:
     """errors: fingerprint, ts, message. Count and the latest message of each, most frequent first."""
     return errors.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max_by("message", "ts").alias("last_message")).orderBy(F.desc("n"), "fingerprint")

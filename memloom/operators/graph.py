@@ -27,6 +27,14 @@ def check_links(links: DataFrame, memories: DataFrame) -> DataFrame:
     return both.withColumn("refused", reason).drop("a", "b")
 
 
+def linked(edges: DataFrame, new: DataFrame) -> DataFrame:
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def unlinked(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select("id"), "id", "left_anti").select(*edges.columns)
+
+
 def co_mentions(mentions: DataFrame) -> DataFrame:
     """How many names a memory shares with others: rows of names that two memories or more mention."""
     shared = mentions.groupBy("entity").agg(F.count_distinct("memory_id").alias("n")).where("n > 1")

@@ -72,6 +72,31 @@ def due(memories: DataFrame, threshold: int, by: str = "user_id") -> DataFrame:
     return memories.groupBy(by).count().where(F.col("count") > threshold)
 
 
+def level_counts(rows: DataFrame) -> DataFrame:
+    """level, n: rows of each level of a tree; rows without one are its leaves."""
+    return rows.groupBy(F.coalesce("level", F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
+
+
+def within_budget(scored: DataFrame, tokens: int, by: str = "user_id") -> DataFrame:
+    """The fittest rows of each scope whose sizes fit a budget of tokens; the fittest always, none after the first that overflows."""
+    from .retrieval import budget_take
+
+    placed = scored.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("fitness"), "id")))
+    return budget_take(placed, tokens, by, "_rank", "tokens").drop("_rank", "used")
+
+
+def synthesized(memories: DataFrame, asked: DataFrame, operator: str, dim: int, parents: int) -> DataFrame:
+    """asked: hybrid_id, pos, parent_id. One row for each hybrid whose ``parents`` parents are there and of one owner: their recombined vector, the parents in order, the least trust."""
+    p = memories.select(F.col("id").alias("parent_id"), "user_id", "embedding", "trust")
+    member = F.sort_array(F.collect_list(F.struct("pos", "parent_id", "embedding", "trust", "user_id")))
+    rows = asked.join(p, "parent_id").groupBy("hybrid_id").agg(member.alias("m"))
+    whole = (F.size("m") == parents) & F.forall("m", lambda x: x["user_id"].eqNullSafe(F.col("m")[0]["user_id"]))
+    vectors = F.transform("m", lambda x: x["embedding"])
+    return rows.where(whole).select(
+        "hybrid_id", F.transform("m", lambda x: x["parent_id"]).alias("parents"), V.synthesize(operator, vectors, parents, dim).alias("embedding"), F.array_min(F.transform("m", lambda x: x["trust"])).alias("trust"),
+    )
+
+
 def summary_tree(memories: DataFrame, branching: int = 5, most_levels: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, level, embedding, size, text) and edges (node_id, member_id, weight) of a k-means tree.
 

@@ -60,6 +60,18 @@ def route(new: DataFrame, decisions: DataFrame, candidates: DataFrame, memories:
     return d.select("new_id", action.alias("action"), F.when(action.isin("UPDATE", "DELETE"), F.col("target_id")).alias("target_id"))
 
 
+def resolved(rows: DataFrame, new: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """rows: id, content, trust; new: new_id, content, trust; the others as for ``route``. The rows after the new facts: additions under their own ids, updates in place, deletions gone.
+
+    Of several facts that go to one row, a deletion wins, then the update of the largest id.
+    """
+    routed = route(new.select("new_id", "trust"), decisions, candidates, rows).join(new.select("new_id", "content", F.col("trust").alias("new_trust")), "new_id")
+    added = routed.where("action = 'ADD'").select(F.col("new_id").alias("id"), "content", F.col("new_trust").alias("trust"))
+    hits = routed.where("target_id is not null").groupBy(F.col("target_id").alias("id")).agg(F.bool_or(F.col("action") == "DELETE").alias("_gone"), F.max_by("content", "new_id").alias("_content"))
+    kept = rows.join(hits, "id", "left").where(~F.coalesce("_gone", F.lit(False))).select("id", F.coalesce("_content", "content").alias("content"), "trust")
+    return kept.unionByName(added)
+
+
 def block_append(blocks: DataFrame, additions: DataFrame, cap: int = 2000) -> DataFrame:
     """blocks: name, text; additions: name, added. A line more for each, unless the block would be too long (then it stays and says so)."""
     out = blocks.join(additions, "name", "left")

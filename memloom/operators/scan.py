@@ -65,6 +65,16 @@ def episodic() -> Column:
     return F.col("operator").isNull() | ~F.col("operator").isin(*PROTECTED)
 
 
+def archival(rows: DataFrame) -> DataFrame:
+    """What an agent's archival search and count see: all but its core blocks."""
+    return rows.where(F.col("operator").isNull() | (F.col("operator") != "core_memory"))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """What a listing shows: rows of enough trust, without their vectors."""
+    return public(rows.where(~quarantined()))
+
+
 def record_rules(dim: int) -> dict[str, Column]:
     """The rules that a row to be stored must meet, each true where it is met."""
     c, e, p = F.col("content"), F.col("embedding"), F.col("parents")

@@ -135,6 +135,21 @@ def resolve_entities(statements: DataFrame, entities: DataFrame) -> DataFrame:
     return named.join(known, ["scope", "_name"], "left").withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce(F.col("entity_id").cast("string"), fresh)).drop("_name")
 
 
+def detected(answers: DataFrame, least: float = 0.7) -> DataFrame:
+    """answers: response (a model's detection) and other columns. The facts that were found for sure: a type, a value, and a confidence of ``least`` or more."""
+    f = answers.withColumn("_f", T.parse_fact_detection(F.col("response")))
+    sure = F.col("_f.fact_type").isNotNull() & (F.col("_f.fact_type") != "none") & F.col("_f.value").isNotNull() & (F.col("_f.confidence") >= least)
+    return f.where(sure).select("*", "_f.*").drop("_f")
+
+
+def with_raw_fallback(contexts: DataFrame, raw: DataFrame) -> DataFrame:
+    """contexts: question_id, context of the questions that facts answer; raw: question_id, rank, text found by search. Each question's facts, or else what was found, a line each."""
+    from .retrieval import context
+
+    lines = context(raw, "question_id").withColumnRenamed("context", "_raw")
+    return lines.join(contexts, "question_id", "full").select("question_id", F.coalesce("context", "_raw").alias("context"))
+
+
 def ingest(turns: DataFrame, entities: DataFrame) -> DataFrame:
     """turns: turn_id, scope, seq, session_time, response (a model's statements). The firm ones as facts ready for ``intervals``, at the time that they speak of."""
     said = turns.select("turn_id", "scope", "seq", "session_time", F.posexplode(T.parse_statements(F.col("response"))).alias("n", "s")).where(F.col("s.certainty") == "FIRM")

@@ -537,8 +537,6 @@ _vector_query("vec_single_point", lambda a, b: V.single_point(a, b, 20), "array_
 _vector_query("vec_multi_point", lambda a, b: V.multi_point(a, b, [10, 40]), "array_to_string(list_transform(list_concat(a[1:10], b[11:40], a[41:64]), lambda z: printf('%.6f', round(z,6)+0.0)), ',')")
 MASK = "[" + ", ".join(str(m).lower() for m in V.uniform_mask(64)) + "]"
 _vector_query("vec_uniform", lambda a, b: V.uniform(a, b, V.uniform_mask(64)), SHOW.format(z=f"a, b, {MASK}", e="CASE WHEN z[3] THEN z[1] ELSE z[2] END"))
-_vector_query("vec_concat_project", lambda a, b: V.concat_project(a, b, 64), None)
-_vector_query("vec_mutation", lambda a, b: V.PAIRS["uniform_crossover_with_mutation"](a, b, 64), None)
 
 
 @query("SELECT label, array_to_string(list_transform(list(m ORDER BY pos), lambda z: printf('%.6f', round(z,6)+0.0)), ',') AS centroid FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding,1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label")
@@ -665,11 +663,6 @@ def journal_edges(s, d):
     return journal.replay_edges(views.journal(s, d))
 
 
-@query()
-def state_digest(s, d):
-    return journal.digest(journal.replay(views.journal(s, d)), ("content", "user_id"))
-
-
 @query("SELECT doc_id AS seq, 'chain' AS fault FROM documents WHERE doc_id>=1 AND doc_id%50=0 AND doc_id-1 IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'gap' FROM documents WHERE doc_id>1 AND doc_id-1 NOT IN (SELECT doc_id FROM documents)")
 def chain_gaps(s, d):
     i = F.col("doc_id")
@@ -751,3 +744,6 @@ def tokenize(s, d):
 @query("SELECT doc_id, regexp_replace(text || ' </ User_Input > x' || text, '(?i)</?\\s*user_input\\s*>', '[redacted-tag]', 'g') AS clean FROM documents")
 def sanitize(s, d):
     return views.table(s, d, "documents").select("doc_id", T.sanitized(F.concat("text", F.lit(" </ User_Input > x"), "text"), "user_input").alias("clean"))
+
+
+from . import more  # noqa: E402, F401  (its queries register themselves here)

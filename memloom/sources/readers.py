@@ -13,10 +13,17 @@ CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop",
 UNANSWERABLE = "This question cannot be answered from the conversation."
 
 
+PAIRS = "pairs array<struct<id:string,parent_a:string,parent_b:string,expected_hybrids:array<string>>>"
+
+
 def parent_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file with a list ``pairs`` of {id, parent_a, parent_b, expected_hybrids}."""
-    schema = "pairs array<struct<id:string,parent_a:string,parent_b:string,expected_hybrids:array<string>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("pairs").alias("p")).select("p.*")
+    return pairs_in(spark.read.text(path, wholetext=True).select("value"))
+
+
+def pairs_in(rows: DataFrame) -> DataFrame:
+    """rows: value, the JSON text of such a file."""
+    return rows.select(F.explode(F.from_json("value", PAIRS)["pairs"]).alias("p")).select("p.*")
 
 
 def corpus_texts(pairs: DataFrame, distractors: DataFrame) -> DataFrame:
@@ -39,6 +46,28 @@ def conversation_turns(rows: DataFrame) -> DataFrame:
     return out.select("sample_id", "session", "pos", F.coalesce("session_datetime", F.lit("")).alias("session_datetime"), F.col("t.speaker").alias("speaker"), F.col("t.dia_id").alias("dia_id"), F.coalesce("t.text", F.lit("")).alias("text"), F.col("t.blip_caption").alias("caption"))
 
 
+def dialogue_turns(rows: DataFrame) -> DataFrame:
+    """rows: sample_id, dialog: JSON text of the older shapes, a list of dialogues or a dictionary of them by name. A dialogue is a list of turns, or has one as ``turns``.
+
+    The turns in order of dialogue and place; a list's dialogues go by place, a dictionary's by name, and are numbered by
+    place, or by the digits of the name. Turns without text are left out.
+    """
+    turn = "array<struct<speaker:string,user:string,text:string,clean_text:string,dia:string>>"
+    v = F.parse_json("dialog")
+    listed = F.substring(F.ltrim("dialog"), 1, 1) == "["
+    # a dictionary's dialogues in order of name
+    names = F.when(listed, F.transform(F.sequence(F.lit(0), F.coalesce(F.json_array_length("dialog"), F.lit(0)) - 1), lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("]")))).otherwise(F.transform(F.array_sort(F.json_object_keys("dialog")), lambda k: F.concat(F.lit("."), k)))
+    names = F.when(F.coalesce(F.json_array_length("dialog"), F.lit(1)) > 0, names)
+    each = rows.withColumn("v", v).select("sample_id", "v", F.posexplode(names).alias("place", "name"))
+    at = lambda suffix: F.to_json(F.try_variant_get("v", F.concat(F.lit("$"), "name", F.lit(suffix)), "variant"))
+    inner = each.select("sample_id", "place", "name", F.coalesce(at(".turns"), at("")).alias("turns"))
+    number = F.when(F.col("name").startswith("["), F.col("place")).otherwise(F.coalesce(F.nullif(F.regexp_replace("name", "[^0-9]", ""), F.lit("")), F.lit("0")).cast("int"))
+    out = inner.select("sample_id", "place", number.alias("dia_id"), F.posexplode(F.from_json("turns", turn)).alias("pos", "t"))
+    blank = lambda c: F.when(c != "", c)
+    said = F.coalesce(blank(F.col("t.text")), blank(F.col("t.clean_text")), blank(F.col("t.dia")))
+    return out.select("sample_id", "place", "pos", F.col("dia_id").cast("string").alias("dia_id"), F.coalesce(blank(F.col("t.speaker")), blank(F.col("t.user")), F.lit("unknown")).alias("speaker"), said.alias("text")).where("text is not null")
+
+
 def question_category(number: Column, name: Column) -> Column:
     known = F.lit(None).cast("string")
     for n, c in CATEGORIES.items():
@@ -86,6 +115,18 @@ def checkpoints(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
 
 
+def merged(checkpoints: DataFrame, fingerprint: str, key: str = "question_id") -> DataFrame:
+    """checkpoints: fingerprint, written (a number that rises), key and results. The last result of each key among the checkpoints of one configuration; those of another are passed over."""
+    own = [c for c in checkpoints.columns if c not in ("fingerprint", "written", key)]
+    last = checkpoints.where(F.col("fingerprint") == fingerprint).groupBy(key).agg(F.max_by(F.struct(*own), "written").alias("r"))
+    return last.select(key, "r.*")
+
+
+def left_to_do(asked: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
+    """What a resumed run still has to answer."""
+    return asked.join(done.select(key), key, "left_anti")
+
+
 def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
@@ -102,4 +143,24 @@ def belief_stream(spark: SparkSession, n: int, months: int = 30, base_year: int
     rows = spark.range(n).select(F.col("id").alias("entity"), F.explode(attributes).alias("attribute")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     start = F.pmod(F.crc32(F.concat_ws("/", "entity", "attribute").cast("binary")), F.lit(5)) + F.col("k") * 7
     rows = rows.select("entity", "attribute", F.concat_ws("-", "attribute", F.pmod(F.col("entity") * 31 + F.col("k") * 7, F.lit(97)).cast("string")).alias("value"), start.cast("int").alias("from_idx")).where(F.col("from_idx") < months)
-    return rows.withColumn("until_idx", F.lead("from_idx").over(Window.partitionBy("entity", "attribute").orderBy("from_idx")))
+    return gold_intervals(rows, ("entity", "attribute"), "from_idx", "until_idx")
+
+
+def gold_intervals(changes: DataFrame, slot: tuple[str, ...], start: str, until: str) -> DataFrame:
+    """Each change of a slot holds until the slot's next one; the last is open."""
+    from pyspark.sql import Window
+
+    return changes.withColumn(until, F.lead(start).over(Window.partitionBy(*slot).orderBy(start)))
+
+
+def scripted(spark: SparkSession, facts: int = 100, queries: int = 50) -> tuple[DataFrame, DataFrame]:
+    """A made-up conversation: fact_id, text of facts about people, and query_id, text, relevant (fact ids) of labelled questions. By rule, so the same at every run."""
+    things = F.array(*[F.lit(x) for x in ("city", "food", "hobby", "job", "pet")])
+    i = F.col("id")
+    thing = F.element_at(things, (i % 5 + 1).cast("int"))
+    person = F.concat(F.lit("Person "), (i / 5).cast("bigint").cast("string"))
+    said = spark.range(facts).select(i.alias("fact_id"), F.concat(person, F.lit(" told me that the "), thing, F.lit(" they chose is number "), (i * 37 % 101).cast("string")).alias("text"))
+    step = max(1, facts // max(1, queries))
+    j = i * step
+    asked = F.concat(F.lit("Which "), F.element_at(things, (j % 5 + 1).cast("int")), F.lit(" did Person "), (j / 5).cast("bigint").cast("string"), F.lit(" choose?"))
+    return said, spark.range(queries).where(j < facts).select(i.alias("query_id"), asked.alias("text"), F.array(j).alias("relevant"))

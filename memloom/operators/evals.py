@@ -158,7 +158,7 @@ def scaling(rows: DataFrame, places: int = 6) -> DataFrame:
     small = (F.col("size") < cut["size"]) | (F.col("size") == cut["size"]) & (F.col("delta") <= cut["delta"])
     if n == 1:
         small = F.lit(True)
-    return rows.agg(F.round(F.corr("size", "delta"), places).alias("pearson"), F.round(F.avg(F.when(small, F.col("delta"))), places).alias("small_half"), F.round(F.avg(F.when(~small, F.col("delta"))), places).alias("large_half"))
+    return rows.agg(F.round(F.try_divide(F.covar_pop("size", "delta"), F.stddev_pop("size") * F.stddev_pop("delta")), places).alias("pearson"), F.round(F.avg(F.when(small, F.col("delta"))), places).alias("small_half"), F.round(F.avg(F.when(~small, F.col("delta"))), places).alias("large_half"))
 
 
 def store_audit(notes: DataFrame, slots: DataFrame) -> DataFrame:

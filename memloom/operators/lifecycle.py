@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import checkpointed
 from .scan import episodic
 
 DAY = 86400.0
@@ -26,22 +27,32 @@ def fitness(rows: DataFrame, now: float, half_life_days: float = 30.0, by: str =
     return rows.join(centroid(rows, by), by).withColumn("fitness", F.round(F.log(F.col("access_count") + 1.0) * recency + 0.1 * near, places)).drop("centroid")
 
 
+#: Parts of a scope by fitness, for each whole number of it, that are ordered apart.
+PARTS = 1024
+
+
 def consolidate(scored: DataFrame, most: int, by: str = "user_id") -> DataFrame:
     """Adds ``keep`` and ``pair``: the fittest ``most`` of each scope stay; the others pair up, neighbours in fitness, an odd last one stays single (null).
 
-    Rows of protected kinds take no part and always stay.
+    Rows of protected kinds take no part and always stay. A row's place in its scope is its place among the rows of like
+    fitness and the number of rows in the parts before: no task orders a whole scope, only the counts of its parts.
     """
-    order = Window.partitionBy(by).orderBy(F.desc("fitness"), "id")
     if "operator" not in scored.columns:
         scored = scored.withColumn("operator", F.lit(None).cast("string"))
-    own = Window.partitionBy(by, F.col("_free")).orderBy(F.desc("fitness"), "id")
-    rows = scored.withColumn("_free", episodic()).withColumn("_place", F.row_number().over(own))
-    keep = ~F.col("_free") | (F.col("_place") <= most)
-    worst = F.row_number().over(Window.partitionBy(by, F.col("keep")).orderBy("fitness", "id"))
-    n = F.count("*").over(Window.partitionBy(by, F.col("keep")))
-    out = rows.withColumn("keep", keep).withColumn("_worst", worst).withColumn("_n", n)
+    rows = checkpointed(scored.withColumn("_free", episodic()).withColumn("_part", F.floor(F.col("fitness") * PARTS)))  # read twice
+    before = lambda *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.where("_free").groupBy(by, "_part").agg(F.count("*").alias("_c")).withColumn("_free", F.lit(True))
+    parts = parts.withColumn("_above", F.coalesce(F.sum("_c").over(before(F.desc("_part"))), F.lit(0)))
+    parts = parts.withColumn("_go", F.least(F.greatest(F.col("_above") + F.col("_c") - most, F.lit(0)), F.col("_c")))
+    parts = parts.withColumn("_below", F.coalesce(F.sum("_go").over(before("_part")), F.lit(0))).withColumn("_n", F.sum("_go").over(Window.partitionBy(by)))
+    # part by part, so that a scope of many rows spreads
+    placed = rows.join(parts.drop("_c", "_go"), [by, "_part", "_free"], "left")
+    place = F.row_number().over(Window.partitionBy(by, "_part", "_free").orderBy(F.desc("fitness"), "id")) + F.col("_above")
+    kept = placed.withColumn("keep", ~F.col("_free") | (place <= most))
+    worst = F.row_number().over(Window.partitionBy(by, "_part", "_free", "keep").orderBy("fitness", "id")) + F.col("_below")
+    out = kept.withColumn("_worst", worst)
     pair = F.when(~F.col("keep") & (F.col("_worst") <= F.floor(F.col("_n") / 2) * 2), F.floor((F.col("_worst") - 1) / 2))
-    return out.withColumn("pair", pair).drop("_free", "_place", "_worst", "_n")
+    return out.withColumn("pair", pair).drop("_free", "_part", "_above", "_below", "_n", "_worst")
 
 
 def hybrids(consolidated: DataFrame, operator: str = "frequency_crossover", dim: int = 64, by: str = "user_id") -> DataFrame:
@@ -97,26 +108,68 @@ def synthesized(memories: DataFrame, asked: DataFrame, operator: str, dim: int,
     )
 
 
-def summary_tree(memories: DataFrame, branching: int = 5, most_levels: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, level, embedding, size, text) and edges (node_id, member_id, weight) of a k-means tree.
+#: Rows that are clustered together; a level of more is cut into cells of about so many first.
+CELL = 50_000
+
 
-    A level clusters the one below into max(2, n // branching) groups while it has 2 * branching rows or more; groups of
-    one row are skipped. Levels are few, each a distributed fit; the loop is over levels only.
+def clustered(rows: DataFrame, branching: int, seed: int, cell: int = CELL) -> DataFrame:
+    """rows: id, text, embedding. Adds ``cluster``: k-means groups of about ``branching`` rows each.
+
+    Up to ``cell`` rows are one distributed fit. More are bisected into cells first, a cell of over four times ``cell`` is
+    dealt into parts by id, and each part is clustered in one task: neither the number of centres of a fit nor what a
+    task holds grows with the table.
     """
-    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
+    n = rows.count()
+    points = rows.withColumn("features", array_to_vector("embedding"))
+    if n <= cell:
+        model = KMeans(k=max(2, n // branching), seed=seed, maxIter=10).fit(points.select("features"))
+        return model.transform(points).withColumn("cluster", F.col("prediction").cast("string")).drop("features", "prediction")
+    cells = checkpointed(BisectingKMeans(k=-(-n // cell), seed=seed, maxIter=5).fit(points.select("features")).transform(points).drop("features").withColumnRenamed("prediction", "cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    parts = F.when(F.col("size") <= 4 * cell, F.lit(1)).otherwise(F.ceil(F.col("size") / cell))
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), parts))  # a row for each cell
+
+    def one(group):
+        import numpy as np
+
+        x = np.array(group["embedding"].tolist(), dtype=np.float64)
+        k = min(len(x), max(2, len(x) // branching))
+        rng = np.random.default_rng(seed)
+        centres = x[np.sort(rng.choice(len(x), k, replace=False))]
+        for _ in range(10):
+            own = np.concatenate([np.argmin(((centres**2).sum(axis=1) - 2 * (x[lo : lo + 512] @ centres.T)), axis=1) for lo in range(0, len(x), 512)])
+            counts = np.bincount(own, minlength=k)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        name = f"{group['cell'].iloc[0]}-{group['part'].iloc[0]}-"
+        return group[["id", "text", "embedding"]].assign(cluster=[f"{name}{c}" for c in own.tolist()])
+
+    return dealt.groupBy("cell", "part").applyInPandas(lambda group: one(group), "id string, text string, embedding array<double>, cluster string")
+
+
+def summary_tree(memories: DataFrame, branching: int = 5, most_levels: int = 3, seed: int = 42, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, level, embedding, size, text) and edges (node_id, member_id, weight) of a k-means tree.
+
+    A level clusters the one below into groups of about ``branching`` rows while it has 2 * branching rows or more;
+    groups of one row are skipped. A node's text is made of its first six members'. Levels are few; the loop is over
+    levels only, and each is checkpointed.
+    """
     level_rows = memories.select(F.col("id").cast("string").alias("id"), F.col("content").alias("text"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     nodes = edges = None
     for level in range(1, most_levels + 1):
-        n = level_rows.count()
-        if n < 2 * branching:
+        if level_rows.count() < 2 * branching:
             break
-        model = KMeans(k=max(2, n // branching), seed=seed, maxIter=10).fit(level_rows.select(array_to_vector("embedding").alias("features")))
-        found = model.transform(level_rows.withColumn("features", array_to_vector("embedding"))).select("id", "text", "embedding", "prediction")
-        sizes = found.groupBy("prediction").agg(F.count("*").alias("size"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("id", F.substring("text", 1, 80).alias("t")))), lambda s: s["t"]), 1, 6).alias("texts")).where("size >= 2")
-        made = centroid(found, "prediction").join(sizes, "prediction").select(F.format_string(f"level{level}/%d", "prediction").alias("node_id"), F.lit(level).alias("level"), F.col("centroid").alias("embedding"), "size", F.concat(F.lit("summary of: "), F.array_join("texts", " ; ")).alias("text"))
-        members = found.join(sizes.select("prediction", "size"), "prediction").select(F.format_string(f"level{level}/%d", "prediction").alias("node_id"), F.col("id").alias("member_id"), (1 / F.col("size")).alias("weight"))
+        found = checkpointed(clustered(level_rows, branching, seed, cell))
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("size")).where("size >= 2")
+        first = found.withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where("_n <= 6")
+        texts = first.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.substring("text", 1, 80).alias("t")))), lambda s: s["t"]).alias("texts"))
+        name = F.concat(F.lit(f"level{level}/"), "cluster").alias("node_id")
+        made = checkpointed(centroid(found, "cluster").join(sizes, "cluster").join(texts, "cluster").select(name, F.lit(level).alias("level"), F.col("centroid").alias("embedding"), "size", F.concat(F.lit("summary of: "), F.array_join("texts", " ; ")).alias("text")))
+        members = found.join(sizes, "cluster").select(name, F.col("id").alias("member_id"), (1 / F.col("size")).alias("weight"))
         nodes, edges = (made, members) if nodes is None else (nodes.unionByName(made), edges.unionByName(members))
         level_rows = made.select(F.col("node_id").alias("id"), "text", "embedding")
     return nodes, edges

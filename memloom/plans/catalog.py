@@ -184,7 +184,7 @@ def bm25_topk(s, d):
 
 @query(f"WITH {NOTES}, tok AS (SELECT id, unnest({TOKENS.format('content')}) AS term FROM notes), tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL) SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term")
 def corpus_statistics(s, d):
-    return retrieval.postings(retrieval.words_of(views.notes(s, d))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return retrieval.term_counts(retrieval.words_of(views.notes(s, d)))
 
 
 FUSED = f"""dn AS (SELECT * FROM (SELECT *, {RANK} FROM scored) WHERE rank<=50),

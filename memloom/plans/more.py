@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evals, graph, journal, lifecycle, mutations, retrieval, scan, temporal
-from ..sources import readers, views
+from ..operators import evals, graph, guards, journal, lifecycle, mutations, retrieval, scan, temporal
+from ..sources import models, readers, views
 from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, query
 
 
@@ -624,3 +624,81 @@ def approximate_recall(s, d):
     both = exact.select("query_id", "id").join(near.select("query_id", "id").withColumn("found", F.lit(1)), ["query_id", "id"], "left")
     return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("enough"))
 
+
+
+# ---------------------------------------------------------------- models as callables, and what a service asks
+
+
+def _letters():
+    """A stand-in for an embedding model: shares of five letters."""
+    return lambda texts: [[t.count(c) / len(t) for c in "aeiou"] for t in texts]
+
+
+@query("""SELECT doc_id, array_to_string([printf('%.5f', round(CAST(CAST(CASE WHEN doc_id%9=0 THEN 0 ELSE (length(text)-length(replace(text, c, '')))/length(text) END AS FLOAT) AS DOUBLE), 5)+0.0) FOR c IN ['a','e','i','o','u']], ',') AS v FROM documents""")
+def embedded_texts(s, d):
+    rows = docs(s, d).select("doc_id", F.when(doc() % 9 == 0, "").otherwise(F.col("text")).alias("content"))
+    padded = F.when(F.size("embedding") == 0, F.array_repeat(F.lit(0.0), 5)).otherwise(F.transform("embedding", lambda x: x.cast("double")))
+    return models.embed(rows, _letters).select("doc_id", V.rounded(padded, 5).alias("v"))
+
+
+def _strict_judge():
+    """A stand-in for a judge: right if the gold stands in the answer, half right if its first letter does."""
+
+    def judge(prompts):
+        out = []
+        for p in prompts:
+            gold, answer = p.split("\nGold: ")[1].split("\nLabel:")[0].split("\nAnswer: ")
+            out.append("CORRECT" if gold in answer else "PARTIAL" if gold[0] in answer else "INCORRECT")
+        return out
+
+    return judge
+
+
+@query("""WITH q AS (SELECT doc_id AS question_id, lang AS category, source AS gold FROM documents), a AS (SELECT question_id, 'echo' AS config, category, CASE WHEN question_id%3=0 THEN 0.0 ELSE 1.0 END AS score FROM q UNION ALL SELECT question_id, 'same', category, CASE WHEN gold='src1' THEN 1.0 ELSE 0.5 END FROM q)
+SELECT config, category, round(avg(score), 6) AS mean_score, count(*) AS n FROM a GROUP BY config, category""")
+def judged_systems(s, d):
+    questions = docs(s, d).select(doc().alias("question_id"), F.lit("which source?").alias("question"), F.col("source").alias("gold"), F.col("lang").alias("category"))
+    echo = lambda q: q.select("question_id", F.when(F.col("question_id") % 3 == 0, "I don't know").otherwise(F.concat(F.lit("it is "), "gold", F.lit("."))).alias("answer"))
+    same = lambda q: q.select("question_id", F.lit("src1, s for short").alias("answer"))
+    results = models.compared(questions, {"echo": echo, "same": same}, _strict_judge)
+    return evals.rollup(results).where("category is not null")
+
+
+@query("SELECT event_id, CASE WHEN event_id%97*20000>1048576 THEN 'too large' WHEN event_id%3=0 AND event_id%5<>0 THEN 'no scope' WHEN event_id%3=0 AND event_id%5=0 AND event_id%2=0 THEN 'not confirmed' END AS refused FROM events")
+def request_guards(s, d):
+    e = F.col("event_id")
+    rows = views.table(s, d, "events").select(
+        e, F.when(e % 3 == 0, F.when(e % 6 == 0, "  ")).otherwise("u").alias("user_id"), F.lit(None).cast("string").alias("agent_id"),
+        F.when(e % 5 == 0, "reset").otherwise("search").alias("op"), (e % 97 * 20000).alias("n_bytes"), (e % 2 == 1).alias("confirm"),
+    )
+    return guards.guarded(rows).select("event_id", "refused")
+
+
+@query("""WITH e AS (SELECT event_id AS seq, epoch(ts) AS tm, event_type, user_id, event_id%4=0 AS wr, CASE WHEN event_id%10=1 THEN NULL ELSE 'u' || CAST(user_id%3 AS VARCHAR) END AS owner FROM events),
+n AS (SELECT *, CASE WHEN owner IS NULL THEN (SELECT count(*) FROM e w WHERE w.wr AND w.tm<=e.tm) ELSE (SELECT count(*) FROM e w WHERE w.wr AND w.owner=e.owner AND w.tm<=e.tm) END AS epoch FROM e WHERE NOT wr)
+SELECT seq, row_number() OVER (PARTITION BY owner, event_type, epoch ORDER BY tm, seq)>1 AS hit FROM n""")
+def cache_hits(s, d):
+    e = F.col("event_id")
+    owner = F.when(e % 10 != 1, F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")))
+    rows = views.table(s, d, "events").select(e.alias("seq"), views.epoch(F.col("ts")).alias("at"), F.concat(F.lit(" "), F.upper("event_type")).alias("text"), owner.alias("user_id"), F.lit(None).cast("string").alias("agent_id"), F.lit(10).alias("limit"), F.lit(True).alias("filter_parents"), F.lit("dense").alias("mode"))
+    return guards.cached(rows.where("seq % 4 <> 0"), rows.where("seq % 4 = 0").select("user_id", "agent_id", "at")).select("seq", "hit")
+
+
+@query("""SELECT doc_id AS call_id, CASE doc_id%5 WHEN 1 THEN 'unknown tool fly' WHEN 2 THEN 'arguments are no object' WHEN 3 THEN 'new is missing' END AS error FROM documents""")
+def tool_call_errors(s, d):
+    name = F.when(doc() % 5 == 1, "fly").when(doc() % 5 == 4, "archival_search").otherwise("core_replace")
+    arguments = F.when(doc() % 5 == 2, "[1]").when(doc() % 5 == 4, '{"query": "x"}').when(doc() % 5 == 3, '{"label": "user", "old": "a"}').otherwise('{"label": "user", "old": "a", "new": "b"}')
+    return guards.tool_calls(docs(s, d).select(doc().alias("call_id"), name.alias("name"), arguments.alias("arguments"))).select("call_id", "error")
+
+
+@query(f"WITH {NOTES} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS place, CASE WHEN id%2=0 THEN 'ai' ELSE 'human' END AS role, content FROM notes")
+def chat_history(s, d):
+    n = views.notes(s, d)
+    return guards.chat_history(n.withColumn("metadata", F.when(F.col("id") % 2 == 0, '{"role": "ai"}')))
+
+
+@query(f"""WITH {OPERATOR_SCORES}, e AS (SELECT 'first' AS encoder, operator, near FROM sc UNION ALL SELECT 'second', operator, near/2 FROM sc) SELECT encoder || '/' || operator AS operator, round(avg(round(near, 6)), 6) AS mean, count(*) AS n FROM e GROUP BY encoder, operator""")
+def encoder_intervals(s, d):
+    scores = _operator_scores(s, d)
+    both = scores.withColumn("encoder", F.lit("first")).unionByName(scores.withColumn("encoder", F.lit("second")).withColumn("near", F.col("near") / 2))
+    return evals.operator_intervals(both, "near", resamples=50).select("operator", F.round("mean", 6).alias("mean"), "n")

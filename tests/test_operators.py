@@ -1,9 +1,10 @@
 """The engine's operators on small tables, and at random against plain Python."""
 
 import json
-import os
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -257,6 +258,30 @@ def test_chain_tells_tampering(spark):
     assert sorted(tuple(r) for r in journal.chain_breaks(table).collect()) == [(3, "chain"), (5, "gap")]
 
 
+def test_the_log_file_is_chained_and_its_torn_line_goes(spark, tmp_path):
+    path = str(tmp_path / "ops.jsonl")
+    log = journal.Journal(path)
+    assert log.append([{"op": "add", "id": n, "content": f"text {n} é" * 300} for n in range(50)]) == 50
+    with open(path, "a") as f:
+        f.write('{"op": "torn')
+    assert journal.Journal(path).append([{"op": "delete", "id": 3, "content": None}]) == 51 and log.append([]) == 51
+    lines = [json.loads(x) for x in open(path)]
+    assert journal.verify(lines) == (True, "whole") and [x["seq"] for x in lines] == list(range(1, 52))
+    table = spark.createDataFrame([(x["seq"], x["op"], x["id"], x["content"], x["line_hash"]) for x in lines], "seq long, op string, id long, content string, line_hash string")
+    values = {"op": F.col("op"), "id": F.col("id"), "content": F.col("content")}
+    assert journal.broken_lines(table, values).count() == 0
+    assert {r.seq: r.line_hash for r in journal.chained(table.drop("line_hash"), values).collect()} == {x["seq"]: x["line_hash"] for x in lines}
+    forged = table.withColumn("id", F.when(F.col("seq") == 9, 1).otherwise(F.col("id")))
+    assert [tuple(r) for r in journal.broken_lines(forged.where("seq <> 20"), values).orderBy("seq").collect()] == [(9, "hash"), (21, "gap")]
+    # the log leads from nothing to the state that it replays to
+    state = journal.replay(table.withColumn("user_id", F.lit(None).cast("string")).withColumn("from_id", F.lit(None).cast("long")), columns=("content",))
+    ops = journal.journaled(state.limit(0), state, ("content",))
+    assert sorted(r.seq for r in ops.collect()) == list(range(1, 50)) and {r.op for r in ops.collect()} == {"add"}
+    none = table.limit(0).select("seq", F.lit("x").alias("fault"))
+    assert journal.verified(ops, state, ("content",), none).first().verified
+    assert not journal.verified(ops.limit(0), state.limit(0), ("content",), none).first().verified
+
+
 def test_torn_last_line_is_dropped_and_others_fail(spark):
     torn = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a"')], "n int, value string")
     assert [r.n for r in journal.read_text(torn).collect()] == [1]
@@ -311,10 +336,24 @@ def test_protected_kinds_always_stay(spark):
     assert got == {0: (True, None), 5: (True, None), 4: (True, None), 1: (False, 0), 2: (False, 0), 3: (False, None)}
 
 
-def test_summary_tree_invariants(spark):
+def test_consolidation_by_sorting(spark):
+    rng = random.Random(13)
+    rows = [(n, f"u{min(rng.randrange(6), 3)}", round(rng.choice([0.0, 0.5, rng.random(), 3 * rng.random()]), 6), rng.choice([None, None, "entity"])) for n in range(400)]
+    got = {r.id: (r.keep, r.pair) for r in lifecycle.consolidate(spark.createDataFrame(rows, "id long, user_id string, fitness double, operator string"), 30).collect()}
+    want = {r[0]: (True, None) for r in rows if r[3]}
+    for user in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == user and not r[3]), key=lambda r: (-r[2], r[0]))
+        want |= {r[0]: (True, None) for r in own[:30]}
+        rest = sorted(own[30:], key=lambda r: (r[2], r[0]))
+        want |= {r[0]: (False, k // 2 if k < len(rest) // 2 * 2 else None) for k, r in enumerate(rest)}
+    assert got == want
+
+
+@pytest.mark.parametrize("cell", [1000, 12])
+def test_summary_tree_invariants(spark, cell):
     rng = np.random.default_rng(5)
     m = spark.createDataFrame([(n, f"text {n}", rng.normal(size=4).tolist()) for n in range(60)], "id long, content string, embedding array<double>")
-    nodes, edges = lifecycle.summary_tree(m, 5)
+    nodes, edges = lifecycle.summary_tree(m, 5, cell=cell)
     first = edges.where("node_id like 'level1/%'").groupBy("member_id").count()
     assert first.where("count > 1").count() == 0
     assert all(abs(r.w - 1) < 1e-9 for r in edges.groupBy("node_id").agg(F.sum("weight").alias("w")).collect())
@@ -333,6 +372,23 @@ def test_metrics(spark):
     assert tuple(audit) == (0.5, 1.0, 1.0)
     ci = evals.bootstrap(spark.createDataFrame([("a", float(n % 2)) for n in range(50)], "config string, value double")).first()
     assert ci.low < ci["mean"] == 0.5 < ci.high
+    # a multinomial draw of counts is a draw with replacement: bounds of 1000 resamples lie near each other
+    draw = np.random.default_rng(1)
+    v = draw.random(80).round(6)
+    means = [draw.choice(v, 80).mean() for _ in range(1000)]
+    ci = evals.bootstrap(spark.createDataFrame([("a", float(x)) for x in v], "config string, value double")).first()
+    assert ci["mean"] == pytest.approx(v.mean()) and abs(ci.low - np.percentile(means, 2.5)) < 0.02 and abs(ci.high - np.percentile(means, 97.5)) < 0.02
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 501])
+def test_scaling_by_sorting(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.randint(0, 1 + n // 3), float(rng.randint(0, 3))) for _ in range(n)]
+    got = evals.scaling(spark.createDataFrame(rows, "size int, delta double")).first()
+    small = [d for s, d in rows if n < 2 or sum(x < (s, d) for x in rows) < 0.5 * (n - 1)]
+    large = [d for s, d in rows if n >= 2 and sum(x < (s, d) for x in rows) >= 0.5 * (n - 1)]
+    mean = lambda x: pytest.approx(sum(x) / len(x), abs=1e-6) if x else None
+    assert (got.small_half, got.large_half) == (mean(small), mean(large))
 
 
 # ---------------------------------------------------------------- files and streams
@@ -375,11 +431,89 @@ def test_event_windows(spark, sf):
     assert streams.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count() == streams.sessions(events).agg(F.sum("n")).first()[0]
 
 
-def test_the_rest_stands_without_the_training_subpackage():
+def test_a_long_slot_is_no_loop(spark):
+    began = time.perf_counter()
+    n = 300_000
+    rows = spark.range(n).select(F.col("id"), F.lit(1).alias("entity_id"), F.lit("t").alias("fact_type"), F.lit(None).cast("string").alias("believed_by"), (F.col("id") * 1.0).alias("valid_from"), F.col("id").alias("seq"))
+    for order in ("valid_from", f"{n} - valid_from"):
+        got = temporal.intervals(rows.withColumn("valid_from", F.expr(order)))
+        assert got.where("valid_until is null").count() == 1
+    assert time.perf_counter() - began < 60
+
+
+def test_many_batches_keep_one_best(spark):
+    rng = np.random.default_rng(2)
+    vectors, asked = rng.normal(size=(3000, 8)).round(1), rng.normal(size=(300, 8))
+    owners = [f"u{k % 3}" if k % 4 else None for k in range(3000)]
+    rows = spark.createDataFrame([(k, v.tolist(), o) for k, (v, o) in enumerate(zip(vectors, owners))], "id long, embedding array<float>, user_id string").repartition(3)
+    queries = [(j, q.tolist(), f"u{j % 4}" if j % 2 else None, [j, j + 1] if j % 3 else None) for j, q in enumerate(asked)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        found = retrieval.dense_topk(rows, spark.createDataFrame(queries, "query_id long, embedding array<double>, user_id string, exclude array<long>"), 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(vectors.astype(np.float32).astype(np.float64)) @ unit(asked).T, 6)
+    want = set()
+    for j, _, owner, barred in queries:
+        fit = [k for k in range(3000) if (owner is None or owners[k] == owner) and k not in (barred or ())]
+        for rank, k in enumerate(sorted(fit, key=lambda k: (-scores[k, j], k))[:7], 1):
+            want.add((j, k, rank))
+    assert {(r.query_id, r.id, r.rank) for r in found} == want
+
+
+def test_approximate_search_finds_most(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(4000, 32)))], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(40, 32)))], "query_id long, embedding array<float>")
+    exact, near = ({(r.query_id, r.id) for r in f(rows, asked, 10).collect()} for f in (retrieval.dense_topk, retrieval.approximate_topk))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_mmr_by_hand_over_the_table(spark, sf):
+    from memloom.plans import catalog
+    from memloom.sources import views
+
+    pool = {}
+    found = retrieval.dense_topk(views.memories(spark, sf), views.queries(spark, sf), 30).join(views.memories(spark, sf).select("id", "embedding"), "id")
+    for r in found.collect():
+        pool.setdefault(r.query_id, []).append((r["rank"], r.id, np.array(r.embedding, dtype=np.float64) / np.linalg.norm(np.array(r.embedding, dtype=np.float64))))
+    want = set()
+    for q, rows in pool.items():
+        rows.sort(key=lambda x: x[:2])
+        left, chosen = list(range(len(rows))), []
+        while left and len(chosen) < 10:
+            gain = [0.7 * (1 - c / len(rows)) - 0.3 * max(float(rows[c][2] @ rows[j][2]) for j in chosen) if chosen else 1 - c / len(rows) for c in left]
+            chosen.append(left.pop(int(np.argmax(gain))))
+        want |= {(q, rows[c][1], k) for k, c in enumerate(chosen, 1)}
+    assert {(r.query_id, r.id, r["rank"]) for r in catalog.QUERIES["mmr_choice"](spark, sf).collect()} == want
+
+
+def test_guarded_intervals_by_a_fold_over_the_table(spark, sf):
+    from memloom.plans import catalog
+    from memloom.sources import views
+
+    rows = sorted((r.seq, r.id, (r.entity_id, r.fact_type, r.believed_by), r.valid_from) for r in views.facts(spark, sf).collect())
+    want = fold([(i, slot, start, i % 4) for _, i, slot, start in rows])
+    got = {r.id: r.valid_until for r in catalog.QUERIES["guarded_intervals"](spark, sf).collect()}
+    assert got == {i: None if (x := want.get(i)) is None else round(x, 3) for _, i, _, _ in rows}
+
+
+def test_the_rest_stands_without_the_training_subpackage(tmp_path):
+    """With the folders of the training operators deleted the entry imports, and a query and the store's tests run."""
     import pathlib
     import re
+    import shutil
+    import subprocess
+    import sys
 
     root = pathlib.Path(scan.__file__).parent.parent
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"(from|import)\s+\S*\bllm\b", f.read_text()), f
+    top = root.parent
+    shutil.copytree(top, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.md", "*.json", "*.txt"))
+    said = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q); from memloom.session import local_session; s = local_session(2, 2); assert e.entry(s).count() == 1000"
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "copy", env=clean, check=True, timeout=300)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_store.py", "-x", "-q"], cwd=tmp_path / "copy", env=clean, check=True, timeout=600)

@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,18 +134,27 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def learn(texts: list[str | None], labels: list[int], grams: Grams, rates: Rates) -> Model:
-    """FTRL-proximal over the rows in the given order, ``passes`` times."""
-    z, n = np.zeros(1 << grams.bits), np.zeros(1 << grams.bits)
-    bias_z = bias_n = 0.0
-    known = Words()
+def features(texts: list[str | None], grams: Grams, known: dict[str, int]) -> list[tuple[np.ndarray, float]]:
+    """The slots of each text, once each, and the value that each has."""
     rows = []
     for lo in range(0, len(texts), 256):
-        slots, of = grams.hashed(texts[lo : lo + 256], known)
-        sizes = np.bincount(of, minlength=256)
+        part = texts[lo : lo + 256]
+        slots, of = grams.hashed(part, known)
+        sizes = np.bincount(of, minlength=len(part))
         pair = np.unique((of << grams.bits) | slots)
-        own = np.split((pair & ((1 << grams.bits) - 1)).astype(np.int32), np.searchsorted(pair >> grams.bits, np.arange(1, len(texts[lo : lo + 256]))))
-        rows += [(x, scale(max(1, s))) for x, s in zip(own, sizes)]
+        own = np.split((pair & ((1 << grams.bits) - 1)).astype(np.int32), np.searchsorted(pair >> grams.bits, np.arange(1, len(part))))
+        rows += [(x.copy(), scale(max(1, s))) for x, s in zip(own, sizes)]
+    return rows
+
+
+def learn(texts: list[str | None], labels: list[int], grams: Grams, rates: Rates) -> Model:
+    return learn_from(features(texts, grams, Words()), labels, grams, rates)
+
+
+def learn_from(rows: list[tuple[np.ndarray, float]], labels: list[int], grams: Grams, rates: Rates) -> Model:
+    """FTRL-proximal over the rows' ``features`` in the given order, ``passes`` times."""
+    z, n = np.zeros(1 << grams.bits), np.zeros(1 << grams.bits)
+    bias_z = bias_n = 0.0
     a, b, l1, l2 = rates.alpha, rates.beta, rates.l1, rates.l2
 
     def weights(z, n):
@@ -179,15 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, grams: Grams, rates: Rat
 
     small_batches(docs.sparkSession)
 
-    def train(parts):
-        import pandas as pd
-
-        all_rows = [r for part in parts for r in zip(part["id"], part["text"], part["y"])]
-        all_rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-        model = learn([r[1] for r in all_rows], [int(r[2]) for r in all_rows], grams, rates)
-        yield pd.DataFrame({"slots": [model.slots.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias]})
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows = Words(), []
+        for batch in batches:  # a text is gone when its features are known
+            ids, labels = batch.column("id").to_pylist(), batch.column("y").to_pylist()
+            rows += zip(ids, features(batch.column("text").to_pylist(), grams, known), labels)
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        model = learn_from([r[1] for r in rows], [int(r[2]) for r in rows], grams, rates)
+        yield pa.RecordBatch.from_pydict({"slots": [model.slots.astype(np.int32)], "weights": [model.weights], "bias": [model.bias]})
 
-    made = rows.coalesce(1).mapInPandas(train, "slots array<int>, weights array<double>, bias double").collect()
+    made = rows.coalesce(1).mapInArrow(train, "slots array<int>, weights array<double>, bias double").collect()
     slots, weights, bias = made[0] if made else ([], [], 0.0)
     return Model(grams, np.array(slots, dtype=np.int64), np.array(weights, dtype=np.float64), bias)
 

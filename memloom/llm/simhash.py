@@ -143,13 +143,17 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(keys, fps)
 
 
+def _blocks(bits: list[int]) -> list[list[int]]:
+    """The bits in BUDGET + 1 blocks of like size."""
+    edges = [n * len(bits) // (BUDGET + 1) for n in range(BUDGET + 2)]
+    return [bits[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def _dealt(rows: DataFrame, left: list[list[int]]) -> DataFrame:
     """Rows (key, fp, path) once for each block; ``path`` numbers the way of blocks, ``left`` has the bits that each way leaves."""
     keys = []
     for path, bits in enumerate(left):
-        size = -(-len(bits) // (BUDGET + 1))
-        for n in range(BUDGET + 1):
-            block = bits[n * size : (n + 1) * size]
+        for n, block in enumerate(_blocks(bits)):
             mask = sum(1 << b for b in block)
             mask -= (mask >> 63) << 64  # as a signed long
             cut = F.struct(F.xxhash64(F.col("key"), F.lit(n), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))).alias("key"), F.col("fp"), F.lit(path * (BUDGET + 1) + n).alias("path"))
@@ -158,17 +162,14 @@ def _dealt(rows: DataFrame, left: list[list[int]]) -> DataFrame:
 
 
 def _left(left: list[list[int]]) -> list[list[int]]:
-    out = []
-    for bits in left:
-        size = -(-len(bits) // (BUDGET + 1))
-        out += [bits[: n * size] + bits[(n + 1) * size :] for n in range(BUDGET + 1)]
-    return out
+    """The bits that each way leaves, one block further."""
+    return [[b for b in bits if b not in block] for bits in left for block in _blocks(bits)]
 
 
-def near_links(prints: DataFrame, most: int = MOST, levels: int = 3) -> DataFrame:
+def near_links(prints: DataFrame, most: int = MOST, levels: int = 5) -> DataFrame:
     """u, v: a spanning forest of the links between the distinct values of ``prints.fp``.
 
-    The last level's keys fix 37 of the 64 bits and are joined whatever their size.
+    The last level's keys leave 16 bits at most, so no key holds more than 65,536 fingerprints, whatever the table's size.
     """
     left = [list(range(BITS))]
     rows = prints.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("path"))
@@ -358,7 +359,7 @@ def text_links(classes: DataFrame, meet: int = MEET, levels: int = 3) -> DataFra
 def text_components(rows: DataFrame, signed: DataFrame, meet: int = MEET) -> DataFrame:
     """rid, root of each class of equal shingle sets; classes whose texts are similar have one root. rows: id, version, text; signed: id, version, rid, keys."""
     classes = checkpointed(signed.groupBy("rid").agg(F.min(F.struct("id", "version")).alias("one"), F.first("keys").alias("keys")))
-    met = checkpointed(text_links(classes.select("rid", "keys"), meet))
+    met = text_links(classes.select("rid", "keys"), meet)
     # one text of each class that meets another is fetched
     wanted = checkpointed(met.select("rid").distinct().join(classes, "rid").select("one.id", "one.version"))
     texts = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_WANTED else loose(wanted, "id", "version"), ["id", "version"], "left_semi")

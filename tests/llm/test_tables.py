@@ -1,6 +1,7 @@
 """Operators over whole tables: suffix dedup, classifiers, SimHash, line dedup, components, the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -407,3 +408,140 @@ def test_many_rows_of_one_text_and_no_id(spark):
     assert max(len(r.spans) for r in spans.collect()) < 100
     got = suffixdedup.suffix_dedup(docs).groupBy("doc_id", "n_removed", "has_repeat").count().collect()
     assert sorted((r.doc_id or 0, r.n_removed, r.has_repeat, r["count"]) for r in got) == [(0, len(text), 1, 1000), (7, 900, 1, 1)]
+
+
+# ---------------------------------------------------------------- plain twins of the classifiers and of the pipeline
+
+WRAP = (1 << 64) - 1
+ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+
+
+def slow_features(text, grams):
+    """Each feature's slot, once, and the value that each has: word by word, without arrays."""
+    words = [zlib.crc32(w.encode()) + 1 for w in re.findall(grams.token, (text or "").lower() if grams.lower else text or "")]
+    out = [w * ODD[0] & WRAP for w in words]
+    for n in range(2, grams.longest + 1):
+        for k in range(len(words) - n + 1):
+            run = words[k]
+            for w in words[k + 1 : k + n]:
+                run = run * ODD[1] + w * ODD[2] & WRAP
+            out.append(n if len(set(words[k : k + n])) == 1 else run)
+    for gap in range(2, grams.skip + 2):
+        out += [words[k] * ODD[1] + words[k + gap] * ODD[3] + 1 & WRAP for k in range(len(words) - gap)]
+    slots = {((x ^ x >> 32) * ODD[0] & WRAP) >> 64 - grams.bits for x in out}
+    return sorted(slots), 1 / max(1, len(out)) ** 0.25
+
+
+def slow_ftrl(rows, grams, rates):
+    """Weights by slot, and the bias, of follow-the-regularised-leader row by row and coordinate by coordinate."""
+    z, n = {}, {}
+    bias_z = bias_n = 0.0
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= rates.l1:
+            return 0.0
+        return -(z[k] - math.copysign(rates.l1, z[k])) / ((rates.beta + math.sqrt(n[k])) / rates.alpha + rates.l2)
+
+    for _ in range(rates.passes):
+        for (slots, value), y in rows:
+            own = [weight(k) for k in slots]
+            bias = -bias_z / ((rates.beta + math.sqrt(bias_n)) / rates.alpha)
+            miss = 1 / (1 + math.exp(-max(-35, min(35, bias + sum(own) * value)))) - y
+            for k, w in zip(slots, own):
+                g, before = miss * value, n.get(k, 0.0)
+                n[k] = before + g * g
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(before)) / rates.alpha * w
+            after = bias_n + miss * miss
+            bias_z += miss - (math.sqrt(after) - math.sqrt(bias_n)) / rates.alpha * bias
+            bias_n = after
+    return {k: w for k in z if (w := weight(k))}, -bias_z / ((rates.beta + math.sqrt(bias_n)) / rates.alpha)
+
+
+def slow_scores(texts, labels, learned_from, grams, rates):
+    """The score of every text by a model of the labelled rows outside the held-out fold. texts, labels: by id."""
+    order = sorted((i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    assert len(order) <= learned_from
+    weights, bias = slow_ftrl([(slow_features(texts[i], grams), labels[i]) for i in order], grams, rates)
+    out = {}
+    for i, t in texts.items():
+        slots, value = slow_features(t, grams)
+        out[i] = 1 / (1 + math.exp(-max(-35, min(35, bias + value * sum(weights.get(k, 0.0) for k in slots)))))
+    return out
+
+
+@pytest.mark.parametrize("query, label, grams, rates", [("op5_toxicity", "toxic", ftrl.TOXIC_GRAMS, ftrl.TOXIC_RATES), ("op6_quality", "quality", ftrl.QUALITY_GRAMS, ftrl.QUALITY_RATES)])
+def test_classifier_queries_by_a_plain_twin(spark, sf, query, label, grams, rates):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = slow_scores(texts, labels, ftrl.SAMPLE_ROWS, grams, rates)
+    got = {r.doc_id: r.score for r in queries.QUERIES[query](spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def slow_line_stage(docs):
+    """(id, text) after every run of 40 characters or more that an earlier document has went, with up to two empty lines between; what is left without text goes."""
+    seen, out = set(), []
+    for i, text in sorted(docs):
+        lines = text.split("\n")
+        plain = [x.strip(" ") for x in lines]
+        weighty = [k for k, x in enumerate(plain) if x]
+        runs = []  # from each line of weight to the shortest end, and back from each
+        for k in weighty:
+            e = next((e for e in range(k + 1, len(lines) + 1) if sum(map(len, plain[k:e])) >= linededup.LEAST_CHARS), None)
+            s = next((s for s in range(k, -1, -1) if sum(map(len, plain[s : k + 1])) >= linededup.LEAST_CHARS), None)
+            runs += [(k, e)] * (e is not None) + [(s, k + 1)] * (s is not None)
+        gone = sorted({k for s, e in runs if tuple(plain[s:e]) in seen for k in range(s, e)})
+        for a, b in zip(gone, gone[1:]):
+            if 1 < b - a <= 3 and not any(plain[a + 1 : b]):
+                gone = sorted({*gone, *range(a + 1, b)})
+        seen |= {tuple(plain[s:e]) for s, e in runs}
+        if not gone:
+            out.append((i, text))
+        elif (left := "\n".join(x for k, x in enumerate(lines) if k not in gone)).replace("\n", "").replace("\r", "").replace("\t", "").strip(" "):
+            out.append((i, left))
+    return out
+
+
+def slow_leak(words, item):
+    """The least number of word edits between the item and any stretch of the words: the whole table of the alignment."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in words:
+        new = [0]
+        for k, x in enumerate(item, 1):
+            new.append(min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (w != x)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_the_pipeline_stage_by_stage_by_plain_twins(spark, sf):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scores = slow_scores(docs, labels, ftrl.SAMPLE_ROWS, ftrl.QUALITY_GRAMS, ftrl.QUALITY_RATES)
+    assert all(abs(x - ftrl.QUALITY_FROM) > 1e-6 for x in scores.values())
+    kept = slow_line_stage([(i, t) for i, t in docs.items() if scores[i] >= ftrl.QUALITY_FROM])
+    groups = slow_text_groups([t for _, t in kept])
+    first = {}
+    for g, (i, t) in zip(groups, kept):
+        first[g] = min(first.get(g, (i, t)), (i, t))
+    word = re.compile(r"\w+")
+    items = [word.findall(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {}
+    for i, t in first.values():
+        words = word.findall(t.lower())
+        held = set(words)
+        # an item within a fifth of its words in edits has four fifths of them in the text
+        if not any(m and sum(w in held for w in m) >= 0.8 * len(m) - 1e-9 and slow_leak(words, m) <= int(0.2 * len(m) + 1e-9) for m in items):
+            clean[i] = t
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as f:
+        ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in f if x.strip()}
+    codec = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: hashlib.sha256(",".join(map(str, codec.encode_ordinary(t))).encode()).hexdigest() for i, t in clean.items()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert len(rows) == len(want) and {r.doc_id: r.ids_sha256 for r in rows} == want

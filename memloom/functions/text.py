@@ -59,8 +59,9 @@ def lines(s: Column) -> Column:
 
 def first_of(items: Column, key) -> Column:
     """The items whose key no earlier item has, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    # an array of one, so that the keys are made once and not again for each item
+    both = F.array(F.struct(items.alias("items"), F.transform(items, key).alias("keys")))
+    return F.flatten(F.transform(both, lambda b: F.filter(b["items"], lambda x, i: F.array_position(b["keys"], F.get(b["keys"], i)) == i + 1)))
 
 
 def capital_spans(s: Column) -> Column:

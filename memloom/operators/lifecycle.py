@@ -78,9 +78,10 @@ def synthesis_inputs(memories: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(p, "parent_id").groupBy("hybrid_id").agg(F.count("*").alias("n_parents"), F.count_distinct("user_id").alias("n_owners"), F.min("trust").alias("trust"), F.min(F.struct("trust", "parent_id"))["parent_id"].alias("least_trusted"))
 
 
-def due(memories: DataFrame, threshold: int, by: str = "user_id") -> DataFrame:
-    """Scopes over the threshold, all kinds counted."""
-    return memories.groupBy(by).count().where(F.col("count") > threshold)
+def due(memories: DataFrame, threshold: int, by: str = "user_id", running: DataFrame | None = None) -> DataFrame:
+    """Scopes over the threshold, all kinds counted, but those that a consolidation is ``running`` for."""
+    over = memories.groupBy(by).count().where(F.col("count") > threshold)
+    return over if running is None else over.join(running.select(by), by, "left_anti")
 
 
 def level_counts(rows: DataFrame) -> DataFrame:

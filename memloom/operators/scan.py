@@ -30,6 +30,11 @@ def owned(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.join(a, "id").where(F.col("asker").isNull() | (F.col("user_id") == F.col("asker"))).drop("asker")
 
 
+def fetched(rows: DataFrame, asked: DataFrame, at: float) -> DataFrame:
+    """What an owner's fetch by id shows, held-back rows left out, with the fetch counted: one use more, used last ``at``."""
+    return owned(rows, asked).where(~quarantined()).withColumn("access_count", F.col("access_count") + 1).withColumn("accessed_at", F.lit(float(at)))
+
+
 def tier_of(source: Column) -> Column:
     """A source's trust; an unknown source is an error."""
     found = F.lit(None).cast("int")
@@ -90,7 +95,7 @@ def record_rules(dim: int) -> dict[str, Column]:
         "access_count": F.col("access_count") >= 0,
         "parents_named": F.coalesce(F.forall(p, lambda x: x.isNotNull() & (x.cast("string") != "")), F.lit(True)),
         "parents_kind": (F.coalesce(F.size(p), F.lit(0)) <= 0) | F.col("operator").isNotNull(),
-        "metadata": F.col("metadata").isNull() | (F.coalesce(F.json_object_keys("metadata"), F.array().cast("array<string>")).isNotNull() & (F.coalesce(F.size(F.json_object_keys("metadata")), F.lit(0)) <= MOST_KEYS)),
+        "metadata": F.col("metadata").isNull() | (F.coalesce(F.size(F.json_object_keys("metadata")), F.lit(MOST_KEYS + 1)) <= MOST_KEYS),
     }
 
 
@@ -116,3 +121,14 @@ def edges_of(edges: DataFrame, anchor: Column | int, relation: str | None = None
         edges = edges.where(F.col("relation") == relation)
     out, into = edges.where(F.col("from_id") == anchor), edges.where(F.col("to_id") == anchor)
     return {"out": out, "in": into}.get(direction) if direction != "both" else out.unionByName(into)
+
+
+def edges_for(edges: DataFrame, memories: DataFrame, asked: DataFrame, direction: str = "both") -> DataFrame:
+    """asked: anchor, user_id. The edges of each anchor that is the asker's own (an asker without a name sees all), with the side that the anchor is on."""
+    own = owned(memories.select("id", "user_id"), asked.select(F.col("anchor").alias("id"), "user_id")).select(F.col("id").alias("anchor"))
+    sides = {"out": ("from_id",), "in": ("to_id",), "both": ("from_id", "to_id")}[direction]
+    out = None
+    for side in sides:
+        part = edges.withColumn("anchor", F.col(side)).join(own, "anchor").withColumn("side", F.lit("out" if side == "from_id" else "in"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -702,3 +702,110 @@ def encoder_intervals(s, d):
     scores = _operator_scores(s, d)
     both = scores.withColumn("encoder", F.lit("first")).unionByName(scores.withColumn("encoder", F.lit("second")).withColumn("near", F.col("near") / 2))
     return evals.operator_intervals(both, "near", resamples=50).select("operator", F.round("mean", 6).alias("mean"), "n")
+
+
+# ---------------------------------------------------------------- fetches, links, stores, files
+
+
+@query(f"WITH {NOTES} SELECT n.id, n.access_count+1 AS access_count, 99.0 AS accessed_at FROM notes n JOIN (SELECT item_id AS id, CASE WHEN item_id%2=0 THEN 'src1' END AS asker FROM benchmark) a ON n.id=a.id WHERE (asker IS NULL OR user_id=asker) AND trust>=2")
+def fetched_records(s, d):
+    asked = views.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "src1").alias("user_id"))
+    return scan.fetched(views.notes(s, d), asked, 99.0).select("id", "access_count", "accessed_at")
+
+
+@query(f"""WITH {NOTES}, {EDGES}, a AS (SELECT n.id AS anchor FROM notes n JOIN (SELECT item_id AS id, CASE WHEN item_id%3<>0 THEN 'src' || CAST(item_id%20 AS VARCHAR) END AS asker FROM benchmark) q ON n.id=q.id WHERE asker IS NULL OR user_id=asker)
+SELECT anchor, id, 'out' AS side FROM a JOIN edges ON from_id=anchor UNION ALL SELECT anchor, id, 'in' FROM a JOIN edges ON to_id=anchor""")
+def edges_in_scope(s, d):
+    i = F.col("item_id")
+    asked = views.table(s, d, "benchmark").select(i.alias("anchor"), F.when(i % 3 != 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("user_id"))
+    return scan.edges_for(views.edges(s, d), views.notes(s, d), asked).select("anchor", "id", "side")
+
+
+RULES = ("id", "content_present", "content_size", "content_no_nul", "vector_present", "vector_size", "vector_finite", "access_count", "parents_named", "parents_kind", "metadata")
+
+
+@query(f"SELECT doc_id AS key, CASE doc_id%12 {' '.join(f'WHEN {n + 1} THEN {chr(39)}{r}{chr(39)}' for n, r in enumerate(RULES))} END AS broken FROM documents WHERE doc_id%12<>0")
+def record_rules(s, d):
+    """Each rule broken by rows of its own."""
+    n = doc() % 12
+    v = F.array_repeat(F.lit(0.5), 8)
+    rows = docs(s, d).select(
+        doc().alias("key"), F.when(n != 1, doc().cast("string")).alias("id"),
+        F.when(n == 2, " \n").when(n == 3, F.expr("repeat('x', 100001)")).when(n == 4, F.concat("lang", F.lit("\0"))).otherwise(F.col("lang")).alias("content"),
+        F.when(n == 5, F.array().cast("array<double>")).when(n == 6, F.slice(v, 1, 7)).when(n == 7, F.concat(F.slice(v, 1, 7), F.array(F.lit(float("inf"))))).otherwise(v).alias("embedding"),
+        F.when(n == 8, -1).otherwise(1).alias("access_count"), F.when(n == 9, F.array(F.lit(""))).when(n == 10, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>")).alias("parents"),
+        F.when(n == 9, "simple_average").alias("operator"), F.when(n == 11, "[1]").otherwise('{"a": 1}').alias("metadata"),
+    )
+    # a vector without numbers is of the wrong size as well: the first rule that is broken
+    return scan.split_valid(rows, scan.record_rules(8))[1].select("key", F.col("broken")[0].alias("broken"))
+
+
+@query(f"WITH {MEM}, {QRY}, {SCORED.format(rows='memories')}, r AS (SELECT * FROM (SELECT *, {RANK} FROM scored) WHERE rank<=10+(SELECT count(*) FROM memories WHERE trust<2)), h AS (SELECT query_id, id, score FROM r WHERE id IN (SELECT id FROM memories WHERE trust<2)) SELECT * FROM (SELECT *, {RANK} FROM h) WHERE rank<=10")
+def quarantined_after_search(s, d):
+    return retrieval.search_quarantined(views.memories(s, d), views.queries(s, d), 10, exact=False)
+
+
+@query(f"WITH {NOTES} SELECT user_id, count(*) AS \"count\" FROM notes WHERE user_id NOT IN ('src1', 'src7') GROUP BY user_id HAVING count(*)>2")
+def consolidation_due_once(s, d):
+    running = s.createDataFrame([("src1",), ("src7",)], "user_id string")
+    return lifecycle.due(views.notes(s, d), 2, running=running)
+
+
+@query("WITH t AS (SELECT conv_id, turn, turn//3 AS session FROM conversations) SELECT conv_id AS scope, turn, row_number() OVER (PARTITION BY conv_id ORDER BY 5-session, turn) AS place FROM t")
+def narrated_turns(s, d):
+    t = views.table(s, d, "conversations")
+    return readers.narrated(t.select(F.col("conv_id").alias("scope"), "turn", (5 - F.floor(F.col("turn") / 3)).alias("session"), F.col("turn").alias("pos"))).select("scope", "turn", "place")
+
+
+@query("SELECT doc_id AS entity, attribute, 'As of month ' || CAST(doc_id%30 AS VARCHAR) || ', the ' || attribute || ' of number ' || CAST(doc_id AS VARCHAR) || ' is ' || source || '.' AS text, row_number() OVER (PARTITION BY doc_id%30 ORDER BY doc_id, attribute) AS place FROM documents, (SELECT unnest(['city', 'job']) AS attribute)")
+def belief_talk(s, d):
+    stream = docs(s, d).select(doc().alias("entity"), F.explode(F.array(F.lit("city"), F.lit("job"))).alias("attribute"), F.col("source").alias("value"), (doc() % 30).alias("from_idx"))
+    return readers.belief_talk(stream).select("entity", "attribute", "text", "place")
+
+
+@query("SELECT doc_id, text, CASE WHEN doc_id%2=0 THEN lang END AS lang FROM documents")
+def dumped_and_loaded(s, d):
+    rows = docs(s, d).select("doc_id", "text", F.when(doc() % 2 == 0, F.col("lang")).alias("lang"))
+    return readers.loaded(readers.dumped(rows), "doc_id bigint, text string, lang string")
+
+
+def _store(s, d):
+    from ..store import MemoryStore
+
+    m = views.memories(s, d).select("id", "content", "embedding", "user_id", "agent_id", "created_at", F.lit(None).cast("double").alias("accessed_at"), "access_count", "parents", F.lit("simple_average").alias("operator"), F.lit(None).cast("string").alias("metadata"), "trust")
+    empty = MemoryStore.empty(s)
+    e = views.edges(s, d).join(m.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(m.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    return empty.add(m), e
+
+
+@query(f"""WITH {MEM}, {QRY}, seen AS (SELECT * FROM memories m WHERE trust>=2 AND NOT EXISTS (SELECT 1 FROM (SELECT user_id, unnest(parents) AS p FROM memories) x WHERE x.p=m.id)), {SCORED.format(rows='seen')} SELECT r.query_id, r.id, r.score, r.rank, m.content, m.user_id FROM (SELECT *, {RANK} FROM scored) r JOIN memories m USING (id) WHERE rank<=5""")
+def store_search(s, d):
+    return _store(s, d)[0].search(views.queries(s, d), 5).select("query_id", "id", "score", "rank", "content", "user_id")
+
+
+@query(f"""WITH {MEM}, {EDGES}, live AS (SELECT * FROM memories WHERE id%8<>0 AND user_id<>'src1') SELECT 'memories' AS what, count(*) AS n, sum(access_count) AS used FROM live UNION ALL SELECT 'shown', count(*), sum(access_count) FROM live WHERE trust>=2
+UNION ALL SELECT 'edges', count(*), 0 FROM edges WHERE from_id IN (SELECT id FROM live) AND to_id IN (SELECT id FROM live) AND id%3<>0""")
+def store_changes(s, d):
+    """A store after links, an unlinking, deletions and a reset."""
+    store, edges = _store(s, d)
+    ends = store.memories.select("id", F.struct("user_id", "agent_id").alias("o"))
+    same = edges.join(ends.select(F.col("id").alias("from_id"), F.col("o").alias("a")), "from_id").join(ends.select(F.col("id").alias("to_id"), F.col("o").alias("b")), "to_id")
+    store = store.link(same.where("a = b").drop("a", "b"))
+    from dataclasses import replace
+
+    store = replace(store, edges=edges.select("id", "from_id", "to_id", "relation", "weight", F.lit(None).cast("double").alias("created_at")))
+    store = store.unlink(edges.where("id % 3 = 0").select("id")).delete(store.memories.where("id % 8 = 0").select("id")).reset("src1")
+    count = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"), F.sum("access_count").alias("used"))
+    return count(store.memories, "memories").unionByName(count(store.list(), "shown")).unionByName(count(store.edges.withColumn("access_count", F.lit(0)), "edges"))
+
+
+@query("SELECT source, lang, count(*) AS n, round(avg(n_chars), 3) AS mean FROM documents GROUP BY ALL")
+def report_written(s, d):
+    """A report written as JSON to the shared folder and read again."""
+    import uuid
+
+    from ..session import shared_folder
+
+    path = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
+    readers.write_report(docs(s, d).groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean")), path)
+    return s.read.schema("source string, lang string, n bigint, mean double").json(path)

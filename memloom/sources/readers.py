@@ -146,6 +146,31 @@ def belief_stream(spark: SparkSession, n: int, months: int = 30, base_year: int
     return gold_intervals(rows, ("entity", "attribute"), "from_idx", "until_idx")
 
 
+def belief_talk(stream: DataFrame) -> DataFrame:
+    """The made-up benchmark's changes as told in talk: a session for each month, its turns in order of entity and attribute. entity, attribute, session, place, text."""
+    from pyspark.sql import Window
+
+    said = F.concat(F.lit("As of month "), F.col("from_idx").cast("string"), F.lit(", the "), "attribute", F.lit(" of number "), F.col("entity").cast("string"), F.lit(" is "), "value", F.lit("."))
+    return stream.select("entity", "attribute", F.col("from_idx").alias("session"), F.row_number().over(Window.partitionBy("from_idx").orderBy("entity", "attribute")).alias("place"), said.alias("text"))
+
+
+def dumped(rows: DataFrame) -> DataFrame:
+    """Each row as a line of JSON, nulls shown: value."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def loaded(lines: DataFrame, schema: str) -> DataFrame:
+    """value: lines of JSON, as ``dumped`` writes them. A line that can't be read is an error."""
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def narrated(turns: DataFrame) -> DataFrame:
+    """turns: scope, session, pos and others. place 1.. of each turn of a scope in the telling: session by session."""
+    from pyspark.sql import Window
+
+    return turns.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("session", "pos")))
+
+
 def gold_intervals(changes: DataFrame, slot: tuple[str, ...], start: str, until: str) -> DataFrame:
     """Each change of a slot holds until the slot's next one; the last is open."""
     from pyspark.sql import Window

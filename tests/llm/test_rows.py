@@ -544,3 +544,21 @@ def test_copies_of_a_page_count_once(spark):
     got = html.extract_main_text(page_frame(spark, rows), group=20).collect()
     assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
     assert {r.text for r in got if r.page_id < 1000} == {html.blocks_of(article)[0][0]} and {r.text for r in got if r.page_id == 1000} == {html.blocks_of(other)[0][0]}
+
+
+def test_places_are_those_of_the_text_before_lower_case(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, f"İİİİ x {item.upper()} y"), (2, f"ǅ {item}")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.start, r.stop) for r in decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (7, 7 + len(item)), 2: (2, 2 + len(item))}
+
+
+def test_a_very_long_item():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    edited = list(words)
+    for _ in range(500):
+        edited[rng.randrange(len(edited))] = "changed"
+    block = decontaminate.Items([1], [words])
+    (hits,) = block.search(["before " + " ".join(edited) + " after"], decontaminate.Hashes())
+    assert [h["item_id"] for h in hits] == [1] and 0 < hits[0]["distance"] <= 500

@@ -809,3 +809,35 @@ def report_written(s, d):
     path = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
     readers.write_report(docs(s, d).groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean")), path)
     return s.read.schema("source string, lang string, n bigint, mean double").json(path)
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _folder(s) -> str:
+    import uuid
+
+    from ..session import shared_folder
+
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {HELD} SELECT id, entity_id, fact_type, believed_by, round(valid_from,3) AS valid_from, round(valid_until,3) AS valid_until FROM held")
+def streamed_intervals(s, d):
+    """The facts as a stream, open facts as its state: what the changes come to equals the batch."""
+    from ..streaming import facts as streams
+
+    events = s.readStream.schema(views.table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern: a path that is a file is no folder to a stream
+    changes = streams.drained(streams.fact_changes(views.facts_of(events).select("id", "entity_id", "fact_type", "believed_by", "valid_from", "seq")), _folder(s))
+    return streams.settled(changes).select("id", "entity_id", "fact_type", "believed_by", F.round("valid_from", 3).alias("valid_from"), F.round("valid_until", 3).alias("valid_until"))
+
+
+@query(f"WITH {JOURNAL}, {REPLAY.format(cut='')}")
+def tailed_log(s, d):
+    """The op log written as files, tailed as a stream, and replayed."""
+    from ..streaming import facts as streams
+
+    log, folder = views.journal(s, d), _folder(s)
+    log.write.json(f"{folder}/log")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+    return journal.replay(streams.drained(streams.tail(s, f"{folder}/log", schema), folder))

@@ -46,8 +46,13 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, entity_id, fact_type, value, valid_from, believed_by, source_memory_id, seq (arrival, out of order)."""
+    return facts_of(table(spark, sf_dir, "events"))
+
+
+def facts_of(events: DataFrame) -> DataFrame:
+    """The facts of a table or a stream of events."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("id"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("fact_type"), F.format_string("%.2f", "value").alias("value"), epoch(F.col("ts")).alias("valid_from"),
         F.when(e % 3 != 0, (e % 3).cast("string")).alias("believed_by"), (e % 1000).alias("source_memory_id"), (e * 7919 % 1000003).alias("seq"),
     )

@@ -50,6 +50,19 @@ def fact_changes(facts: DataFrame) -> DataFrame:
     return slots.groupBy("entity_id", "fact_type", "believed_by").applyInPandasWithState(lambda k, p, s: step(k, p, s), CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now, into a table below ``folder`` (which the cluster shares), and reads the table."""
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def settled(changes: DataFrame) -> DataFrame:
+    """The intervals that a stream of changes comes to: a fact's end is the one it was told of, if any."""
+    slot = ("entity_id", "fact_type", "believed_by", "id")
+    return changes.groupBy(*slot).agg(F.max("valid_from").alias("valid_from"), F.max(F.when(~F.isnan("valid_until"), F.col("valid_until"))).alias("valid_until")).withColumn("believed_by", F.nullif("believed_by", F.lit("")))
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events of each kind in tumbling windows; rows later than the watermark are left out. Works on streams and on tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

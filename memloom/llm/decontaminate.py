@@ -6,7 +6,9 @@ k edits, k+1 gaps leave a run of ceil((m-k)/(k+1)) words or more untouched, so a
 to three words) with the item is out; each shared run places one window of the item's size. Each window goes through the
 CGK walk (a random bit for each step and word says whether to move on), which turns few edits into few differing
 places; ``REPEATS`` times, ``SAMPLED`` places of the walk are compared with the items' own walks. Windows that agree
-with an item in one repeat are checked by an exact bit-parallel alignment of the whole item, with free ends.
+with an item in one repeat are checked by an exact bit-parallel alignment of the whole item, with free ends. An item of
+more than ``PIECE`` words is looked for by its pieces of so many: if it is held, one of them is within its share of edits,
+and a walk stays true over a piece.
 
 At a share ``DIFFER`` of differing places, a window at the edge of the budget is found with probability
 1 - (1 - (1 - DIFFER)**SAMPLED)**REPEATS, over 0.98 with the defaults; fewer edits are found more often, and each shared
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import filter_rows, map_batches
 
-SIMILARITY, RUN = 0.8, 3
+SIMILARITY, RUN, PIECE = 0.8, 3, 64
 SAMPLED, REPEATS, DIFFER = 3, 30, 0.5
 #: Items, and characters of items, of a block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20
@@ -148,27 +150,32 @@ class Items:
 
     def __post_init__(self):
         known = Hashes()
-        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         hashes = [np.array([known[x] for x in w], dtype=np.uint64) for w in self.words]
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: sorted hashes, their items and offsets, a bitmap
+        # pieces: item, first word, words; the last piece of a long item ends with it
+        pieces = [(k, min(lo, max(0, len(w) - PIECE)), min(len(w), PIECE)) for k, w in enumerate(self.words) for lo in range(0, max(1, len(w)), PIECE)]
+        self.item_of, self.first, self.sizes = (np.array(x, dtype=np.int64) for x in (zip(*pieces) if pieces else ((), (), ())))
+        start = np.searchsorted(self.item_of, np.arange(len(self.words)))  # of an item's pieces
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: sorted hashes, their pieces and offsets, a bitmap
         for n in sorted({run_length(len(w), self.similarity) for w in self.words}):
             own = [k for k, w in enumerate(self.words) if run_length(len(w), self.similarity) == n]
             h = [run_hashes(hashes[k], n) for k in own]
             every, item = np.concatenate(h), np.repeat(own, [len(x) for x in h])
-            offset = np.concatenate([np.arange(len(x)) for x in h])
+            place = np.concatenate([np.arange(len(x)) for x in h])
+            piece = start[item] + place // PIECE
+            offset = place - self.first[piece]
             order = np.argsort(every, kind="stable")
             bitmap = np.zeros(1 << 22, dtype=bool)
             bitmap[(every >> np.uint64(42)).astype(np.int64)] = True
-            self.runs[n] = (every[order], item[order], offset[order], bitmap)
-        self.signatures: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: items, signatures
+            self.runs[n] = (every[order], piece[order], offset[order], bitmap)
+        self.signatures: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: pieces, signatures
         for m in np.unique(self.sizes).tolist():
             own = np.flatnonzero(self.sizes == m)
-            self.signatures[m] = (own, walk(np.stack([hashes[k] for k in own]), REPEATS, SAMPLED))
+            self.signatures[m] = (own, walk(np.stack([hashes[self.item_of[p]][self.first[p] : self.first[p] + m] for p in own]), REPEATS, SAMPLED))
 
     def windows(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the words ``h`` (of texts ``of``) and sizes of the windows that a shared run puts on an item."""
+        """Places in the words ``h`` (of texts ``of``) and sizes of the windows that a shared run puts on a piece."""
         starts, sizes = [], []
-        for n, (every, item, offset, bitmap) in self.runs.items():
+        for n, (every, piece, offset, bitmap) in self.runs.items():
             r = run_hashes(h, n)
             hit = np.flatnonzero(bitmap[(r >> np.uint64(42)).astype(np.int64)] & (of[: len(r)] == of[n - 1 :]))
             lo, hi = np.searchsorted(every, r[hit]), np.searchsorted(every, r[hit], side="right")
@@ -176,12 +183,12 @@ class Items:
             at = np.repeat(hit, count)
             k = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             starts.append(at - offset[k])
-            sizes.append(self.sizes[item[k]])
+            sizes.append(self.sizes[piece[k]])
         pair = np.unique((np.concatenate(starts) << SIZE_BITS) + np.concatenate(sizes)) if starts else np.empty(0, np.int64)
         return pair >> SIZE_BITS, pair & ((1 << SIZE_BITS) - 1)
 
     def candidates(self, h: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
-        """(place of the window, item) where a repeat of the walk agrees."""
+        """(place of the window, piece) where a repeat of the walk agrees."""
         starts, sizes = self.windows(h, of)
         found = []
         for m, (own, theirs) in self.signatures.items():
@@ -220,20 +227,22 @@ class Items:
             h = np.array([x for w in words for x in map(known.__getitem__, w)], dtype=np.uint64)
             of = np.repeat(np.arange(len(words)), counts)
             tried: dict[tuple[int, int], list[int]] = {}
-            for s, k in self.candidates(h, of):
-                d = int(of[min(max(s + len(self.words[k]) // 2, 0), len(of) - 1)])
-                tried.setdefault((d, k), []).append(s - int(base[d]))
+            for s, p in self.candidates(h, of):
+                d = int(of[min(max(s + int(self.sizes[p]) // 2, 0), len(of) - 1)])
+                tried.setdefault((d, int(self.item_of[p])), []).append(s - int(self.first[p]) - int(base[d]))
             for (d, k), places in sorted(tried.items()):
                 item, most = self.words[k], budget(len(self.words[k]), self.similarity)
-                best, done = None, None
-                for s in sorted(places):
+                best, stretches = None, []
+                for s in sorted(places):  # stretches that touch are aligned together
                     a, b = max(0, s - most), s + len(item) + most
-                    if done is not None and a < done:
-                        a = max(0, min(a, done - len(item) - most))
-                    got = align(item, words[d][a:b], most)
+                    if stretches and a <= stretches[-1][1]:
+                        stretches[-1][1] = max(b, stretches[-1][1])
+                    else:
+                        stretches.append([a, b])
+                for a, b in stretches:
+                    got = align(item, words[d][a : max(0, b)], most)
                     if got and (best is None or (got[0], a + got[1]) < best):
                         best = (got[0], a + got[1])
-                    done = b
                 if best:
                     # the stretch's start: the same alignment backwards from its end
                     end = best[1]

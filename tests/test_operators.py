@@ -462,6 +462,35 @@ def test_many_batches_keep_one_best(spark):
     assert {(r.query_id, r.id, r.rank) for r in found} == want
 
 
+def test_bm25_by_hand(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("a b c d e f g h i".split(), weights=[30, 20, 9, 5, 3, 2, 1, 1, 1], k=rng.randint(0, 12))) for _ in range(120)]
+    asked = {1: "a b b zz", 2: "H i", 3: "zz", 4: "", 5: "e f g a a a"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string").repartition(3)
+    queries = spark.createDataFrame([*asked.items()], "query_id long, text string")
+    bags = [Counter(t.split()) or Counter({f"own {k}": 1}) for k, t in enumerate(texts)]
+    sizes = [sum(b.values()) for b in bags]
+    n, mean = len(bags), sum(sizes) / len(bags)
+    df = Counter(w for b in bags for w in b)
+    idf = {w: math.log((n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    weight = {w: x if x >= 0 else floor for w, x in idf.items()}
+    scores = {q: {k: round(sum(weight[w] * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * s / mean)) for w in text.lower().split() if w in b), 6) for k, (b, s) in enumerate(zip(bags, sizes)) if any(w in b for w in text.lower().split())} for q, text in asked.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for fill in (False, True):
+            want = set()
+            for q, own in scores.items():
+                every = own | ({k: 0.0 for k in range(n) if k not in own} if fill else {})
+                want |= {(q, k, r) for r, k in enumerate(sorted(every, key=lambda k: (-every[k], k))[:9], 1)}
+            assert {(r.query_id, r.id, r["rank"]) for r in retrieval.bm25_topk(docs, queries, 9, fill=fill).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.query_id, r.id): r.score for r in retrieval.bm25_scores(docs, queries).collect()}
+    assert got == pytest.approx({(q, k): s for q, own in scores.items() for k, s in own.items()}, abs=2e-6)
+    assert retrieval.bm25_topk(docs.limit(0), queries, 5).count() == retrieval.bm25_topk(docs, queries.limit(0), 5).count() == 0
+
+
 def test_approximate_search_finds_most(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(4000, 32)))], "id long, embedding array<float>")

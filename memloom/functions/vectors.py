@@ -33,7 +33,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Of length 1; a zero vector stays."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) == 0, F.lit(1.0)).otherwise(norm(a)))
+    # an array of one, so that the norm is taken once and not again for each number
+    both = F.array(F.struct(a.alias("a"), norm(a).alias("n")))
+    return F.flatten(F.transform(both, lambda b: F.transform(b["a"], lambda x: x.cast("double") / F.when(b["n"] == 0, F.lit(1.0)).otherwise(b["n"]))))
 
 
 def is_finite(v: Column) -> Column:

@@ -273,6 +273,14 @@ def store_audit(s, d):
     return evals.store_audit(notes, t.select("scope").distinct().select("scope", F.lit("user").alias("old"), F.lit("assistant").alias("new")))
 
 
+# ---------------------------------------------------------------- facts of very large slots
+
+
+@query(f"WITH {HELD} SELECT id, entity_id, round(valid_from,3) AS valid_from, round(valid_until,3) AS valid_until FROM held")
+def spread_intervals(s, d):
+    return temporal.spread_intervals(views.facts(s, d), 100_000).select("id", "entity_id", F.round("valid_from", 3).alias("valid_from"), F.round("valid_until", 3).alias("valid_until"))
+
+
 # ---------------------------------------------------------------- facts from turns
 
 TOWNS = ("Rome", "Oslo", "Lima")

@@ -431,6 +431,15 @@ def test_event_windows(spark, sf):
     assert streams.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count() == streams.sessions(events).agg(F.sum("n")).first()[0]
 
 
+@pytest.mark.parametrize("span", [1, 7, 50, 1000])
+def test_spread_intervals_equal_the_plain_ones(spark, span):
+    rng = random.Random(span)
+    rows = [(n, rng.randint(0, 2), "t", rng.choice([None, "x"]), float(rng.randint(0, 30)) if rng.random() < 0.97 else None, rng.randrange(400)) for n in range(300)]
+    facts = spark.createDataFrame(rows, "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long")
+    plain = {r.id: r.valid_until for r in temporal.intervals(facts).collect()}
+    assert {r.id: r.valid_until for r in temporal.spread_intervals(facts, span).collect()} == plain
+
+
 def test_a_long_slot_is_no_loop(spark):
     began = time.perf_counter()
     n = 300_000

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, loose, map_batches, small_batches
+from .common import checkpointed, loose, map_batches, remove, small_batches, written
 from .components import components
 
 WORDS, BUDGET, BITS = 3, 3, 64
@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct values of one group that differ in at most ``budget`` bits; the rows are sorted by (group, value).
+    """Index pairs of one group's values that differ in at most ``budget`` bits; the rows are sorted by (group, value).
 
     A node of a group's trie is a range of its sorted values that share their leading bits. All node pairs of a depth
-    are held as arrays and descend together; a pair of single values is settled by one population count.
+    are held as arrays and descend together; a pair of single values is settled by one population count. Ranges that are
+    left below the last bit hold equal values: all their pairs count.
     """
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     bounds = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, np.int64)
@@ -97,6 +98,9 @@ def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> tu
             found.append((i[near], j[near]))
             rest = ~single
             a, b, c, d, err = a[rest], b[rest], c[rest], d[rest], err[rest]
+    for w, x, y, z in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()):
+        i, j = np.triu_indices(x - w, 1) if w == y else np.indices((x - w, z - y)).reshape(2, -1)
+        found.append((i + w, j + y))
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
@@ -212,10 +216,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 #: Words of a shingle, least Jaccard similarity of the shingle sets, and bits that two fingerprints of such texts differ in at most.
 TEXT_WORDS, SIMILARITY, TEXT_BUDGET = 5, 0.8, 24
-#: Keys of a text, each of so many least hashes: at a similarity of 0.8 two texts share one key of 16 in 0.9998 of all cases, two in 0.997, three in 0.98.
+#: Keys of a text, each of so many least hashes: at a similarity of 0.8 two texts share one key of 16 in 0.9998 of all cases.
 KEYS, ROWS = 16, 4
-#: Texts of one key that meet, and all that a task compares at a time.
-MEET, MEET_GRAMS = 1024, 16 << 20
+#: Texts, and hashes of their shingles, that a task compares with each other at a time.
+MEET, MEET_GRAMS = 256, 8 << 20
+#: Rounds in which a large key's texts are held against a leader before the rest are compared block by block.
+ROUNDS = 4
 #: Classes whose ids are broadcast to fetch their texts; beyond that they are joined by a shuffle.
 MOST_WANTED = 1_000_000
 _SALT = np.random.default_rng(7).integers(1, 1 << 63, (2, KEYS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -262,28 +268,34 @@ def _class(h: np.ndarray) -> int:
 
 def _signatures(batch: dict) -> dict:
     sets = [grams_of(t) for t in batch["text"]]
-    return {"id": batch["id"], "version": batch["version"], "rid": [_class(h) for h in sets], "keys": [least_hashes(h) for h in sets]}
+    return {"id": batch["id"], "version": batch["version"], "rid": [_class(h) for h in sets], "n": [len(h) for h in sets], "keys": [least_hashes(h) for h in sets]}
 
 
 def _grams(batch: dict) -> dict:
     sets = [grams_of(t) for t in batch["text"]]
     fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
-    return {"rid": [_class(h) for h in sets], "fp": fps, "grams": [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in sets]}
+    return {"rid": [_class(h) for h in sets], "fp": fps, "grams": [h.tobytes() for h in sets]}
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of two sets (sorted, distinct) is ``least`` or more."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
-        return False
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets (sorted, distinct); two empty ones are the same."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
     at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-    return both >= least * (len(a) + len(b) - both) - 1e-9
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
 
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sets is ``least`` or more; sizes too far apart settle it."""
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 and jaccard(a, b) >= least - 1e-9
 
-def verified(key: np.ndarray, fp: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+
+def verified(key: np.ndarray, fp: np.ndarray, grams: list[np.ndarray], tied: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs of similar texts of one key that connect all that can be connected; the rows are sorted by (key, fp).
 
-    Pairs come from the trie join, nearest fingerprints first; those that are connected already aren't compared again.
+    The trie join's pairs come first, nearest fingerprints first: they connect nearly all. Whatever pairs of a key are
+    still apart are then compared too, so no budget of bits decides. ``tied`` rows of a key are connected beforehand.
     """
     i, j = trie_pairs(key, fp, TEXT_BUDGET)
     root = list(range(len(fp)))
@@ -294,78 +306,141 @@ def verified(key: np.ndarray, fp: np.ndarray, grams: list[np.ndarray]) -> list[t
             x = root[x]
         return x
 
-    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist() if len(key) else []
+    if tied is not None:
+        for lo, hi in zip(bounds, bounds[1:]):
+            own = lo + np.flatnonzero(tied[lo:hi])
+            for x in own.tolist():
+                root[x] = int(own[0])
     found = []
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
+
+    def compare(a: int, b: int) -> None:
         x, y = top(a), top(b)
         if x != y and similar(grams[a], grams[b]):
             root[max(x, y)] = min(x, y)
             found.append((a, b))
+
+    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        compare(a, b)
+    for lo, hi in zip(bounds, bounds[1:]):
+        if len({top(x) for x in range(lo, hi)}) > 1:
+            by_size = sorted(range(lo, hi), key=lambda x: len(grams[x]))
+            for k, a in enumerate(by_size):
+                for b in by_size[k + 1 :]:
+                    if len(grams[a]) < SIMILARITY * len(grams[b]) - 1e-9:
+                        break  # all further ones are larger still
+                    compare(a, b)
     return found
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, rid, grams) come sorted by key and fp; they are compared in parts of whole keys, or of MEET rows of a larger key, each tied to the part before by its first row."""
+    """Rows (key, tied, fp, rid, grams) come sorted by key; whole keys are compared, about MEET rows or one key at a time."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
-        key, fp = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64)
+        key, fp = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
         order = np.lexsort((fp, key))
-        grams = [np.frombuffer(rows[k][3], dtype=np.uint32) for k in order.tolist()]
-        pairs = verified(key[order], fp[order], grams)
-        u, v = ([rows[order[p[side]]][2] for p in pairs] for side in (0, 1))
+        grams = [np.frombuffer(rows[k][4], dtype=np.uint64) for k in order.tolist()]
+        pairs = verified(key[order], fp[order], grams, np.array([rows[k][1] for k in order.tolist()]))
+        u, v = ([rows[order[p[side]]][3] for p in pairs] for side in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     rows: list[tuple] = []
-    size = of_key = 0
-    leader = None
+    size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            fresh = not rows or row[0] != rows[-1][0]
-            of_key = 1 if fresh else of_key + 1
-            if fresh:
-                leader = row
-            if rows and (fresh and (len(rows) >= MEET or size >= MEET_GRAMS) or of_key > MEET or size >= 4 * MEET_GRAMS):
+            if rows and row[0] != rows[-1][0] and (len(rows) >= MEET or size >= MEET_GRAMS):
                 yield links(rows)
-                rows, size, of_key = ([], 0, 1) if fresh else ([leader], len(leader[3]) // 4, 2)
+                rows, size = [], 0
             rows.append(row)
-            size += len(row[3]) // 4
+            size += len(row[4]) // 8
     if rows:
         yield links(rows)
 
 
-def text_links(classes: DataFrame, meet: int = MEET, levels: int = 3) -> DataFrame:
-    """classes: rid, keys. key, rid: texts that meet by a key that others have too.
+def _apart(batch: dict) -> dict:
+    """Jaccard distances to the keys' leaders."""
+    sets = [[np.frombuffer(x, dtype=np.uint64) for x in batch[c]] for c in ("grams", "lead")]
+    return {c: batch[c] for c in ("key", "rid", "n", "leader")} | {"apart": [1 - jaccard(a, b) for a, b in zip(*sets)]}
 
-    A key of more than ``meet`` texts is dealt again by each of the texts' later keys.
+
+def _parts(size: F.Column, n: F.Column, meet: int) -> F.Column:
+    """The parts of like size that some texts are cut into, so that two parts can meet in a task."""
+    return F.greatest(F.ceil(size / max(meet // 2, 1)), F.ceil(n / (MEET_GRAMS // 2)), F.lit(1)).cast("int")
+
+
+def _small(meet: int) -> F.Column:
+    return (F.col("size") <= meet) & (F.col("total") <= MEET_GRAMS)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Keys of two texts or more: key, size, total (of the texts' hashes)."""
+    return rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+
+
+def blocks(dealt: DataFrame, grams: DataFrame, meet: int = MEET, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """dealt: key, rid, n. Links (u, v) that are known, and blocks (key, tied, rid) of texts that are to be compared in whole; together they settle every pair of every key.
+
+    A small key is one block. A large key's texts are held against one of them, its leader: those within 0.2 (in
+    Jaccard distance, a metric) are linked by it. A text within 0.4 may still be similar to some of these, no nearer to
+    the leader than its own distance less 0.2; both meet in blocks of parts. One that is further off can't be. What is not
+    linked goes on without the rest, under another leader; after ``rounds`` of them, in blocks of all pairs of parts.
     """
-    rows = classes.select(F.lit(0).cast("bigint").alias("key"), F.lit(-1).alias("last"), "rid", "keys")
-    met = []
-    for level in range(levels):
-        dealt = rows.select("key", "last", "rid", F.posexplode("keys").alias("pos", "own")).where("pos > last").select(F.xxhash64("key", "own").alias("key"), F.col("pos").alias("last"), "rid")
-        size = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        now = checkpointed(dealt.join(loose(size, "key"), "key"))
-        most = F.lit(True) if level == levels - 1 else F.col("size") <= meet
-        met.append(now.where(most).select("key", "rid"))
-        hot = now.where(~most)
-        if level == levels - 1 or hot.isEmpty():
+    links, met, near = [], [], 1 - SIMILARITY
+    block = lambda *parts: F.xxhash64("key", *[F.lit(x) if isinstance(x, (str, int)) else x for x in parts])
+    part = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    rest = dealt
+    for k in range(rounds + 1):
+        now = checkpointed(rest.join(loose(_sized(rest), "key"), "key"))
+        met.append(now.where(_small(meet)).select(block("whole", k).alias("key"), F.lit(False).alias("tied"), "rid"))
+        rest = now.where(~_small(meet))
+        if rest.isEmpty():
+            break
+        if k == rounds:
+            cut = rest.withColumn("parts", _parts(F.col("size"), F.col("total"), meet)).withColumn("own", part(F.col("parts")))
+            pairs = cut.select("key", "rid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+            met.append(pairs.select(block("all", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.lit(False).alias("tied"), "rid"))
             break
-        rows = hot.select("key", "last", "rid").join(loose(classes, "rid"), "rid").select("key", "last", "rid", "keys")
-    out = met[0]
+        leaders = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", F.lit(k)), "rid"))["rid"].alias("rid"))
+        lead = leaders.join(loose(grams.select("rid", "grams"), "rid"), "rid").select("key", F.col("rid").alias("leader"), F.col("grams").alias("lead"))
+        held = rest.select("key", "rid", "n").join(loose(grams.select("rid", "grams"), "rid"), "rid").join(loose(lead, "key"), "key")
+        far = checkpointed(map_batches(held.select("key", "rid", "n", "leader", "grams", "lead"), _apart, "key bigint, rid bigint, n bigint, leader bigint, apart double"))
+        linked = F.col("apart") <= near + 1e-9
+        links.append(far.where(linked & (F.col("rid") != F.col("leader"))).select(F.col("rid").alias("u"), F.col("leader").alias("v")))
+        ring = far.where(~linked & (F.col("apart") <= 2 * near + 1e-9))
+        rings = ring.groupBy("key").agg(F.min("apart").alias("nearest"), F.count("*").alias("ring_size"), F.sum("n").alias("ring_total"))
+        close = far.where(linked).join(loose(rings, "key"), "key").where(F.col("apart") >= F.col("nearest") - near - 1e-9)
+        sides = close.groupBy("key", "ring_size", "ring_total").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+        sides = checkpointed(sides.select("key", _parts(F.col("size"), F.col("total"), meet).alias("a"), _parts(F.col("ring_size"), F.col("ring_total"), meet).alias("b")))
+        if not sides.isEmpty():
+            to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+            one = close.select("key", "rid").join(loose(sides, "key"), "key").select("key", "rid", part(F.col("a")).alias("own"), to_all("b")).select(block("ring", k, F.col("own"), F.col("other")), F.lit(True), "rid")
+            two = ring.select("key", "rid").join(loose(sides, "key"), "key").select("key", "rid", part(F.col("b")).alias("own"), to_all("a")).select(block("ring", k, F.col("other"), F.col("own")), F.lit(False), "rid")
+            met.append(one.union(two).toDF("key", "tied", "rid"))
+        rest = far.where(~linked).select("key", "rid", "n")
+    every = met[0]
     for x in met[1:]:
-        out = out.unionByName(x)
-    return out
+        every = every.union(x)
+    known = dealt.sparkSession.createDataFrame([], "u bigint, v bigint")
+    for x in links:
+        known = known.union(x)
+    return known, every
 
 
 def text_components(rows: DataFrame, signed: DataFrame, meet: int = MEET) -> DataFrame:
-    """rid, root of each class of equal shingle sets; classes whose texts are similar have one root. rows: id, version, text; signed: id, version, rid, keys."""
-    classes = checkpointed(signed.groupBy("rid").agg(F.min(F.struct("id", "version")).alias("one"), F.first("keys").alias("keys")))
-    met = text_links(classes.select("rid", "keys"), meet)
+    """rid, root of each class of equal shingle sets; classes whose texts are similar have one root. rows: id, version, text; signed: id, version, rid, n, keys."""
+    spark = rows.sparkSession
+    classes = checkpointed(signed.groupBy("rid").agg(F.min(F.struct("id", "version")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    dealt = classes.select("rid", "n", F.posexplode("keys").alias("pos", "own")).select(F.xxhash64("pos", "own").alias("key"), "rid", "n")
+    dealt = checkpointed(dealt.join(loose(_sized(dealt).select("key"), "key"), "key"))
     # one text of each class that meets another is fetched
-    wanted = checkpointed(met.select("rid").distinct().join(classes, "rid").select("one.id", "one.version"))
+    wanted = checkpointed(dealt.select("rid").distinct().join(classes, "rid").select("one.id", "one.version"))
     texts = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_WANTED else loose(wanted, "id", "version"), ["id", "version"], "left_semi")
-    grams = map_batches(texts.select("text"), _grams, "rid bigint, fp bigint, grams binary").dropDuplicates(["rid"])
-    links = met.join(loose(grams, "rid"), "rid").select("key", "fp", "rid", "grams").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "u bigint, v bigint")
-    roots = components(links)
+    grams, path = written(map_batches(texts.select("text"), _grams, "rid bigint, fp bigint, grams binary").dropDuplicates(["rid"]))
+    known, met = blocks(dealt, grams, meet)
+    compared = met.join(loose(grams, "rid"), "rid").select("key", "tied", "fp", "rid", "grams").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u bigint, v bigint")
+    roots = components(known.union(compared))
+    remove(spark, path)
     return loose(classes.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root")), "rid")
 
 
@@ -374,9 +449,7 @@ def one_of_each(docs: DataFrame, meet: int = MEET) -> DataFrame:
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs
     connect. Candidates share a key of least hashes and are joined by the trie over the fingerprints of their sets; the
-    sets themselves decide, by 32 bits of each hash. A key of more than ``meet`` texts is dealt again by their other
-    keys; beyond the third such level a key's texts are compared in parts of MEET, in order of fingerprint, each with the
-    key's first text.
+    sets themselves decide, by 64 bits of each hash. Every pair of a key is settled, however many texts share it (see ``blocks``).
 
     Of several rows of the smallest id, one of the least text hash stays; a group without ids leaves one row; texts
     without words are one group. Rows travel once; an empty table gives no rows.
@@ -384,7 +457,7 @@ def one_of_each(docs: DataFrame, meet: int = MEET) -> DataFrame:
     version = F.xxhash64("text")
     id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
     rows = docs.select(id_.alias("id"), version.alias("version"), "text")
-    signed = checkpointed(map_batches(rows, _signatures, "id bigint, version bigint, rid bigint, keys array<bigint>"))
+    signed = checkpointed(map_batches(rows, _signatures, "id bigint, version bigint, rid bigint, n bigint, keys array<bigint>"))
     of = text_components(rows, signed, meet)
     least = signed.select("id", "version", "rid").join(of, "rid").groupBy("root").agg(F.min(F.struct("id", "version")).alias("x")).select("x.id", "x.version")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), version.alias("version"))

@@ -224,15 +224,50 @@ def test_one_of_each_over_the_whole_table(spark):
     assert sorted((r.doc_id, False) for r in simhash.one_of_each(rows).collect()) == want
 
 
-def test_parts_of_a_large_key_hold_together():
-    """A key of more than MEET texts is compared in parts, each with the first text."""
-    import pyarrow as pa
-
-    grams = np.arange(50, dtype=np.uint32)
-    n = 3 * simhash.MEET
-    batch = pa.RecordBatch.from_pydict({"key": [1] * n, "fp": list(range(n)), "rid": list(range(n)), "grams": [grams.tobytes()] * n})
-    links = [x for b in simhash._compare(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns))]
-    assert len(links) == n - 1 and simhash.forest(n, *(np.array(x) for x in zip(*links))).max() == 0
+def test_long_texts_with_one_word_changed_are_near_copies(spark):
+    """Their fingerprints are often equal though the sets differ."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(50):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(4000)] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    prints = [simhash.majority(simhash.grams_of(t)) for _, t in rows]
+    assert any(a == b for a, b in zip(prints[::2], prints[1::2]))
+    assert sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == list(range(0, 100, 2))
+
+
+@pytest.mark.parametrize(("meet", "rounds"), [(16, 0), (16, 1), (40, 4), (1000, 4)])
+def test_every_pair_of_a_large_key_is_settled(spark, meet, rounds):
+    """Chains of sets, each similar to the next but not to the one after it, beside groups that are far off, under one key."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for base in range(4):
+        for k in range(60):
+            lo = base * 100_000 + 9 * k if base < 2 else base * 100_000
+            x = np.arange(lo, lo + 100, dtype=np.uint64)
+            if base >= 2:
+                x[rng.choice(100, 7, replace=False)] += np.uint64(50_000 + 100 * k)
+            sets.append(np.unique(x))
+    n = len(sets)
+    i, j = np.triu_indices(n, 1)
+    near = np.array([simhash.similar(sets[a], sets[b]) for a, b in zip(i, j)])
+    want = simhash.forest(n, i[near], j[near])
+    dealt = spark.createDataFrame([(7, k, len(x)) for k, x in enumerate(sets)], "key bigint, rid bigint, n bigint")
+    grams = spark.createDataFrame([(k, int(rng.integers(8)), bytearray(x.tobytes())) for k, x in enumerate(sets)], "rid bigint, fp bigint, grams binary")
+    known, met = simhash.blocks(dealt, grams, meet, rounds)
+    compared = met.join(grams, "rid").select("key", "tied", "fp", "rid", "grams").repartition("key").sortWithinPartitions("key").mapInArrow(simhash._compare, "u bigint, v bigint")
+    links = np.array([tuple(r) for r in known.union(compared).collect()], dtype=np.int64).reshape(-1, 2)
+    assert all(simhash.similar(sets[a], sets[b]) for a, b in links)
+    assert (simhash.forest(n, links[:, 0], links[:, 1]) == want).all() and len(set(want.tolist())) == 4
+
+
+def test_equal_values_pair_in_the_trie():
+    rng = random.Random(2)
+    values = sorted(rng.choice([5, 5, 7, 1 << 63, (1 << 63) + 3, rng.getrandbits(64)]) for _ in range(80))
+    i, j = simhash.trie_pairs(np.zeros(80, np.int64), np.array(values, dtype=np.uint64))
+    assert sorted(tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())) == [(a, b) for a in range(80) for b in range(a + 1, 80) if (values[a] ^ values[b]).bit_count() <= 3]
 
 
 @pytest.mark.parametrize("most", [2048, 3])

@@ -6,11 +6,13 @@ before; earlier-dated arrivals are born closed at the latest start known then. B
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpointed
+from ..session import checkpointed, ship
 
 SLOT = ("entity_id", "fact_type", "believed_by")
 
@@ -54,35 +56,176 @@ def normalized_intervals(facts: DataFrame, slot: tuple[str, ...] = SLOT) -> Data
     return facts.withColumn("valid_until", F.lead("valid_from").over(Window.partitionBy(*slot).orderBy("valid_from", "seq", "id")))
 
 
-def guarded_intervals(facts: DataFrame) -> DataFrame:
-    """As ``intervals``, but a fact of lower ``trust`` can't close one of higher trust: both stay open.
+#: Rows of a slot that one task folds; a slot of more is cut into so many parts of like size, in order of arrival.
+SLOT_ROWS, SLOT_PARTS = 100_000, 256
+_NONE = float("-inf")
+
+
+class _Open:
+    """The open facts of a slot, for each trust by start."""
+
+    def __init__(self):
+        self.by_trust: dict[int, list[tuple[float, int]]] = {}
+
+    def add(self, start: float, trust: int, fact: int) -> None:
+        heapq.heappush(self.by_trust.setdefault(trust, []), (start, fact))
+
+    def close(self, start: float, trust: int) -> tuple[list[int], float | None]:
+        """The facts of no higher trust that began by ``start`` (they end there), and the earliest start of those that begin later."""
+        closed, cap = [], None
+        for level, held in self.by_trust.items():
+            if level > trust:
+                continue
+            while held and held[0][0] <= start:
+                closed.append(heapq.heappop(held)[1])
+            if held and (cap is None or held[0][0] < cap):
+                cap = held[0][0]
+        return closed, cap
+
+    def rows(self) -> list[tuple[float, int, int]]:
+        return [(start, trust, fact) for trust, held in self.by_trust.items() for start, fact in held]
+
+
+def _arrivals(rows):
+    rows = rows.sort_values(["seq", "id"], kind="stable")
+    return zip(rows["id"].tolist(), rows["valid_from"].tolist(), rows["trust"].tolist(), rows["closes"].tolist())
 
-    A slot's rows are folded in order of arrival, so this holds one slot in memory at a time.
+
+def _folded(rows, state) -> dict[int, float | None]:
+    """until of each fact that is closed or capped by a part's arrivals, from the facts that were open before."""
+    opened, until = _Open(), {}
+    for start, trust, fact in state:
+        opened.add(start, trust, fact)
+    for fact, start, trust, closes in _arrivals(rows):
+        cap = None
+        if closes:
+            closed, cap = opened.close(start, trust)
+            until.update(dict.fromkeys(closed, start))
+        if cap is None:
+            opened.add(start, trust, fact)
+        else:
+            until[fact] = cap
+    return until
+
+
+def _part_states(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """slot, part, start, trust, id: the facts that are open when a part of a slot begins.
+
+    For each trust t, let top be the latest start among the open facts of no higher trust. An arrival of no higher trust
+    makes it max(top, start); a closing one of higher trust makes it none if top <= start, whatever else is open. So a
+    part turns a top x into d if x <= c and leaves it as it is otherwise: two numbers, which can be put in a row.
+    A fact is born open if its trust's top isn't later than its start, so the tops before a part say which of its facts
+    it leaves open; what the parts' latest closing starts don't reach goes on to the next part.
     """
+    import numpy as np
     import pandas as pd
 
-    def fold(rows):
-        rows = rows.sort_values(["seq", "id"])
-        start, rank = rows["valid_from"].tolist(), rows["trust"].tolist()
-        until: list[float | None] = [None] * len(rows)
-        opened: list[int] = []
-        for n, s in enumerate(start):
-            cap, still = None, []
-            for p in opened:
-                if rank[n] < rank[p]:
-                    still.append(p)
-                elif start[p] <= s:
-                    until[p] = s
-                else:
-                    still.append(p)
-                    cap = start[p] if cap is None else min(cap, start[p])
-            until[n] = cap
-            opened = still + ([n] if cap is None else [])
-        return pd.DataFrame({"id": rows["id"], "valid_until": pd.Series(until, index=rows.index, dtype="float64")})
-
-    slots = facts.select("id", "seq", "valid_from", "trust", *SLOT)
-    closed = slots.groupBy(*SLOT).applyInPandas(lambda rows: fold(rows), "id bigint, valid_until double")
-    return facts.join(closed.withColumn("valid_until", F.when(~F.isnan("valid_until"), F.col("valid_until"))), "id")
+    at = np.array(levels)
+    of = {t: k for k, t in enumerate(levels)}
+    key = ("slot", "part")
+
+    def moved(top, trust: int, start: float, closes: bool):
+        lower = at >= trust
+        return np.where((lower | closes) & (top <= start), np.where(lower, start, _NONE), top)
+
+    def turned(keys, own):
+        c, d = np.full(len(at), _NONE), np.full(len(at), _NONE)
+        for _, start, trust, closes in _arrivals(own):
+            d = moved(d, trust, start, closes)
+            c = np.where((at >= trust) | closes, np.maximum(c, start), c)
+        return pd.DataFrame({"slot": [keys[0]], "part": [keys[1]], "c": [c.tolist()], "d": [d.tolist()]})
+
+    def tops(own):
+        top, out = np.full(len(at), _NONE), []
+        for row in own.sort_values("part").itertuples():
+            out.append((row.slot, row.part, top.tolist()))
+            top = np.where(top <= np.array(row.c), np.array(row.d), top)
+        return pd.DataFrame(out, columns=["slot", "part", "top"])
+
+    def left_open(keys, own, before):
+        opened, top, reach = _Open(), np.array(before["top"].iloc[0]), np.full(len(at), _NONE)
+        for fact, start, trust, closes in _arrivals(own):
+            if closes:
+                opened.close(start, trust)
+                reach = np.where(at <= trust, np.maximum(reach, start), reach)
+            if not closes or top[of[trust]] <= start:
+                opened.add(start, trust, fact)
+            top = moved(top, trust, start, closes)
+        starts, trusts, facts = (list(x) for x in zip(*opened.rows())) if opened.rows() else ([], [], [])
+        return pd.DataFrame({"slot": [keys[0]], "part": [keys[1]], "reach": [reach.tolist()], "starts": [starts], "trusts": [trusts], "facts": [facts]})
+
+    def handed_on(own):
+        opened, out = [], []
+        for row in own.sort_values("part").itertuples():
+            out += [(row.slot, row.part, *x) for x in opened]
+            opened = [x for x in opened if row.reach[of[x[1]]] < x[0]] + list(zip(row.starts, row.trusts, row.facts))
+        return pd.DataFrame(out, columns=["slot", "part", "start", "trust", "id"])
+
+    numbers = "array<double>"
+    turns = rows.groupBy(*key).applyInPandas(lambda k, r: turned(k, r), f"slot string, part int, c {numbers}, d {numbers}")
+    before = turns.groupBy("slot").applyInPandas(lambda r: tops(r), f"slot string, part int, top {numbers}")
+    left = rows.groupBy(*key).cogroup(before.groupBy(*key)).applyInPandas(lambda k, r, b: left_open(k, r, b), f"slot string, part int, reach {numbers}, starts {numbers}, trusts array<int>, facts array<bigint>")
+    return left.groupBy("slot").applyInPandas(lambda r: handed_on(r), "slot string, part int, start double, trust int, id bigint")
+
+
+def guarded_intervals(facts: DataFrame, slot_rows: int = SLOT_ROWS, slot_parts: int = SLOT_PARTS) -> DataFrame:
+    """As ``intervals``, but a fact of lower ``trust`` can't close or cap one of higher trust: both stay open. A row whose ``invalidate_previous`` is false closes nothing and is born open.
+
+    ``invalidate_previous`` (boolean, may be absent or null: true) says which rows close what was open; ``trust`` is a
+    tier, of which there are few. A slot of over ``slot_rows`` arrivals is folded in ``slot_parts`` parts at once, each
+    from the facts that were open when it began (see ``_part_states``); what goes from part to part is those facts, one
+    for each trust at most, beside the ones that ``invalidate_previous=False`` leaves open side by side.
+    """
+    import pandas as pd
+
+    ship(facts.sparkSession)
+    closes = F.coalesce("invalidate_previous", F.lit(True)) if "invalidate_previous" in facts.columns else F.lit(True)
+    slot = F.to_json(F.struct(*SLOT))
+    rows = checkpointed(facts.select(slot.alias("slot"), F.col("id").cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq"), F.col("valid_from").cast("double").alias("valid_from"), F.col("trust").cast("int").alias("trust"), closes.alias("closes")))
+    cuts = F.percentile_approx("seq", [k / slot_parts for k in range(1, slot_parts)], 10 * slot_parts)
+    large = checkpointed(rows.groupBy("slot").agg(F.count("*").alias("n"), cuts.alias("cuts")).where(F.col("n") > slot_rows).select("slot", "cuts"))
+    state = None
+    if large.isEmpty():
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        loose = large.select(F.concat("slot", F.lit("")).alias("slot"), "cuts")  # dealt anew, so that adaptive execution can split a large slot's rows
+        rows = checkpointed(rows.join(loose, "slot", "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("seq"))), F.lit(0))).withColumn("spread", F.col("cuts").isNotNull()).drop("cuts"))
+        levels = [r.trust for r in rows.select("trust").distinct().orderBy("trust").collect()]
+        state = _part_states(rows.where("spread").drop("spread"), levels)
+        rows = rows.drop("spread")
+    ends = "id bigint, valid_until double"
+    frame = lambda until: pd.DataFrame({"id": list(until.keys()), "valid_until": list(until.values())})
+    if state is None:
+        closed = rows.groupBy("slot").applyInPandas(lambda r: frame(_folded(r, [])), ends)
+    else:
+        begun = lambda r, b: frame(_folded(r, zip(b["start"], b["trust"], b["id"])))
+        closed = rows.groupBy("slot", "part").cogroup(state.groupBy("slot", "part")).applyInPandas(begun, ends)
+    return facts.join(closed, "id", "left")
+
+
+def recorded(facts: DataFrame, entities: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``facts`` with ``refused``: why a fact can't be recorded, null if it can. Nothing of a refused row may go on.
+
+    entities: id, operator, user_id, agent_id; sources: id, user_id, agent_id. A fact names its ``entity_id``, and may have
+    ``source_memory_id``, ``confidence``, and the caller's scope ``caller_user`` and ``caller_agent`` (null: not asked for).
+    The first that applies: ``not finite``, ``no such entity``, ``not an entity``, ``not the caller's``, ``source of another scope``.
+    A source that is gone is no reason.
+    """
+    e = entities.select(F.col("id").alias("entity_id"), F.lit(True).alias("_found"), F.col("operator").alias("_operator"), F.col("user_id").alias("_user"), F.col("agent_id").alias("_agent"))
+    held = facts.join(e, "entity_id", "left")
+    absent = lambda c: F.lit(None).cast("string") if c not in facts.columns else F.col(c)
+    finite = lambda c: F.lit(True) if c not in facts.columns else F.col(c).isNull() | (~F.isnan(F.col(c)) & (F.abs(c) < F.lit(float("inf"))))
+    foreign = F.lit(False)
+    if sources is not None and "source_memory_id" in facts.columns:
+        s = sources.select(F.col("id").alias("source_memory_id"), F.lit(True).alias("_source"), F.col("user_id").alias("_source_user"), F.col("agent_id").alias("_source_agent"))
+        held = held.join(s, "source_memory_id", "left")
+        foreign = F.col("_source").isNotNull() & ~(F.col("_source_user").eqNullSafe(F.col("_user")) & F.col("_source_agent").eqNullSafe(F.col("_agent")))
+    other = lambda asked, own: absent(asked).isNotNull() & ~absent(asked).eqNullSafe(F.col(own))
+    reason = (
+        F.when(~(finite("confidence") & finite("valid_from")), "not finite").when(F.col("_found").isNull(), "no such entity").when(~F.col("_operator").eqNullSafe(F.lit("entity")), "not an entity")
+        .when(other("caller_user", "_user") | other("caller_agent", "_agent"), "not the caller's").when(foreign, "source of another scope")
+    )
+    return held.select(*[F.col(c) for c in facts.columns], reason.alias("refused"))
 
 
 def valid_at(at: Column | float) -> Column:

@@ -404,9 +404,51 @@ def normalized_intervals(s, d):
     return temporal.normalized_intervals(views.facts(s, d)).select("id", F.round("valid_until", 3).alias("valid_until"))
 
 
-@query()
+def _guarded_sql(closes: str) -> str:
+    """Facts that were open at once, told by pairs: one caps a later arrival unless an arrival of higher trust closed it in between."""
+    same = "{0}.entity_id={1}.entity_id AND {0}.fact_type={1}.fact_type AND coalesce({0}.believed_by,'')=coalesce({1}.believed_by,'')"
+    return f"""WITH {FACTS}, f AS (SELECT *, id%4 AS trust, {closes} AS closes, row_number() OVER (PARTITION BY entity_id, fact_type, believed_by ORDER BY seq, id) AS pos FROM facts),
+pairs AS (SELECT n.id AS nid, p.id AS pid, p.pos AS pp, n.pos AS np, p.valid_from AS ps, n.trust AS nt, n.entity_id, n.fact_type, n.believed_by FROM f n JOIN f p ON {same.format('n', 'p')} AND p.pos<n.pos AND p.trust<=n.trust AND p.valid_from>n.valid_from WHERE n.closes),
+gone AS (SELECT DISTINCT nid, pid FROM pairs x JOIN f q ON {same.format('x', 'q')} AND q.pos>pp AND q.pos<np AND q.closes AND q.trust>nt AND q.valid_from>=ps),
+born AS (SELECT *, id NOT IN (SELECT nid FROM pairs ANTI JOIN gone USING (nid, pid)) AS opens FROM f),
+ends AS (SELECT p.id, min_by(q.valid_from, q.pos) AS until, min(q.pos) AS upos FROM born p JOIN f q ON {same.format('p', 'q')} AND q.pos>p.pos AND q.closes AND q.trust>=p.trust AND q.valid_from>=p.valid_from WHERE p.opens GROUP BY p.id),
+caps AS (SELECT n.id, min(p.valid_from) AS until FROM born n JOIN born p ON {same.format('n', 'p')} AND p.opens AND p.pos<n.pos AND p.trust<=n.trust AND p.valid_from>n.valid_from LEFT JOIN ends e ON e.id=p.id WHERE NOT n.opens AND (e.upos IS NULL OR e.upos>=n.pos) GROUP BY n.id)
+SELECT f.id, entity_id, round(coalesce(ends.until, caps.until), 3) AS valid_until FROM f LEFT JOIN ends USING (id) LEFT JOIN caps USING (id)"""
+
+
+def _guarded(s, d, **own):
+    rows = views.facts(s, d).withColumn("trust", (F.col("id") % 4).cast("int")).withColumns(own)
+    return temporal.guarded_intervals(rows).select("id", "entity_id", F.round("valid_until", 3).alias("valid_until"))
+
+
+@query(_guarded_sql("true"))
 def guarded_intervals(s, d):
-    return temporal.guarded_intervals(views.facts(s, d).withColumn("trust", (F.col("id") % 4).cast("int"))).select("id", "entity_id", F.round("valid_until", 3).alias("valid_until"))
+    return _guarded(s, d)
+
+
+@query(_guarded_sql("id%5<>0"))
+def coexisting_facts(s, d):
+    """Each fifth fact is recorded beside what is open: it closes nothing, and is born open."""
+    return _guarded(s, d, invalidate_previous=F.col("id") % 5 != 0)
+
+
+@query(_guarded_sql("id%5<>0"))
+def coexisting_facts_by_parts(s, d):
+    """The same with every slot of over twenty arrivals cut into parts."""
+    rows = views.facts(s, d).withColumn("trust", (F.col("id") % 4).cast("int")).withColumn("invalidate_previous", F.col("id") % 5 != 0)
+    return temporal.guarded_intervals(rows, 20, 8).select("id", "entity_id", F.round("valid_until", 3).alias("valid_until"))
+
+
+@query(f"""WITH {FACTS}, {NOTES}, f AS (SELECT *, id%23 AS owner, CASE WHEN id%11=0 THEN 'nan'::DOUBLE ELSE 1.0 END AS confidence, CASE WHEN id%7=0 THEN 'en' END AS caller FROM facts)
+SELECT f.id, CASE WHEN isnan(f.confidence) THEN 'not finite' WHEN e.id IS NULL THEN 'no such entity' WHEN e.id%9=4 THEN 'not an entity' WHEN f.caller IS NOT NULL AND f.caller<>e.agent_id THEN 'not the caller''s'
+ WHEN s.id IS NOT NULL AND (s.user_id<>e.user_id OR s.agent_id<>e.agent_id) THEN 'source of another scope' END AS refused
+FROM f LEFT JOIN (SELECT * FROM notes WHERE id%13<>5) e ON e.id=f.owner LEFT JOIN notes s ON s.id=f.source_memory_id""")
+def refused_facts(s, d):
+    """Which facts may not be recorded, and why: unknown or other records as entities, other scopes, numbers that aren't finite."""
+    notes = views.notes(s, d)
+    entities = notes.where("id % 13 <> 5").withColumn("operator", F.when(F.col("id") % 9 == 4, "note").otherwise("entity"))
+    f = views.facts(s, d).withColumn("entity_id", F.col("id") % 23).withColumn("confidence", F.when(F.col("id") % 11 == 0, float("nan")).otherwise(1.0)).withColumn("caller_agent", F.when(F.col("id") % 7 == 0, "en"))
+    return temporal.recorded(f, entities, notes).select("id", "refused")
 
 
 @query(f"WITH {HELD}, q AS (SELECT DISTINCT entity_id AS question_id, entity_id, {MID} + entity_id*3600.0 AS asked FROM facts) SELECT question_id, id, fact_type, value FROM q JOIN held USING (entity_id) WHERE valid_from<=asked AND (valid_until IS NULL OR valid_until>asked)")
@@ -455,9 +497,9 @@ def invalidate_facts(s, d):
     return temporal.invalidate(h, c).select("id", F.round("valid_until", 3).alias("valid_until"))
 
 
-@query(f"WITH {HELD}, {NOTES} SELECT h.id, h.entity_id, substr(n.content,1,60) AS source_text, coalesce(n.trust,3) AS source_trust FROM held h LEFT JOIN notes n ON n.id=h.source_memory_id")
+@query(f"WITH {HELD}, {NOTES} SELECT h.id, h.entity_id, n.content AS source_text, coalesce(n.trust,3) AS source_trust FROM held h LEFT JOIN notes n ON n.id=h.source_memory_id")
 def explain_belief(s, d):
-    return temporal.audit(_held(s, d), views.notes(s, d)).select("id", "entity_id", F.substring("source_text", 1, 60).alias("source_text"), "source_trust")
+    return temporal.audit(_held(s, d), views.notes(s, d)).select("id", "entity_id", "source_text", "source_trust")
 
 
 @query(f"""WITH {HELD}, q AS (SELECT DISTINCT entity_id AS question_id, entity_id, ['click','view','purchase','none'][CAST(entity_id%4+1 AS INT)] AS attribute, ['current','as_of','history'][CAST(entity_id%3+1 AS INT)] AS mode, {MID} AS asked FROM facts), m AS (SELECT {MID}+864000.0 AS now),

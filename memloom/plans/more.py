@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evals, graph, guards, journal, lifecycle, mutations, retrieval, scan, temporal
+from ..operators import ann, evals, graph, guards, journal, lifecycle, mutations, retrieval, scan, temporal
 from ..sources import models, readers, views
 from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, query
 
@@ -634,6 +634,31 @@ def approximate_recall(s, d):
 
 
 
+@query(f"""WITH {MEM}, {QRY}, {SCORED.format(rows='memories')} SELECT query_id, id, score, rank FROM (SELECT *, {RANK} FROM scored) WHERE rank<=10""")
+def index_exhaustive(s, d):
+    """The vector index written, opened and searched in all its cells, every row fetched: the exact search."""
+    m, q = views.memories(s, d), views.queries(s, d)
+    ann.build(m, path := f"{_folder(s)}/index")
+    index = ann.opened(s, path)
+    return ann.search(index, q, 10, index.cells, m.count())
+
+
+@query(f"""WITH {MEM}, {QRY}, {SCORED.format(rows='memories')}, r AS (SELECT * FROM (SELECT *, {RANK} FROM scored) WHERE rank<=10)
+SELECT (SELECT count(*) FROM memories) AS n_rows, count(*) AS n_nearest, true AS recall_enough, true AS vectors_read_at_most_a_tenth FROM r""")
+def index_recall(s, d):
+    """The index by its own settings: recall at ten of 0.9 or more, while a query fetches a tenth of the vectors at most."""
+    m, q = views.memories(s, d), views.queries(s, d)
+    index = ann.build(m, f"{_folder(s)}/index")
+    exact = retrieval.dense_topk(m, q, 10).select("query_id", "id")
+    fetched = max(10, min(40, m.count() // 10))
+    found = ann.search(index, q, 10, refine=fetched).select("query_id", "id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("n_nearest"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recall_enough"))
+    read = ann.candidates(index, q, fetched).agg(F.count("*").alias("read"))
+    size = index.vectors(s).agg(F.count("*").alias("n_rows"))
+    asked = q.agg(F.count("*").alias("asked"))
+    return both.crossJoin(read).crossJoin(size).crossJoin(asked).select("n_rows", "n_nearest", "recall_enough", (F.col("read") * 10 <= F.col("n_rows") * F.col("asked")).alias("vectors_read_at_most_a_tenth"))
+
+
 # ---------------------------------------------------------------- models as callables, and what a service asks
 
 

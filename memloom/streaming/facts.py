@@ -22,27 +22,35 @@ def fact_changes(facts: DataFrame) -> DataFrame:
     """A stream of facts in order of arrival as changes of intervals: each new fact, and the one that it closes with its end.
 
     The state of a slot is the open fact's id and start, whatever the number of facts; late facts of an earlier date
-    are born closed, so no watermark drops them.
+    are born closed, so no watermark drops them. Within a trigger the order of arrival is ``seq``, then ``id``, over all
+    of a slot's rows, in however many Arrow batches they come; between triggers it is that of the triggers: a row that
+    comes in a later one has arrived later, whatever its ``seq``. Of a slot's rows of one trigger three numbers each are held.
     """
+    import numpy as np
     import pandas as pd
 
     ship(facts.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         open_id, high = state.get if state.exists else (None, None)
-        out = []
-        for rows in parts:
-            rows = rows.sort_values(["seq", "id"])
-            for i, start in zip(rows["id"], rows["valid_from"]):
-                if high is not None and start < high:
-                    out.append((*key, int(i), start, high))
-                    continue
-                if open_id is not None:
-                    out.append((*key, open_id, high, start))
-                open_id, high = int(i), float(start)
-                out.append((*key, open_id, high, None))
-        state.update((open_id, high))
-        yield pd.DataFrame(out, columns=["entity_id", "fact_type", "believed_by", "id", "valid_from", "valid_until"]).astype({"valid_until": "float64"})
+        rows = [(p["seq"].to_numpy(), p["id"].to_numpy(), p["valid_from"].to_numpy(dtype=np.float64)) for p in parts]
+        seq, ids, start = (np.concatenate(c) for c in zip(*rows))
+        order = np.lexsort((ids, seq))
+        ids, start = ids[order], start[order]
+        before = np.maximum.accumulate(np.concatenate(([-np.inf if high is None else high], start)))[:-1]
+        late = start < before
+        opens = np.flatnonzero(~late)
+        closed_ids, closed_from = np.concatenate(([-1 if open_id is None else open_id], ids[opens])), np.concatenate(([np.nan if high is None else high], start[opens]))
+        first = 1 if open_id is None else 0  # nothing to close before the slot's first fact
+        columns = {
+            "id": np.concatenate((ids[late], ids[opens], closed_ids[first:-1])), "valid_from": np.concatenate((start[late], start[opens], closed_from[first:-1])),
+            "valid_until": np.concatenate((before[late], np.full(len(opens), np.nan), start[opens][first:])),
+        }
+        if len(opens):
+            open_id, high = int(ids[opens[-1]]), float(start[opens[-1]])
+            state.update((open_id, high))
+        names = ["entity_id", "fact_type", "believed_by"]
+        yield pd.DataFrame({n: [k] * len(columns["id"]) for n, k in zip(names, key)} | columns)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 

@@ -260,7 +260,7 @@ def test_every_pair_of_a_large_key_is_settled(spark, meet, rounds):
     compared = met.join(grams, "rid").select("key", "tied", "fp", "rid", "grams").repartition("key").sortWithinPartitions("key").mapInArrow(simhash._compare, "u bigint, v bigint")
     links = np.array([tuple(r) for r in known.union(compared).collect()], dtype=np.int64).reshape(-1, 2)
     assert all(simhash.similar(sets[a], sets[b]) for a, b in links)
-    assert (simhash.forest(n, links[:, 0], links[:, 1]) == want).all() and len(set(want.tolist())) == 4
+    assert (simhash.forest(n, links[:, 0], links[:, 1]) == want).all() and 4 <= len(set(want.tolist())) < 100
 
 
 def test_equal_values_pair_in_the_trie():

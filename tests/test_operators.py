@@ -5,6 +5,7 @@ import math
 import os
 import random
 import time
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -58,6 +59,54 @@ def test_intervals_equal_a_fold_over_arrivals(spark):
     assert {r.id: r.valid_until for r in temporal.guarded_intervals(table).collect()} == guarded
 
 
+@pytest.mark.parametrize(("slot_rows", "parts"), [(100_000, 4), (30, 2), (5, 7), (0, 64)])
+def test_guarded_intervals_of_large_slots_equal_a_fold(spark, slot_rows, parts):
+    """Both flags at random, slots cut into parts of their arrivals: rows of a part start from what was open before it."""
+    rng = random.Random(21)
+    rows = [(n, rng.choice([0, 0, 0, 1, 2]), "t", rng.choice([None, "", "x"]), float(rng.randint(0, 40)), n * 7919 % 1009, rng.randint(0, 3), rng.choice([True, True, True, None, False])) for n in range(900)]
+    table = spark.createDataFrame(rows, "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long, trust int, invalidate_previous boolean")
+    until, opened = {}, {}
+    for i, *slot, start, _, trust, closes in sorted(rows, key=lambda r: (r[5], r[0])):
+        held, cap = opened.setdefault(tuple(slot), []), None
+        if closes is not False:
+            for p in list(held):
+                if p[2] <= trust and p[1] <= start:
+                    until[p[0]] = start
+                    held.remove(p)
+                elif p[2] <= trust:
+                    cap = p[1] if cap is None else min(cap, p[1])
+        until[i] = cap
+        if cap is None:
+            held.append((i, start, trust))
+    assert {r.id: r.valid_until for r in temporal.guarded_intervals(table, slot_rows, parts).collect()} == until
+
+
+def test_one_slot_of_many_rows_is_folded_in_many_tasks(spark):
+    table = spark.range(60_000).selectExpr("id", "1L AS entity_id", "'t' AS fact_type", "CAST(NULL AS STRING) AS believed_by", "CAST(hash(id) % 5000 AS DOUBLE) AS valid_from", "id AS seq", "CAST(pmod(hash(id, 3), 4) AS INT) AS trust")
+    ends = {r.id: r.valid_until for r in temporal.guarded_intervals(table, 5_000, 32).collect()}
+    until, opened = {}, temporal._Open()
+    for r in table.orderBy("seq").collect():
+        closed, cap = opened.close(r.valid_from, r.trust)
+        until.update(dict.fromkeys(closed, r.valid_from))
+        until[r.id] = cap
+        if cap is None:
+            opened.add(r.valid_from, r.trust, r.id)
+    assert ends == until
+
+
+def test_facts_that_are_refused(spark):
+    entities = spark.createDataFrame([(1, "entity", "u", "a"), (2, None, "u", None), (3, "entity", None, None)], "id long, operator string, user_id string, agent_id string")
+    sources = spark.createDataFrame([(7, "u", "a"), (8, "v", "a")], "id long, user_id string, agent_id string")
+    facts = spark.createDataFrame(
+        [(1, 1, 7, 1.0, 1.0, "u", None), (2, 9, 7, 1.0, 1.0, None, None), (3, 2, 7, 1.0, 1.0, None, None), (4, 1, 7, 1.0, 1.0, "v", None), (5, 1, 8, 1.0, 1.0, None, None), (6, 1, 99, 1.0, 1.0, None, "a"), (7, 1, 7, float("nan"), 1.0, None, None), (8, 9, 7, 1.0, float("inf"), None, None), (9, 3, None, None, 2.0, None, None), (10, 3, None, 1.0, 2.0, None, "a")],
+        "id long, entity_id long, source_memory_id long, confidence double, valid_from double, caller_user string, caller_agent string",
+    )
+    want = {1: None, 2: "no such entity", 3: "not an entity", 4: "not the caller's", 5: "source of another scope", 6: None, 7: "not finite", 8: "not finite", 9: None, 10: "not the caller's"}
+    got = temporal.recorded(facts, entities, sources)
+    assert got.columns == [*facts.columns, "refused"] and {r.id: r.refused for r in got.collect()} == want
+    assert temporal.recorded(facts.select("id", "entity_id"), entities).where("refused IS NULL").count() == 7
+
+
 def test_late_facts_are_capped_and_overlap(spark):
     table = spark.createDataFrame([(1, 1, "t", None, 3.0, 1), (2, 1, "t", None, 9.0, 2), (3, 1, "t", None, 1.0, 3), (4, 1, "t", None, 9.0, 4)], "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long")
     held = temporal.intervals(table)
@@ -391,6 +440,43 @@ def test_scaling_by_sorting(spark, n):
     assert (got.small_half, got.large_half) == (mean(small), mean(large))
 
 
+# ---------------------------------------------------------------- the vector index
+
+
+def test_index_reads_few_cells_of_parted_vectors(spark, tmp_path):
+    """Sixty groups: the cells of a query are a tenth of the rows at most, and hold what is nearest; the same at four times the rows."""
+    from memloom.operators import ann
+
+    rng = np.random.default_rng(8)
+    heads = rng.standard_normal((60, 32))
+    for n in (1500, 6000):
+        x = heads[rng.integers(60, size=n)] + 0.25 * rng.standard_normal((n, 32))
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+        asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+        index = ann.build(rows, f"{tmp_path}/{n}")
+        sizes = {r.cell: r["count"] for r in index.codes(spark).groupBy("cell").count().collect()}
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        mine = np.argsort(-(u[::50] @ index.centres.T), axis=1)[:, : index.probes]
+        assert np.mean([sum(sizes.get(int(c), 0) for c in row) for row in mine]) <= 0.1 * n
+        found = {(r.query_id, r.id) for r in ann.search(index, asked, 10).collect()}
+        exact = {(r.query_id, r.id) for r in retrieval.dense_topk(rows, asked, 10).collect()}
+        assert len(found & exact) >= 0.9 * len(exact)
+        plan = ann.candidates(index, asked.where("query_id = 0"), 40)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "[cell").replace("PartitionFilters: [[cell", "PartitionFilters: [cell") and "embedding" not in plan
+
+
+def test_index_of_odd_rows(spark, tmp_path):
+    from memloom.operators import ann
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [0.0, 2.0]), (7, [1.0, 0.0])], "id long, embedding array<double>")
+    index = ann.build(rows, f"{tmp_path}/odd")
+    assert sorted(r.id for r in index.vectors(spark).collect()) == [1, 2, 6, 7]
+    asked = spark.createDataFrame([(9, [2.0, 0.0]), (8, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.id, r.score) for r in ann.search(ann.opened(spark, f"{tmp_path}/odd"), asked, 3, index.cells).orderBy("rank").collect()] == [(9, 1, 1.0), (9, 7, 1.0), (9, 2, 0.0)]
+    empty = ann.build(rows.limit(0), f"{tmp_path}/none")
+    assert ann.search(empty, asked, 3).collect() == [] == ann.search(index, asked.limit(0), 3).collect()
+
+
 # ---------------------------------------------------------------- files and streams
 
 
@@ -409,18 +495,30 @@ def test_conversation_json(spark, tmp_path):
     assert [r.n for r in journal.read_text(readers.journal_lines(spark, str(tmp_path / "j"))).collect()] == [1, 2]
 
 
-def test_fact_stream_equals_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("batch_rows", [1, 7, 100, 10_000])
+def test_fact_stream_equals_the_batch(spark, tmp_path, batch_rows):
+    """Every trigger's rows come in order of seq, whatever Arrow batches they lie in."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        _fact_stream_equals_the_batch(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _fact_stream_equals_the_batch(spark, tmp_path):
     rng = random.Random(6)
     schema = "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long"
     rows = [(n, rng.randint(0, 3), "t", None, float(rng.randint(0, 20)), n) for n in range(200)]
     for part in range(4):
-        (tmp_path / f"{part}.json").write_text("\n".join(json.dumps(dict(zip("id entity_id fact_type believed_by valid_from seq".split(), r))) for r in rows[part * 50 : part * 50 + 50]))
+        own = rng.sample(rows[part * 50 : part * 50 + 50], 50)
+        (tmp_path / f"{part}.json").write_text("\n".join(json.dumps(dict(zip("id entity_id fact_type believed_by valid_from seq".split(), r))) for r in own))
         os.utime(tmp_path / f"{part}.json", (1_700_000_000 + part,) * 2)  # the stream takes files by their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
-    run = streams.fact_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    run = streams.fact_changes(stream).writeStream.format("memory").queryName(name := f"changes_{uuid.uuid4().hex}").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     last = {}
-    for r in spark.table("changes").collect():
+    for r in spark.table(name).collect():
         last[r.id] = r.valid_until if last.get(r.id) is None else last[r.id]
     batch = {r.id: r.valid_until for r in temporal.intervals(spark.createDataFrame(rows, schema)).collect()}
     assert {k: None if v is None or v != v else v for k, v in last.items()} == batch

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,51 @@ def bootstrap(values: DataFrame, by: str = "config", resamples: int = 1000, seed
     return counted.groupBy(by).applyInPandas(lambda rows: one(rows), f"{by} string, mean double, low double, high double, n bigint")
 
 
+#: A prime below 2 ** 31; the chances of a Poisson(1) draw of 0, of at most 1, and so on, in parts of it.
+DRAW_PRIME = (1 << 31) - 1
+DRAW_CUTS = tuple(int(DRAW_PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8))
+
+
+def poisson_bootstrap(values: DataFrame, by: str = "config", key: str = "question_id", resamples: int = 1000, seed: int = 42, places: int = 6) -> DataFrame:
+    """mean, and the 2.5 and 97.5 percentiles of the resampled means, of each group's values rounded to ``places``; n.
+
+    Every row is drawn Poisson(1) times in every resample, so rows are drawn apart from one another and a group may lie
+    in any number of tasks: each keeps one array of partial sums, all resamples at once. The draws come from the row's
+    ``key`` alone (by a hash with ``seed``, as a polynomial in the resample's number), so a repeated run or another
+    partitioning draws the same, and so can SQL. Values are summed as whole numbers of the last place: the sums are exact.
+    Null values are left out; a resample that draws nothing has no mean.
+    """
+    ship(values.sparkSession)
+    hashed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    part = lambda k: F.conv(F.substring(hashed, 1 + 7 * k, 7), 16, 10).cast("bigint")
+    rows = values.select(F.col(by).cast("string").alias(by), F.round(F.col("value").cast("double") * 10**places).cast("bigint").alias("value"), *[part(k).alias(f"h{k}") for k in range(3)]).where("value IS NOT NULL")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.arange(resamples, dtype=np.int64)
+        held: dict[str | None, tuple[np.ndarray, np.ndarray, int, int]] = {}
+        for batch in batches:
+            groups = batch.column(0).to_pylist()
+            value, *h = (batch.column(k).to_numpy() for k in range(1, 5))
+            for g in dict.fromkeys(groups):
+                own = np.flatnonzero([x == g for x in groups])
+                total, drawn, plain, n = held.get(g, (np.zeros(resamples, np.int64), np.zeros(resamples, np.int64), 0, 0))
+                for lo in range(0, len(own), 2048):
+                    i = own[lo : lo + 2048]
+                    u = (h[0][i, None] + h[1][i, None] * r + h[2][i, None] * (r * r)) % DRAW_PRIME
+                    times = np.searchsorted(DRAW_CUTS, u.ravel(), side="right").reshape(u.shape)
+                    total, drawn = total + value[i] @ times, drawn + times.sum(axis=0)
+                held[g] = total, drawn, plain + int(value[own].sum()), n + len(own)
+        for g, (total, drawn, plain, n) in held.items():
+            columns = [pa.array([g] * resamples, pa.string()), pa.array(r), pa.array(total), pa.array(drawn), pa.array(np.full(resamples, plain)), pa.array(np.full(resamples, n))]
+            yield pa.RecordBatch.from_arrays(columns, names=[by, "r", "total", "drawn", "plain", "n"])
+
+    each = rows.mapInArrow(sums, f"{by} string, r bigint, total bigint, drawn bigint, plain bigint, n bigint").groupBy(by, "r").agg(*[F.sum(c).alias(c) for c in ("total", "drawn", "plain", "n")])
+    mean = F.when(F.col("drawn") > 0, F.col("total") / F.col("drawn"))
+    scale = F.lit(float(10**places))
+    bound = lambda q: (F.percentile(mean, F.lit(q)) / scale)
+    return each.groupBy(by).agg((F.first("plain") / F.first("n") / scale).alias("mean"), bound(0.025).alias("low"), bound(0.975).alias("high"), F.first("n").alias("n"))
+
+
 def diversity(sets: DataFrame, places: int = 6) -> DataFrame:
     """sets: pair_id, seed, ids (the top k). Mean Jaccard over each two seeds (empty unions count 0, no two seeds 1)."""
     a, b = sets.alias("a"), sets.alias("b")
@@ -170,9 +217,12 @@ def store_audit(notes: DataFrame, slots: DataFrame) -> DataFrame:
 
 def histogram(observations: DataFrame, recent: int = 1024, places: int = 6) -> DataFrame:
     """observations: name, seq, value. Count, sum and mean of each name, and mean and maximum of its last ``recent``."""
-    last = observations.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("seq"))))
-    new = F.when(F.col("_n") <= recent, F.col("value"))
-    return last.groupBy("name").agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.round(F.avg("value"), places).alias("mean"), F.round(F.avg(new), places).alias("recent_mean"), F.round(F.max(new), places).alias("recent_max"))
+    every = observations.groupBy("name").agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.round(F.avg("value"), places).alias("mean"))
+    # of a name in very many tasks each part leaves its last ones only, and the parts' last ones give the name's
+    part = observations.withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(64)))
+    latest = lambda rows, *keys: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))).where(F.col("_n") <= recent).drop("_n")
+    new = latest(latest(part, "name", "_part").drop("_part"), "name").groupBy("name").agg(F.round(F.avg("value"), places).alias("recent_mean"), F.round(F.max("value"), places).alias("recent_max"))
+    return every.join(new, "name", "left")
 
 
 def newest(errors: DataFrame, n: int = 50) -> DataFrame:
@@ -195,7 +245,7 @@ def operator_scores(scores: DataFrame, places: int = 6) -> DataFrame:
 def operator_intervals(scores: DataFrame, metric: str, **how) -> DataFrame:
     """scores as for ``operator_scores``. The bootstrap interval of a metric by operator, or by encoder and operator where there are encoders."""
     by = F.concat_ws("/", "encoder", "operator") if "encoder" in scores.columns else F.col("operator")
-    return bootstrap(scores.select(by.alias("operator"), F.col(metric).alias("value")), "operator", **how)
+    return poisson_bootstrap(scores.select(by.alias("operator"), F.col(metric).alias("value"), "pair_id"), "operator", "pair_id", **how)
 
 
 def differing(overlaps: DataFrame, threshold: float = 0.5, places: int = 6) -> DataFrame:

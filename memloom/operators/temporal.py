@@ -233,9 +233,44 @@ def valid_at(at: Column | float) -> Column:
     return (F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at))
 
 
-def as_of(held: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked: question_id, entity_id, at. Every fact of the entity that held then; a slot may give several."""
-    return asked.join(held, "entity_id").where(valid_at(F.col("at")))
+#: Pairs of an entity's facts and questions beyond which they meet by time; bins of the questions' time, a power of two.
+PAIRS, BIN_LEVELS = 10_000_000, 12
+
+
+def as_of(held: DataFrame, asked: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """asked: question_id, entity_id, at. Every fact of the entity that held then; a slot may give several.
+
+    Entities with up to ``pairs`` pairs of facts and questions meet by id. Of larger ones, the time between the first and the
+    last question is cut into 2 ** BIN_LEVELS bins with a binary tree over them. A fact goes to the few nodes that together
+    cover its interval, a question to its bin and that bin's ancestors: exactly one of them is a node of a fact that
+    covers the bin, so each match is found once, and a node holds only facts that (but for the two bins at their ends)
+    answer its questions. No pair that doesn't match is made otherwise, and an entity is dealt out by its nodes.
+    """
+    facts_n = held.groupBy("entity_id").agg(F.count("*").alias("_facts"))
+    large = checkpointed(asked.groupBy("entity_id").agg(F.count("*").alias("_asked"), F.min("at").alias("_low"), F.max("at").alias("_high")).join(facts_n, "entity_id").where(F.col("_asked") * F.col("_facts") > pairs).select("entity_id", "_low", "_high"))
+    if large.isEmpty():
+        return asked.join(held, "entity_id").where(valid_at(F.col("at")))
+    small = asked.join(large, "entity_id", "left_anti").join(held, "entity_id").where(valid_at(F.col("at")))
+    top = 1 << BIN_LEVELS
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / top).otherwise(F.lit(1.0))
+    bin_of = lambda x: F.least(F.greatest(F.floor((x - F.col("_low")) / width), F.lit(0)), F.lit(top - 1)).cast("bigint")
+    points = asked.join(large, "entity_id").withColumn("_bin", bin_of(F.col("at")))
+    ancestors = F.transform(F.sequence(F.lit(0), F.lit(BIN_LEVELS)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("_bin"), level).alias("node")))
+    points = points.withColumn("_at", F.explode(ancestors)).select("question_id", "at", *[c for c in asked.columns if c not in ("question_id", "at", "entity_id")], "entity_id", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
+    spans = held.join(large, "entity_id").where((F.col("valid_from") <= F.col("_high")) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("_low"))))
+    spans = spans.withColumn("_a", bin_of(F.col("valid_from"))).withColumn("_b", F.when(F.col("valid_until").isNull(), F.lit(top - 1)).otherwise(bin_of(F.col("valid_until"))))
+
+    def cover(level: Column) -> Column:
+        """The nodes of a level that cover [_a, _b] where no node above does: at most the first and the last that lie in it."""
+        step = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        a = F.call_function("shiftright", F.col("_a") + step - 1, level)
+        b = F.call_function("shiftright", F.col("_b") + 1, level) - 1
+        return F.array_compact(F.array(F.when((a <= b) & (a % 2 == 1), F.struct(level.alias("level"), a.alias("node"))), F.when((a <= b) & (b % 2 == 0), F.struct(level.alias("level"), b.alias("node")))))
+
+    nodes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BIN_LEVELS)), cover))
+    spread = spans.withColumn("_at", F.explode(nodes)).select(*held.columns, F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
+    met = points.join(spread, ["entity_id", "_level", "_node"]).where(valid_at(F.col("at")))
+    return small.unionByName(met.select(*small.columns))
 
 
 def current(held: DataFrame, now: float) -> DataFrame:

@@ -355,9 +355,23 @@ def paired_systems(s, d):
     return evals.paired(rows).groupBy("system_a", "system_b").agg(F.count("*").alias("n"), F.sum("a_correct").alias("a_correct"), F.sum("b_correct").alias("b_correct"))
 
 
-@query()
+def bootstrap_sql(tables: str, rows: str, by: str, resamples: int, seed: int = 42) -> str:
+    """rows: g (the group), key, value. Every row's draws of every resample, from its key's hash."""
+    part = lambda k: f"('0x' || substr(sha256('{seed}:' || key), {1 + 7 * k}, 7))::BIGINT"
+    times = "+".join(f"(u>={c})::BIGINT" for c in evals.DRAW_CUTS)
+    return f"""WITH {tables}, bv AS ({rows}), bh AS (SELECT g, CAST(round(value*1000000.0) AS BIGINT) AS v, {part(0)} AS a, {part(1)} AS b, {part(2)} AS c FROM bv),
+bu AS (SELECT g, r, v, (a+b*r+c*r*r)%{evals.DRAW_PRIME} AS u FROM bh, (SELECT unnest(range({resamples})) AS r)), bw AS (SELECT g, r, v, {times} AS w FROM bu),
+bs AS (SELECT g, r, CAST(sum(v*w) AS DOUBLE)/nullif(CAST(sum(w) AS DOUBLE), 0) AS m, sum(v) AS plain, count(*) AS n FROM bw GROUP BY g, r)
+SELECT g AS {by}, round(CAST(any_value(plain) AS DOUBLE)/any_value(n)/1000000.0, 6) AS mean, round(quantile_cont(m, 0.025)/1000000.0, 6) AS low, round(quantile_cont(m, 0.975)/1000000.0, 6) AS high, any_value(n) AS n FROM bs GROUP BY g"""
+
+
+def bounds(ci, by):
+    return ci.select(by, *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "n")
+
+
+@query(bootstrap_sql(LONG, "SELECT config AS g, CAST(question_id AS VARCHAR) AS key, score AS value FROM results", "config", 1000))
 def bootstrap_interval(s, d):
-    return evals.bootstrap(_results(s, d).select("config", F.col("score").alias("value")))
+    return bounds(evals.poisson_bootstrap(_results(s, d).select("config", "question_id", F.col("score").alias("value"))), "config")
 
 
 @query(f"WITH {JUDGED} SELECT question_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY question_id) AS n FROM judged) WHERE n<=10")
@@ -459,6 +473,14 @@ def facts_as_of(s, d):
     return temporal.as_of(temporal.intervals(f), asked).select("question_id", "id", "fact_type", "value")
 
 
+@query(f"WITH {HELD}, q AS (SELECT event_id AS question_id, user_id AS entity_id, epoch(ts)+1800.0 AS asked FROM events) SELECT question_id, count(*) AS n, sum(id) AS ids FROM q JOIN held USING (entity_id) WHERE valid_from<=asked AND (valid_until IS NULL OR valid_until>asked) GROUP BY question_id")
+def facts_as_of_by_bins(s, d):
+    """A question for each event, half an hour after it; every entity's facts and questions meet by the nodes of time bins."""
+    f = views.facts(s, d)
+    asked = f.select(F.col("id").alias("question_id"), "entity_id", (F.col("valid_from") + 1800.0).alias("at"))
+    return temporal.as_of(temporal.intervals(f), asked, pairs=0).groupBy("question_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query(f"WITH {HELD} SELECT id, entity_id, value FROM held WHERE valid_from<={MID} AND (valid_until IS NULL OR valid_until>{MID})")
 def current_facts(s, d):
     f = views.facts(s, d)

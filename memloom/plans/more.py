@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import ann, evals, graph, guards, journal, lifecycle, mutations, retrieval, scan, temporal
-from ..sources import models, readers, views
-from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, query
+from ..sources import logs, models, readers, tables, views
+from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, bootstrap_sql, bounds, query
 
 
 def doc():
@@ -460,6 +460,45 @@ def verified_log(s, d):
     return check(state, "replayed").unionByName(check(state.withColumn("user_id", F.lit("x")), "other"))
 
 
+LINES = f"""{JOURNAL}, d AS (SELECT *, row_number() OVER (ORDER BY seq, op, id) AS n FROM journal)"""
+
+
+def _log_file(s, d):
+    """The op log as one file of JSON lines, in order."""
+    log = views.journal(s, d).select("op", "id", "content", "user_id", "from_id", "to_id", "relation", "seq")
+    folder = _folder(s)
+    log.repartitionByRange(1, "seq", "op", "id").sortWithinPartitions("seq", "op", "id").write.json(f"{folder}/log")  # one file is what is read
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{folder}/log")
+    system = path.getFileSystem(s._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in system.listStatus(path) if x.getPath().getName().startswith("part-"))
+    return part.toString()
+
+
+@query(f"""WITH {LINES} SELECT n, op, id, seq FROM d""")
+def log_lines(s, d):
+    """One log file read in many ranges, its lines numbered."""
+    before = s.conf.get("spark.sql.files.maxPartitionBytes")
+    s.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        rows = logs.whole_lines(logs.numbered_lines(s, _log_file(s, d)))
+    finally:
+        s.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return rows.select("n", F.from_json("value", "op string, id bigint, seq bigint").alias("r")).select("n", "r.*")
+
+
+@query(f"""WITH {LINES} SELECT n, op, id, seq FROM d""")
+def followed_log(s, d):
+    """The same file followed as a stream by offsets; its lines are in order of their first bytes."""
+    from ..streaming import facts as streams
+
+    path = _log_file(s, d)
+    lines = streams.drained(logs.followed(s, path, 256 << 10), _folder(s))
+    rows = lines.select("at", F.from_json("value", "op string, id bigint, seq bigint").alias("r")).select("at", "r.*")
+    part = F.floor(F.col("at") / (1 << 20))
+    base = rows.groupBy(part.alias("part")).agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.withColumn("part", part).join(base, "part").select((F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("at"))).alias("n"), "op", "id", "seq")
+
+
 # ---------------------------------------------------------------- recombination of many parents
 
 TRIPLES = "v AS (SELECT a.vec_id AS id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b, CAST(c.embedding AS DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1 JOIN embeddings c ON c.vec_id=a.vec_id+2)"
@@ -543,13 +582,9 @@ def operator_scores(s, d):
     return evals.operator_scores(_operator_scores(s, d))
 
 
-@query(f"WITH {OPERATOR_SCORES} SELECT operator, round(avg(CAST(round(near, 9)>=0.7 AS DOUBLE)), 6) AS mean, true AS inside, count(*) AS n FROM sc GROUP BY operator")
+@query(bootstrap_sql(OPERATOR_SCORES, "SELECT operator AS g, CAST(id AS VARCHAR) AS key, CAST(round(near, 9)>=0.7 AS DOUBLE) AS value FROM sc", "operator", 200))
 def operator_intervals(s, d):
-    ci = evals.operator_intervals(_operator_scores(s, d), "hit", resamples=200)
-    # a resampled bound is held against the normal one: within a fifth of the interval, and on its own side of the mean
-    half = 1.96 * F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n"))
-    near = lambda bound, want: F.abs(F.col(bound) - want) <= F.greatest(0.4 * half, F.lit(1e-3))
-    return ci.select("operator", F.round("mean", 6).alias("mean"), (near("low", F.col("mean") - half) & near("high", F.col("mean") + half)).alias("inside"), "n")
+    return bounds(evals.operator_intervals(_operator_scores(s, d), "hit", resamples=200), "operator")
 
 
 @query("""WITH s AS (SELECT ['one','two'][CAST(doc_id%2+1 AS INT)] AS operator, doc_id//4 AS pair_id, doc_id AS seed, [doc_id%7, doc_id%5+2, doc_id%3+4] AS ids FROM documents), o AS (SELECT operator, pair_id FROM s GROUP BY ALL),
@@ -730,11 +765,14 @@ def chat_history(s, d):
     return guards.chat_history(n.withColumn("metadata", F.when(F.col("id") % 2 == 0, '{"role": "ai"}')))
 
 
-@query(f"""WITH {OPERATOR_SCORES}, e AS (SELECT 'first' AS encoder, operator, near FROM sc UNION ALL SELECT 'second', operator, near/2 FROM sc) SELECT encoder || '/' || operator AS operator, round(avg(round(near, 6)), 6) AS mean, count(*) AS n FROM e GROUP BY encoder, operator""")
+ENCODED = f"""{OPERATOR_SCORES}, e AS (SELECT 'first' AS encoder, operator, id, near FROM sc UNION ALL SELECT 'second', operator, id, near/2 FROM sc)"""
+
+
+@query(bootstrap_sql(ENCODED, "SELECT encoder || '/' || operator AS g, CAST(id AS VARCHAR) AS key, CAST(round(near, 6)>=0.4 AS DOUBLE) AS value FROM e", "operator", 50))
 def encoder_intervals(s, d):
     scores = _operator_scores(s, d)
     both = scores.withColumn("encoder", F.lit("first")).unionByName(scores.withColumn("encoder", F.lit("second")).withColumn("near", F.col("near") / 2))
-    return evals.operator_intervals(both, "near", resamples=50).select("operator", F.round("mean", 6).alias("mean"), "n")
+    return bounds(evals.operator_intervals(both.withColumn("over", (F.round("near", 6) >= 0.4).cast("double")), "over", resamples=50), "operator")
 
 
 # ---------------------------------------------------------------- fetches, links, stores, files
@@ -874,3 +912,65 @@ def tailed_log(s, d):
     log.write.json(f"{folder}/log")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
     return journal.replay(streams.drained(streams.tail(s, f"{folder}/log", schema), folder))
+
+
+# ---------------------------------------------------------------- a table that changes in place, and metrics of runs
+
+
+def _changed_table(s, d):
+    """A table of the notes: every fiftieth touched twice, some updated, some deleted, some added, each a version of its own."""
+    n = views.notes(s, d).select("id", "content", "user_id", F.col("access_count").cast("bigint").alias("access_count"), F.lit(0.0).alias("accessed_at"))
+    table = tables.VersionedTable.create(n, f"{_folder(s)}/notes", buckets=16)
+    table.touch(n.where("id % 50 = 0").select("id"), 1000.0)
+    table.touch(n.where("id % 50 = 0").select("id"), 2000.0)
+    table.merge(n.where("id % 4 = 1").select("id", F.concat(F.lit("now "), "user_id").alias("user_id"), F.lit(None).cast("string").alias("content")))
+    table.merge(n.where("id % 9 = 0").select("id", F.lit(True).alias("_deleted")))
+    table.merge(n.where("id % 100 = 7").select((F.col("id") + 1000000).alias("id"), "content", F.lit("added").alias("user_id")))
+    return table
+
+
+@query(f"""WITH {NOTES} SELECT id, content, CASE WHEN id%4=1 THEN 'now ' || user_id ELSE user_id END AS user_id, access_count + CASE WHEN id%50=0 THEN 2 ELSE 0 END AS access_count, CASE WHEN id%50=0 THEN 2000.0 ELSE 0.0 END AS accessed_at FROM notes WHERE id%9<>0
+UNION ALL SELECT id+1000000, content, 'added', NULL, NULL FROM notes WHERE id%100=7""")
+def table_changed_in_place(s, d):
+    return _changed_table(s, d).read()
+
+
+@query(f"""WITH {NOTES}, t AS (SELECT sum(access_count) AS uses, count(*) AS n, count(*) FILTER (id%50=0) AS fifties FROM notes)
+SELECT 1 AS version, n, uses FROM t UNION ALL SELECT 2, n, uses+fifties FROM t UNION ALL SELECT 3, n, uses+2*fifties FROM t""")
+def table_snapshots(s, d):
+    """Older versions as they were, after all later changes."""
+    table = _changed_table(s, d)
+    out = None
+    for v in (1, 2, 3):
+        one = table.read(v).agg(F.count("*").alias("n"), F.sum("access_count").alias("uses")).select(F.lit(v).alias("version"), "n", "uses")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT 'events' AS source, unnest(['n', 'total', 'kinds']) AS metric, unnest([CAST(count(*) AS DOUBLE), round(sum(value), 2), CAST(count(*) FILTER (event_type='click') AS DOUBLE)]) AS value FROM events""")
+def observed_counts(s, d):
+    """A query's own counts, taken while its rows are written."""
+    from ..streaming import metrics
+
+    rows, seen = metrics.observed(views.table(s, d, "events"), "events", n=F.count("*"), total=F.sum("value"), kinds=F.count_if(F.col("event_type") == "click"))
+    rows.write.parquet(f"{_folder(s)}/seen")
+    return metrics.metric_rows(s, seen, names=("events",)).select("source", "metric", F.round("value", 2).alias("value"))
+
+
+@query("""SELECT 'events' AS source, unnest(['input_rows', 'seen.n', 'seen.total']) AS metric, unnest([CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE), round(sum(value), 2)]) AS value FROM events""")
+def observed_stream(s, d):
+    """What a stream's triggers observed, gathered by a listener and kept as a table."""
+    from ..streaming import metrics
+
+    events = s.readStream.schema(views.table(s, d, "events").schema).parquet(f"{d}/events.parque[t]").observe("seen", F.count("*").alias("n"), F.sum("value").alias("total"))
+    folder, heard = _folder(s), metrics.StreamMetrics()
+    s.streams.addListener(heard)
+    try:
+        run = events.writeStream.queryName("events").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        s._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        s.streams.removeListener(heard)
+    heard.flush(s, f"{folder}/metrics")
+    kept = s.read.schema(metrics.SCHEMA).parquet(f"{folder}/metrics").where("metric IN ('input_rows', 'seen.n', 'seen.total')")
+    return kept.groupBy("source", "metric").agg(F.round(F.sum("value"), 2).alias("value"))

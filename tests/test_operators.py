@@ -440,6 +440,126 @@ def test_scaling_by_sorting(spark, n):
     assert (got.small_half, got.large_half) == (mean(small), mean(large))
 
 
+@pytest.mark.parametrize("pairs", [0, 500, 10**9])
+def test_as_of_by_bins_equals_the_plain_join(spark, pairs):
+    rng = random.Random(31)
+    held = [(n, rng.choice([1, 1, 1, 2, 3]), float(a := rng.randint(0, 300)), None if rng.random() < 0.2 else float(a + rng.choice([0, 1, 5, 100]))) for n in range(800)]
+    asked = [(q, rng.choice([1, 1, 2, 9]), float(rng.randint(20, 280)) + rng.choice([0.0, 0.5])) for q in range(150)] + [(200, 2, 50.0), (201, 3, None)]
+    h = spark.createDataFrame(held, "id long, entity_id long, valid_from double, valid_until double")
+    a = spark.createDataFrame(asked, "question_id long, entity_id long, at double")
+    want = sorted((q, i) for q, e, t in asked for i, f, start, end in held if e == f and t is not None and start <= t and (end is None or end > t))
+    found = temporal.as_of(h, a, pairs)
+    assert sorted(found.columns) == sorted(["question_id", "entity_id", "at", "id", "valid_from", "valid_until"])
+    assert sorted((r.question_id, r.id) for r in found.collect()) == want
+
+
+def test_a_hot_entity_is_dealt_by_nodes(spark):
+    """Many facts and questions of one entity: few rows meet beside those that match."""
+    held = spark.range(20_000).selectExpr("id", "1L AS entity_id", "CAST(id AS DOUBLE) AS valid_from", "CAST(id + 3 AS DOUBLE) AS valid_until")
+    asked = spark.range(5_000).selectExpr("id AS question_id", "1L AS entity_id", "CAST(4 * id AS DOUBLE) AS at")
+    found = temporal.as_of(held, asked, 0)
+    assert found.agg(F.count("*"), F.min("question_id"), F.max("question_id")).first()[:] == (14_998, 0, 4_999)
+
+
+# ---------------------------------------------------------------- seals of a log
+
+
+def test_seals_find_what_was_forged(spark):
+    from hashlib import sha256
+
+    from memloom.operators import seals
+
+    lines = spark.createDataFrame([(n, f"text {n}", None if n % 3 else "é") for n in range(1, 301)], "seq long, a string, b string")
+    line = F.concat_ws("|", "a", F.coalesce("b", F.lit("-")))
+    for key in (None, b"k", b"long" * 40):
+        kept = seals.leaves(lines, line, key)
+        body = "7\ntext 7|-".encode()
+        import hmac
+
+        assert kept.where("seq = 7").first()["hash"] == (hmac.new(key, body, sha256) if key else sha256(body)).hexdigest()
+        assert seals.faults(lines, line, kept, key).count() == 0
+    kept = seals.leaves(lines, line)
+    for segment in (4, 64, 1024):
+        told = seals.sealed(kept, segment)
+        n, top = seals.root(told, segment)
+        assert n == 300
+        paths = seals.proof(kept, lines.where("seq IN (1, 64, 65, 299, 300)").select("seq"), segment).join(kept, "seq")
+        assert [r.root for r in paths.select(seals.proven(F.col("hash"), F.col("path")).alias("root")).collect()] == [top] * 5
+        forged = lines.withColumn("a", F.when(F.col("seq") == 70, "x").otherwise(F.col("a")))
+        assert [(r.segment, r.fault) for r in seals.broken_segments(forged, line, told, segment=segment).collect()] == [(69 // segment, "hash")]
+        assert seals.root(seals.sealed(seals.leaves(forged, line), segment), segment)[1] != top
+    assert seals.root(seals.sealed(kept.limit(0))) == (0, "")
+    with pytest.raises(ValueError):
+        seals.sealed(kept, 1)
+
+
+# ---------------------------------------------------------------- log files
+
+
+def test_log_files_in_ranges_and_as_a_stream(spark, tmp_path):
+    from memloom.sources import logs
+
+    rng = random.Random(4)
+    texts = [json.dumps({"seq": n, "t": "é" * rng.randrange(90)}, ensure_ascii=False) for n in range(1, 700)]
+    texts[10] = texts[400] = ""
+    path = tmp_path / "log.jsonl"
+    path.write_bytes(("\n".join(texts) + '\n{"seq": 700, "t').encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = logs.numbered_lines(spark, str(path))
+        whole = {r.n: r.value for r in logs.whole_lines(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert whole == {n: t for n, t in enumerate(texts, 1) if t}
+    want = [t for t in texts if t]
+    for step in (1, 100, 5000, 1 << 20):
+        if step > 1:
+            assert [r.value for r in logs.ranged(spark, str(path), step).orderBy("at").collect()] == want
+        found = [x for p in logs._ranges(0, logs._end_of_lines(str(path), 0), step) for x in logs._lines(str(path), p)]
+        assert [v for _, v in found] == want and all(path.read_bytes()[a:].startswith(v.encode()) for a, v in found)
+    stream = logs.followed(spark, str(path), 4000)
+
+    def drained():
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        return [r.value for r in spark.read.schema("at bigint, value string").parquet(str(tmp_path / "out")).orderBy("at").collect()]
+
+    assert drained() == want
+    with path.open("ab") as f:  # the torn line is finished, and more comes
+        f.write(b'": 1}\n{"seq": 701}\n')
+    assert drained() == [*want, '{"seq": 700, "t": 1}', '{"seq": 701}']
+
+
+# ---------------------------------------------------------------- a table that changes in place
+
+
+def test_versioned_table_rewrites_what_is_concerned(spark, tmp_path):
+    from memloom.sources.tables import Conflict, VersionedTable
+
+    rows = spark.range(500).selectExpr("id", "concat('t', id) AS content", "0L AS access_count", "CAST(NULL AS DOUBLE) AS accessed_at")
+    table = VersionedTable.create(rows, str(tmp_path / "t"), buckets=32)
+    first = table.folders(1)
+    assert table.touch(rows.where("id IN (3, 4)").select("id"), 9.0) == 2
+    changed = [b for b, f in table.folders(2).items() if f != first[b]]
+    assert 1 <= len(changed) <= 2
+    assert {(r.id, r.access_count, r.accessed_at) for r in table.read().where("access_count > 0").collect()} == {(3, 1, 9.0), (4, 1, 9.0)}
+    assert table.read(1).where("access_count > 0").count() == 0 and table.read().count() == 500
+    assert table.touch(spark.createDataFrame([(10**9,)], "id long"), 1.0) in (2, 3) and table.read().count() == 500
+    now = table.versions()[-1]
+    one = spark.createDataFrame([(3, "new", True), (None, "x", False), (900, "added", None)], "id long, content string, _deleted boolean")
+    assert table.merge(one) == now + 1
+    with pytest.raises(Conflict):
+        table.merge(one.limit(1), base=now)
+    assert sorted(r.id for r in VersionedTable(spark, str(tmp_path / "t")).read().where("id < 5 OR id > 400").collect()) == [0, 1, 2, 4, *range(401, 500), 900]
+    for k in range(8):
+        table.touch(spark.createDataFrame([(7,)], "id long"), float(k))
+    assert len(table.read()._jdf.queryExecution().analyzed().toString()) < 60_000 and table.read().where("id = 7").first().access_count == 8
+    assert table.vacuum(1) > 0 and table.versions() == [now + 9] and table.read().count() == 500
+    with pytest.raises(ValueError):
+        VersionedTable.create(rows.union(rows.limit(1)), str(tmp_path / "twice"))
+
+
 # ---------------------------------------------------------------- the vector index
 
 

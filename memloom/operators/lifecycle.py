@@ -107,70 +107,3 @@ def synthesized(memories: DataFrame, asked: DataFrame, operator: str, dim: int,
     return rows.where(whole).select(
         "hybrid_id", F.transform("m", lambda x: x["parent_id"]).alias("parents"), V.synthesize(operator, vectors, parents, dim).alias("embedding"), F.array_min(F.transform("m", lambda x: x["trust"])).alias("trust"),
     )
-
-
-#: Rows that are clustered together; a level of more is cut into cells of about so many first.
-CELL = 50_000
-
-
-def clustered(rows: DataFrame, branching: int, seed: int, cell: int = CELL) -> DataFrame:
-    """rows: id, text, embedding. Adds ``cluster``: k-means groups of about ``branching`` rows each.
-
-    Up to ``cell`` rows are one distributed fit. More are bisected into cells first, a cell of over four times ``cell`` is
-    dealt into parts by id, and each part is clustered in one task: neither the number of centres of a fit nor what a
-    task holds grows with the table.
-    """
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = rows.count()
-    points = rows.withColumn("features", array_to_vector("embedding"))
-    if n <= cell:
-        model = KMeans(k=max(2, n // branching), seed=seed, maxIter=10).fit(points.select("features"))
-        return model.transform(points).withColumn("cluster", F.col("prediction").cast("string")).drop("features", "prediction")
-    cells = checkpointed(BisectingKMeans(k=-(-n // cell), seed=seed, maxIter=5).fit(points.select("features")).transform(points).drop("features").withColumnRenamed("prediction", "cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    parts = F.when(F.col("size") <= 4 * cell, F.lit(1)).otherwise(F.ceil(F.col("size") / cell))
-    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), parts))  # a row for each cell
-
-    def one(group):
-        import numpy as np
-
-        x = np.array(group["embedding"].tolist(), dtype=np.float64)
-        k = min(len(x), max(2, len(x) // branching))
-        rng = np.random.default_rng(seed)
-        centres = x[np.sort(rng.choice(len(x), k, replace=False))]
-        for _ in range(10):
-            own = np.concatenate([np.argmin(((centres**2).sum(axis=1) - 2 * (x[lo : lo + 512] @ centres.T)), axis=1) for lo in range(0, len(x), 512)])
-            counts = np.bincount(own, minlength=k)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, own, x)
-            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        name = f"{group['cell'].iloc[0]}-{group['part'].iloc[0]}-"
-        return group[["id", "text", "embedding"]].assign(cluster=[f"{name}{c}" for c in own.tolist()])
-
-    return dealt.groupBy("cell", "part").applyInPandas(lambda group: one(group), "id string, text string, embedding array<double>, cluster string")
-
-
-def summary_tree(memories: DataFrame, branching: int = 5, most_levels: int = 3, seed: int = 42, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, level, embedding, size, text) and edges (node_id, member_id, weight) of a k-means tree.
-
-    A level clusters the one below into groups of about ``branching`` rows while it has 2 * branching rows or more;
-    groups of one row are skipped. A node's text is made of its first six members'. Levels are few; the loop is over
-    levels only, and each is checkpointed.
-    """
-    level_rows = memories.select(F.col("id").cast("string").alias("id"), F.col("content").alias("text"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    nodes = edges = None
-    for level in range(1, most_levels + 1):
-        if level_rows.count() < 2 * branching:
-            break
-        found = checkpointed(clustered(level_rows, branching, seed, cell))
-        sizes = found.groupBy("cluster").agg(F.count("*").alias("size")).where("size >= 2")
-        first = found.withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where("_n <= 6")
-        texts = first.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.substring("text", 1, 80).alias("t")))), lambda s: s["t"]).alias("texts"))
-        name = F.concat(F.lit(f"level{level}/"), "cluster").alias("node_id")
-        made = checkpointed(centroid(found, "cluster").join(sizes, "cluster").join(texts, "cluster").select(name, F.lit(level).alias("level"), F.col("centroid").alias("embedding"), "size", F.concat(F.lit("summary of: "), F.array_join("texts", " ; ")).alias("text")))
-        members = found.join(sizes, "cluster").select(name, F.col("id").alias("member_id"), (1 / F.col("size")).alias("weight"))
-        nodes, edges = (made, members) if nodes is None else (nodes.unionByName(made), edges.unionByName(members))
-        level_rows = made.select(F.col("node_id").alias("id"), "text", "embedding")
-    return nodes, edges

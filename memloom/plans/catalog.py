@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evals, graph, journal, lifecycle, mutations, retrieval, scan, temporal
+from ..operators import evals, graph, journal, lifecycle, mutations, retrieval, scan, temporal, trees
 from ..sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,7 +653,7 @@ def consolidation_due(s, d):
 
 @query()
 def summary_tree(s, d):
-    nodes, edges = lifecycle.summary_tree(views.memories(s, d), 20)
+    nodes, edges = trees.summary_tree(views.memories(s, d), 20)
     return nodes.join(edges.groupBy("node_id").agg(F.count("*").alias("members"), F.round(F.sum("weight"), 6).alias("weight")), "node_id").select("node_id", "level", "size", "members", "weight")
 
 

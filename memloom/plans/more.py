@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, evals, graph, guards, journal, lifecycle, mutations, retrieval, scan, temporal
+from ..operators import ann, evals, graph, guards, journal, lifecycle, mutations, names, retrieval, scan, seals, temporal, trees
 from ..sources import logs, models, readers, tables, views
-from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, bootstrap_sql, bounds, query
+from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, MENTIONS, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, bootstrap_sql, bounds, query
 
 
 def doc():
@@ -451,13 +452,64 @@ def broken_lines(s, d):
     return found.unionByName(journal.broken_lines(forged, values).select(F.lit("forged").alias("log"), "seq", "fault"))
 
 
-@query(f"""WITH {JOURNAL} SELECT (SELECT count(*) FROM journal) AS n_lines, 0 AS n_faults, v.same AS same_state, v.same AS verified, v.name FROM (SELECT 'replayed' AS name, true AS same UNION ALL SELECT 'other', false) v""")
+#: A line of the op log as it is sealed, in both languages, and the log with lines changed, gone, twice and added.
+PARTS = ("op", "id", "content", "user_id", "from_id", "to_id", "relation")
+SEALED = f"""{JOURNAL}, leaf AS (SELECT *, sha256(CAST(seq AS VARCHAR) || chr(10) || concat_ws(chr(31), {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in PARTS)})) AS hash FROM journal)"""
+FORGED = """faults AS (SELECT seq, CASE WHEN op='add' AND id%50=7 THEN 'hash' WHEN op='delete_edge' AND id%3=0 THEN 'gap' WHEN op='update' AND id%20=1 AND content IS NULL THEN 'twice' END AS fault FROM journal UNION ALL SELECT doc_id*10+9, 'extra' FROM documents WHERE doc_id%60=0)"""
+#: Levels of a tree in SQL: of up to 2^LEVELS numbers.
+LEVELS = 34
+
+
+def tree_sql():
+    """The levels t0 (the leaves by place), t1, ... of the tree over the op log, one pairing after another."""
+    up = "t{0} AS MATERIALIZED (SELECT p//2 AS p, CASE WHEN count(*)=2 THEN sha256(unhex(min_by(hash, p)) || unhex(max_by(hash, p))) ELSE min(hash) END AS hash FROM t{1} GROUP BY 1)"
+    return "t0 AS MATERIALIZED (SELECT seq-1 AS p, hash FROM leaf), " + ", ".join(up.format(n, n - 1) for n in range(1, LEVELS + 1))
+
+
+def _sealed_line():
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PARTS])
+
+
+def _forged(log):
+    i = F.col("id")
+    changed = log.withColumn("content", F.when((F.col("op") == "add") & (i % 50 == 7), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    twice = changed.where("op = 'update' and id % 20 = 1 and content is null")
+    added = log.where("op = 'add' and id % 60 = 0").withColumn("seq", i * 10 + 9)
+    return changed.where("not (op = 'delete_edge' and id % 3 = 0)").unionByName(twice).unionByName(added)
+
+
+@query(f"WITH {SEALED}, {tree_sql()} SELECT (SELECT count(*) FROM leaf) AS n, hash AS root FROM t{LEVELS}")
+def sealed_log(s, d):
+    """The checkpoint of the whole op log: its lines, and the root over its segments' roots."""
+    n, top = seals.root(session.checkpointed(seals.sealed(seals.leaves(views.journal(s, d), _sealed_line()))))
+    return s.range(1).select(F.lit(n).alias("n"), F.lit(top).alias("root"))
+
+
+@query(f"WITH {JOURNAL}, {FORGED} SELECT * FROM faults WHERE fault IS NOT NULL")
+def forged_lines(s, d):
+    """Each line of a forged op log that isn't what its writer kept."""
+    log = views.journal(s, d)
+    return seals.faults(_forged(log), _sealed_line(), seals.leaves(log, _sealed_line()))
+
+
+@query(f"WITH {SEALED}, {tree_sql()} SELECT seq, (SELECT hash FROM t{LEVELS}) AS root FROM leaf WHERE op='add' AND id%50=7")
+def proven_lines(s, d):
+    """A stated set of lines, each with the root that its proof leads to."""
+    log = views.journal(s, d)
+    leaf = session.checkpointed(seals.leaves(log, _sealed_line()))
+    asked = log.where("op = 'add' and id % 50 = 7").select("seq")
+    return seals.proof(leaf, asked).join(leaf, "seq").select("seq", seals.proven(F.col("hash"), F.col("path")).alias("root"))
+
+
+@query(f"""WITH {JOURNAL}, {FORGED}, v AS (SELECT count(*) AS n_lines FROM journal), bad AS (SELECT count(*) AS n, count_if(fault IN ('twice', 'extra')) - count_if(fault='gap') AS more, (SELECT count(*) FROM documents WHERE doc_id%50=7 AND doc_id%6<>1 AND doc_id%9<>0)=0 AS same FROM faults WHERE fault IS NOT NULL)
+SELECT n_lines, 0 AS n_faults, true AS same_state, true AS verified, 'replayed' AS name FROM v UNION ALL SELECT n_lines, 0, false, false, 'other' FROM v UNION ALL SELECT n_lines + more, n, same, false, 'forged' FROM v, bad""")
 def verified_log(s, d):
+    """Whether a log is what its writer sealed and leads to the live state: the log itself, the log beside another state, a forged one beside the state."""
     log = views.journal(s, d)
-    state = journal.replay(log)
-    none = log.limit(0).select("seq", F.lit("x").alias("fault"))
-    check = lambda live, name: journal.verified(log, live, ("content", "user_id"), none).withColumn("name", F.lit(name))
-    return check(state, "replayed").unionByName(check(state.withColumn("user_id", F.lit("x")), "other"))
+    kept = session.checkpointed(seals.leaves(log, _sealed_line()))
+    state = session.checkpointed(journal.replay(log))  # three times read
+    check = lambda lines, live, name: journal.verified(lines, live, ("content", "user_id"), seals.faults(lines, _sealed_line(), kept)).withColumn("name", F.lit(name))
+    return check(log, state, "replayed").unionByName(check(log, state.withColumn("user_id", F.lit("x")), "other")).unionByName(check(_forged(log), state, "forged"))
 
 
 LINES = f"""{JOURNAL}, d AS (SELECT *, row_number() OVER (ORDER BY seq, op, id) AS n FROM journal)"""
@@ -974,3 +1026,32 @@ def observed_stream(s, d):
     heard.flush(s, f"{folder}/metrics")
     kept = s.read.schema(metrics.SCHEMA).parquet(f"{folder}/metrics").where("metric IN ('input_rows', 'seen.n', 'seen.total')")
     return kept.groupBy("source", "metric").agg(F.round(F.sum("value"), 2).alias("value"))
+
+
+# ---------------------------------------------------------------- names in texts, trees by scope
+
+
+@query(f"""WITH {MENTIONS}, names AS (SELECT DISTINCT lower(entity) AS name FROM mentions WHERE length(entity)>=3), folded AS MATERIALIZED (SELECT replace(lower(text), 'ß', 'ss') AS said FROM documents) SELECT name, count(*) AS n_texts FROM folded JOIN names ON contains(said, name) GROUP BY name""")
+def names_in_texts(s, d):
+    """In how many documents each name stands, by one pass of an automaton over the whole texts."""
+    known = views.mentions(s, d).where(F.length("entity") >= 3).select(F.lower("entity").alias("name"))
+    return names.named(docs(s, d).select("doc_id", "text"), known, "doc_id").groupBy("name").agg(F.count("*").alias("n_texts"))
+
+
+@query(f"""WITH {MEM} SELECT user_id, agent_id, count(*) AS n_rows, true AS one_node_each, true AS own_scope, true AS whole_weights, true AS mean_vectors FROM memories GROUP BY ALL HAVING count(*)>=10""")
+def tree_by_scope(s, d):
+    """The trees of all scopes at once, and what must hold of each scope's: at most one node of level 1 for a row, no member of another scope, weights that make one, mean vectors."""
+    m, by = views.memories(s, d), ("user_id", "agent_id")
+    nodes, edges = trees.summary_tree(m, 5, by=by)
+    below = m.select(F.col("id").cast("string").alias("member_id"), *[F.col(c).alias(f"m_{c}") for c in by], F.col("embedding").cast("array<double>").alias("v"), F.lit(0).alias("own"))
+    below = below.unionByName(nodes.select(F.col("node_id").alias("member_id"), *[F.col(c).alias(f"m_{c}") for c in by], F.col("embedding").alias("v"), F.col("level").alias("own")))
+    links = session.checkpointed(edges.join(below, "member_id"))
+    node = links.groupBy("node_id").agg(F.round(F.sum("weight"), 6).alias("weight"), F.min("own").alias("low"), F.max("own").alias("high"))
+    mean = lifecycle.centroid(links.withColumnRenamed("v", "embedding"), "node_id")
+    far = F.array_max(F.zip_with("embedding", "centroid", lambda a, b: F.abs(a - b)))
+    held = nodes.join(node, "node_id").join(mean, "node_id").select("node_id", *by, ((F.col("weight") == 1) & (F.col("low") == F.col("level") - 1) & (F.col("high") == F.col("low"))).alias("whole"), (far < 1e-9).alias("near"))
+    scoped = links.join(held, "node_id").groupBy(*by).agg(
+        (F.count("*") == F.count_distinct("member_id")).alias("one_node_each"), F.bool_and((F.col("user_id") == F.col("m_user_id")) & (F.col("agent_id") == F.col("m_agent_id"))).alias("own_scope"),
+        F.bool_and("whole").alias("whole_weights"), F.bool_and("near").alias("mean_vectors"),
+    )
+    return m.groupBy(*by).agg(F.count("*").alias("n_rows")).join(scoped, list(by))

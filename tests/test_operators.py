@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.functions import vectors as V
-from memloom.operators import evals, graph, journal, lifecycle, mutations, retrieval, scan, temporal
+from memloom.operators import evals, graph, journal, lifecycle, mutations, names, retrieval, scan, temporal, trees
 from memloom.sources import readers
 from memloom.streaming import facts as streams
 
@@ -402,13 +402,80 @@ def test_consolidation_by_sorting(spark):
 def test_summary_tree_invariants(spark, cell):
     rng = np.random.default_rng(5)
     m = spark.createDataFrame([(n, f"text {n}", rng.normal(size=4).tolist()) for n in range(60)], "id long, content string, embedding array<double>")
-    nodes, edges = lifecycle.summary_tree(m, 5, cell=cell)
+    nodes, edges = trees.summary_tree(m, 5, cell=cell)
     first = edges.where("node_id like 'level1/%'").groupBy("member_id").count()
     assert first.where("count > 1").count() == 0
     assert all(abs(r.w - 1) < 1e-9 for r in edges.groupBy("node_id").agg(F.sum("weight").alias("w")).collect())
     assert nodes.where("size < 2").count() == 0 and nodes.count() > 0
 
 
+def _blobs(scope, n_blobs, each, first=0):
+    rng = np.random.default_rng(n_blobs)
+    centres = np.eye(8)[:n_blobs] * 10
+    return [(first + b * each + n, scope, None if n == 0 else f"{scope} {b} {n}", (centres[b] + rng.normal(scale=1e-3, size=8)).tolist()) for b in range(n_blobs) for n in range(each)]
+
+
+@pytest.mark.parametrize("cell", [1000, 10])
+def test_trees_of_many_scopes_find_planted_groups(spark, cell):
+    rows = _blobs("a", 4, 5) + _blobs("b", 2, 5, 100) + _blobs(None, 3, 5, 200) + _blobs("few", 1, 4, 300)
+    m = spark.createDataFrame(rows, "id long, user_id string, content string, embedding array<double>").repartition(7)
+    nodes, edges = trees.summary_tree(m, 5, 1, by=("user_id",), cell=cell, summariser=lambda: lambda texts: f"{len(texts)}: " + "|".join(texts))
+    got = {n.node_id: n for n in nodes.collect()}
+    members = {}
+    for e in edges.collect():
+        members.setdefault(e.node_id, set()).add(int(e.member_id))
+    assert {n.user_id for n in got.values()} == {"a", "b", None}  # too few rows of the last
+    place = {r[0]: r for r in rows}
+    for key, own in members.items():
+        assert {place[i][1] for i in own} == {got[key].user_id} and len(own) == got[key].size >= 2
+        texts = [place[i][2] or "" for i in sorted(own, key=str)]
+        assert got[key].text == f"{len(own)}: " + "|".join(texts)
+        assert np.allclose(got[key].embedding, np.mean([place[i][3] for i in own], axis=0))
+    if cell == 1000:
+        assert {frozenset(v) for v in members.values()} == {frozenset(range(lo, lo + 5)) for lo in [0, 5, 10, 15, 100, 105, 200, 205, 210]}
+
+
+def test_cells_are_bounded_whatever_the_vectors(spark, monkeypatch):
+    same = [("same", str(n), [1.0, 2.0]) for n in range(70)]
+    spread = [("line", str(n), [float(2**min(n, 60)), 0.0]) for n in range(70)]
+    rows = spark.createDataFrame(same + spread + [("small", "0", [0.0, 0.0])], "scope string, id string, embedding array<double>")
+    for rounds, cuts in ((trees.ROUNDS, trees.MOST_CUTS), (0, trees.MOST_CUTS), (3, 0)):
+        monkeypatch.setattr(trees, "ROUNDS", rounds)
+        monkeypatch.setattr(trees, "MOST_CUTS", cuts)
+        made = trees.cells(rows, 16)
+        assert made.count() == 141 and made.groupBy("scope", "cell").count().agg(F.max("count")).first()[0] <= 16
+        assert made.where("scope = 'small'").first().cell == "c"
+
+
+def test_summary_tree_checks_its_arguments_and_leaves_its_own_rows_out(spark):
+    rows = [(n, "x", [float(n % 2), 1.0], None) for n in range(8)] + [(n, "y", [0.0, 1.0], trees.SUMMARY) for n in range(8, 40)] + [(50, "no vector", [], None)]
+    m = spark.createDataFrame(rows, "id long, content string, embedding array<double>, operator string")
+    for bad in ({"branching": 1}, {"branching": 0}, {"branching": True}, {"most_levels": 0}, {"most_levels": -1}):
+        with pytest.raises(ValueError):
+            trees.summary_tree(m, **bad)
+    nodes, edges = trees.summary_tree(m, 4, 2)
+    assert {int(r.member_id) for r in edges.where("node_id like 'level1/%'").collect()} <= set(range(8)) and nodes.agg(F.max("level")).first()[0] == 1
+    none, no_edges = trees.summary_tree(m.limit(0), 4)
+    assert none.count() == 0 and no_edges.count() == 0
+
+
+# ---------------------------------------------------------------- names in texts
+
+
+def test_names_are_found_in_every_part_and_fold(spark):
+    rng = random.Random(3)
+    letters = "abAB ßéÉ\U0001f600"
+    texts = [(n, "".join(rng.choice(letters) for _ in range(rng.choice((0, 5, 60))))) for n in range(60)] + [(60, None), (61, "Große STRASSE")]
+    known = sorted({"".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 3)))) for _ in range(50)} | {"Straße", "strasse", "ss"})
+    t = spark.createDataFrame(texts, "query_id int, text string")
+    n = spark.createDataFrame([(x,) for x in known * 2 + ["", None]], "name string")
+    want = sorted((q, x) for q, text in texts if text for x in known if x.casefold() in text.casefold())
+    for limits in ({}, {"most": 7}, {"characters": 20}):
+        assert sorted(map(tuple, names.named(t, n, **limits).collect())) == want
+    assert names.named(t, n.limit(0)).count() == 0 and names.named(t.limit(0), n).count() == 0
+    assert names.named(t, n).schema.simpleString() == "struct<query_id:int,name:string>"
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0)], "query_id long, rank int, hit int")
     rows = {r.query_id: r for r in evals.retrieval_metrics(hits).collect()}

@@ -85,6 +85,15 @@ def uniform_choice(parents: int, dim: int, seed: int = 42) -> list[int]:
     return np.random.default_rng(seed).integers(0, parents, dim).tolist()
 
 
+def single_point_owner(parents: int, dim: int, seed: int = 42) -> list[int]:
+    """Of each place the parent that a fold of single-point crossovers takes it from: each step draws a seed, and with it its own cut."""
+    rng, owner = np.random.default_rng(seed), np.zeros(dim, dtype=np.int64)
+    for parent in range(1, parents):
+        cut = int(np.random.default_rng(int(rng.integers(0, 2**31 - 1))).integers(0, dim + 1))
+        owner[cut:] = parent
+    return owner.tolist()
+
+
 def frequency(a: Column, b: Column) -> Column:
     """The larger magnitude; on ties the earlier parent."""
     return F.zip_with(a, b, lambda x, y: F.when(F.abs(x) >= F.abs(y), x).otherwise(y).cast("double"))
@@ -164,6 +173,7 @@ PAIRS: dict[str, Callable[[Column, Column, int], Column]] = {
 MANY: dict[str, Callable[[Column, int, int], Column]] = {
     "average": lambda vs, n, dim: average_n(vs),
     "uniform": lambda vs, n, dim: uniform_n(vs, uniform_choice(n, dim)),
+    "single_point": lambda vs, n, dim: uniform_n(vs, single_point_owner(n, dim)),
     "frequency": lambda vs, n, dim: frequency_n(vs),
     "attention": lambda vs, n, dim: attention_n(vs),
     "gaussian_mutation": lambda vs, n, dim: mutated(average_n(vs), dim),

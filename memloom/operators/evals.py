@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..session import ship
+from ..session import checkpointed, ship
+from .names import named
 
 KS = (1, 3, 5, 10)
 SEMANTIC = 0.70
@@ -171,40 +172,73 @@ def diversity(sets: DataFrame, places: int = 6) -> DataFrame:
 
 
 def extraction_audit(recorded: DataFrame, gold: DataFrame, days: float = 45.0) -> DataFrame:
-    """recorded, gold: entity, value, at. Precision, recall and the share of matches within ``days``: values match if one core holds the other."""
-    r = recorded.withColumn("rid", F.monotonically_increasing_id()).select("rid", "entity", F.col("at").alias("r_at"), T.answer_core(F.col("value")).alias("rv"))
-    g = gold.withColumn("gid", F.struct("at", "value")).select("gid", "entity", F.col("at").alias("g_at"), T.answer_core(F.col("value")).alias("gv"))
-    m = r.join(g, "entity").where(F.contains("rv", F.col("gv")) | F.contains("gv", F.col("rv")))
-    first = m.groupBy("rid").agg(F.min(F.struct("gid", (F.abs(F.col("r_at") - F.col("g_at")) <= days * 86400).alias("close"))).alias("f"))
-    hits = first.agg(F.count("*").alias("hits"), F.count_if("f.close").alias("close"))
-    found = m.select("entity", "gid").distinct().agg(F.count("*").alias("found"))
+    """recorded, gold: entity, value, at. Precision, recall and the share of matches within ``days``: values match if one core holds the other.
+
+    The distinct values are held against one another by an automaton, either way, so only those that do match meet; rows
+    meet by entity and value, and no row meets another. A recorded row is judged by its first match by (at, value). An
+    empty core is held by all; a null value matches nothing.
+    """
+    r = recorded.select("entity", F.col("at").alias("r_at"), T.answer_core(F.col("value")).alias("rv"))
+    g = gold.select("entity", F.struct("at", "value").alias("gid"), T.answer_core(F.col("value")).alias("gv"))
+    by_rv, by_gv = r.where("rv IS NOT NULL").select("entity", "rv").distinct(), g.where("gv IS NOT NULL").groupBy("entity", "gv").agg(F.min("gid").alias("gid"))
+    rvs, gvs = by_rv.select("rv").distinct(), by_gv.select("gv").distinct()
+    held = named(rvs.withColumn("said", F.col("rv")), gvs.select(F.col("gv").alias("name")), "rv", "said").select("rv", F.col("name").alias("gv"))
+    holds = named(gvs.withColumn("said", F.col("gv")), rvs.select(F.col("rv").alias("name")), "gv", "said").select(F.col("name").alias("rv"), "gv")
+    same = F.contains("rv", F.col("gv")) | F.contains("gv", F.col("rv"))  # folds may be wider
+    pairs = held.unionByName(holds).where(same).distinct()
+    met = checkpointed(by_rv.join(pairs, "rv").join(by_gv, ["entity", "gv"]).select("entity", "rv", "gv", "gid"))
+    least = by_gv.groupBy("entity").agg(F.min("gid").alias("gid"), F.min(F.when(F.col("gv") == "", F.col("gid"))).alias("bare"))
+    empty = by_rv.where("rv = ''").join(least, "entity").select("entity", "rv", "gid")
+    bare = by_rv.join(least.where("bare IS NOT NULL"), "entity").select("entity", "rv", F.col("bare").alias("gid"))
+    first = met.select("entity", "rv", "gid").unionByName(empty).unionByName(bare).groupBy("entity", "rv").agg(F.min("gid").alias("gid"))
+    hits = r.join(first, ["entity", "rv"]).agg(F.count("*").alias("hits"), F.count_if(F.abs(F.col("r_at") - F.col("gid.at")) <= days * 86400).alias("close"))
+    all_of = by_rv.groupBy("entity").agg(F.bool_or(F.col("rv") == "").alias("has_empty"))
+    told = g.where("gv IS NOT NULL").select("entity", "gid", "gv").distinct().join(met.select("entity", "gv").distinct().withColumn("_met", F.lit(True)), ["entity", "gv"], "left").join(all_of, "entity")
+    found = told.agg(F.count_if(F.coalesce("_met", F.lit(False)) | F.col("has_empty") | (F.col("gv") == "")).alias("found"))
     sizes = r.agg(F.count("*").alias("n_recorded")).join(g.agg(F.count("*").alias("n_gold"))).join(hits).join(found)  # one row each
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
     return sizes.select(share("hits", "n_recorded").alias("precision"), share("found", "n_gold").alias("recall"), share("close", "hits").alias("in_time"))
 
 
+#: Values that a column's range is cut at in each round of the search for a place.
+CUTS = 64
+
+
+def value_at(rows: DataFrame, column: str, place: int):
+    """The value at a place (from 0) of a column in order, without nulls, exactly; and how many rows lie before the first of that value.
+
+    Each round cuts the range at approximate quantiles, counts every piece and goes on in the one with the place; a cut is
+    a piece of its own, so each round leaves less, and a task leaves ``2 * CUTS + 1`` counts at most.
+    """
+    c, before = F.col(column), 0
+    rows = rows.where(c.isNotNull())
+    while True:
+        cuts = rows.agg(F.percentile_approx(c, [k / CUTS for k in range(1, CUTS)], 1000)).first()[0]
+        cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))])
+        piece = 2 * F.size(F.filter(cuts, lambda x: x < c)) + F.when(F.array_contains(cuts, c), F.lit(1)).otherwise(F.lit(0))
+        for p in rows.groupBy(piece.alias("piece")).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy("piece").collect():  # a row a piece
+            if before + p["n"] > place:
+                break
+            before += p["n"]
+        if p["low"] == p["high"]:
+            return p["low"], before
+        rows = rows.where((c >= p["low"]) & (c <= p["high"]))
+
+
 def scaling(rows: DataFrame, places: int = 6) -> DataFrame:
     """rows: size, delta. Their correlation, and the mean delta of the smaller and the larger half, by (size, delta); equal rows are in one half.
 
-    The last row of the smaller half is found in two passes: a bracket of sizes around the middle by an approximate
-    quantile, a ten-thousandth of the rows or so, and the exact place among the bracket's rows; no task orders the table.
+    The last row of the smaller half is found by ``value_at``, by its size and then by its delta: no task orders rows.
+    Rows with a null are left out.
     """
+    rows = rows.select("size", "delta").where("size IS NOT NULL AND delta IS NOT NULL")
     n = rows.count()
     if not n:
         return rows.agg(*[F.lit(None).cast("double").alias(c) for c in ("pearson", "small_half", "large_half")])
     last = -(-(n - 1) // 2) - 1 if n > 1 else 0  # place, from 0, of the last row with fewer than half of the others before it
-    near = [min(1.0, max(0.0, last / n + d)) for d in (-0.0002, 0.0002)]
-    low, high = rows.agg(F.percentile_approx("size", near, 100_000)).first()[0]
-    below, upto = rows.agg(F.count_if(F.col("size") < low), F.count_if(F.col("size") <= high)).first()
-    inside = (F.col("size") >= low) & (F.col("size") <= high)
-    if not below <= last < upto:  # the approximation missed: the whole is the bracket
-        inside, below = F.lit(True), 0
-    held = rows.where(inside).groupBy("size", "delta").agg(F.count("*").alias("c"))
-    upto = held.withColumn("upto", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("size", "delta")) + below)
-    cut = upto.where(F.col("upto") > last).orderBy("size", "delta").first()
-    small = (F.col("size") < cut["size"]) | (F.col("size") == cut["size"]) & (F.col("delta") <= cut["delta"])
-    if n == 1:
-        small = F.lit(True)
+    size, before = value_at(rows, "size", last)
+    delta, _ = value_at(rows.where(F.col("size") == F.lit(size)), "delta", last - before)
+    small = F.lit(True) if n == 1 else (F.col("size") < F.lit(size)) | (F.col("size") == F.lit(size)) & (F.col("delta") <= F.lit(delta))
     return rows.agg(F.round(F.try_divide(F.covar_pop("size", "delta"), F.stddev_pop("size") * F.stddev_pop("delta")), places).alias("pearson"), F.round(F.avg(F.when(small, F.col("delta"))), places).alias("small_half"), F.round(F.avg(F.when(~small, F.col("delta"))), places).alias("large_half"))
 
 

@@ -30,6 +30,18 @@ def replay(journal: DataFrame, until: int | None = None, columns: tuple[str, ...
     return live.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in columns], F.max("seq").alias("last_seq"))
 
 
+def embedded_texts(journal: DataFrame, until: int | None = None) -> DataFrame:
+    """journal: also ``reembed`` (null: true). id, content, embedded: of each live record its text after the log, and the text that its vector was made of.
+
+    An update of the text that kept the vector (``reembed`` false) leaves that of the text before; ``models.embed`` over
+    ``embedded`` gives the live vectors.
+    """
+    ops = _until(journal, until)
+    fresh = (F.col("op") == "add") | F.coalesce(F.col("reembed"), F.lit(True))
+    marked = ops.withColumn("embedded", F.when(F.col("op").isin("add", "update") & fresh, F.col("content")))
+    return replay(marked, columns=("content", "embedded")).select("id", "content", "embedded")
+
+
 def replay_edges(journal: DataFrame, until: int | None = None) -> DataFrame:
     """The edges after the log: gone are those deleted by id, and those with an end deleted, later than they were added."""
     ops = _until(journal, until)

@@ -294,8 +294,45 @@ def conflicts(held: DataFrame, now: float) -> DataFrame:
     return grouped.where("n_values > 1")
 
 
-def merge_entities(held: DataFrame, merges: DataFrame) -> DataFrame:
-    """merges: from_id, to_id. Facts move to the other entity and remember where from; their intervals stay as they are."""
+def checked_merges(merges: DataFrame, entities: DataFrame) -> DataFrame:
+    """merges: from_id, to_id; entities: id, user_id, agent_id. The merges with ``refused``: why one can't be made, null if it can.
+
+    The first that applies: ``no such entity`` (either end), ``two scopes``, ``itself``, ``several targets`` (an entity goes to one other).
+    """
+    end = lambda side: entities.select(F.col("id").alias(f"{side}_id"), F.struct("user_id", "agent_id").alias(f"_{side}"))
+    asked = merges.select("from_id", "to_id").distinct()
+    targets = asked.groupBy("from_id").agg(F.count("*").alias("_targets"))
+    both = asked.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left").join(targets, "from_id", "left")
+    reason = (
+        F.when(F.col("_from").isNull() | F.col("_to").isNull(), "no such entity").when(~F.col("_from").eqNullSafe(F.col("_to")), "two scopes")
+        .when(F.col("from_id") == F.col("to_id"), "itself").when(F.col("_targets") > 1, "several targets")
+    )
+    return both.select("from_id", "to_id", reason.alias("refused"))
+
+
+#: The keys of a fact's metadata that have columns of their own, with their types.
+FACT_KEYS = {"entity_id": "string", "fact_type": "string", "value": "string", "valid_from": "double", "valid_until": "double", "source_memory_id": "string", "confidence": "double", "believed_by": "string"}
+REQUIRED = ("entity_id", "fact_type", "value", "valid_from")
+
+
+def facts_of_records(records: DataFrame) -> DataFrame:
+    """records: id, metadata (a JSON object). id, the columns of ``FACT_KEYS``, ``metadata`` (what else the object holds, by key, as JSON text or plain text) and ``missing``.
+
+    ``missing`` names the first key that a fact must have and this one hasn't (all, if there is no object); null for a
+    fact. No confidence is 1.
+    """
+    held = F.from_json("metadata", "map<string,string>")
+    typed = [F.try_element_at("_held", F.lit(k)).try_cast(t).alias(k) for k, t in FACT_KEYS.items()]
+    rest = F.map_filter(F.col("_held"), lambda k, _: ~k.isin(*FACT_KEYS))
+    rows = records.select("id", held.alias("_held")).select("id", *typed, rest.alias("metadata"))
+    missing = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(k)) for k in REQUIRED])
+    return rows.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("missing", missing)
+
+
+def merge_entities(held: DataFrame, merges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """merges: from_id, to_id. Facts move to the other entity and remember where from; their intervals stay as they are. With ``entities`` a merge that ``checked_merges`` refuses moves nothing."""
+    if entities is not None:
+        merges = checked_merges(merges, entities).where("refused IS NULL")
     m = merges.select(F.col("from_id").alias("entity_id"), F.col("to_id"))
     return held.join(m, "entity_id", "left").withColumn("merged_from", F.when(F.col("to_id").isNotNull(), F.col("entity_id"))).withColumn("entity_id", F.coalesce("to_id", "entity_id")).drop("to_id")
 

@@ -576,6 +576,8 @@ _many("vec_average_many", "average", SHOW.format(z="a, b, c", e="(z[1]+z[2]+z[3]
 _many("vec_frequency_many", "frequency", SHOW.format(z="a, b, c", e="CASE WHEN abs(z[1])>=abs(z[2]) AND abs(z[1])>=abs(z[3]) THEN z[1] WHEN abs(z[2])>=abs(z[3]) THEN z[2] ELSE z[3] END"))
 _many("vec_attention_many", "attention", SHOW.format(z="a, b, c", e=ATTENTION))
 _many("vec_uniform_many", "uniform", SHOW.format(z=f"a, b, c, {CHOICE}", e="CASE z[4] WHEN 1 THEN z[1] WHEN 2 THEN z[2] ELSE z[3] END"))
+OWNER = "[" + ", ".join(str(c + 1) for c in V.single_point_owner(3, 64)) + "]"
+_many("vec_single_point_many", "single_point", SHOW.format(z=f"a, b, c, {OWNER}", e="CASE z[4] WHEN 1 THEN z[1] WHEN 2 THEN z[2] ELSE z[3] END"))
 
 
 @query(f"""WITH {MEM}, h AS (SELECT id//3 AS hybrid_id, id%3 AS pos, * FROM memories WHERE id//3*3+2 <= (SELECT max(id) FROM memories)), g AS (SELECT hybrid_id, list(id ORDER BY pos) AS parents, min(trust) AS trust, list(embedding ORDER BY pos) AS e, count(*) AS n FROM h GROUP BY hybrid_id)
@@ -1055,3 +1057,37 @@ def tree_by_scope(s, d):
         F.bool_and("whole").alias("whole_weights"), F.bool_and("near").alias("mean_vectors"),
     )
     return m.groupBy(*by).agg(F.count("*").alias("n_rows")).join(scoped, list(by))
+
+
+# ---------------------------------------------------------------- merges refused, facts of records, texts behind vectors
+
+SCOPED = "ent AS (SELECT user_id AS id, min(user_id)%3 AS u FROM events GROUP BY user_id), mg AS (SELECT id AS from_id, id + CASE WHEN id%7=0 THEN 0 WHEN id%5=0 THEN 1000000 WHEN id%2=0 THEN 3 ELSE 1 END AS to_id FROM ent UNION ALL SELECT id, id+6 FROM ent WHERE id%11=0)"
+
+
+@query(f"""WITH {SCOPED}, n AS (SELECT from_id, count(DISTINCT to_id) AS k FROM mg GROUP BY from_id) SELECT DISTINCT from_id, to_id, CASE WHEN b.id IS NULL THEN 'no such entity' WHEN a.u<>b.u THEN 'two scopes' WHEN from_id=to_id THEN 'itself' WHEN k>1 THEN 'several targets' END AS refused
+FROM mg JOIN n USING (from_id) JOIN ent a ON a.id=from_id LEFT JOIN ent b ON b.id=to_id""")
+def refused_merges(s, d):
+    ent = views.table(s, d, "events").select(F.col("user_id").alias("id")).distinct()
+    i = F.col("id")
+    to = i + F.when(i % 7 == 0, 0).when(i % 5 == 0, 1000000).when(i % 2 == 0, 3).otherwise(1)
+    merges = ent.select(i.alias("from_id"), to.alias("to_id")).unionByName(ent.where("id % 11 = 0").select(i.alias("from_id"), (i + 6).alias("to_id")))
+    return temporal.checked_merges(merges, ent.select("id", (i % 3).alias("user_id"), F.lit(None).cast("string").alias("agent_id")))
+
+
+@query("""SELECT event_id AS id, CAST(user_id AS VARCHAR) AS entity_id, CASE WHEN event_id%9<>0 THEN event_type END AS fact_type, value, CASE WHEN event_id%2=0 THEN 0.5 ELSE 1.0 END AS confidence,
+'props=' || replace(props, ' ', '') || CASE WHEN event_id%3=0 THEN ';tag=x' ELSE '' END AS rest, CASE WHEN event_id%9=0 THEN 'fact_type' END AS missing FROM events""")
+def facts_of_records(s, d):
+    """Facts out of records' metadata: typed columns, and every other key kept."""
+    i = F.col("event_id")
+    meta = F.to_json(F.struct(F.col("user_id").cast("string").alias("entity_id"), F.when(i % 9 != 0, F.col("event_type")).alias("fact_type"), F.col("value"), i.cast("double").alias("valid_from"), F.when(i % 2 == 0, 0.5).alias("confidence"), F.from_json("props", "map<string,bigint>").alias("props"), F.when(i % 3 == 0, "x").alias("tag")))
+    made = temporal.facts_of_records(views.table(s, d, "events").select(i.alias("id"), meta.alias("metadata")))
+    rest = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return made.select("id", "entity_id", "fact_type", F.col("value").cast("double").alias("value"), "confidence", rest.alias("rest"), "missing")
+
+
+@query(f"""WITH {JOURNAL}, x AS (SELECT *, max(seq) FILTER (op='delete') OVER (PARTITION BY id) AS gone FROM journal WHERE op IN ('add','update','delete')), live AS (SELECT * FROM x WHERE gone IS NULL)
+SELECT id, arg_max(content, seq) FILTER (content IS NOT NULL) AS content, arg_max(content, seq) FILTER (content IS NOT NULL AND NOT (op='update' AND id%12=1)) AS embedded FROM live GROUP BY id""")
+def embedded_texts(s, d):
+    """Of each record after the log: its text, and the older one that its vector stands for where an update kept the vector."""
+    log = views.journal(s, d).withColumn("reembed", F.when(F.col("id") % 12 == 1, F.lit(False)))
+    return journal.embedded_texts(log)

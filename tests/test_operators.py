@@ -459,6 +459,72 @@ def test_summary_tree_checks_its_arguments_and_leaves_its_own_rows_out(spark):
     assert none.count() == 0 and no_edges.count() == 0
 
 
+# ---------------------------------------------------------------- audits, places, merges, records
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_extraction_audit_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    value = lambda: rng.choice(["", "the", "a town", "Town", "old town", "the Straße", "strasse", "x", None])
+    made = lambda n: [(rng.choice("abc"), value(), None if rng.random() < 0.1 else rng.randint(0, 100) * 86400.0) for _ in range(n)]
+    r, g = made(40), made(12) + made(1) * 2
+    core = lambda v: None if v is None else next((v.lower()[len(w):] for w in ("a ", "an ", "the ") if v.lower().startswith(w)), v.lower())
+    meets = lambda x, y: x[0] == y[0] and None not in (x[1], y[1]) and (core(x[1]) in core(y[1]) or core(y[1]) in core(x[1]))
+    order = lambda y: (y[2] is not None, y[2] or 0, y[1] is not None, y[1] or "")  # noqa: E731  (nulls first)
+    firsts = [(x, min(m, key=order)) for x in r if (m := [y for y in g if meets(x, y)])]
+    close = sum(None not in (x[2], y[2]) and abs(x[2] - y[2]) <= 45 * 86400 for x, y in firsts)
+    found = len({y for y in g if any(meets(x, y) for x in r)})
+    kind = "entity string, value string, at double"
+    got = evals.extraction_audit(spark.createDataFrame(r, kind), spark.createDataFrame(g, kind)).first()
+    assert tuple(got) == (round(len(firsts) / len(r), 6), round(found / len(g), 6), round(close / len(firsts), 6) if firsts else 0.0)
+
+
+@pytest.mark.parametrize("values", [[1.0], [5.0] * 300 + [1.0], [float(2**n) for n in range(200)], [random.Random(1).gauss(0, 1) for _ in range(3000)] + [0.5] * 500])
+def test_value_at_every_kind_of_column(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+    ordered = sorted(values)
+    for place in {0, len(values) // 2, len(values) - 1}:
+        assert evals.value_at(rows, "x", place) == (ordered[place], sum(v < ordered[place] for v in values))
+
+
+def test_merges_are_refused_by_the_first_reason(spark):
+    ent = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "v", "a"), (4, "u", None), (5, "u", None), (6, "u", "a")], "id long, user_id string, agent_id string")
+    asked = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (4, 5), (6, 6), (5, 9), (9, 1), (2, 1)], "from_id long, to_id long")
+    assert {(r.from_id, r.to_id): r.refused for r in temporal.checked_merges(asked, ent).collect()} == {
+        (1, 2): None, (2, 3): "two scopes", (4, 5): None, (6, 6): "itself", (5, 9): "no such entity", (9, 1): "no such entity", (2, 1): "several targets",
+    }
+    held = spark.createDataFrame([(1, 1), (2, 2), (3, 4), (4, 5)], "id long, entity_id long")
+    moved = {r.id: (r.entity_id, r.merged_from) for r in temporal.merge_entities(held, asked, ent).collect()}
+    assert moved == {1: (2, 1), 2: (2, None), 3: (5, 4), 4: (5, None)}
+
+
+def test_facts_of_records_keep_what_has_no_column(spark):
+    full = {"entity_id": "e", "fact_type": "t", "value": "v", "valid_from": 3, "valid_until": None, "confidence": 0.25, "note": "n", "deep": {"a": [1, 2]}, "merged_from": "e0"}
+    texts = [json.dumps(full), json.dumps({"entity_id": "e", "value": "v"}), "{}", None, json.dumps(full | {"valid_from": "soon", "confidence": None})]
+    rows = {r.id: r for r in temporal.facts_of_records(spark.createDataFrame(list(enumerate(texts)), "id long, metadata string")).collect()}
+    assert len(rows) == 5 and rows[0].metadata == {"note": "n", "deep": '{"a":[1,2]}', "merged_from": "e0"}
+    assert (rows[0].valid_from, rows[0].valid_until, rows[0].confidence, rows[0].missing) == (3.0, None, 0.25, None)
+    assert [rows[n].missing for n in range(1, 5)] == ["fact_type", "entity_id", "entity_id", "valid_from"] and rows[4].confidence == 1.0
+
+
+def test_a_vector_that_was_kept_stands_for_the_older_text(spark):
+    ops = [("add", 1, "a", None), ("update", 1, "b", False), ("update", 1, None, True), ("add", 2, "c", None), ("update", 2, "d", None), ("update", 2, "e", False), ("add", 3, "f", None), ("delete", 3, None, None), ("add", 4, "g", False), ("delete", 4, None, None), ("add", 4, "h", False)]
+    log = spark.createDataFrame([(op, i, c, r, n) for n, (op, i, c, r) in enumerate(ops, 1)], "op string, id long, content string, reembed boolean, seq long")
+    assert sorted(map(tuple, journal.embedded_texts(log).collect())) == [(1, "b", "a"), (2, "e", "d"), (4, "h", "h")]
+    assert sorted(map(tuple, journal.embedded_texts(log, 4).collect())) == [(1, "b", "a"), (2, "c", "c")]
+
+
+def test_single_points_of_many_parents_are_a_fold(spark):
+    dim, seed = 16, 42
+    parents = np.random.default_rng(2).normal(size=(4, dim))
+    rng, want = np.random.default_rng(seed), parents[0].copy()
+    for p in parents[1:]:
+        cut = int(np.random.default_rng(int(rng.integers(0, 2**31 - 1))).integers(0, dim + 1))
+        want = np.concatenate([want[:cut], p[cut:]])
+    row = spark.createDataFrame([(parents.tolist(),)], "vs array<array<double>>")
+    assert np.allclose(row.select(V.synthesize("single_point", F.col("vs"), 4, dim).alias("v")).first().v, want)
+
+
 # ---------------------------------------------------------------- names in texts
 
 

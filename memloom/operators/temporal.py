@@ -17,8 +17,33 @@ from ..session import checkpointed, ship
 SLOT = ("entity_id", "fact_type", "believed_by")
 
 
-def intervals(facts: DataFrame, slot: tuple[str, ...] = SLOT) -> DataFrame:
-    """Adds valid_until (null: open). ``seq``, then ``id``, is the order of arrival."""
+#: Rows of a slot that one task orders; a slot of more is cut by arrival into parts of about so many, ``MOST_PARTS`` at most.
+ORDERED, MOST_PARTS = 1_000_000, 1024
+#: Cuts of slots that are broadcast.
+MOST_CUTS = 1_000_000
+
+
+def intervals(facts: DataFrame, slot: tuple[str, ...] = SLOT, ordered: int = ORDERED) -> DataFrame:
+    """Adds valid_until (null: open). ``seq``, then ``id``, is the order of arrival.
+
+    The slots' rows are counted first. Where none has more than ``ordered``, one shuffle by slot does; the rows of slots
+    with more are cut at approximate quantiles of ``seq`` and ordered part by part, with the same result.
+    """
+    sizes = facts.groupBy(*slot).agg(F.count("*").alias("_n")).where(F.col("_n") > ordered)
+    most, n_large = sizes.agg(F.max("_n"), F.count("*")).first()
+    if not n_large:
+        return _by_slot(facts, slot)
+    parts = min(MOST_PARTS, -(-most // ordered))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in slot]
+    own = facts.join(sizes, same(facts, sizes), "left_semi")
+    cuts = checkpointed(own.groupBy(*slot).agg(F.percentile_approx("seq", [k / parts for k in range(1, parts)] or [1.0], 10_000).alias("_cuts")))
+    few = F.broadcast(cuts) if n_large * parts <= MOST_CUTS else cuts
+    rows = facts.join(few, same(facts, cuts), "left").select(facts["*"], "_cuts")
+    large = rows.where("_cuts IS NOT NULL").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("seq")))).drop("_cuts")
+    return _by_slot(rows.where("_cuts IS NULL").drop("_cuts"), slot).unionByName(_by_parts(large, slot))
+
+
+def _by_slot(facts: DataFrame, slot: tuple[str, ...]) -> DataFrame:
     arrival = Window.partitionBy(*slot).orderBy("seq", "id")
     before = F.max("valid_from").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
     high = F.coalesce(F.col("_before").isNull() | (F.col("valid_from") >= F.col("_before")), F.lit(False))
@@ -29,13 +54,17 @@ def intervals(facts: DataFrame, slot: tuple[str, ...] = SLOT) -> DataFrame:
 
 
 def spread_intervals(facts: DataFrame, span: int, slot: tuple[str, ...] = SLOT) -> DataFrame:
-    """As ``intervals``, for slots with very many arrivals: a slot's rows are ordered apart for each ``span`` of ``seq``.
+    """As ``intervals``, with every slot's rows ordered apart for each ``span`` of ``seq``."""
+    return _by_parts(facts.withColumn("_part", F.floor(F.col("seq") / span)), slot)
+
+
+def _by_parts(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
+    """rows: facts with ``_part``, which never falls as a slot's ``seq`` rises.
 
     A part needs two numbers of its slot's other parts: the latest start before it, and the first record high after it;
     both come from windows over the parts, one row each.
     """
     part = ("_part",)
-    rows = facts.withColumn("_part", F.floor(F.col("seq") / span))
     over = lambda *keys: Window.partitionBy(*keys)
     match = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*slot, *part)]
     earlier = rows.groupBy(*slot, *part).agg(F.max("valid_from").alias("_top"))

@@ -783,11 +783,14 @@ def test_event_windows(spark, sf):
 
 
 @pytest.mark.parametrize("span", [1, 7, 50, 1000])
-def test_spread_intervals_equal_the_plain_ones(spark, span):
+def test_spread_intervals_equal_the_plain_ones(spark, monkeypatch, span):
     rng = random.Random(span)
     rows = [(n, rng.randint(0, 2), "t", rng.choice([None, "x"]), float(rng.randint(0, 30)) if rng.random() < 0.97 else None, rng.randrange(400)) for n in range(300)]
     facts = spark.createDataFrame(rows, "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long")
     plain = {r.id: r.valid_until for r in temporal.intervals(facts).collect()}
+    for ordered, most in ((3, temporal.MOST_CUTS), (40, temporal.MOST_CUTS), (10, 0)):
+        monkeypatch.setattr(temporal, "MOST_CUTS", most)
+        assert {r.id: r.valid_until for r in temporal.intervals(facts, ordered=ordered).collect()} == plain
     assert {r.id: r.valid_until for r in temporal.spread_intervals(facts, span).collect()} == plain
 
 

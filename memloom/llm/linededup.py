@@ -3,12 +3,13 @@
 Telling runs are the shortest runs of consecutive lines that have at least ``LEAST_CHARS`` characters together, often a
 single line. By such a run's hash a later document finds the first document that has it, whether the run is rare or in a
 third of all rows: links go to that first document only, so a run gives as many links as it has rows, and no pairs among
-them. What goes to a later document is, for each of its runs that an earlier one has, where that document has it first
-and how often; a first document's lines are never copied. The runs of one link are aligned: those that stand once in
-both are anchors, their longest increasing order is the patience alignment, and what lies between two anchors is aligned
-by the runs there in the same way. Aligned runs go; runs that the alignment crosses (moved blocks) or that either side
-repeats go as well, so that a later document keeps no run that an earlier one has. Empty lines between two that go, at
-most two, go with them.
+them. What goes to a later document is, for each of its runs that an earlier one has, where that document has it; a first
+document's lines are never copied. Each link is aligned over its runs, the k-th place of a run against the k-th: runs
+that stand once in both are anchors, their longest increasing order is the patience alignment, and what lies between two
+anchors is aligned by the longest increasing order of the runs there. The aligned runs go, and nothing else: a block that
+the first document has at a place across the alignment (a moved block), or a repeat that it has fewer times, stays. Of
+several longest orders the one with the earliest places in the first document counts. Empty lines between two that go,
+at most two, go with them.
 
 Later means a larger doc_id. Defined results: rows without an id come after all others and are no one's first document;
 rows of one id aren't compared with one another. Null and empty texts have no telling runs and stay as they are.
@@ -55,23 +56,23 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(runs: list[tuple[int, int, bool]]) -> set[int]:
-    """runs: place in the later document, first place in the first document, and whether both have the run once; by place. The later places that align.
+def patience(runs: list[tuple[int, int, bool]]) -> dict[int, int]:
+    """runs: place in the later document, place in the first document, and whether both have the run once. The later places that align, with those they align to.
 
     The anchors are the longest rising chain of runs that are in both once; between two of them, the longest rising
     chain of the other runs.
     """
-    chain = longest_increasing([(b, a) for b, a, once in runs if once])
-    held = {b for b, _ in chain}
-    edges = [(-1, -1), *chain, (1 << 62, 1 << 62)]
+    runs = sorted(runs, key=lambda r: (r[0], -r[1]))  # falling at one later place: a chain holds one of them
+    held = dict(longest_increasing([(b, a) for b, a, once in runs if once]))
+    edges = [(-1, -1), *held.items(), (1 << 62, 1 << 62)]
     n = 0
     gap: list[tuple[int, int]] = []
     for b, a, _ in [*runs, (1 << 62, 1 << 62, True)]:
         while n + 1 < len(edges) and b >= edges[n + 1][0]:
-            held.update(x for x, _ in longest_increasing(gap))
+            held.update(longest_increasing(gap))
             gap = []
             n += 1
-        if b not in held and n + 1 < len(edges) and edges[n][1] < a < edges[n + 1][1]:
+        if n + 1 < len(edges) and edges[n][0] < b and edges[n][1] < a < edges[n + 1][1]:
             gap.append((b, a))
     return held
 
@@ -100,19 +101,18 @@ def placed_runs(lines: list[int], sizes: list[int], least: int = LEAST_CHARS) ->
     return out
 
 
-def gone_spans(matches: list[tuple[int, int, int, list[int]]]) -> tuple[list[int], int]:
-    """matches: of each run that an earlier document has, that document, the run's first line and number there, and its places here (``placed_runs``).
+def gone_spans(matches: list[tuple[int, list[int], bool, list[int]]]) -> tuple[list[int], int]:
+    """matches: of each run that an earlier document has, that document, the run's first lines there, whether both have it once, and its places here (``placed_runs``).
 
-    Starts and ends of the spans of lines that go, in order, and the number of runs' places that the alignments hold.
+    Starts and ends of the spans of lines that the alignments hold, in order, and the number of places in them.
     """
-    links: dict[int, list[tuple[int, int, bool]]] = {}
-    spans = []
-    for first, at, times, places in matches:
-        link = links.setdefault(first, [])
-        for p in places:
-            link.append((p >> 32, at, times == 1 and len(places) == 1))
-            spans.append((p >> 32, (p >> 32) + ((p & 0xFFFFFFFF) >> 2), p & 3))
-    aligned = sum(len(patience(sorted(runs))) for runs in links.values())
+    links: dict[int, dict[tuple[int, int], bool]] = {}
+    for first, ats, once, places in matches:
+        link = links.setdefault(first, {})
+        for at, p in zip(ats, places):  # runs of one start may differ in length: one place
+            link[p >> 32, at] = once or link.get((p >> 32, at), False)
+    held = {first: patience([(b, a, once) for (b, a), once in link.items()]) for first, link in links.items()}
+    spans = [(p >> 32, (p >> 32) + ((p & 0xFFFFFFFF) >> 2), p & 3) for first, ats, _, places in matches for at, p in zip(ats, places) if held[first].get(p >> 32) == at]
     out: list[int] = []
     reach = -1
     for s, e, empty in sorted(spans):
@@ -121,7 +121,7 @@ def gone_spans(matches: list[tuple[int, int, int, list[int]]]) -> tuple[list[int
         else:
             out += [s, e]
         reach = max(reach, e + (empty if empty <= MOST_EMPTY else 0))
-    return out, aligned
+    return out, sum(map(len, held.values()))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -145,15 +145,16 @@ def removed_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
     each = map_batches(lines, runs, "id bigint, version bigint, runs array<struct<run:bigint,place:bigint,more:array<bigint>>>").select("id", "version", F.explode("runs").alias("x")).select("id", "version", "x.*")
     # of several texts with one id, the least hash stands for the id
-    holder = F.min(F.struct("id", "version", "place", F.coalesce(F.size("more"), F.lit(0)).alias("more")))
-    firsts = each.groupBy("run").agg(holder.alias("h"), F.max("id").alias("last")).where("h.id < last")
-    firsts = firsts.select("run", F.col("h.id").alias("first"), F.shiftright("h.place", 32).alias("at"), (F.col("h.more") + 1).alias("times"))
+    firsts = each.groupBy("run").agg(F.min(F.struct("id", "version", "place", "more")).alias("h"), F.max("id").alias("last")).where("h.id < last")
+    firsts = firsts.select("run", F.col("h.id").alias("first"), F.col("h.place").alias("at"), F.col("h.more").alias("ats"))
     links = each.join(loose(firsts, "run"), "run").where("first < id")
+    # the k-th place here meets the k-th there: no more places travel than this document has itself
+    links = links.select("id", "version", "first", "at", F.slice("ats", F.lit(1), F.size("more")).alias("ats"), (F.col("ats").isNull() & F.col("more").isNull()).alias("once"), "place", "more")
     # rows of one id and text have the same runs: a set keeps each once
-    found = links.groupBy("id", "version").agg(F.collect_set(F.struct("first", "at", "times", "place", "more")).alias("matches"))
+    found = links.groupBy("id", "version").agg(F.collect_set(F.struct("first", "at", "ats", "once", "place", "more")).alias("matches"))
 
     def align(batch: dict) -> dict:
-        made = [gone_spans([(m["first"], m["at"], m["times"], [m["place"], *(m["more"] or ())]) for m in x]) for x in batch["matches"]]
+        made = [gone_spans([(m["first"], [a >> 32 for a in (m["at"], *(m["ats"] or ()))], m["once"], [m["place"], *(m["more"] or ())]) for m in x]) for x in batch["matches"]]
         return {"id": batch["id"], "version": batch["version"], "gone": [g for g, _ in made], "aligned": [n for _, n in made]}
 
     return map_batches(found, align, "id bigint, version bigint, gone array<int>, aligned bigint")
@@ -171,7 +172,7 @@ def _kept(docs: DataFrame, least: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_chars, kept_sha256, removed (places of the lines that go), n_aligned (runs in the alignments)."""
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_chars, kept_sha256, removed (places of the lines that go), n_aligned (places that the alignments hold)."""
     of = F.transform(F.sequence(F.lit(0), F.size("gone") - 2, F.lit(2)), lambda k: F.sequence(F.get("gone", k), F.get("gone", k + 1) - 1))
     removed = F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(F.flatten(of))
     return _kept(docs, least).select(

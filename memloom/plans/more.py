@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ann, evals, graph, guards, journal, lifecycle, mutations, names, retrieval, scan, seals, temporal, trees
+from ..operators import ann, compress, evals, graph, guards, journal, lifecycle, mutations, names, retrieval, scan, seals, temporal, trees
 from ..sources import logs, models, readers, tables, views
 from .catalog import EDGES, FIT, HELD, JOURNAL, MEM, MENTIONS, NOTES, QRY, RANK, REPLAY, SCORED, SHOW, TOKENS, _fit, _held, bootstrap_sql, bounds, query
 
@@ -1091,3 +1091,60 @@ def embedded_texts(s, d):
     """Of each record after the log: its text, and the older one that its vector stands for where an update kept the vector."""
     log = views.journal(s, d).withColumn("reembed", F.when(F.col("id") % 12 == 1, F.lit(False)))
     return journal.embedded_texts(log)
+
+
+# ---------------------------------------------------------------- compression to a budget
+
+SCOPES = f"{FIT}, base AS (SELECT user_id AS scope, id, content, embedding, len({TOKENS.format('content')}) AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY fitness DESC, id) AS place FROM fit)"
+VEC = "array_to_string(list_transform({0}, lambda z: printf('%.6f', round(z,6)+0.0)), ',') AS vec"
+
+
+def _scopes(s, d):
+    return _fit(s, d).select(F.col("user_id").alias("scope"), "id", (-F.col("fitness")).alias("rank"), "content", "embedding", T.n_tokens(F.col("content")).alias("tokens"))
+
+
+def _compressed(rows):
+    return rows.select("scope", F.col("id").cast("string").alias("id"), "kind", "content", V.rounded(F.col("embedding")).alias("vec"))
+
+
+@query(f"WITH {SCOPES} SELECT scope, CAST(id AS VARCHAR) AS id, 'kept' AS kind, content, {VEC.format('embedding')} FROM base WHERE place<=40")
+def compress_prune(s, d):
+    """The 40 fittest rows of each scope."""
+    return _compressed(compress.pruned(_scopes(s, d), count=40))
+
+
+MIX = SHOW.format(z="a.embedding, b.embedding", e="CASE WHEN abs(z[1])>=abs(z[2]) THEN z[1] ELSE z[2] END")
+
+
+@query(f"""WITH {SCOPES} SELECT scope, CAST(id AS VARCHAR) AS id, 'kept' AS kind, content, {VEC.format('embedding')} FROM base WHERE place<=20
+UNION ALL SELECT a.scope, a.id || '+' || b.id, 'hybrid', 'consolidated: ' || substr(a.content, 1, 60) || ' + ' || substr(b.content, 1, 60), {MIX} FROM base a JOIN base b ON a.scope=b.scope AND b.place=a.place+1 WHERE a.place>20 AND a.place%2=1 AND b.place<=60""")
+def compress_synth(s, d):
+    """The 20 fittest rows of each scope, and hybrids of the next 40, two by two."""
+    return _compressed(compress.paired(_scopes(s, d), 40))
+
+
+def _cluster_sql(kept: int, k: int, rounds: int) -> str:
+    """The clusters of all rows but the first ``kept`` of each scope: ``members`` and the nodes' vectors in the last ``c``."""
+    parts = [f"rest AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY scope) AS n_rest FROM base WHERE place>{kept})", f"c0 AS MATERIALIZED (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY md5(CAST(id AS VARCHAR)), id)-1 AS cluster, embedding AS v FROM rest WHERE n_rest>={k} QUALIFY cluster<{k})"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT * FROM (SELECT r.*, c.cluster, row_number() OVER (PARTITION BY r.scope, r.id ORDER BY round(list_dot_product(c.v, c.v)-2*list_dot_product(r.embedding, c.v), 9), c.cluster) AS n FROM rest r JOIN c{i} c USING (scope)) WHERE n=1)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT scope, cluster, list(m ORDER BY pos) AS v FROM (SELECT scope, cluster, pos, avg(x) AS m FROM (SELECT scope, cluster, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM a{i}) GROUP BY scope, cluster, pos) GROUP BY scope, cluster)")
+    return ", ".join(parts)
+
+
+CLUSTERS = f"{SCOPES}, {_cluster_sql(8, 8, compress.ROUNDS)}"
+LAST = compress.ROUNDS
+
+
+@query(f"""WITH {CLUSTERS}, texts AS (SELECT scope, cluster, 'summary of: ' || string_agg(substr(content, 1, 80), ' ; ' ORDER BY place) AS content FROM (SELECT *, row_number() OVER (PARTITION BY scope, cluster ORDER BY place) AS m FROM a{LAST}) WHERE m<=6 GROUP BY scope, cluster)
+SELECT scope, CAST(id AS VARCHAR) AS id, 'kept' AS kind, content, {VEC.format('embedding')} FROM base WHERE place<=8 UNION ALL SELECT scope, CAST(id AS VARCHAR), 'kept', content, {VEC.format('embedding')} FROM rest WHERE n_rest<8
+UNION ALL SELECT scope, scope || '/' || cluster, 'summary', content, {VEC.format('v')} FROM texts JOIN c{LAST + 1} USING (scope, cluster)""")
+def compress_cluster(s, d):
+    """The 8 fittest rows of each scope, and 8 summaries of clusters of all others."""
+    return _compressed(compress.clustered(_scopes(s, d), count=16)[0])
+
+
+@query(f"WITH {CLUSTERS} SELECT scope || '/' || cluster AS node_id, id AS member_id FROM a{LAST}")
+def compressed_members(s, d):
+    """The rows behind each summary of ``compress_cluster``."""
+    return compress.clustered(_scopes(s, d), count=16)[1].select("node_id", "member_id")

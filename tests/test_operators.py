@@ -921,3 +921,35 @@ def test_graph_search_does_not_fold_sharp_s(spark):
     names = spark.createDataFrame([("Bonn", 7), ("Russ", 7)], "entity string, memory_id long")
     origin = {(r.query_id, r.origin) for r in retrieval.graph_search(m, q, names, 6, margin=1.0).collect()}
     assert origin == {(1, "base"), (2, "base"), (2, "graph")}
+
+
+def test_index_of_unparted_vectors_finds_nine_in_ten_of_forty_fetched(spark, tmp_path):
+    """Vectors without structure: codes of two dimensions to a byte rank the true neighbours among the first forty."""
+    from memloom.operators import ann
+
+    x = np.random.default_rng(4).standard_normal((9000, 48))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    index = ann.build(rows, f"{tmp_path}/plain")
+    exact = {(r.query_id, r.id) for r in retrieval.dense_topk(rows, asked, 10).collect()}
+    found = {(r.query_id, r.id) for r in ann.search(index, asked, 10, refine=40).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    again = ann.opened(spark, index.path)
+    assert (again.rows, again.probes) == (9000, index.probes)
+
+
+def test_exhaustive_search_keeps_k_rows_of_a_task(spark, tmp_path, monkeypatch):
+    """All rows fetched in all cells: scored where they lie, never as a list of every row for each query."""
+    from memloom.operators import ann
+
+    x = np.random.default_rng(5).integers(-3, 4, size=(300, 6)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    index = ann.build(rows, f"{tmp_path}/all")
+    monkeypatch.setattr(ann, "candidates", None)  # would rank every row of every query
+    got = {(r.query_id, r.id, r.score, r["rank"]) for r in ann.search(index, asked, 5, index.cells, 300).collect()}
+    assert got == {(r.query_id, r.id, r.score, r["rank"]) for r in retrieval.dense_topk(rows, asked, 5).collect()}
+    few = {(r.query_id, r.id) for r in ann.search(index, asked, 5, 1, 300).collect()}
+    own = {r.id: r.cell for r in index.codes(spark).collect()}
+    mine = np.argsort(-(ann._unit(x[::50]) @ index.centres.T), axis=1, kind="stable")[:, 0]
+    assert few and all(own[i] == mine[q // 50] for q, i in few)

@@ -953,3 +953,11 @@ def test_exhaustive_search_keeps_k_rows_of_a_task(spark, tmp_path, monkeypatch):
     own = {r.id: r.cell for r in index.codes(spark).collect()}
     mine = np.argsort(-(ann._unit(x[::50]) @ index.centres.T), axis=1, kind="stable")[:, 0]
     assert few and all(own[i] == mine[q // 50] for q, i in few)
+
+
+def test_guarded_intervals_make_no_frame_of_a_slot(spark):
+    """Ten thousand slots of a few rows each, with and without parts: folded in streams of rows, not group by group."""
+    rows = spark.range(40_000).selectExpr("id", "id % 10000 AS entity_id", "'t' AS fact_type", "CAST(NULL AS STRING) AS believed_by", "CAST(pmod(hash(id), 50) AS DOUBLE) AS valid_from", "id AS seq", "CAST(pmod(hash(id, 3), 4) AS INT) AS trust")
+    ends = [temporal.guarded_intervals(rows, *cut) for cut in ((100, 2), (3, 2))]
+    assert not any("InPandas" in e._jdf.queryExecution().toString() for e in ends)
+    assert ends[0].exceptAll(ends[1]).isEmpty() and ends[0].where("valid_until is not null").count() > 10_000

@@ -5,7 +5,8 @@ on any file system that Spark reads. Lines are numbered by a count of each range
 as they come, the ranges' sizes are summed up in order of their place (one row each), and a line's number is its range's
 sum and its own.
 
-The stream source ``memloom_log`` follows one growing file. An offset is a number of bytes: the end of the last whole
+The stream source ``memloom_log`` follows one growing file, or a folder of segments in order of their names, of which
+the last one grows; bytes are counted through all segments. An offset is a number of bytes: the end of the last whole
 line that was seen. A batch between two offsets is cut into ranges of ``rangeBytes``; each task reads its own range and
 on to the end of its last line. A torn line is left until its end has been written. Numbers aren't known to a stream
 without reading what was before, so it gives ``at``, the byte that a line begins at, which orders lines like numbers do.
@@ -25,8 +26,8 @@ from ..session import ship, written
 RANGE_BYTES = 64 << 20
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, value: the lines of each file below ``path`` with their numbers, from 1; empty lines count and are left out."""
+def numbered_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
+    """file, n, value: the lines of each file below ``path`` with their numbers, from 1; empty lines count and are left out. With ``through`` the files are one log's segments, and the numbers go on from file to file in order of their names."""
     ship(spark)
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
@@ -45,7 +46,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     # written once: reading it again must give the same ranges
     lines, _ = written(rows.mapInArrow(count, "file string, block bigint, value string, own bigint"))
     sizes = lines.groupBy("file", "block").agg(F.max("own").alias("size"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("file", "block") if through else Window.partitionBy("file").orderBy("block")  # one row for each range
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     return lines.join(base, ["file", "block"]).where("value <> ''").select("file", (F.col("base") + F.col("own")).alias("n"), "value")
 
@@ -53,16 +55,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def whole_lines(rows: DataFrame) -> DataFrame:
     """rows: file, n, value (a JSON line). Those that were written whole: a broken last line of a file is a torn write and goes, any other is an error."""
     last = rows.groupBy("file").agg(F.max("n").alias("last_n"))
-    parsed = rows.join(last, "file").withColumn("whole", F.json_object_keys("value").isNotNull())
+    parsed = rows.join(F.broadcast(last), "file").withColumn("whole", F.json_object_keys("value").isNotNull())
     broken = F.raise_error(F.format_string("line %d of %s is broken", "n", "file")).cast("boolean")
     return parsed.where(F.when(F.col("whole"), True).when(F.col("n") == F.col("last_n"), False).otherwise(broken)).select("file", "n", "value")
 
 
 class Bytes(InputPartition):
-    """Lines that begin in [start, end) of a file; ``limit`` is where the file's last whole line ends."""
+    """Lines that begin in [start, end) of the file ``path``; ``limit`` is where the file's last whole line ends, ``base`` the bytes of the segments before it."""
 
-    def __init__(self, start: int, end: int, limit: int):
-        self.start, self.end, self.limit = start, end, limit
+    def __init__(self, start: int, end: int, limit: int, path: str = "", base: int = 0):
+        self.start, self.end, self.limit, self.path, self.base = start, end, limit, path, base
 
 
 def _open(path: str):
@@ -72,10 +74,33 @@ def _open(path: str):
     return system, inner
 
 
+def _segments(path: str) -> list[tuple[str, int, int]]:
+    """Each file of the log, in order: its path, the bytes before it, its size. Names that begin with ``_`` or ``.`` are no segments."""
+    from pyarrow import fs
+
+    system, inner = _open(path)
+    info = system.get_file_info(inner)
+    if info.type != fs.FileType.Directory:
+        return [(path, 0, info.size or 0)]
+    found = sorted((x.base_name, x.size or 0) for x in system.get_file_info(fs.FileSelector(inner)) if x.is_file and x.base_name[0] not in "_.")
+    out, base = [], 0
+    for name, size in found:
+        out.append((f"{path.rstrip('/')}/{name}", base, size))
+        base += size
+    return out
+
+
 def _end_of_lines(path: str, known: int) -> int:
-    """The byte behind the last newline of the file, looked for from its end back to ``known``."""
+    """The byte behind the last newline of the log, looked for from its end back to ``known``."""
+    if not (held := _segments(path)):
+        return known
+    last, base, size = held[-1]
+    known = max(0, known - base)
+    return base + _end_in(last, size, known)
+
+
+def _end_in(path: str, size: int, known: int) -> int:
     system, inner = _open(path)
-    size = system.get_file_info(inner).size or 0
     with system.open_input_file(inner) as f:
         while size > known:
             start = max(known, size - (1 << 20))
@@ -87,12 +112,19 @@ def _end_of_lines(path: str, known: int) -> int:
     return known
 
 
-def _ranges(start: int, limit: int, step: int) -> list[Bytes]:
-    return [Bytes(a, min(a + step, limit), limit) for a in range(start, limit, step)]
+def _ranges(start: int, limit: int, step: int, path: str = "", base: int = 0) -> list[Bytes]:
+    return [Bytes(a, min(a + step, limit), limit, path, base) for a in range(start, limit, step)]
+
+
+def _log_ranges(path: str, start: int, limit: int, step: int) -> list[Bytes]:
+    """The log's bytes from ``start`` to ``limit``, each range within a segment."""
+    return [part for own, base, size in _segments(path) for part in _ranges(max(start - base, 0), min(limit - base, size), step, own, base)]
 
 
 def _lines(path: str, part: Bytes) -> Iterator[tuple[int, str]]:
-    system, inner = _open(path)
+    if part.start >= part.end:
+        return
+    system, inner = _open(part.path or path)
     with system.open_input_file(inner) as f:
         at = part.start
         if at:  # the line that runs into this range is the range's before
@@ -113,7 +145,7 @@ def _lines(path: str, part: Bytes) -> Iterator[tuple[int, str]]:
             if skip:
                 skip = False
             elif line:
-                yield at, line.decode()
+                yield part.base + at, line.decode()
             at += cut + 1
 
 
@@ -139,7 +171,7 @@ class LogReader(DataSourceReader):
         self.path, self.step = path, step
 
     def partitions(self) -> list[Bytes]:
-        return _ranges(0, _end_of_lines(self.path, 0), self.step) or [Bytes(0, 0, 0)]
+        return _log_ranges(self.path, 0, _end_of_lines(self.path, 0), self.step) or [Bytes(0, 0, 0)]
 
     def read(self, partition: Bytes) -> Iterator[tuple[int, str]]:
         return _lines(self.path, partition)
@@ -157,14 +189,14 @@ class LogStreamReader(DataSourceStreamReader):
         return {"bytes": self.seen}
 
     def partitions(self, start: dict, end: dict) -> list[Bytes]:
-        return _ranges(start["bytes"], end["bytes"], self.step)
+        return _log_ranges(self.path, start["bytes"], end["bytes"], self.step)
 
     def read(self, partition: Bytes) -> Iterator[tuple[int, str]]:
         return _lines(self.path, partition)
 
 
 def followed(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """at, value: the whole lines of the growing file ``path`` as a stream."""
+    """at, value: the whole lines of the growing file ``path``, or of the segments in that folder, as a stream."""
     ship(spark)
     spark.dataSource.register(LogSource)
     return spark.readStream.format("memloom_log").option("path", path).option("rangeBytes", str(range_bytes)).load()

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Changes of one merge, and characters of their strings, that are broadcast to the rows; with more, both are shuffled by key.
+MOST_CHANGES, MOST_CHARACTERS = 1_000_000, 64_000_000
 
 
 class Conflict(RuntimeError):
@@ -80,8 +82,12 @@ class VersionedTable:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> str:
+        return self._save(rows.withColumn("_bucket", self._bucket()).repartition("_bucket"))
+
+    def _save(self, rows: DataFrame) -> str:
+        """rows: with ``_bucket``, by which they needn't be dealt."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return folder
 
     def _commit(self, version: int, folders: dict[str, str]) -> int:
@@ -128,10 +134,19 @@ class VersionedTable:
         touched = sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())  # as many as there are buckets at most
         if not touched:
             return base
-        rows = self._rows({str(b): held[str(b)] for b in touched}).join(new, self.key, "full")
-        kept = rows.where(~F.coalesce("_deleted", F.lit(False)))
+        rows, left = self._rows({str(b): held[str(b)] for b in touched}), ~F.coalesce("_deleted", F.lit(False))
         columns = [F.col(n) if n not in names else F.coalesce(f"_new_{n}", n).alias(n) for n in self.spark.createDataFrame([], self.schema).columns]
-        folder = self._write(kept.select(*columns))
+        strings = [F.coalesce(F.length(f.name), F.lit(0)) for f in new.schema if f.dataType.simpleString() == "string"]
+        count, characters = new.agg(F.count("*"), F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0))).first()
+        if count > MOST_CHANGES or characters > MOST_CHARACTERS:
+            folder = self._write(rows.join(new, self.key, "full").where(left).select(*columns))
+        else:
+            # rows stay where they are read, bucket by bucket, and only what is added is dealt out
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != self.key]
+            added = new.join(F.broadcast(rows.select(self.key).join(F.broadcast(new.select(self.key)), self.key, "left_semi")), self.key, "left_anti")  # as many as there are changes at most
+            added = added.select("*", *none).where(left).select(*columns).withColumn("_bucket", self._bucket()).repartition("_bucket")
+            kept = rows.join(F.broadcast(new), self.key, "left").where(left).select(*columns).withColumn("_bucket", self._bucket())
+            folder = self._save(kept.unionByName(added))
         return self._commit(base + 1, held | {str(b): folder for b in touched})
 
     def touch(self, ids: DataFrame, now: float, count: str = "access_count", at: str = "accessed_at") -> int:

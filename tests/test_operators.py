@@ -1026,3 +1026,20 @@ def test_insert_shuffles_ids_alone(spark):
     assert "LeftOuter" not in plan
     with pytest.raises(Exception, match="id is taken: 1"):
         mutations.insert(old, old).collect()
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_merge_deals_out_what_is_added_alone(spark, tmp_path, monkeypatch, most):
+    from memloom.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_CHANGES", most)
+    rows = spark.range(200).selectExpr("id", "concat('t', id) AS content", "0L AS n")
+    table = tables.VersionedTable.create(rows, str(tmp_path / "t"), buckets=4)
+    dealt, write = [], tables.VersionedTable._write
+    monkeypatch.setattr(tables.VersionedTable, "_write", lambda self, rows: dealt.append(1) or write(self, rows))
+    changes = [(3, "new", None), (5, None, True), (900, "added", None), (901, "gone", True), (None, "x", None)]
+    table.merge(spark.createDataFrame(changes, "id long, content string, _deleted boolean"))
+    want = {(n, "new" if n == 3 else f"t{n}", 0) for n in range(200) if n != 5} | {(900, "added", None)}
+    assert {tuple(r) for r in table.read().collect()} == want
+    assert {tuple(r) for r in table.read(1).collect()} == {(n, f"t{n}", 0) for n in range(200)}
+    assert bool(dealt) == (most == 1)

@@ -778,6 +778,24 @@ def _fact_stream_equals_the_batch(spark, tmp_path):
     assert {k: None if v is None or v != v else v for k, v in last.items()} == batch
 
 
+def test_slots_of_a_group_share_a_state_row(spark, tmp_path):
+    """Slots are folded group by group, over triggers; nulls, large ids and missing starts as in the batch."""
+    rng = random.Random(9)
+    schema = "id long, entity_id long, fact_type string, believed_by string, valid_from double, seq long"
+    rows = [(n, rng.choice((None, 2**60 + 1, *range(2**60 + 2, 2**60 + 300))), rng.choice((None, "", "t")), rng.choice((None, "b")), rng.choice((None, *map(float, range(9)))), n // 2) for n in range(3000)]
+    for part in range(3):
+        own = spark.createDataFrame(rows[part * 1000 : part * 1000 + 1000], schema)
+        own.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streams.fact_changes(stream, 16).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len(run.recentProgress) >= 3 and run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    names = ["id", "entity_id", "fact_type", "believed_by", "valid_from", "valid_until"]
+    want = temporal.intervals(spark.createDataFrame(rows, schema)).select(names).collect()
+    assert sorted(map(str, streams.settled(changes).select(names).collect())) == sorted(map(str, want))
+
+
 def test_event_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert streams.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count() == streams.sessions(events).agg(F.sum("n")).first()[0]

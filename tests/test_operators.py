@@ -543,6 +543,43 @@ def test_names_are_found_in_every_part_and_fold(spark):
     assert names.named(t, n).schema.simpleString() == "struct<query_id:int,name:string>"
 
 
+def test_texts_are_passed_over_once_for_any_number_of_names(spark, monkeypatch):
+    """Many names of all lengths, in texts longer than what is tried at a time, by a small filter that lets much through."""
+    rng = random.Random(5)
+    monkeypatch.setattr(names, "LEAST_BITS", 16)
+    monkeypatch.setattr(names, "BITS_EACH", 1)
+    texts = [(n, "".join(rng.choice(("ab", "Ba", "é", "ß", "😀", " ")) for _ in range(rng.choice((1, 30, 900))))) for n in range(40)] + [(40, None), (41, "")]
+    known = {x[a : a + rng.choice((1, 2, 3, 5, 8, 13, 40, 70, 250))] for _, x in texts if x for a in rng.choices(range(len(x)), k=40)} | {"none such", "a" * 50}
+    t, n = spark.createDataFrame(texts, "query_id int, text string"), spark.createDataFrame([(x,) for x in known] * 2, "name string")
+    passes = spark.sparkContext.accumulator(0)
+
+    def fold(x):
+        passes.add(len(x) if len(x) > 250 else 0)
+        return x.casefold()
+
+    want = sorted((q, x) for q, text in texts if text for x in known if x.casefold() in text.casefold())
+    got = names.named(t, n, most=10, fold=fold)
+    assert sorted(map(tuple, got.collect())) == want
+    assert passes.value == sum(len(x) for _, x in texts if x and len(x) > 250)
+    counts = Counter(x for _, x in want)
+    for most in (10, 10_000):
+        assert dict(map(tuple, names.counted(t, n, most=most).collect())) == counts
+    # in pieces, and where all stretches of a length have one key
+    monkeypatch.setattr(names, "CHUNK", 300)
+
+    def stretches(own, held, folded):
+        rows = pa.RecordBatch.from_pylist([{"k": q, "text": x} for q, x in own if x])
+        found = [(r["key"], r["said"]) for b in names._maybe([rows], held, 16, sorted(set(map(len, folded))), str.casefold) for r in b.to_pylist()]
+        assert len(set(found)) == len(found)
+        assert sorted(x for x in found if x[1] in folded) == sorted((q, x) for q, text in own if text for x in folded if x in text.casefold().encode())
+
+    folded = {x.casefold().encode() for x in known}
+    bits = [b for r in names._bits([pa.RecordBatch.from_pylist([{"said": x} for x in sorted(folded)])], 16) for b in r.column(0).to_pylist()]
+    stretches(texts, np.packbits(np.isin(np.arange(1 << 16), bits), bitorder="little").tobytes(), folded)
+    monkeypatch.setattr(names._Stretches, "keys", lambda self, at, n, kind: np.zeros(len(at), dtype=np.uint64) + np.asarray(n).astype(np.uint64))
+    stretches(texts[:9], b"\xff" * (1 << 13), {x for x in folded if len(x) < 9})
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0)], "query_id long, rank int, hit int")
     rows = {r.query_id: r for r in evals.retrieval_metrics(hits).collect()}

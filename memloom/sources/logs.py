@@ -1,9 +1,9 @@
 """The op log's files as a source: read by ranges of bytes in a batch, and followed by offsets as a stream.
 
 A batch goes through Spark's text reader, which cuts a file anywhere and gives each line to the range that it begins in,
-on any file system that Spark reads. Lines are numbered by a count of each range: a task numbers its own ranges' lines
-as they come, the ranges' sizes are summed up in order of their place (one row each), and a line's number is its range's
-sum and its own.
+on any file system that Spark reads, in ranges as large as the session's setting makes them. Lines are numbered by a count
+of each range: a task numbers its own ranges' lines as they come, the ranges' sizes are summed up in order of their place
+(one row each), and a line's number is its range's sum and its own.
 
 The stream source ``memloom_log`` follows one growing file, or a folder of segments in order of their names, of which
 the last one grows; bytes are counted through all segments. An offset is a number of bytes: the end of the last whole
@@ -17,47 +17,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..session import ship, written
+from ..session import checkpointed, ship, written
 
 RANGE_BYTES = 64 << 20
+#: Ranges whose places are broadcast to the lines.
+MOST_RANGES = 1_000_000
 
 
-def numbered_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
-    """file, n, value: the lines of each file below ``path`` with their numbers, from 1; empty lines count and are left out. With ``through`` the files are one log's segments, and the numbers go on from file to file in order of their names."""
-    ship(spark)
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        at, n = None, 0  # a task's ranges come one after another, each in the file's order
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            place = np.empty(len(keys), dtype=np.int64)
-            for i, key in enumerate(keys):
-                at, n = key, n + 1 if key == at else 1
-                place[i] = n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=["file", "block", "value", "own"])
-
-    # written once: reading it again must give the same ranges
-    lines, _ = written(rows.mapInArrow(count, "file string, block bigint, value string, own bigint"))
-    sizes = lines.groupBy("file", "block").agg(F.max("own").alias("size"))
+def numbered_lines(spark: SparkSession, path: str, through: bool = False, kept: Column | None = None) -> DataFrame:
+    """file, n, value: the lines of each file below ``path`` with their numbers, from 1; empty lines count and are left out. With ``through`` the files are one log's segments, and the numbers go on from file to file in order of their names.
+
+    With ``kept``, made of ``value``: file, n, whole, kept. Then a text goes no further than the task that reads it.
+    """
+    own = [F.col("value")] if kept is None else [_whole().alias("whole"), kept.alias("kept")]
+    block = F.col("_metadata.file_block_start").alias("block")
+    # a task's ranges come one after another, each in the file's order, so a range's lines have ids without gaps
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), block, F.monotonically_increasing_id().alias("at"), (F.col("value") != "").alias("filled"), *own)
+    lines, _ = written(rows)  # written once: reading it again must give the same ranges
+    sizes = checkpointed(lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("size")))
     order = Window.orderBy("file", "block") if through else Window.partitionBy("file").orderBy("block")  # one row for each range
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return lines.join(base, ["file", "block"]).where("value <> ''").select("file", (F.col("base") + F.col("own")).alias("n"), "value")
+    base = sizes.select("file", "block", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first") + 1).alias("base"))
+    few = sizes.count() <= MOST_RANGES  # then the lines aren't shuffled for it
+    return lines.join(F.broadcast(base) if few else base, ["file", "block"]).where("filled").select("file", (F.col("base") + F.col("at")).alias("n"), *(["value"] if kept is None else ["whole", "kept"]))
+
+
+def _whole() -> Column:
+    return F.json_object_keys("value").isNotNull()
 
 
 def whole_lines(rows: DataFrame) -> DataFrame:
-    """rows: file, n, value (a JSON line). Those that were written whole: a broken last line of a file is a torn write and goes, any other is an error."""
+    """rows: file, n, value (a JSON line), or file, n, whole, kept. Those that were written whole: a broken last line of a file is a torn write and goes, any other is an error."""
     last = rows.groupBy("file").agg(F.max("n").alias("last_n"))
-    parsed = rows.join(F.broadcast(last), "file").withColumn("whole", F.json_object_keys("value").isNotNull())
+    parsed = rows.join(F.broadcast(last), "file")
+    if "whole" not in rows.columns:
+        parsed = parsed.withColumn("whole", _whole())
     broken = F.raise_error(F.format_string("line %d of %s is broken", "n", "file")).cast("boolean")
-    return parsed.where(F.when(F.col("whole"), True).when(F.col("n") == F.col("last_n"), False).otherwise(broken)).select("file", "n", "value")
+    return parsed.where(F.when(F.col("whole"), True).when(F.col("n") == F.col("last_n"), False).otherwise(broken)).select("file", "n", *[c for c in rows.columns if c not in ("file", "n", "whole")])
 
 
 class Bytes(InputPartition):

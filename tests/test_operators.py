@@ -1133,3 +1133,15 @@ def test_kept_fields_of_log_lines_in_small_ranges(spark, tmp_path, monkeypatch,
             assert got == [(f, n + 400 * (through and f == "b"), n) for f in "ab" for n in range(1, 400) if n % 50 != 7]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_store_changes_counts_the_edges_that_it_links(spark, sf, monkeypatch):
+    """Every edge of the store is one that was linked: without the links there is none, and nothing else changes."""
+    from memloom.plans import more
+    from memloom.store import MemoryStore
+
+    counted = lambda: {r.what: r.n for r in more.store_changes(spark, sf).collect()}
+    whole, links = counted(), []
+    monkeypatch.setattr(MemoryStore, "link", lambda self, rows: links.append(rows) or self)
+    assert whole["edges"] > 0 and counted() == whole | {"edges": 0}
+    assert links[0].count() > whole["edges"]

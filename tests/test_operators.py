@@ -1145,3 +1145,28 @@ def test_store_changes_counts_the_edges_that_it_links(spark, sf, monkeypatch):
     monkeypatch.setattr(MemoryStore, "link", lambda self, rows: links.append(rows) or self)
     assert whole["edges"] > 0 and counted() == whole | {"edges": 0}
     assert links[0].count() > whole["edges"]
+
+
+def test_graph_search_tries_every_memory_of_a_name(spark, monkeypatch):
+    """Forty memories mention both names; the nearest come last by id. Against plain loops, in parts of any size."""
+    rng = np.random.default_rng(3)
+    vectors = {n: rng.standard_normal(4).round(3).tolist() for n in range(60)} | {n: [1.0, 0.2, 0.0, n / 10000] for n in range(60, 70)}
+    said = {n: {x for x, own in (("Ann", n % 3), ("Bob", n % 4), ("Cy", 1), ("Dora", n % 5 == 1)) if own} for n in vectors}
+    asked = [(1, "Ann and Bob", [1.0, 0.0, 0.0, 0.0]), (2, "only Ann, and Cy", [0.0, 1.0, 0.0, 0.0]), (3, "bob, DORA, ann", [0.5, 0.5, 0.5, 0.5])]
+    m = spark.createDataFrame(list(vectors.items()) + [(900, [1.0]), (901, [float("nan")] * 4)], "id long, embedding array<double>")
+    q = spark.createDataFrame(asked, "query_id long, text string, embedding array<double>")
+    mentions = spark.createDataFrame([(x, n) for n, own in said.items() for x in own] + [("ann", 69), ("Ann", 900), ("Bob", 901)], "entity string, memory_id long")
+    monkeypatch.setattr(retrieval, "SHARING_ROWS", 7)
+    monkeypatch.setattr(retrieval, "SHARING_NAMES", 3)
+    for k, margin in ((6, 0.05), (13, 0.5)):
+        want = set()
+        for key, text, v in asked:
+            cos = {n: round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), 6) for n, w in vectors.items()}
+            base = sorted(cos, key=lambda n: (-cos[n], n))[:k]
+            names_ = {x for x in ("Ann", "Bob", "Dora") if x.lower() in text.lower()}
+            n_of = {n: len(said[n] & names_) for n in vectors if n not in base and len(names_) > 1}
+            taken = sorted((n for n in n_of if n_of[n] and cos[n] >= cos[base[-1]] - margin), key=lambda n: (-n_of[n], -cos[n], n))[: max(1, k // 6)]
+            rows = [(n, cos[n], "base") for n in base[: k - len(taken)]] + [(n, round(cos[n] + 0.02 * n_of[n], 6), "graph") for n in taken]
+            want |= {(key, n, s, o, r) for r, (n, s, o) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+        got = {(r.query_id, r.id, r.score, r.origin, r["rank"]) for r in retrieval.graph_search(m, q, mentions, k, margin=margin).collect()}
+        assert got == want and any(o == "graph" for _, _, _, o, _ in got)
